@@ -30,8 +30,13 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
+    """Read one test table; ``spread=True`` for CPU-heavy row-wise plans."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    if spread:
+        from skein.operators.partitioning import spread as _spread
+        df = _spread(df)
+    return df
 
 
 def plans() -> dict[str, PlanFn]:
@@ -46,4 +51,4 @@ def oracle() -> dict[str, str]:
 
 def _import_all() -> None:
     # importing the modules runs their @register decorators
-    from skein.plans import retrieval  # noqa: F401
+    from skein.plans import retrieval, text  # noqa: F401
