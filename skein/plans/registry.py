@@ -51,4 +51,4 @@ def oracle() -> dict[str, str]:
 
 def _import_all() -> None:
     # importing the modules runs their @register decorators
-    from skein.plans import retrieval, text  # noqa: F401
+    from skein.plans import retrieval, text, chunks  # noqa: F401
