@@ -173,3 +173,157 @@ def latency_stats(df: DataFrame, value: str = "response_time",
         *keys, "count", "mean", F.col("_pct")[0].alias("median"), "min", "max",
         F.col("_pct")[0].alias("p50"), F.col("_pct")[1].alias("p90"),
         F.col("_pct")[2].alias("p99"))
+
+
+# ---------------------------------------------------------------------------
+# answer relevancy and faithfulness (hybrid char-gram TF-IDF + Jaccard)
+# ---------------------------------------------------------------------------
+
+# --- fixed values -----------------------------------------------------------
+GRAM_SIZES = (2, 3, 4)           # character n-grams inside space-padded words
+RELEVANCY_WEIGHTS = (0.2, 0.8)   # (tf-idf cosine, token jaccard)
+FAITHFULNESS_WEIGHTS = (0.1, 0.9)
+# --- end of fixed values ----------------------------------------------------
+
+
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def word_grams(word) -> "F.Column":
+    """Character n-grams of a word padded with one space on each side; a
+    padded word not longer than n gives itself once, longer n are skipped."""
+    pw = F.concat(F.lit(" "), word, F.lit(" "))
+    n_chars = F.length(pw)
+    sizes = F.filter(F.array(*[F.lit(n) for n in GRAM_SIZES]), lambda n: n <= n_chars)
+    return F.flatten(F.transform(sizes, lambda n: F.transform(
+        F.sequence(F.lit(0), n_chars - n), lambda i: F.substring(pw, i + 1, n))))
+
+
+def chargram_cosine(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFrame:
+    """Cosine of sublinear TF-IDF char-gram vectors fitted on each pair.
+
+    Per pair (two documents): tf = 1 + ln(count), idf = ln(3 / (1 + df)) + 1,
+    L2-normalised.  Relational form: words -> counted words -> grams ->
+    per (pair, gram) counts of both sides -> per-pair sums.  Every step is a
+    grouped aggregate with partial aggregation, so a pair with a huge text
+    spreads over many (pair, gram) groups.  Pairs without grams get no row.
+    """
+    from skein.functions.text import words
+    ks = _keys(key)
+    sides = (pairs.select(*ks, F.lit(0).alias("_side"), F.col(a).alias("_t"))
+             .unionByName(pairs.select(*ks, F.lit(1).alias("_side"), F.col(b).alias("_t"))))
+    wc = (sides.select(*ks, "_side", F.explode(words(F.col("_t"))).alias("_w"))
+          .groupBy(*ks, "_side", "_w").agg(F.count(F.lit(1)).alias("_c")))
+    grams = wc.select(*ks, "_side", "_c", F.explode(word_grams(F.col("_w"))).alias("_g"))
+    gc = grams.groupBy(*ks, "_g").agg(
+        F.sum(F.when(F.col("_side") == 0, F.col("_c"))).alias("_ca"),
+        F.sum(F.when(F.col("_side") == 1, F.col("_c"))).alias("_cb"))
+    n_docs = (F.col("_ca").isNotNull().cast("int") + F.col("_cb").isNotNull().cast("int"))
+    idf = F.log(F.lit(3.0) / (F.lit(1.0) + n_docs)) + F.lit(1.0)
+    wa = F.coalesce((F.lit(1.0) + F.log(F.col("_ca"))) * idf, F.lit(0.0))
+    wb = F.coalesce((F.lit(1.0) + F.log(F.col("_cb"))) * idf, F.lit(0.0))
+    sums = gc.groupBy(*ks).agg(F.sum(wa * wa).alias("_na"), F.sum(wb * wb).alias("_nb"),
+                               F.sum(wa * wb).alias("_dot"))
+    cos = F.when((F.col("_na") > 0) & (F.col("_nb") > 0),
+                 F.col("_dot") / F.sqrt(F.col("_na") * F.col("_nb"))).otherwise(F.lit(0.0))
+    return sums.select(*ks, cos.alias("cosine"))
+
+
+def _hybrid(prepared: DataFrame, ks, weights, out: str) -> DataFrame:
+    """prepared: keys, _a, _b (preprocessed), _blank -> keys, out."""
+    from skein.functions.text import token_jaccard
+    cos = chargram_cosine(prepared.filter(~F.col("_blank")), ks, "_a", "_b")
+    base = prepared.select(*ks, "_blank", token_jaccard(F.col("_a"), F.col("_b")).alias("_jac"))
+    j = base.join(cos, ks, "left")
+    w_cos, w_jac = weights
+    score = (F.lit(w_cos) * F.coalesce(F.col("cosine"), F.lit(0.0)) +
+             F.lit(w_jac) * F.col("_jac"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    return j.select(*ks, F.when(F.col("_blank"), F.lit(0.0)).otherwise(score).alias(out))
+
+
+def _blank(c) -> "F.Column":
+    from skein.functions.text import py_strip
+    return c.isNull() | (py_strip(c) == "")
+
+
+def answer_relevancy(df: DataFrame, key, answer: str = "answer",
+                     expected: str = "expected_answer") -> DataFrame:
+    """Relevancy of each answer to its expected answer, in [0, 1]:
+    ``0.2 * tfidf_cosine + 0.8 * jaccard`` of the rewritten texts, 0 when
+    either text is blank."""
+    from skein.functions.text import synonyms_relevancy
+    ks = _keys(key)
+    a, e = F.col(answer), F.col(expected)
+    prepared = df.select(*ks, synonyms_relevancy(a).alias("_a"),
+                         synonyms_relevancy(e).alias("_b"),
+                         (_blank(a) | _blank(e)).alias("_blank"))
+    return _hybrid(prepared, ks, RELEVANCY_WEIGHTS, "answer_relevancy")
+
+
+def faithfulness(df: DataFrame, key, answer: str = "answer",
+                 context: str = "context") -> DataFrame:
+    """Faithfulness of each answer to its context list, in [0, 1]:
+    ``0.1 * tfidf_cosine + 0.9 * jaccard`` of the rewritten answer and the
+    rewritten contexts joined with a space; 0 when the context list is
+    missing/empty or the answer is blank."""
+    from skein.functions.text import synonyms_faithfulness
+    ks = _keys(key)
+    a, ctx = F.col(answer), F.col(context)
+    joined = F.array_join(F.transform(ctx, synonyms_faithfulness), " ")
+    no_ctx = ctx.isNull() | (F.size(ctx) == 0)
+    prepared = df.select(*ks, synonyms_faithfulness(a).alias("_a"),
+                         F.coalesce(joined, F.lit("")).alias("_b"),
+                         (no_ctx | _blank(a)).alias("_blank"))
+    return _hybrid(prepared, ks, FAITHFULNESS_WEIGHTS, "faithfulness")
+
+
+# ---------------------------------------------------------------------------
+# per-query evaluation and aggregation
+# ---------------------------------------------------------------------------
+
+EVAL_METRICS = ["answer_relevancy", "context_precision", "context_recall",
+                "f1_score", "faithfulness"]
+
+
+def evaluate_queries(records: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """Per query, each metric whose inputs are present (else NULL).
+
+    ``records``: query_id, answer, expected_answer, retrieved_chunks
+    (array<struct<article_id,...>>), relevant_article_ids (array<string>),
+    context (array<string>), response_time; all but query_id nullable.
+    """
+    cols = set(records.columns)
+    out = records.select(query_id, *([F.col("response_time")] if "response_time" in cols else []))
+    if {"answer", "expected_answer"} <= cols:
+        has = records.filter(F.col("answer").isNotNull() & F.col("expected_answer").isNotNull())
+        out = out.join(answer_relevancy(has, query_id), query_id, "left")
+    if {"retrieved_chunks", "relevant_article_ids"} <= cols:
+        has = records.filter(F.col("retrieved_chunks").isNotNull() &
+                             F.col("relevant_article_ids").isNotNull())
+        retrieved = has.select(query_id, F.explode("retrieved_chunks").alias("_c")) \
+            .select(query_id, F.col("_c.article_id").alias("article_id"))
+        relevant = has.select(query_id, F.explode("relevant_article_ids").alias("article_id"))
+        scores = context_scores(retrieved, relevant, has.select(query_id))
+        out = out.join(scores, query_id, "left")
+    if {"answer", "context"} <= cols:
+        has = records.filter(F.col("answer").isNotNull() & F.col("context").isNotNull())
+        out = out.join(faithfulness(has, query_id), query_id, "left")
+    for m in EVAL_METRICS:
+        if m not in out.columns:
+            out = out.withColumn(m, F.lit(None).cast("double"))
+    return out
+
+
+def aggregate_eval(per_query: DataFrame, value: str = "response_time") -> DataFrame:
+    """One row: total_queries, mean_<metric> over the queries that have it
+    (``avg`` skips NULL), and the latency statistics of ``response_time``."""
+    aggs = [F.count(F.lit(1)).alias("total_queries")] + \
+        [F.avg(m).alias(f"mean_{m}") for m in EVAL_METRICS]
+    base = per_query.agg(*aggs)
+    if value in per_query.columns:
+        lat = latency_stats(per_query, value).select(
+            *[F.col(c).alias(f"response_time_{c}") for c in LATENCY_COLUMNS])
+        base = base.crossJoin(lat)   # two one-row aggregates
+    return base

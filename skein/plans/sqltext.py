@@ -168,3 +168,46 @@ def meta_entries_sql(e: str) -> str:
 
 
 _ = re  # keep import for callers building patterns
+
+
+def cosine_ctes(src: str, keys: list[str], a: str, b: str, out: str) -> str:
+    """CTEs computing ``out(keys..., cosine)`` from table ``src`` (DuckDB)."""
+    k = ", ".join(keys)
+    return f"""
+{out}_sides AS (SELECT {k}, 0 AS side, {a} AS t FROM {src}
+                UNION ALL SELECT {k}, 1 AS side, {b} AS t FROM {src}),
+{out}_w AS (SELECT {k}, side, unnest({words('t')}) AS w FROM {out}_sides),
+{out}_wc AS (SELECT {k}, side, ' ' || w || ' ' AS pw, count(*) AS c FROM {out}_w GROUP BY ALL),
+{out}_n AS (SELECT {k}, side, c, pw, unnest([2, 3, 4]) AS n FROM {out}_wc),
+{out}_g AS (SELECT {k}, side, c, substr(pw, i + 1, n) AS gram
+            FROM (SELECT *, unnest(range(0, length(pw) - n + 1)) AS i FROM {out}_n
+                  WHERE n <= length(pw))),
+{out}_gc AS (SELECT {k}, gram, sum(c) FILTER (WHERE side = 0) AS ca,
+                    sum(c) FILTER (WHERE side = 1) AS cb FROM {out}_g GROUP BY ALL),
+{out}_wt AS (SELECT {k},
+     coalesce((1 + ln(ca)) * (ln(3.0 / (1 + (ca IS NOT NULL)::INT + (cb IS NOT NULL)::INT)) + 1), 0.0) AS wa,
+     coalesce((1 + ln(cb)) * (ln(3.0 / (1 + (ca IS NOT NULL)::INT + (cb IS NOT NULL)::INT)) + 1), 0.0) AS wb
+     FROM {out}_gc),
+{out} AS (SELECT {k}, CASE WHEN sum(wa * wa) > 0 AND sum(wb * wb) > 0
+                       THEN sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)) ELSE 0.0 END AS cosine
+          FROM {out}_wt GROUP BY ALL)"""
+
+
+def blank(e: str) -> str:
+    return f"({e} IS NULL OR {strip(e)} = '')"
+
+
+def hybrid_sql(src: str, keys: list[str], a: str, b: str, blank_expr: str,
+               w_cos: float, w_jac: float, out_col: str, name: str) -> str:
+    """CTEs: ``{name}_prep`` then cosine, then ``{name}(keys..., out_col)``."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"p.{x} = c.{x}" for x in keys)
+    pk = ", ".join(f"p.{x}" for x in keys)
+    return f"""
+{name}_prep AS (SELECT {k}, {a} AS a, {b} AS b, {blank_expr} AS is_blank FROM {src}),
+{name}_ok AS (SELECT * FROM {name}_prep WHERE NOT is_blank),
+{cosine_ctes(f'{name}_ok', keys, 'a', 'b', f'{name}_cos')},
+{name} AS (SELECT {pk}, CASE WHEN p.is_blank THEN 0.0 ELSE
+             greatest(0.0, least(1.0, {w_cos} * coalesce(c.cosine, 0.0) + {w_jac} * {jaccard('p.a', 'p.b')}))
+             END AS {out_col}
+           FROM {name}_prep p LEFT JOIN {name}_cos c ON {on})"""
