@@ -149,8 +149,9 @@ def _empty_hits(spark, qid_type, vid_type) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _final_topk(cands: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+def _final_topk(cands: DataFrame, k: int, tie_digits: int | None = None) -> DataFrame:
+    key = F.col("distance") if tie_digits is None else F.round("distance", tie_digits)
+    w = Window.partitionBy("query_id").orderBy(key, F.col("vec_id"))
     return (cands.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
             .select("query_id", "vec_id", "rank", "distance"))
@@ -163,13 +164,15 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
               query_block: int = DEFAULT_QUERY_BLOCK,
               shard_vectors: int = DEFAULT_SHARD_VECTORS,
-              strategy: str = "auto") -> DataFrame:
+              strategy: str = "auto", tie_digits: int | None = None) -> DataFrame:
     """Exact top-k by squared L2 for every query row.
 
     Returns ``query_id, vec_id, rank INT (1-based), distance DOUBLE``.
     ``k < 0`` raises; ``k == 0`` or an empty side gives no rows; ``k > n``
     gives ``n`` rows per query.  ``dim`` makes a wrong-length vector a
     runtime error (``assert_true``), as the reference's dimension check.
+    ``tie_digits`` ranks on the distance rounded to that many decimals (ties
+    then go to the smaller id), for vectors with exact duplicates.
     """
     if k < 0:
         raise ValueError(f"k must be non-negative, got {k}")
@@ -204,7 +207,7 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
     else:
         cands = _tiled_candidates(q, v, k, exclude_self, out_schema, n_queries,
                                   query_block, shard_vectors)
-    return _final_topk(cands, k)
+    return _final_topk(cands, k, tie_digits)
 
 
 def _broadcast_candidates(spark, q, v, k, exclude_self, out_schema):
