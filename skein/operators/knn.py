@@ -238,9 +238,10 @@ def _tiled_candidates(q, v, k, exclude_self, out_schema, n_queries,
     blocks = max(1, math.ceil(n_queries / query_block))
     shards = max(1, math.ceil(n_vectors / shard_vectors),
                  q.sparkSession.sparkContext.defaultParallelism // blocks)
-    qt = (q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    # both sides must carry the same key types, or the cogroup cannot pair them
+    qt = (q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
           .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    vt = (v.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    vt = (v.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
           .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
 
     def tile(vpdf, qpdf):
@@ -279,3 +280,130 @@ def hit_metadata(hits: DataFrame, metadata: DataFrame, vec_id: str = "vec_id",
     if n_vectors is not None:
         out = out.filter((F.col(vec_id) >= 0) & (F.col(vec_id) < n_vectors))
     return out
+
+
+# ---------------------------------------------------------------------------
+# approximate search: IVF (k-means cells, probe the nprobe nearest cells)
+# ---------------------------------------------------------------------------
+
+MAX_CELLS_BYTES = 64 << 20       # centroid matrix must fit a broadcast
+
+
+def train_cells(vectors: DataFrame, n_cells: int, vector: str = "embedding",
+                seed: int = 7, max_iter: int = 20) -> np.ndarray:
+    """Centroids of MLlib k-means (k-means|| init) over the vector table."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    feats = vectors.select(array_to_vector(F.col(vector)).alias("features"))
+    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
+    return np.asarray(model.clusterCenters(), dtype=np.float64)
+
+
+def nearest_cells(df: DataFrame, centers: np.ndarray, nprobe: int, id_col: str,
+                  vector: str) -> DataFrame:
+    """(id, vector, cell, cell_rank) for the ``nprobe`` nearest centroids.
+
+    The centroid matrix is broadcast; its size is bounded by ``n_cells``
+    and checked against ``MAX_CELLS_BYTES``.
+    """
+    if centers.nbytes > MAX_CELLS_BYTES:
+        raise ValueError("centroid matrix too large to broadcast; use fewer cells")
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast(centers)
+    nprobe = min(nprobe, len(centers))
+    src = df.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"))
+    out_schema = T.StructType([
+        T.StructField("_id", src.schema["_id"].dataType),
+        T.StructField("_v", src.schema["_v"].dataType),
+        T.StructField("cell", T.IntegerType()), T.StructField("cell_rank", T.IntegerType())])
+
+    def run(batches):
+        c = bc.value
+        cn = np.einsum("ij,ij->i", c, c)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids = batch.column(0)
+            vecs = batch.column(1)
+            m = _arrow_matrix(vecs).astype(np.float64)
+            d = np.einsum("ij,ij->i", m, m)[:, None] + cn[None, :] - 2.0 * (m @ c.T)
+            order = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+            rows = np.repeat(np.arange(len(m)), nprobe)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(take), vecs.take(take), pa.array(order.reshape(-1).astype(np.int32)),
+                 pa.array(np.tile(np.arange(1, nprobe + 1, dtype=np.int32), len(m)))],
+                schema=pa.schema([pa.field("_id", ids.type), pa.field("_v", vecs.type),
+                                  pa.field("cell", pa.int32()), pa.field("cell_rank", pa.int32())]))
+
+    return src.mapInArrow(run, out_schema)
+
+
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
+               n_cells: int | None = None, nprobe: int = 4,
+               query_id: str = "query_id", query_vector: str = "embedding",
+               vec_id: str = "vec_id", vector: str = "embedding",
+               exclude_self: bool = False, shard_vectors: int = DEFAULT_SHARD_VECTORS,
+               centers: np.ndarray | None = None, seed: int = 7) -> DataFrame:
+    """Approximate top-k (squared L2) through an IVF index.
+
+    Vectors are assigned to their nearest k-means cell; each query probes
+    its ``nprobe`` nearest cells (``nprobe`` plays the role of an HNSW
+    ``efSearch``: higher = better recall, more work; ``nprobe = n_cells`` is
+    exact).  The probe is an equi-join on (cell, shard): a cell larger than
+    ``shard_vectors`` is split into hash shards and its queries copied to
+    each shard, so a crowded cell never lands in one task.
+    """
+    if k < 0:
+        raise ValueError(f"k must be non-negative, got {k}")
+    spark = queries.sparkSession
+    if centers is None:
+        n = vectors.count()
+        n_cells = n_cells or max(1, int(round(math.sqrt(max(n, 1)))))
+        centers = train_cells(vectors.filter(F.col(vector).isNotNull()), n_cells, vector, seed)
+    vcell = nearest_cells(vectors.filter(F.col(vector).isNotNull()), centers, 1, vec_id, vector)
+    qcell = nearest_cells(queries.filter(F.col(query_vector).isNotNull()), centers, nprobe,
+                          query_id, query_vector)
+    sizes = vcell.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    shards = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / shard_vectors))
+                          .cast("int").alias("_s"))
+    # one row per cell: bounded by n_cells, so broadcasting it is safe
+    shards = F.broadcast(shards)
+    vt = (vcell.join(shards, "cell")
+          .select(F.col("_id").alias("vec_id"), F.col("_v").alias("vv"), "cell",
+                  F.pmod(F.xxhash64("_id"), F.col("_s")).cast("int").alias("_sub")))
+    qt = (qcell.join(shards, "cell")
+          .select(F.col("_id").alias("query_id"), F.col("_v").alias("qv"), "cell",
+                  F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_sub")))
+    # cell (int) and _sub (int) have the same types on both cogroup sides
+    out_schema = T.StructType([
+        T.StructField("query_id", qt.schema["query_id"].dataType),
+        T.StructField("vec_id", vt.schema["vec_id"].dataType),
+        T.StructField("distance", T.DoubleType())])
+    if k == 0:
+        return _empty_hits(spark, out_schema["query_id"].dataType, out_schema["vec_id"].dataType)
+
+    def tile(vpdf, qpdf):
+        import pandas as pd
+        empty = pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        if len(vpdf) == 0 or len(qpdf) == 0:
+            return empty
+        top = _TopK(qpdf["query_id"].to_numpy(), np.stack(qpdf["qv"].to_numpy()), k,
+                    exclude_self)
+        v_ids = vpdf["vec_id"].to_numpy()
+        v_mat = np.stack(vpdf["vv"].to_numpy())
+        for s in range(0, len(v_ids), _SUB_BLOCK):
+            top.add(v_ids[s:s + _SUB_BLOCK], v_mat[s:s + _SUB_BLOCK])
+        out = top.result()
+        return empty if out is None else out.to_pandas()
+
+    cands = (vt.groupBy("cell", "_sub").cogroup(qt.groupBy("cell", "_sub"))
+             .applyInPandas(tile, out_schema))
+    return _final_topk(cands, k)
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of exact (query, vec) hits that the approximate search found."""
+    j = exact.select("query_id", "vec_id").join(
+        approx.select("query_id", "vec_id", F.lit(1).alias("_f")), ["query_id", "vec_id"], "left")
+    return j.agg(F.avg(F.coalesce("_f", F.lit(0)).cast("double")).alias("recall"))

@@ -184,3 +184,14 @@ SELECT s.query_id, round(rr, 9) AS reciprocal_rank, round(ap, 9) AS average_prec
        round(p, 9) AS context_precision, round(r, 9) AS context_recall,
        round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1_score
 FROM scores s JOIN rr_ap USING (query_id)""")(ir_eval)
+
+
+@register("knn_approx")
+def q_knn_approx(spark, sf_dir):
+    """IVF search over every vector (16 cells, 4 probed); rows-only check,
+    recall against knn_exact is asserted in the tests."""
+    from skein.operators.knn import knn_approx
+    emb = load(spark, sf_dir, "embeddings")
+    hits = knn_approx(_queries(emb), emb, k=K, n_cells=16, nprobe=4, exclude_self=True)
+    return hits.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"),
+                       F.round("distance", 6).alias("distance"))
