@@ -118,3 +118,28 @@ def read_vectors(spark: SparkSession, path: str, expected_count: int | None = No
 def truncate(df: DataFrame, path: str) -> None:
     """Write an empty table with the same schema (the next snapshot)."""
     df.limit(0).write.mode("overwrite").parquet(path)
+
+
+# --- embedding cache table --------------------------------------------------
+
+CACHE_SCHEMA = ("model string, text_hash string, dimensions int, created_at timestamp, "
+                "embedding array<float>")
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The persisted cache, or an empty one when missing/unreadable."""
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001
+        return spark.createDataFrame([], CACHE_SCHEMA)
+
+
+def append_cache(new_rows: DataFrame | None, path: str) -> None:
+    """Append only the newly computed (model, text_hash) rows."""
+    if new_rows is not None:
+        new_rows.write.mode("append").parquet(path)
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """Empty the cache table (the next reads see no rows)."""
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("overwrite").parquet(path)
