@@ -34,23 +34,53 @@ GRAM = 3
 BatchFn = Callable[[list], np.ndarray]
 
 
+_CP = np.uint64(0x110000)          # code point radix for 3-gram ids
+
+
 def hashed_embedder(dim: int = DEFAULT_DIM) -> BatchFn:
-    """The built-in batch embedding function (see module docstring)."""
+    """The built-in batch embedding function (see module docstring).
+
+    Vectorised: each text becomes its space-padded words laid end to end as
+    a code-point array; gram ids are read off with numpy, and md5 is taken
+    once per distinct gram (memoised across batches).
+    """
+    memo: dict[int, int] = {}
+
+    def bucket_of(gid: int) -> int:
+        b = memo.get(gid)
+        if b is None:
+            c0, rest = divmod(gid, int(_CP) * int(_CP))
+            c1, c2 = divmod(rest, int(_CP))
+            g = chr(c0) + chr(c1) + chr(c2)
+            b = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:4], 16) % dim
+            memo[gid] = b
+        return b
+
     def embed(texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        memo: dict[str, int] = {}
-        for row, t in enumerate(texts):
-            if not t:
+        n = len(texts)
+        rows, ids = [], []
+        for r, t in enumerate(texts):
+            ws = t.split() if t else []
+            if not ws:
                 continue
-            for w in t.split():
-                pw = f" {w} "
-                for i in range(len(pw) - GRAM + 1):
-                    g = pw[i:i + GRAM]
-                    b = memo.get(g)
-                    if b is None:
-                        b = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:4], 16) % dim
-                        memo[g] = b
-                    out[row, b] += 1.0
+            s = " " + "  ".join(ws) + " "          # padded words, end to end
+            a = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            lens = np.fromiter((len(w) for w in ws), dtype=np.int64, count=len(ws))
+            word_start = np.concatenate(([0], np.cumsum(lens + 2)[:-1]))
+            # a padded word of length L + 2 has L grams, starting at 0..L-1
+            first = np.repeat(word_start, lens)
+            offs = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+            st = first + offs
+            ids.append(a[st] * _CP * _CP + a[st + 1] * _CP + a[st + 2])
+            rows.append(np.full(len(st), r, dtype=np.int64))
+        out = np.zeros((n, dim), dtype=np.float64)
+        if ids:
+            all_ids = np.concatenate(ids)
+            uniq, inv = np.unique(all_ids, return_inverse=True)
+            buckets = np.fromiter((bucket_of(int(g)) for g in uniq), dtype=np.int64,
+                                  count=len(uniq))[inv]
+            flat = np.concatenate(rows) * dim + buckets
+            out = np.bincount(flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
         norms = np.sqrt((out * out).sum(axis=1))
         nz = norms > 0
         out[nz] /= norms[nz][:, None]

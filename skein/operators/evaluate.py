@@ -200,14 +200,17 @@ def word_grams(word) -> "F.Column":
         F.sequence(F.lit(0), n_chars - n), lambda i: F.substring(pw, i + 1, n))))
 
 
-def chargram_cosine(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFrame:
-    """Cosine of sublinear TF-IDF char-gram vectors fitted on each pair.
-
-    Per pair (two documents): tf = 1 + ln(count), idf = ln(3 / (1 + df)) + 1,
-    L2-normalised.  Relational form: words -> counted words -> grams ->
-    per (pair, gram) counts of both sides -> per-pair sums.  Every step is a
-    grouped aggregate with partial aggregation, so a pair with a huge text
-    spreads over many (pair, gram) groups.  Pairs without grams get no row.
+def pair_similarity(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFrame:
+    """Per pair: char-gram TF-IDF ``cosine`` and token ``jaccard``.
+
+    TF-IDF is fitted on each pair (two documents): tf = 1 + ln(count),
+    idf = ln(3 / (1 + df)) + 1, L2-normalised.  Jaccard is |A ∩ B| / |A ∪ B|
+    of the whitespace-token sets (0 when either is empty).  Relational form:
+    words -> counted (pair, side, word) -> grams -> per (pair, gram) counts
+    of both sides -> per-pair sums; the word table also gives the token sets.
+    Every step is a grouped aggregate with partial aggregation, so one huge
+    text spreads over many (pair, gram) groups.  Pairs without words get no
+    row (both scores are 0 for them).
     """
     from skein.functions.text import words
     ks = _keys(key)
@@ -215,6 +218,8 @@ def chargram_cosine(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFr
              .unionByName(pairs.select(*ks, F.lit(1).alias("_side"), F.col(b).alias("_t"))))
     wc = (sides.select(*ks, "_side", F.explode(words(F.col("_t"))).alias("_w"))
           .groupBy(*ks, "_side", "_w").agg(F.count(F.lit(1)).alias("_c")))
+    jac = (wc.groupBy(*ks, "_w").agg(F.count(F.lit(1)).alias("_ns"))
+           .groupBy(*ks).agg((F.count_if(F.col("_ns") == 2) / F.count(F.lit(1))).alias("jaccard")))
     grams = wc.select(*ks, "_side", "_c", F.explode(word_grams(F.col("_w"))).alias("_g"))
     gc = grams.groupBy(*ks, "_g").agg(
         F.sum(F.when(F.col("_side") == 0, F.col("_c"))).alias("_ca"),
@@ -227,18 +232,21 @@ def chargram_cosine(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFr
                                F.sum(wa * wb).alias("_dot"))
     cos = F.when((F.col("_na") > 0) & (F.col("_nb") > 0),
                  F.col("_dot") / F.sqrt(F.col("_na") * F.col("_nb"))).otherwise(F.lit(0.0))
-    return sums.select(*ks, cos.alias("cosine"))
+    return sums.select(*ks, cos.alias("cosine")).join(jac, ks, "full")
+
+
+def chargram_cosine(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFrame:
+    """Char-gram TF-IDF cosine per pair (see ``pair_similarity``)."""
+    return pair_similarity(pairs, key, a, b).select(*_keys(key), "cosine")
 
 
 def _hybrid(prepared: DataFrame, ks, weights, out: str) -> DataFrame:
     """prepared: keys, _a, _b (preprocessed), _blank -> keys, out."""
-    from skein.functions.text import token_jaccard
-    cos = chargram_cosine(prepared.filter(~F.col("_blank")), ks, "_a", "_b")
-    base = prepared.select(*ks, "_blank", token_jaccard(F.col("_a"), F.col("_b")).alias("_jac"))
-    j = base.join(cos, ks, "left")
+    sims = pair_similarity(prepared.filter(~F.col("_blank")), ks, "_a", "_b")
+    j = prepared.select(*ks, "_blank").join(sims, ks, "left")
     w_cos, w_jac = weights
     score = (F.lit(w_cos) * F.coalesce(F.col("cosine"), F.lit(0.0)) +
-             F.lit(w_jac) * F.col("_jac"))
+             F.lit(w_jac) * F.coalesce(F.col("jaccard"), F.lit(0.0)))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     return j.select(*ks, F.when(F.col("_blank"), F.lit(0.0)).otherwise(score).alias(out))
 

@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,10 +192,14 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
         v = v.filter(F.assert_true(F.size("vv") == dim,
                                    f"vector dimension must be {dim}").isNull())
 
+    # The size check and the broadcast read the same rows: keep them so an
+    # expensive query side (e.g. freshly embedded questions) is computed once.
+    q = q.persist(StorageLevel.MEMORY_AND_DISK)
     stats = q.agg(F.count(F.lit(1)).alias("n"),
                   F.coalesce(F.sum(F.size("qv")), F.lit(0)).alias("floats")).first()
     n_queries, n_floats = int(stats["n"]), int(stats["floats"])
     if n_queries == 0:
+        q.unpersist()
         return _empty_hits(spark, qid_type, vid_type)
     out_schema = T.StructType([
         T.StructField("query_id", qid_type), T.StructField("vec_id", vid_type),
@@ -204,6 +209,7 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
                      (strategy == "auto" and n_floats * 8 <= broadcast_bytes))
     if use_broadcast:
         cands = _broadcast_candidates(spark, q, v, k, exclude_self, out_schema)
+        q.unpersist()
     else:
         cands = _tiled_candidates(q, v, k, exclude_self, out_schema, n_queries,
                                   query_block, shard_vectors)
@@ -234,6 +240,7 @@ def _broadcast_candidates(spark, q, v, k, exclude_self, out_schema):
 
 def _tiled_candidates(q, v, k, exclude_self, out_schema, n_queries,
                       query_block, shard_vectors):
+    v = v.persist(StorageLevel.MEMORY_AND_DISK)   # counted, then tiled
     n_vectors = v.count()
     blocks = max(1, math.ceil(n_queries / query_block))
     shards = max(1, math.ceil(n_vectors / shard_vectors),

@@ -82,44 +82,38 @@ def retrieve_context(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_
 
 def passage_matches(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id",
                     doc_text: str = "text", passage_id: str = "item_id",
-                    passage_text: str = "text", anchor_words: int = 6) -> DataFrame:
+                    passage_text: str = "text") -> DataFrame:
     """``(passage_id, doc_id)`` for every document whose text contains the
-    passage.
-
-    Each passage is anchored on an interior run of words (its first and last
-    word may be glued to neighbouring text in the document); documents emit
-    one shingle per word position and anchor length.  An equi-join on the
-    shingle finds candidates, ``contains`` confirms them.  This is an
-    inverted-index join: work is linear in the corpus, and no document is
-    compared with a passage it shares no shingle with.  Passages of fewer
-    than three words are checked by substring against every document.
+    passage, without comparing every document with every passage.
+
+    An interior word of a passage (not its first or last, which may be glued
+    to neighbouring text) is a whole whitespace token of any document that
+    contains the passage.  So each passage is anchored on its *rarest*
+    interior word (document frequencies come from a partially aggregated
+    word count), candidates are the documents holding that word (an
+    equi-join, i.e. an inverted-index lookup), and ``contains`` confirms
+    them.  Passages of fewer than three words have no interior word and are
+    checked by substring against every document (their number is bounded).
     """
     p = passages.select(F.col(passage_id).alias("_pid"), F.col(passage_text).alias("_pt"))
-    pw = words(F.col("_pt"))
-    n = F.size(pw)
-    alen = F.least(F.lit(anchor_words), n - 2)
-    anchors = p.select("_pid", "_pt", alen.alias("_alen"),
-                       F.array_join(F.slice(pw, 2, alen), " ").alias("_shingle")) \
-        .filter(F.col("_alen") >= 1)
-    lengths = sorted(r[0] for r in anchors.select("_alen").distinct().collect())
     d = docs.select(F.col(doc_id).alias("_did"), F.col(doc_text).alias("_dt"))
-    dw = d.select("_did", words(F.col("_dt")).alias("_w"))
-    shingles = None
-    for a in lengths:
-        s = dw.select("_did", F.lit(a).alias("_alen"), F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("_w") - a + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice("_w", i, a), " ")))).alias("_shingle"))
-        shingles = s if shingles is None else shingles.unionByName(s)
-    out = None
-    if shingles is not None:
-        cand = anchors.join(shingles, ["_alen", "_shingle"]).select("_pid", "_pt", "_did").distinct()
-        out = (cand.join(d, "_did").filter(F.col("_dt").contains(F.col("_pt")))
-               .select(F.col("_pid").alias(passage_id), F.col("_did").alias(doc_id)))
+    doc_words = d.select("_did", F.explode(F.array_distinct(words(F.col("_dt")))).alias("_w"))
+    df = doc_words.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    pw = words(F.col("_pt"))
+    interior = p.select("_pid", "_pt", F.explode(F.array_distinct(
+        F.slice(pw, 2, F.greatest(F.size(pw) - 2, F.lit(0))))).alias("_w"))
+    anchor = (interior.join(df, "_w")
+              .groupBy("_pid", "_pt").agg(F.min_by("_w", F.struct("_df", "_w")).alias("_w")))
+    cand = anchor.join(doc_words, "_w").select("_pid", "_pt", "_did")
+    out = (cand.join(d, "_did").filter(F.col("_dt").contains(F.col("_pt")))
+           .select(F.col("_pid").alias(passage_id), F.col("_did").alias(doc_id)))
     short = p.filter(F.size(words(F.col("_pt"))) < 3)
     n_short = short.count()
     if n_short > MAX_SHORT_PASSAGES:
         raise ValueError(f"{n_short} passages under three words; at most "
                          f"{MAX_SHORT_PASSAGES} are checked by substring scan")
+    if n_short == 0:
+        return out
     short_hits = (d.join(F.broadcast(short), F.col("_dt").contains(F.col("_pt")))
                   .select(F.col("_pid").alias(passage_id), F.col("_did").alias(doc_id)))
-    return short_hits if out is None else out.unionByName(short_hits)
+    return out.unionByName(short_hits)

@@ -23,6 +23,7 @@ from skein.plans import sqltext as S
 from skein.plans.chunks import _ARTICLES_SQL
 from skein.plans.embedding import _sparse_sql
 from skein.plans.registry import load, register
+from skein.session import materialize
 
 K = 5
 K_SOURCES = 3
@@ -49,12 +50,17 @@ def user_questions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("question"))
 
 
+def article_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Article chunks with vectors, written once to the checkpoint folder
+    (the searchable index every RAG step reads)."""
+    return materialize(E.embed_dedup(article_chunk_table(spark, sf), "chunk"))
+
+
 def rag_hits(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
-    chunks = article_chunk_table(spark, sf)
-    vecs = E.embed_dedup(chunks, "chunk")
+    index = article_index(spark, sf)
     q = user_questions(spark, sf)
-    hits = R.search(q.select("query_id", F.col("question").alias("text")), vecs, k=k)
-    return hits.join(chunks.select("chunk_id", "title", "url", "chunk"), "chunk_id")
+    hits = R.search(q.select("query_id", F.col("question").alias("text")), index, k=k)
+    return hits.join(index.select("chunk_id", "title", "url", "chunk"), "chunk_id")
 
 
 def prompt_histories(spark: SparkSession, sf: str) -> DataFrame:

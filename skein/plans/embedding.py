@@ -12,6 +12,7 @@ from skein.operators import evaluate as ev
 from skein.operators import embed as E
 from skein.operators import retrieval as R
 from skein.plans.registry import load, register
+from skein.session import materialize
 
 K = 5
 DIM = E.DEFAULT_DIM
@@ -28,14 +29,15 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunk table with vectors; identical chunk texts are embedded once."""
-    return E.embed_dedup(doc_chunks(spark, sf), "chunk")
+    """Chunk table with vectors; identical chunk texts are embedded once.
+    Written to the checkpoint folder: it is the index later steps read."""
+    return materialize(E.embed_dedup(doc_chunks(spark, sf), "chunk"))
 
 
-def search_hits(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
+def search_hits(spark: SparkSession, sf: str, k: int = K, index: DataFrame | None = None) -> DataFrame:
     b = load(spark, sf, "benchmark")
     return R.search(b.select(F.col("item_id").alias("query_id"), "text"),
-                    chunk_vectors(spark, sf), k=k)
+                    index if index is not None else chunk_vectors(spark, sf), k=k)
 
 
 # --- DuckDB: the same embedding as sparse rows, distances by bucket join ----
@@ -147,8 +149,9 @@ SELECT h.query_id, h.rank, h.chunk_id, round(h.distance, 6) AS distance,
        'Unknown' AS title, '' AS url
 FROM hits h JOIN ch USING (chunk_id)""")
 def q_semantic_search(spark, sf):
-    hits = search_hits(spark, sf)
-    out = R.semantic_search(hits, doc_chunks(spark, sf))
+    index = chunk_vectors(spark, sf)
+    hits = search_hits(spark, sf, index=index)
+    out = R.semantic_search(hits, index.drop("embedding", "text_hash"))
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
                       F.round("distance", 6).alias("distance"),
                       F.round("similarity", 6).alias("similarity"), "chunk",
@@ -161,8 +164,9 @@ SELECT h.query_id, h.rank, round(h.distance, 6) AS distance,
        'Unknown' AS title, '' AS url, 'Unknown' AS publish_date
 FROM hits h JOIN ch USING (chunk_id)""")
 def q_semantic_search_flat(spark, sf):
-    hits = search_hits(spark, sf)
-    out = R.semantic_search_flat(hits, doc_chunks(spark, sf))
+    index = chunk_vectors(spark, sf)
+    hits = search_hits(spark, sf, index=index)
+    out = R.semantic_search_flat(hits, index.drop("embedding", "text_hash"))
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"),
                       F.round("distance", 6).alias("distance"),
                       F.round("similarity", 6).alias("similarity"), "chunk", "title", "url",
@@ -174,8 +178,9 @@ SELECT h.query_id, h.rank, ch.chunk, 'Unknown' AS title, '' AS url,
        ch.doc_id::VARCHAR AS article_id, round(h.distance, 6) AS distance
 FROM hits h JOIN ch USING (chunk_id)""")
 def q_retrieve_context(spark, sf):
-    hits = search_hits(spark, sf)
-    out = R.retrieve_context(hits, doc_chunks(spark, sf))
+    index = chunk_vectors(spark, sf)
+    hits = search_hits(spark, sf, index=index)
+    out = R.retrieve_context(hits, index.drop("embedding", "text_hash"))
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk", "title",
                       "url", "article_id", F.round("distance", 6).alias("distance"))
 
@@ -214,8 +219,8 @@ SELECT query_id, round(rr, 9) AS reciprocal_rank, round(ap, 9) AS average_precis
 FROM pr""")
 def q_search_eval(spark, sf):
     b = load(spark, sf, "benchmark")
-    hits = search_hits(spark, sf).join(doc_chunks(spark, sf).select("chunk_id", "doc_id"),
-                                       "chunk_id")
+    index = chunk_vectors(spark, sf)
+    hits = search_hits(spark, sf, index=index).join(index.select("chunk_id", "doc_id"), "chunk_id")
     rel = R.passage_matches(load(spark, sf, "documents"), b) \
         .select(F.col("item_id").alias("query_id"), "doc_id")
     flagged = hits.join(rel.withColumn("relevant", F.lit(True)), ["query_id", "doc_id"], "left") \

@@ -97,3 +97,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     spark.sparkContext.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+
+    Used for tables that several later stages read (e.g. a chunk-vector
+    index): they are computed once, and a lost executor re-reads the files
+    instead of recomputing the chain.  Uses reliable ``checkpoint()``
+    (never ``localCheckpoint``) under ``spark.checkpoint.dir``.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
