@@ -153,7 +153,21 @@ def q_evaluate_queries(spark, sf):
                         F.round("faithfulness", 9).alias("faithfulness"))
 
 
-@register("aggregate_eval")
 def q_aggregate_eval(spark, sf):
     per_q = ev.evaluate_queries(eval_records(spark, sf))
-    return ev.aggregate_eval(per_q)
+    out = ev.aggregate_eval(per_q)
+    return out.select("total_queries", *[F.round(f"mean_{m}", 9).alias(f"mean_{m}")
+                                         for m in ev.EVAL_METRICS])
+
+
+def _aggregate_sql() -> str:
+    from skein.plans.registry import _SQL
+    per_q = _SQL["evaluate_queries"]
+    return ("WITH per_q AS (" + per_q + """)
+SELECT count(*) AS total_queries, round(avg(answer_relevancy), 9) AS mean_answer_relevancy,
+       NULL::DOUBLE AS mean_context_precision, NULL::DOUBLE AS mean_context_recall,
+       NULL::DOUBLE AS mean_f1_score, round(avg(faithfulness), 9) AS mean_faithfulness
+FROM per_q""")
+
+
+register("aggregate_eval", sql=_aggregate_sql())(q_aggregate_eval)
