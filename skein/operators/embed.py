@@ -171,17 +171,21 @@ def cache_stats(requests: DataFrame, cache: DataFrame | None = None,
     request is a miss and the cache does not grow.
     """
     hashes = requests.select(text_hash(F.col(text)).alias("text_hash"))
-    total = hashes.agg(F.count(F.lit(1)).alias("total_requests"))
-    uniq = hashes.distinct()
     if cache is not None:
         known = cache.filter(F.col("model") == model).select("text_hash").distinct()
-        new = uniq.join(known, "text_hash", "left_anti")
-        before = known.agg(F.count(F.lit(1)).alias("_before"))
     else:
-        new = uniq
-        before = total.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("_before"))
-    misses = new.agg(F.count(F.lit(1)).alias("_new"))
-    s = total.crossJoin(misses).crossJoin(before)   # one-row aggregates
+        known = hashes.limit(0)
+    # flag each request hash as cached or not, then one aggregate over the
+    # requests stacked with the cache keys (the cache size needs its count)
+    req = hashes.join(known.withColumn("_cached", F.lit(True)), "text_hash", "left")
+    rows = (req.select("text_hash", F.coalesce("_cached", F.lit(False)).alias("_cached"),
+                       F.lit(True).alias("_req"))
+            .unionByName(known.select("text_hash", F.lit(True).alias("_cached"),
+                                      F.lit(False).alias("_req"))))
+    s = rows.agg(F.count_if(F.col("_req")).alias("total_requests"),
+                 F.count_distinct(F.when(F.col("_req") & ~F.col("_cached"), F.col("text_hash")))
+                 .alias("_new"),
+                 F.count_if(~F.col("_req")).alias("_before"))
     if use_cache:
         m = F.col("_new")
         size = F.col("_before") + F.col("_new")

@@ -17,14 +17,16 @@ from skein.functions import text as TX
 
 def extract_articles(pages: DataFrame, *, url: str = "url", html: str = "html",
                      extracted_at=None, min_length: int = TX.MIN_TEXT_LENGTH,
-                     keep_invalid: bool = False) -> DataFrame:
+                     keep_invalid: bool = False, keep_bad_urls: bool = False) -> DataFrame:
     """Article records for the pages whose URL is valid and which pass the
     quality gate (``keep_invalid=True`` keeps every URL-valid page with its
-    ``reason`` instead).  Other columns of ``pages`` (e.g. ``page_id``) are
-    carried along."""
+    ``reason`` instead; with ``keep_bad_urls`` pages with an invalid URL are
+    kept too, reason ``Invalid URL``).  Other columns of ``pages`` (e.g.
+    ``page_id``) are carried along."""
     keep = [c for c in pages.columns if c not in (url, html)]
     names = H.ARTICLE_FIELDS
-    rec = H.article_fields(pages.filter(TX.url_validate(url)), html, url, extracted_at)
+    src = pages if keep_bad_urls else pages.filter(TX.url_validate(url))
+    rec = H.article_fields(src, html, url, extracted_at)
     # The cleaned record is built once as a one-element array of structs and
     # the gate is a lambda over it: a plain filter on the cleaned columns
     # would be pushed below the projection and re-run the regex chain for
@@ -34,7 +36,9 @@ def extract_articles(pages: DataFrame, *, url: str = "url", html: str = "html",
                          for n in names])
     graded = F.transform(F.array(cleaned), lambda r: F.struct(
         *[r[n].alias(n) for n in names],
-        TX.article_quality(r["title"], r["text"], r["url"], min_length).alias("reason")))
+        F.when(~TX.url_validate(r["url"]), F.lit("Invalid URL"))
+         .otherwise(TX.article_quality(r["title"], r["text"], r["url"], min_length))
+         .alias("reason")))
     if not keep_invalid:
         graded = F.filter(graded, lambda r: r["reason"] == "Valid")
     out = rec.select(*keep, F.inline(graded))
@@ -43,12 +47,13 @@ def extract_articles(pages: DataFrame, *, url: str = "url", html: str = "html",
 
 def extraction_stats(pages: DataFrame, articles: DataFrame | None = None,
                      **kw) -> DataFrame:
-    """attempts, extracted, failed, success_rate (0 when no attempts)."""
-    rec = extract_articles(pages, keep_invalid=True, **kw) if articles is None else articles
-    attempts = pages.agg(F.count(F.lit(1)).alias("total_attempts"))
-    ok = rec.agg(F.count_if(F.col("reason") == "Valid").alias("total_extracted"))
-    out = attempts.crossJoin(ok)  # two one-row aggregates
-    return out.select(
+    """total_extracted, total_failed, total_attempts, success_rate (0 when
+    there were no attempts); one aggregate over the graded pages."""
+    rec = extract_articles(pages, keep_invalid=True, keep_bad_urls=True, **kw) \
+        if articles is None else articles
+    s = rec.agg(F.count(F.lit(1)).alias("total_attempts"),
+                F.count_if(F.col("reason") == "Valid").alias("total_extracted"))
+    return s.select(
         "total_extracted",
         (F.col("total_attempts") - F.col("total_extracted")).alias("total_failed"),
         "total_attempts",

@@ -49,8 +49,11 @@ def vector_stats(vectors: DataFrame, vector: str = "embedding",
 
 def system_stats(catalog: DataFrame, vectors: DataFrame, key: str = "article_id") -> DataFrame:
     """total_articles (catalog keys) and total_chunks = total_embeddings
-    (vector rows); a re-ingested article doubles vectors, not articles."""
-    a = catalog.agg(F.count_distinct(key).alias("total_articles"))
-    v = vectors.agg(F.count(F.lit(1)).alias("total_chunks"))
-    return a.crossJoin(v).select("total_articles", "total_chunks",
-                                 F.col("total_chunks").alias("total_embeddings"))
+    (vector rows); a re-ingested article doubles vectors, not articles.
+    One aggregate over the two tables stacked (no join between them)."""
+    rows = (catalog.select(F.col(key).cast("string").alias("_k"), F.lit(None).cast("int").alias("_v"))
+            .unionByName(vectors.select(F.lit(None).cast("string").alias("_k"),
+                                        F.lit(1).alias("_v"))))
+    return rows.agg(F.count_distinct("_k").alias("total_articles"),
+                    F.count("_v").alias("total_chunks"),
+                    F.count("_v").alias("total_embeddings"))

@@ -40,12 +40,12 @@ def save_snapshot(spark: SparkSession, root: str, name: str, vectors: DataFrame,
     mode = "overwrite"
     vectors.write.mode(mode).parquet(_p(root, name, "vectors"))
     catalog.write.mode(mode).parquet(_p(root, name, "catalog"))
-    v = spark.read.parquet(_p(root, name, "vectors")).agg(F.count(F.lit(1)).alias("total_chunks"))
-    a = spark.read.parquet(_p(root, name, "catalog")).agg(
-        F.count_distinct(key).alias("total_articles"))
-    meta = a.crossJoin(v).select(F.lit(name).alias("name"), F.lit(description).alias("description"),
-                                 F.current_timestamp().alias("created_at"),
-                                 "total_articles", "total_chunks")
+    from skein.operators.reports import system_stats
+    stats = system_stats(spark.read.parquet(_p(root, name, "catalog")),
+                         spark.read.parquet(_p(root, name, "vectors")), key)
+    meta = stats.select(F.lit(name).alias("name"), F.lit(description).alias("description"),
+                        F.current_timestamp().alias("created_at"),
+                        "total_articles", "total_chunks")
     meta.coalesce(1).write.mode(mode).json(_p(root, name, "metadata"))
     return {"success": True, "state_name": name, "path": f"{root.rstrip('/')}/{name}"}
 
