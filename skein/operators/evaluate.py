@@ -208,22 +208,30 @@ def pair_similarity(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFr
     of the whitespace-token sets (0 when either is empty).  Relational form:
     words -> counted (pair, side, word) -> grams -> per (pair, gram) counts
     of both sides -> per-pair sums; the word table also gives the token sets.
-    Every step is a grouped aggregate with partial aggregation, so one huge
-    text spreads over many (pair, gram) groups.  Pairs without words get no
-    row (both scores are 0 for them).
+    The texts are hash-partitioned by pair once; all later aggregates reuse
+    that partitioning.  Pairs without words get no row (both scores are 0
+    for them).
     """
     from skein.functions.text import words
     ks = _keys(key)
     sides = (pairs.select(*ks, F.lit(0).alias("_side"), F.col(a).alias("_t"))
              .unionByName(pairs.select(*ks, F.lit(1).alias("_side"), F.col(b).alias("_t"))))
+    # One shuffle of the raw texts by pair: every aggregate below is keyed
+    # by the pair plus more, so the hash partitioning already satisfies it
+    # and no word or gram rows are shuffled.  A pair is two texts, so the
+    # largest task is bounded by the largest text, not by the data volume.
+    sides = sides.repartition(*ks)
+    # one row per (pair, word) with its count on each side; both scores read it
     wc = (sides.select(*ks, "_side", F.explode(words(F.col("_t"))).alias("_w"))
-          .groupBy(*ks, "_side", "_w").agg(F.count(F.lit(1)).alias("_c")))
-    jac = (wc.groupBy(*ks, "_w").agg(F.count(F.lit(1)).alias("_ns"))
-           .groupBy(*ks).agg((F.count_if(F.col("_ns") == 2) / F.count(F.lit(1))).alias("jaccard")))
-    grams = wc.select(*ks, "_side", "_c", F.explode(word_grams(F.col("_w"))).alias("_g"))
+          .groupBy(*ks, "_w").agg(F.count_if(F.col("_side") == 0).alias("_wa"),
+                                  F.count_if(F.col("_side") == 1).alias("_wb")))
+    jac = wc.groupBy(*ks).agg(
+        (F.count_if((F.col("_wa") > 0) & (F.col("_wb") > 0)) / F.count(F.lit(1))).alias("jaccard"))
+    grams = explode_word_grams(wc, ks + ["_wa", "_wb"], "_w", "_g")
     gc = grams.groupBy(*ks, "_g").agg(
-        F.sum(F.when(F.col("_side") == 0, F.col("_c"))).alias("_ca"),
-        F.sum(F.when(F.col("_side") == 1, F.col("_c"))).alias("_cb"))
+        F.sum("_wa").alias("_sa"), F.sum("_wb").alias("_sb"))
+    gc = gc.select(*ks, F.when(F.col("_sa") > 0, F.col("_sa")).alias("_ca"),
+                   F.when(F.col("_sb") > 0, F.col("_sb")).alias("_cb"))
     n_docs = (F.col("_ca").isNotNull().cast("int") + F.col("_cb").isNotNull().cast("int"))
     idf = F.log(F.lit(3.0) / (F.lit(1.0) + n_docs)) + F.lit(1.0)
     wa = F.coalesce((F.lit(1.0) + F.log(F.col("_ca"))) * idf, F.lit(0.0))
@@ -235,6 +243,19 @@ def pair_similarity(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFr
     return sums.select(*ks, cos.alias("cosine")).join(jac, ks, "full")
 
 
+def explode_word_grams(df: DataFrame, keep: list[str], word: str, out: str) -> DataFrame:
+    """One row per char n-gram (n in GRAM_SIZES) of each space-padded word;
+    same grams as ``word_grams`` but with plain generators (``explode`` of a
+    ``sequence``) and ``substring``, which stay in whole-stage codegen."""
+    pw = F.concat(F.lit(" "), F.col(word), F.lit(" "))
+    sized = df.select(*keep, pw.alias("_pw"), F.length(pw).alias("_L"),
+                      F.explode(F.array(*[F.lit(n) for n in GRAM_SIZES])).alias("_n"))
+    sized = sized.filter(F.col("_n") <= F.col("_L"))
+    at = sized.select(*keep, "_pw", "_n",
+                      F.explode(F.sequence(F.lit(0), F.col("_L") - F.col("_n"))).alias("_i"))
+    return at.select(*keep, F.expr("substring(_pw, _i + 1, _n)").alias(out))
+
+
 def chargram_cosine(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFrame:
     """Char-gram TF-IDF cosine per pair (see ``pair_similarity``)."""
     return pair_similarity(pairs, key, a, b).select(*_keys(key), "cosine")

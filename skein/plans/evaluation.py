@@ -42,7 +42,7 @@ def answer_contexts(conv: DataFrame, n: int = CONTEXT_TURNS) -> DataFrame:
 
 
 def eval_records(spark: SparkSession, sf: str) -> DataFrame:
-    conv = load(spark, sf, "conversations")
+    conv = load(spark, sf, "conversations", spread=True)
     pairs = qa_pairs(conv).join(answer_contexts(conv), KEYS, "left")
     return pairs.select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"),
                         F.col("question"), F.col("answer"),
@@ -68,7 +68,7 @@ ctx AS (
 SELECT conv_id, turn, round({j}, 9) AS jaccard FROM pairs""".format(
     j=S.jaccard("question", "answer")))
 def q_token_jaccard(spark, sf):
-    p = qa_pairs(load(spark, sf, "conversations"))
+    p = qa_pairs(load(spark, sf, "conversations", spread=True))
     return p.select(*KEYS, F.round(TX.token_jaccard("question", "answer"), 9).alias("jaccard"))
 
 
@@ -79,7 +79,7 @@ SELECT p.conv_id, p.turn, round(coalesce(c.cosine, 0.0), 9) AS cosine
 FROM pairs p LEFT JOIN cs c ON c.conv_id = p.conv_id AND c.turn = p.turn""".format(
     c=S.cosine_ctes("lp", KEYS, "a", "b", "cs")))
 def q_chargram_tfidf_cosine(spark, sf):
-    p = qa_pairs(load(spark, sf, "conversations"))
+    p = qa_pairs(load(spark, sf, "conversations", spread=True))
     lp = p.select(*KEYS, F.lower("question").alias("a"), F.lower("answer").alias("b"))
     cos = ev.chargram_cosine(lp, KEYS, "a", "b")
     return (p.select(*KEYS).join(cos, KEYS, "left")
@@ -94,7 +94,7 @@ SELECT conv_id, turn, round(answer_relevancy, 9) AS answer_relevancy FROM rel"""
                    f"({S.blank('answer')} OR {S.blank('question')})",
                    0.2, 0.8, "answer_relevancy", "rel")))
 def q_answer_relevancy(spark, sf):
-    p = qa_pairs(load(spark, sf, "conversations"))
+    p = qa_pairs(load(spark, sf, "conversations", spread=True))
     r = ev.answer_relevancy(p, KEYS, "answer", "question")
     return r.select(*KEYS, F.round("answer_relevancy", 9).alias("answer_relevancy"))
 
@@ -113,7 +113,7 @@ SELECT conv_id, turn, round(faithfulness, 9) AS faithfulness FROM fai""".format(
                    f"(context IS NULL OR len(context) = 0 OR {S.blank('answer')})",
                    0.1, 0.9, "faithfulness", "fai")))
 def q_faithfulness(spark, sf):
-    conv = load(spark, sf, "conversations")
+    conv = load(spark, sf, "conversations", spread=True)
     p = qa_pairs(conv).join(answer_contexts(conv), KEYS, "left")
     f = ev.faithfulness(p, KEYS, "answer", "context")
     return f.select(*KEYS, F.round("faithfulness", 9).alias("faithfulness"))
