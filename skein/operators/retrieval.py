@@ -97,11 +97,14 @@ def passage_matches(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_
     """
     p = passages.select(F.col(passage_id).alias("_pid"), F.col(passage_text).alias("_pt"))
     d = docs.select(F.col(doc_id).alias("_did"), F.col(doc_text).alias("_dt"))
-    doc_words = d.select("_did", F.explode(F.array_distinct(words(F.col("_dt")))).alias("_w"))
-    df = doc_words.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
     pw = words(F.col("_pt"))
     interior = p.select("_pid", "_pt", F.explode(F.array_distinct(
         F.slice(pw, 2, F.greatest(F.size(pw) - 2, F.lit(0))))).alias("_w"))
+    # only words that occur inside some passage can be anchors: keep those
+    # document words (semi-join) before counting and joining
+    doc_words = (d.select("_did", F.explode(F.array_distinct(words(F.col("_dt")))).alias("_w"))
+                 .join(interior.select("_w").distinct(), "_w", "left_semi"))
+    df = doc_words.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
     anchor = (interior.join(df, "_w")
               .groupBy("_pid", "_pt").agg(F.min_by("_w", F.struct("_df", "_w")).alias("_w")))
     cand = anchor.join(doc_words, "_w").select("_pid", "_pt", "_did")

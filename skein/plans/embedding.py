@@ -188,7 +188,7 @@ def q_retrieve_context(spark, sf):
 @register("passage_relevance", sql="""
 SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def q_passage_relevance(spark, sf):
-    return R.passage_matches(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+    return R.passage_matches(load(spark, sf, "documents", spread=True), load(spark, sf, "benchmark"))
 
 
 @register("search_eval", sql=_SEARCH_SQL + """
@@ -221,7 +221,7 @@ def q_search_eval(spark, sf):
     b = load(spark, sf, "benchmark")
     index = chunk_vectors(spark, sf)
     hits = search_hits(spark, sf, index=index).join(index.select("chunk_id", "doc_id"), "chunk_id")
-    rel = R.passage_matches(load(spark, sf, "documents"), b) \
+    rel = R.passage_matches(load(spark, sf, "documents", spread=True), b) \
         .select(F.col("item_id").alias("query_id"), "doc_id")
     flagged = hits.join(rel.withColumn("relevant", F.lit(True)), ["query_id", "doc_id"], "left") \
         .withColumn("relevant", F.coalesce("relevant", F.lit(False)))

@@ -100,3 +100,27 @@ def test_embedding_cache_flow(spark):
     assert (nocache.hits, nocache.misses) == (0, 15)
     TB.clear_cache(spark, path)
     assert TB.read_cache(spark, path).count() == 0
+
+
+def test_articles_sink_and_source(spark):
+    from skein.operators.extract import extract_articles
+    ship_package(spark)
+    d = os.path.join(_tmp(), "articles")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    arts = extract_articles(pages, extracted_at=F.lit("2024-01-01 00:00:00")).drop("page_id")
+    TB.write_articles(arts, d, fmt="json")
+    back = TB.read_articles(spark, d)
+    assert back.count() == arts.count() > 0
+    assert set(TB.ARTICLE_SCHEMA.fieldNames()) <= set(back.columns)
+    idx = TB.article_file_index(back).collect()
+    assert all(r.filename.endswith("_20240101_000000.json") for r in idx)
+    assert TB.read_file_index(spark, os.path.join(_tmp(), "missing")).count() == 0
+
+
+def test_truncate(spark):
+    d = os.path.join(_tmp(), "vec")
+    df = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
+    df.write.parquet(d)
+    TB.truncate(spark.read.parquet(d), d + "_next")
+    t = spark.read.parquet(d + "_next")
+    assert t.count() == 0 and t.columns == ["vec_id", "embedding"]
