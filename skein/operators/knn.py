@@ -34,8 +34,14 @@ from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_BYTES = 64 << 20      # query matrix bytes allowed in a broadcast
 DEFAULT_QUERY_BLOCK = 4096              # queries per tile in the tiled plan
-DEFAULT_SHARD_VECTORS = 50_000          # vectors per tile in the tiled plan
-_SUB_BLOCK = 2048                       # rows per numpy block inside a task
+DEFAULT_SHARD_VECTORS = 20_000          # vectors per tile in the tiled plan
+_SUB_BLOCK = 2048                       # max vectors per numpy block inside a task
+_BLOCK_CELLS = 8_000_000                # max distance-matrix cells per block (64 MB)
+
+
+def _sub_block(n_queries: int) -> int:
+    """Vectors per block so that one (queries x vectors) block stays small."""
+    return max(64, min(_SUB_BLOCK, _BLOCK_CELLS // max(1, n_queries)))
 
 
 # ---------------------------------------------------------------------------
@@ -226,11 +232,12 @@ def _broadcast_candidates(spark, q, v, k, exclude_self, out_schema):
     def kernel(batches):
         ids, mat = bc.value
         top = _TopK(ids, mat, k, exclude_self)
+        step = _sub_block(len(ids))
         for batch in batches:
             v_ids = _ids(batch.column(0))
             v_mat = _arrow_matrix(batch.column(1))
-            for s in range(0, len(v_ids), _SUB_BLOCK):
-                top.add(v_ids[s:s + _SUB_BLOCK], v_mat[s:s + _SUB_BLOCK])
+            for s in range(0, len(v_ids), step):
+                top.add(v_ids[s:s + step], v_mat[s:s + step])
         out = top.result()
         if out is not None:
             yield out
@@ -259,8 +266,9 @@ def _tiled_candidates(q, v, k, exclude_self, out_schema, n_queries,
                     k, exclude_self)
         v_ids = vpdf["vec_id"].to_numpy()
         v_mat = np.stack(vpdf["vv"].to_numpy())
-        for s in range(0, len(v_ids), _SUB_BLOCK):
-            top.add(v_ids[s:s + _SUB_BLOCK], v_mat[s:s + _SUB_BLOCK])
+        step = _sub_block(len(qpdf))
+        for s in range(0, len(v_ids), step):
+            top.add(v_ids[s:s + step], v_mat[s:s + step])
         out = top.result()
         if out is None:
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
@@ -399,8 +407,9 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
                     exclude_self)
         v_ids = vpdf["vec_id"].to_numpy()
         v_mat = np.stack(vpdf["vv"].to_numpy())
-        for s in range(0, len(v_ids), _SUB_BLOCK):
-            top.add(v_ids[s:s + _SUB_BLOCK], v_mat[s:s + _SUB_BLOCK])
+        step = _sub_block(len(qpdf))
+        for s in range(0, len(v_ids), step):
+            top.add(v_ids[s:s + step], v_mat[s:s + step])
         out = top.result()
         return empty if out is None else out.to_pandas()
 
