@@ -150,29 +150,126 @@ def mean_average_precision(ranked: DataFrame, queries: DataFrame | None = None,
 LATENCY_COLUMNS = ["count", "mean", "median", "min", "max", "p50", "p90", "p99"]
 
 
+def exact_percentiles(df: DataFrame, value: str, probs: list[float],
+                      by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation (numpy's default), as a
+    relational plan: ``by..., p, value``.
+
+    Distinct values are counted first (partial aggregation, so a value held
+    by a third of the rows is one row).  One window stage over the sorted
+    distinct values of each group gives each value its rank range
+    [end - count, end) and the group size n (a spillable sort, unlike an
+    in-memory value map); a value then reports itself for every target rank
+    floor/ceil((n - 1) p) it holds, and a grouped max picks them up.
+    """
+    keys = list(by or [])
+    v = F.col(value).cast("double")
+    vc = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+          .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    running = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cum = vc.select(*keys, "_v", "_c", F.sum("_c").over(running).alias("_end"),
+                    F.sum("_c").over(whole).alias("_n"))
+    targets = F.array(*[F.struct(F.lit(p).alias("p"),
+                                 ((F.col("_n") - 1) * F.lit(p)).alias("h")) for p in probs])
+    x = cum.select(*keys, "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end",
+                   F.explode(targets).alias("_t"))
+    lo, hi = F.floor("_t.h"), F.ceil("_t.h")
+    holds_lo = (F.col("_start") <= lo) & (lo < F.col("_end"))
+    holds_hi = (F.col("_start") <= hi) & (hi < F.col("_end"))
+    x = x.filter(holds_lo | holds_hi)
+    res = x.groupBy(*keys, F.col("_t.p").alias("p"), F.col("_t.h").alias("h")).agg(
+        F.max(F.when(holds_lo, F.col("_v"))).alias("_xlo"),
+        F.max(F.when(holds_hi, F.col("_v"))).alias("_xhi"))
+    val = F.col("_xlo") + (F.col("h") - F.floor("h")) * (F.col("_xhi") - F.col("_xlo"))
+    return res.select(*keys, "p", val.alias(value))
+
+
+LATENCY_COLUMNS = ["count", "mean", "median", "min", "max", "p50", "p90", "p99"]
+
+
+def exact_percentiles(df: DataFrame, value: str, probs: list[float],
+                      by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation (numpy's default), as a
+    relational plan: ``by..., p, value``.
+
+    Distinct values are counted first (partial aggregation, so a value held
+    by a third of the rows is one row), cumulative counts come from a sorted
+    window over the distinct values of each group (spillable, unlike an
+    in-memory value map), and each target order statistic is found by
+    matching it against the [start, end) rank range of a distinct value.
+    """
+    keys = list(by or [])
+    v = F.col(value).cast("double")
+    vc = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+          .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*keys).orderBy("_v") if keys else Window.orderBy("_v")
+    cum = vc.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding,
+                                                               Window.currentRow)))
+    n = vc.groupBy(*keys).agg(F.sum("_c").alias("_n")) if keys else \
+        vc.agg(F.sum("_c").alias("_n"))
+    pos = [F.struct(F.lit(p).alias("p"),
+                    ((F.col("_n") - 1) * F.lit(p)).alias("h")) for p in probs]
+    targets = n.select(*keys, F.explode(F.array(*pos)).alias("_t")).select(
+        *keys, "_t.p", "_t.h", F.floor("_t.h").cast("long").alias("_lo"),
+        F.ceil("_t.h").cast("long").alias("_hi"))
+    # rank r (0-based) is held by the distinct value with _end - _c <= r < _end
+    want = targets.select(*keys, "p", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
+    if keys:
+        hit = cum.join(want, keys)
+    else:
+        # a single group: at most 2 * len(probs) target ranks, so broadcasting
+        # them is bounded; the distinct values are joined where they are
+        one = "_one"
+        hit = cum.withColumn(one, F.lit(1)).join(
+            F.broadcast(want.withColumn(one, F.lit(1))), one).drop(one)
+    hit = hit.filter((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
+    at = hit.select(*keys, "p", "_r", F.col("_v").alias("_x"))
+    lo = at.withColumnRenamed("_r", "_lo").withColumnRenamed("_x", "_xlo")
+    hi = at.withColumnRenamed("_r", "_hi").withColumnRenamed("_x", "_xhi")
+    out = targets.join(lo, keys + ["p", "_lo"]).join(hi, keys + ["p", "_hi"])
+    val = F.col("_xlo") + (F.col("h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
+    return out.select(*keys, "p", val.alias(value))
+
+
+LATENCY_COLUMNS = ["count", "mean", "median", "min", "max", "p50", "p90", "p99"]
+
+
 def latency_stats(df: DataFrame, value: str = "response_time",
                   by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """count, mean, median, min, max, p50, p90, p99 (linear interpolation).
 
-    ``exact=True`` uses Spark's exact ``percentile``, whose partial buffers
-    hold one count per *distinct* value (not per row), so memory follows the
-    value resolution.  ``exact=False`` uses the mergeable
-    ``percentile_approx`` sketch for unbounded-cardinality columns.
-    An empty input gives ``count = 0`` and NULL statistics.
+    ``exact=True`` computes the percentiles with ``exact_percentiles`` (no
+    per-group in-memory value map); ``exact=False`` uses the mergeable
+    ``percentile_approx`` sketch.  An empty input gives ``count = 0`` and
+    NULL statistics (one row when ungrouped).
     """
+    keys = list(by or [])
     v = F.col(value).cast("double")
-    if exact:
-        pct = F.percentile(v, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    else:
-        pct = F.percentile_approx(v, [0.5, 0.9, 0.99], 100000)
     aggs = [F.count(v).alias("count"), F.avg(v).alias("mean"),
-            F.min(v).alias("min"), F.max(v).alias("max"), pct.alias("_pct")]
-    grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    keys = [F.col(c) for c in (by or [])]
-    return grouped.select(
-        *keys, "count", "mean", F.col("_pct")[0].alias("median"), "min", "max",
-        F.col("_pct")[0].alias("p50"), F.col("_pct")[1].alias("p90"),
-        F.col("_pct")[2].alias("p99"))
+            F.min(v).alias("min"), F.max(v).alias("max")]
+    base = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    if not exact:
+        pct = df.groupBy(*keys).agg(F.percentile_approx(v, [0.5, 0.9, 0.99], 100000).alias("_p")) \
+            if keys else df.agg(F.percentile_approx(v, [0.5, 0.9, 0.99], 100000).alias("_p"))
+        pct = pct.select(*keys, F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p90"),
+                         F.col("_p")[2].alias("p99"))
+    else:
+        long = exact_percentiles(df, value, [0.5, 0.9, 0.99], keys)
+        pct = long.groupBy(*keys).agg(
+            *[F.max(F.when(F.col("p") == p, F.col(value))).alias(name)
+              for p, name in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))])
+    j = base.join(pct, keys, "left") if keys else _one_row_join(base, pct)
+    return j.select(*keys, "count", "mean", F.col("p50").alias("median"), "min", "max",
+                    "p50", "p90", "p99")
+
+
+def _one_row_join(base: DataFrame, pct: DataFrame) -> DataFrame:
+    """Attach the (0 or 1 row) percentile row to the one-row aggregate."""
+    k = "_one"
+    return (base.withColumn(k, F.lit(1))
+            .join(pct.withColumn(k, F.lit(1)), k, "left").drop(k))
 
 
 # ---------------------------------------------------------------------------
