@@ -444,19 +444,13 @@ def evaluate_queries(records: DataFrame, query_id: str = "query_id") -> DataFram
 
 def aggregate_eval(per_query: DataFrame, value: str = "response_time") -> DataFrame:
     """One row: total_queries, mean_<metric> over the queries that have it
-    (``avg`` skips NULL), and the latency statistics of ``response_time`` —
-    all in one aggregate."""
+    (``avg`` skips NULL), and the latency statistics of ``response_time``
+    (prefixed ``response_time_``)."""
     aggs = [F.count(F.lit(1)).alias("total_queries")] + \
         [F.avg(m).alias(f"mean_{m}") for m in EVAL_METRICS]
+    base = per_query.agg(*aggs)
     if value not in per_query.columns:
-        return per_query.agg(*aggs)
-    v = F.col(value).cast("double")
-    pct = F.percentile(v, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = per_query.agg(*aggs, F.count(v).alias("response_time_count"),
-                        F.avg(v).alias("response_time_mean"), F.min(v).alias("response_time_min"),
-                        F.max(v).alias("response_time_max"), pct.alias("_p"))
-    return out.select(
-        "total_queries", *[f"mean_{m}" for m in EVAL_METRICS], "response_time_count",
-        "response_time_mean", F.col("_p")[0].alias("response_time_median"),
-        "response_time_min", "response_time_max", F.col("_p")[0].alias("response_time_p50"),
-        F.col("_p")[1].alias("response_time_p90"), F.col("_p")[2].alias("response_time_p99"))
+        return base
+    lat = latency_stats(per_query, value).select(
+        *[F.col(c).alias(f"{value}_{c}") for c in LATENCY_COLUMNS])
+    return _one_row_join(base, lat)

@@ -373,8 +373,8 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
         raise ValueError(f"k must be non-negative, got {k}")
     spark = queries.sparkSession
     if centers is None:
-        n = vectors.count()
-        n_cells = n_cells or max(1, int(round(math.sqrt(max(n, 1)))))
+        if not n_cells:
+            n_cells = max(1, int(round(math.sqrt(max(vectors.count(), 1)))))
         centers = train_cells(vectors.filter(F.col(vector).isNotNull()), n_cells, vector, seed)
     vcell = nearest_cells(vectors.filter(F.col(vector).isNotNull()), centers, 1, vec_id, vector)
     qcell = nearest_cells(queries.filter(F.col(query_vector).isNotNull()), centers, nprobe,

@@ -245,8 +245,8 @@ def q_citations(spark, sf):
 
 
 def extractive_answer(prompts: list) -> list:
-    """Stand-in answer model for the plans: quotes the first numbered context
-    line of the prompt and cites it as [1]."""
+    """Stand-in answer model for the plans: quotes the whole top-ranked
+    context chunk of the prompt and cites it as [1]."""
     out = []
     for p in prompts:
         marker = "CONTEXT FROM ARTICLES:\n[1] "
@@ -255,8 +255,8 @@ def extractive_answer(prompts: list) -> list:
             out.append("I don't have information about that in the provided context.")
             continue
         body = p[i + len(marker):].split("\n", 2)
-        snippet = body[1][:200] if len(body) > 1 else ""
-        out.append(f"{snippet} [1]")
+        quote = body[1] if len(body) > 1 else ""
+        out.append(f"{quote} [1]")
     return out
 
 

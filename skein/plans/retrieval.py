@@ -7,6 +7,7 @@ blocked similarity kernel, per-query top-k, running windows, aggregates.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,7 +155,8 @@ def q_context_f1(spark, sf_dir):
 
 def ir_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: per-query RR, AP, precision, recall and F1 of exact top-5."""
-    h = embedding_hits(spark, sf_dir).cache()
+    # the hits feed three metrics: keep them (recomputed from lineage if lost)
+    h = embedding_hits(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     emb = load(spark, sf_dir, "embeddings")
     qs = _queries(emb).select("query_id")
     rr = ev.reciprocal_ranks(h, qs)

@@ -83,3 +83,25 @@ def test_latency_stats(spark):
     assert (r2.p50, r2.p90, r2.p99) == pytest.approx((0.505, 0.901, 0.9901))
     e = ev.latency_stats(spark.createDataFrame([], "response_time double")).first()
     assert e["count"] == 0 and e["mean"] is None and e["p99"] is None
+
+
+def test_evaluate_and_aggregate(spark):
+    schema = ("query_id int, answer string, expected_answer string, "
+              "retrieved_chunks array<struct<chunk:string,article_id:string>>, "
+              "relevant_article_ids array<string>, context array<string>, response_time double")
+    rows = [
+        (1, "AI transforms healthcare", "AI transforms healthcare",
+         [("c", "art1"), ("c", "art2")], ["art1", "art2"], ["AI transforms healthcare"], 0.5),
+        (2, None, None, [("c", "art3")], ["art1"], None, 1.5),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    per_q = {r.query_id: r for r in ev.evaluate_queries(df).collect()}
+    assert per_q[1].answer_relevancy == pytest.approx(1.0)
+    assert per_q[1].context_precision == 1.0 and per_q[2].context_precision == 0.0
+    assert per_q[2].answer_relevancy is None and per_q[2].faithfulness is None
+    agg = ev.aggregate_eval(ev.evaluate_queries(df)).first()
+    assert agg.total_queries == 2
+    assert agg.mean_answer_relevancy == pytest.approx(1.0)      # only query 1 has it
+    assert agg.mean_context_precision == pytest.approx(0.5)
+    assert agg.response_time_mean == pytest.approx(1.0)
+    assert agg.response_time_median == pytest.approx(1.0)
