@@ -120,14 +120,16 @@ def q_faithfulness(spark, sf):
 
 
 @register("latency_stats", sql="""
-SELECT event_type, count(value) AS count, avg(value) AS mean,
-       quantile_cont(value, 0.5) AS median, min(value) AS min, max(value) AS max,
-       quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90,
-       quantile_cont(value, 0.99) AS p99
+SELECT event_type, count(value) AS count, round(avg(value), 9) AS mean,
+       round(quantile_cont(value, 0.5), 9) AS median, min(value) AS min, max(value) AS max,
+       round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.9), 9) AS p90,
+       round(quantile_cont(value, 0.99), 9) AS p99
 FROM events GROUP BY event_type""")
 def q_latency_stats(spark, sf):
     e = load(spark, sf, "events")
-    return ev.latency_stats(e, "value", by=["event_type"])
+    out = ev.latency_stats(e, "value", by=["event_type"])
+    return out.select("event_type", "count", *[F.round(c, 9).alias(c) if c not in ("min", "max")
+                                              else F.col(c) for c in ev.LATENCY_COLUMNS[1:]])
 
 
 @register("evaluate_queries", sql=_PAIRS_SQL + """
