@@ -273,14 +273,8 @@ def q_rag_batch(spark, sf):
     """questions -> retrieve -> context -> history -> prompt -> answer ->
     citations -> session turn; one row per question with its sources."""
     q = user_questions(spark, sf)
-    hits = rag_hits(spark, sf)
-    ctx = G.context_numbered(hits, q)
-    pr = G.prompts(q, ctx, prompt_histories(spark, sf))
-    ans = G.answer_generate(pr, extractive_answer)
-    cites = G.citations(ans.select("query_id", "answer"), hits)
-    src = cites.groupBy("query_id").agg(F.array_sort(F.collect_list(
-        F.struct("source_no", "title", "url"))).alias("sources"))
-    return (ans.join(q.select("query_id", "conv_id"), "query_id")
-            .join(src, "query_id", "left")
-            .select("query_id", F.col("conv_id").alias("session_id"), "question", "answer",
-                    "error", "sources"))
+    questions = q.select("query_id", F.col("conv_id").cast("string").alias("session_id"),
+                         "question", F.col("turn").alias("turn_order"))
+    answers, _sessions = G.rag_batch(questions, article_index(spark, sf), extractive_answer,
+                                     histories=prompt_histories(spark, sf), k=K)
+    return answers

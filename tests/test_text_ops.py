@@ -160,3 +160,27 @@ def test_prompt_shape(spark):
     assert p.endswith("\n\nQUESTION: What?\n\nANSWER:")
     p2 = G.prompts(q, ctx.limit(0), None).first().prompt
     assert "\n\nCONTEXT: No relevant articles found." in p2 and "PREVIOUS" not in p2
+
+
+def test_rag_batch_end_to_end(spark):
+    from skein.operators import embed as E
+    ship_package(spark)
+    chunks = spark.createDataFrame(
+        [(1, "AI in Healthcare", "https://example.com/ai-health", "AI is transforming healthcare."),
+         (2, "ML Diagnostics", "https://example.com/ml-diag", "Machine learning improves diagnostics.")],
+        "chunk_id long, title string, url string, chunk string")
+    index = E.embed_dedup(chunks, "chunk")
+    questions = spark.createDataFrame(
+        [(10, "s1", "How is AI used in healthcare?", 0), (11, None, "What improves diagnostics?", 0),
+         (12, "s1", "   ", 1)],
+        "query_id long, session_id string, question string, turn_order long")
+    msgs = spark.createDataFrame([("s1", 0, "user", "hi"), ("s1", 1, "assistant", "hello")],
+                                 "session_id string, seq long, role string, content string")
+    answers, sessions = G.rag_batch(questions, index, lambda ps: ["See [1]." for _ in ps],
+                                    messages=msgs, k=2)
+    got = {r.query_id: r for r in answers.collect()}
+    assert got[10].answer == "See [1]." and got[10].sources[0].source_no == 1
+    assert got[11].session_id.startswith("s-")
+    assert got[12].answer is None and got[12].error == "Question cannot be empty"
+    s1 = [r.content for r in sessions.filter("session_id = 's1'").orderBy("seq").collect()]
+    assert s1 == ["hi", "hello", "How is AI used in healthcare?", "See [1]."]
