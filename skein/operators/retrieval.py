@@ -14,7 +14,7 @@ from skein.functions.text import py_strip, words
 from skein.operators.embed import BatchFn, embed_texts
 from skein.operators.knn import knn_exact
 
-MAX_SHORT_PASSAGES = 10_000     # broadcast bound for the substring fallback
+MAX_SHORT_PASSAGES = 100_000    # bound on short passages shipped to the scan tasks
 METADATA_DEFAULTS = {"title": "Unknown", "url": "", "publish_date": "Unknown"}
 
 
@@ -92,8 +92,9 @@ def passage_matches(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_
     interior word (document frequencies come from a partially aggregated
     word count), candidates are the documents holding that word (an
     equi-join, i.e. an inverted-index lookup), and ``contains`` confirms
-    them.  Passages of fewer than three words have no interior word and are
-    checked by substring against every document (their number is bounded).
+    them.  Passages of fewer than three words have no interior word; they
+    are found by one multi-pattern (Aho-Corasick) pass over each document
+    (their number is counted and bounded).
     """
     p = passages.select(F.col(passage_id).alias("_pid"), F.col(passage_text).alias("_pt"))
     d = docs.select(F.col(doc_id).alias("_did"), F.col(doc_text).alias("_dt"))
@@ -112,11 +113,52 @@ def passage_matches(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_
            .select(F.col("_pid").alias(passage_id), F.col("_did").alias(doc_id)))
     short = p.filter(F.size(words(F.col("_pt"))) < 3)
     n_short = short.count()
-    if n_short > MAX_SHORT_PASSAGES:
-        raise ValueError(f"{n_short} passages under three words; at most "
-                         f"{MAX_SHORT_PASSAGES} are checked by substring scan")
     if n_short == 0:
         return out
-    short_hits = (d.join(F.broadcast(short), F.col("_dt").contains(F.col("_pt")))
-                  .select(F.col("_pid").alias(passage_id), F.col("_did").alias(doc_id)))
-    return out.unionByName(short_hits)
+    if n_short > MAX_SHORT_PASSAGES:
+        raise ValueError(f"{n_short} passages under three words; at most "
+                         f"{MAX_SHORT_PASSAGES} are matched by the multi-pattern scan")
+    return out.unionByName(_scan_short_passages(d, short, passage_id, doc_id))
+
+
+def _scan_short_passages(d: DataFrame, short: DataFrame, passage_id: str,
+                         doc_id: str) -> DataFrame:
+    """Documents containing any of a bounded set of short passages, found by
+    one Aho-Corasick pass over each document (work per document is linear in
+    its length, not in the number of passages).  The passage set was
+    counted by the caller, so shipping it to the tasks is bounded."""
+    import pandas as pd
+    spark = d.sparkSession
+    pats = short.select("_pid", "_pt").toPandas()
+    bc = spark.sparkContext.broadcast(list(zip(pats["_pid"].tolist(), pats["_pt"].tolist())))
+    pid_type = short.schema["_pid"].dataType.simpleString()
+    did_type = d.schema["_did"].dataType.simpleString()
+
+    def scan(batches):
+        import ahocorasick
+        auto = ahocorasick.Automaton()
+        by_text: dict[str, list] = {}
+        for pid, text in bc.value:
+            if text:
+                by_text.setdefault(text, []).append(pid)
+        for text, pids in by_text.items():
+            auto.add_word(text, pids)
+        empty = not by_text
+        if not empty:
+            auto.make_automaton()
+        for pdf in batches:
+            out_p, out_d = [], []
+            if not empty:
+                for did, text in zip(pdf["_did"], pdf["_dt"]):
+                    if not text:
+                        continue
+                    seen = set()
+                    for _end, pids in auto.iter(text):
+                        for pid in pids:
+                            if pid not in seen:
+                                seen.add(pid)
+                                out_p.append(pid)
+                                out_d.append(did)
+            yield pd.DataFrame({passage_id: out_p, doc_id: out_d})
+
+    return d.select("_did", "_dt").mapInPandas(scan, f"{passage_id} {pid_type}, {doc_id} {did_type}")

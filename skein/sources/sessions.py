@@ -15,8 +15,15 @@ SESSION_SCHEMA = ("session_id string, created_at timestamp, "
                   "_corrupt_record string")
 
 
-def save_sessions(messages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Nest each session's (bounded) message list and write JSON lines."""
+def save_sessions(messages: DataFrame, path: str, mode: str = "overwrite",
+                  max_turns: int | None = 10) -> None:
+    """Nest each session's message list and write JSON lines.
+
+    A session keeps its last ``max_turns`` turns (as the store does after
+    every append), so the list gathered per session is bounded."""
+    if max_turns is not None:
+        from skein.operators.sessions import history_last_n
+        messages = history_last_n(messages, max_turns)
     nested = messages.groupBy("session_id").agg(
         F.current_timestamp().alias("created_at"),
         F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"),

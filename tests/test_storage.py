@@ -124,3 +124,14 @@ def test_truncate(spark):
     TB.truncate(spark.read.parquet(d), d + "_next")
     t = spark.read.parquet(d + "_next")
     assert t.count() == 0 and t.columns == ["vec_id", "embedding"]
+
+
+def test_short_passages_scan(spark):
+    from skein.operators.retrieval import passage_matches
+    ship_package(spark)
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "xbetagam yy"), (3, "none here")],
+                                 "doc_id long, text string")
+    passages = spark.createDataFrame([(10, "beta gam"), (11, "here"), (12, "beta gamma delta"),
+                                      (13, "zzz")], "item_id long, text string")
+    got = sorted((r.item_id, r.doc_id) for r in passage_matches(docs, passages).collect())
+    assert got == [(10, 1), (11, 3), (12, 1)]
