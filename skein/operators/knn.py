@@ -379,10 +379,26 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
     vcell = nearest_cells(vectors.filter(F.col(vector).isNotNull()), centers, 1, vec_id, vector)
     qcell = nearest_cells(queries.filter(F.col(query_vector).isNotNull()), centers, nprobe,
                           query_id, query_vector)
+    return _probe_cells(vcell.select("_id", "_v", "cell"), qcell, k, exclude_self,
+                        shard_vectors)
+
+
+def _probe_cells(vcell: DataFrame, qcell: DataFrame, k: int, exclude_self: bool,
+                 shard_vectors: int) -> DataFrame:
+    """Exact top-k of each query over the vectors of its probed cells.
+
+    ``vcell``: _id, _v, cell (one row per vector); ``qcell``: _id, _v, cell
+    (one row per probed cell of a query).  Vectors of unprobed cells are
+    dropped by a semi-join on the probed cell ids first (on a table
+    partitioned by cell this prunes whole partitions).
+    """
+    spark = qcell.sparkSession
+    probed = qcell.select("cell").distinct()
+    vcell = vcell.join(probed, "cell", "left_semi")
     sizes = vcell.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     shards = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / shard_vectors))
                           .cast("int").alias("_s"))
-    # one row per cell: bounded by n_cells, so broadcasting it is safe
+    # one row per cell: bounded by the number of cells, so broadcasting it is safe
     shards = F.broadcast(shards)
     vt = (vcell.join(shards, "cell")
           .select(F.col("_id").alias("vec_id"), F.col("_v").alias("vv"), "cell",
@@ -418,6 +434,49 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
     return _final_topk(cands, k)
 
 
+# --- persisted IVF index ------------------------------------------------------
+
+def build_ivf_index(vectors: DataFrame, path: str, n_cells: int, *,
+                    vec_id: str = "vec_id", vector: str = "embedding",
+                    seed: int = 7) -> None:
+    """Train cells and write ``<path>/vectors`` partitioned by ``cell`` plus
+    ``<path>/centers`` (one row per cell)."""
+    spark = vectors.sparkSession
+    src = vectors.filter(F.col(vector).isNotNull())
+    centers = train_cells(src, n_cells, vector, seed)
+    assigned = nearest_cells(src, centers, 1, vec_id, vector)
+    (assigned.select(F.col("_id").alias(vec_id), F.col("_v").alias(vector), "cell")
+     .write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors"))
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    spark.createDataFrame(rows, "cell int, centroid array<double>") \
+        .write.mode("overwrite").parquet(f"{path}/centers")
+
+
+def search_ivf_index(spark, path: str, queries: DataFrame, k: int = 5, *, nprobe: int = 4,
+                     query_id: str = "query_id", query_vector: str = "embedding",
+                     vec_id: str = "vec_id", vector: str = "embedding",
+                     exclude_self: bool = False,
+                     shard_vectors: int = DEFAULT_SHARD_VECTORS) -> DataFrame:
+    """Search a persisted IVF index; only the probed cells' files are read
+    (the semi-join on probed cells prunes the ``cell`` partitions)."""
+    if k < 0:
+        raise ValueError(f"k must be non-negative, got {k}")
+    cdf = spark.read.parquet(f"{path}/centers").orderBy("cell")
+    size = cdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    if (size["n"] or 0) * (size["d"] or 0) * 8 > MAX_CELLS_BYTES:
+        raise ValueError("centroid table too large to broadcast; use fewer cells")
+    centers = np.asarray([r.centroid for r in cdf.collect()], dtype=np.float64)
+    qcell = nearest_cells(queries.filter(F.col(query_vector).isNotNull()), centers, nprobe,
+                          query_id, query_vector).persist(StorageLevel.MEMORY_AND_DISK)
+    # the probed cell ids are at most n_cells values: used as a static
+    # partition filter, so unprobed cells' files are never listed or read
+    cells = sorted(r.cell for r in qcell.select("cell").distinct().collect())
+    vcell = (spark.read.parquet(f"{path}/vectors").filter(F.col("cell").isin(cells))
+             .select(F.col(vec_id).alias("_id"), F.col(vector).alias("_v"),
+                     F.col("cell").cast("int")))
+    return _probe_cells(vcell, qcell, k, exclude_self, shard_vectors)
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact (query, vec) hits that the approximate search found."""
     j = exact.select("query_id", "vec_id").join(

@@ -72,3 +72,18 @@ def test_ivf_recall(spark):
     part = knn_approx(q, e, k=5, centers=centers, nprobe=2, exclude_self=True)
     r = recall_at_k(part, exact).first().recall
     assert 0.0 < r < 1.0
+
+
+def test_persisted_ivf_index(spark):
+    import tempfile
+    from skein.operators.knn import build_ivf_index, search_ivf_index
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    path = tempfile.mkdtemp(prefix="skein-ivf-")
+    build_ivf_index(e, path, n_cells=8)
+    full = search_ivf_index(spark, path, q, k=5, nprobe=8, exclude_self=True)
+    exact = knn_exact(q, e, k=5, exclude_self=True)
+    assert recall_at_k(full, exact).first().recall == pytest.approx(1.0)
+    part = search_ivf_index(spark, path, q.limit(5), k=5, nprobe=1)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert part.count() == 25 and "cell" in plan
