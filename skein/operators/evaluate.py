@@ -147,30 +147,54 @@ def mean_average_precision(ranked: DataFrame, queries: DataFrame | None = None,
 # latency statistics
 # ---------------------------------------------------------------------------
 
-LATENCY_COLUMNS = ["count", "mean", "median", "min", "max", "p50", "p90", "p99"]
+PERCENTILE_BUCKETS = 64     # value buckets per group for the exact percentile plan
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: list[float],
-                      by: list[str] | None = None) -> DataFrame:
+                      by: list[str] | None = None,
+                      buckets: int = PERCENTILE_BUCKETS) -> DataFrame:
     """Exact percentiles with linear interpolation (numpy's default), as a
     relational plan: ``by..., p, value``.
 
-    Distinct values are counted first (partial aggregation, so a value held
-    by a third of the rows is one row).  One window stage over the sorted
-    distinct values of each group gives each value its rank range
-    [end - count, end) and the group size n (a spillable sort, unlike an
-    in-memory value map); a value then reports itself for every target rank
-    floor/ceil((n - 1) p) it holds, and a grouped max picks them up.
+    1. Distinct values are counted (partial aggregation: a value held by a
+       third of the rows is one row).
+    2. Each group's values are cut into ``buckets`` ranges at approximate
+       quantiles (a bounded sketch per group), so a hot group is spread over
+       many tasks; bucket totals (groups x buckets rows) give each bucket's
+       rank offset.
+    3. A running count per (group, bucket) gives every distinct value its
+       exact rank range [end - count, end); a value then reports itself for
+       each target rank floor/ceil((n - 1) p) it holds.
+    The cut points only decide where work is split; the ranks are exact.
     """
     keys = list(by or [])
     v = F.col(value).cast("double")
-    vc = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-          .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    running = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cum = vc.select(*keys, "_v", "_c", F.sum("_c").over(running).alias("_end"),
-                    F.sum("_c").over(whole).alias("_n"))
+    src = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+    vc = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cuts = [i / buckets for i in range(1, buckets)]
+    bounds = (vc.groupBy(*keys) if keys else vc.groupBy()).agg(
+        F.percentile_approx("_v", cuts, 10000).alias("_cuts"))
+    if keys:
+        tagged = vc.join(bounds, keys)
+    else:   # one group: a single row of cut points
+        tagged = vc.withColumn("_one", F.lit(1)).join(
+            F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    tagged = tagged.select(*keys, "_v", "_c",
+                           F.size(F.filter("_cuts", lambda b: b < F.col("_v"))).alias("_b"))
+    totals = tagged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bt"))
+    wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    offsets = totals.select(
+        *keys, "_b",
+        (F.sum("_bt").over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding,
+                                                      Window.currentRow)) - F.col("_bt"))
+        .alias("_off"),
+        F.sum("_bt").over(wk.rowsBetween(Window.unboundedPreceding,
+                                         Window.unboundedFollowing)).alias("_n"))
+    wb = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding,
+                                                                  Window.currentRow)
+    cum = (tagged.withColumn("_lend", F.sum("_c").over(wb))
+           .join(offsets, keys + ["_b"])
+           .select(*keys, "_v", "_c", (F.col("_off") + F.col("_lend")).alias("_end"), "_n"))
     targets = F.array(*[F.struct(F.lit(p).alias("p"),
                                  ((F.col("_n") - 1) * F.lit(p)).alias("h")) for p in probs])
     x = cum.select(*keys, "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end",
@@ -189,53 +213,6 @@ def exact_percentiles(df: DataFrame, value: str, probs: list[float],
 LATENCY_COLUMNS = ["count", "mean", "median", "min", "max", "p50", "p90", "p99"]
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: list[float],
-                      by: list[str] | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation (numpy's default), as a
-    relational plan: ``by..., p, value``.
-
-    Distinct values are counted first (partial aggregation, so a value held
-    by a third of the rows is one row), cumulative counts come from a sorted
-    window over the distinct values of each group (spillable, unlike an
-    in-memory value map), and each target order statistic is found by
-    matching it against the [start, end) rank range of a distinct value.
-    """
-    keys = list(by or [])
-    v = F.col(value).cast("double")
-    vc = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-          .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*keys).orderBy("_v") if keys else Window.orderBy("_v")
-    cum = vc.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding,
-                                                               Window.currentRow)))
-    n = vc.groupBy(*keys).agg(F.sum("_c").alias("_n")) if keys else \
-        vc.agg(F.sum("_c").alias("_n"))
-    pos = [F.struct(F.lit(p).alias("p"),
-                    ((F.col("_n") - 1) * F.lit(p)).alias("h")) for p in probs]
-    targets = n.select(*keys, F.explode(F.array(*pos)).alias("_t")).select(
-        *keys, "_t.p", "_t.h", F.floor("_t.h").cast("long").alias("_lo"),
-        F.ceil("_t.h").cast("long").alias("_hi"))
-    # rank r (0-based) is held by the distinct value with _end - _c <= r < _end
-    want = targets.select(*keys, "p", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    if keys:
-        hit = cum.join(want, keys)
-    else:
-        # a single group: at most 2 * len(probs) target ranks, so broadcasting
-        # them is bounded; the distinct values are joined where they are
-        one = "_one"
-        hit = cum.withColumn(one, F.lit(1)).join(
-            F.broadcast(want.withColumn(one, F.lit(1))), one).drop(one)
-    hit = hit.filter((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
-    at = hit.select(*keys, "p", "_r", F.col("_v").alias("_x"))
-    lo = at.withColumnRenamed("_r", "_lo").withColumnRenamed("_x", "_xlo")
-    hi = at.withColumnRenamed("_r", "_hi").withColumnRenamed("_x", "_xhi")
-    out = targets.join(lo, keys + ["p", "_lo"]).join(hi, keys + ["p", "_hi"])
-    val = F.col("_xlo") + (F.col("h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
-    return out.select(*keys, "p", val.alias(value))
-
-
-LATENCY_COLUMNS = ["count", "mean", "median", "min", "max", "p50", "p90", "p99"]
-
-
 def latency_stats(df: DataFrame, value: str = "response_time",
                   by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """count, mean, median, min, max, p50, p90, p99 (linear interpolation).

@@ -105,3 +105,20 @@ def test_evaluate_and_aggregate(spark):
     assert agg.mean_context_precision == pytest.approx(0.5)
     assert agg.response_time_mean == pytest.approx(1.0)
     assert agg.response_time_median == pytest.approx(1.0)
+
+
+def test_exact_percentiles_match_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([np.round(rng.exponential(2.0, 3000), 2), np.full(1500, 0.25)])
+    grp = rng.integers(0, 3, len(vals))
+    rows = [(int(g), float(v)) for g, v in zip(grp, vals)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = [0.0, 0.01, 0.5, 0.9, 0.99, 1.0]
+    got = {(r.g, r.p): r.v for r in ev.exact_percentiles(df, "v", probs, ["g"], buckets=8).collect()}
+    for g in range(3):
+        for p in probs:
+            assert got[(g, p)] == pytest.approx(np.percentile(vals[grp == g], 100 * p), abs=1e-12)
+    whole = {r.p: r.v for r in ev.exact_percentiles(df, "v", probs, None, buckets=8).collect()}
+    for p in probs:
+        assert whole[p] == pytest.approx(np.percentile(vals, 100 * p), abs=1e-12)
