@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,5 +197,3 @@ def cache_stats(requests: DataFrame, cache: DataFrame | None = None,
         F.coalesce(F.try_divide(F.col("total_requests") - m, F.col("total_requests")),
                    F.lit(0.0)).alias("hit_rate"))
 
-
-_ = pd  # pandas frames flow through mapInPandas

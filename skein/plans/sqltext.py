@@ -6,7 +6,6 @@ expressions in ``skein.functions``; DuckDB (RE2) runs them in the checker.
 
 from __future__ import annotations
 
-import re
 
 from skein.functions import html as H
 from skein.functions import text as TX
@@ -167,8 +166,6 @@ def meta_entries_sql(e: str) -> str:
     return f"list_concat({head}, {metas})"
 
 
-_ = re  # keep import for callers building patterns
-
 
 def cosine_ctes(src: str, keys: list[str], a: str, b: str, out: str) -> str:
     """CTEs computing ``out(keys..., cosine)`` from table ``src`` (DuckDB)."""
