@@ -99,13 +99,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def materialize(df, name: str = "table"):
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back, cutting its lineage.
 
     Used for tables that several later stages read (e.g. a chunk-vector
-    index): they are computed once, and a lost executor re-reads the files
-    instead of recomputing the chain.  Uses reliable ``checkpoint()``
-    (never ``localCheckpoint``) under ``spark.checkpoint.dir``.
+    index): computed once by a single job (``Dataset.checkpoint`` on an
+    unpersisted plan would compute it twice: once to count, once to write),
+    and a lost executor re-reads the files instead of recomputing the chain.
+    The folder is the one ``spark.checkpoint.dir`` names (never
+    ``localCheckpoint``); each call writes a fresh sub-folder.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
