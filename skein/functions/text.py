@@ -41,8 +41,9 @@ SLUG_SEP = r"[\-\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A
 SLUG_MAX = 50
 MIN_TEXT_LENGTH = 100
 
-URL_SCHEME_NETLOC = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+"
-URL_NETLOC = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
+# URL parsing skips leading C0 control characters and spaces first.
+URL_SCHEME_NETLOC = r"^[\x{00}-\x{20}]*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+"
+URL_NETLOC = r"^[\x{00}-\x{20}]*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 
 # Synonym rewrites applied in this order, after lower-casing.
 # Answer relevancy:
