@@ -9,7 +9,8 @@ the one of a lenient HTML tokenizer:
 * comments, ``<!...>`` declarations, ``<?...?>`` instructions and the bodies
   of ``script``/``style``/``template`` carry no text;
 * text nodes are the pieces between those; entities are decoded per node
-  (``&amp;`` last, so ``&amp;lt;`` decodes once).
+  (``&amp;`` last, so ``&amp;lt;`` decodes once; legacy names also without
+  the trailing ``;``).
 
 Element selection (``html_select_text``) handles non-nested ``tag``,
 ``tag.class`` and ``tag#id`` selectors.
@@ -40,6 +41,11 @@ NAMED_ENTITIES = [
     ("cent", "¢"), ("sect", "§"), ("para", "¶"),
     ("times", "×"), ("divide", "÷"), ("plusmn", "±"),
 ]
+# Of those, the legacy names that are also decoded without the trailing ';'.
+LEGACY_NO_SEMICOLON = [
+    "amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "deg", "times",
+    "divide", "plusmn", "pound", "yen", "cent", "sect", "para", "laquo", "raquo",
+]
 # Meta keys read by the article field extractor.
 META_IMAGE = "og:image"
 META_DESCRIPTION = "description"
@@ -69,8 +75,8 @@ def decode_entities(c) -> Column:
 
 
 def _decode(t: Column) -> Column:
-    t = reduce(lambda acc, kv: F.replace(acc, F.lit(f"&{kv[0]};"), F.lit(kv[1])),
-               NAMED_ENTITIES, t)
+    named = [kv for kv in NAMED_ENTITIES if kv[0] != "amp"]
+    t = reduce(lambda acc, kv: F.replace(acc, F.lit(f"&{kv[0]};"), F.lit(kv[1])), named, t)
     t = F.aggregate(
         F.regexp_extract_all(t, F.lit(r"&#([0-9]{1,7});"), 1), t,
         lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")),
@@ -82,7 +88,11 @@ def _decode(t: Column) -> Column:
                       _codepoint(F.conv(h, 16, 10).cast("int"))),
             F.concat(F.lit("&#X"), h, F.lit(";")),
             _codepoint(F.conv(h, 16, 10).cast("int"))))
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+    legacy = [kv for kv in NAMED_ENTITIES if kv[0] in LEGACY_NO_SEMICOLON and kv[0] != "amp"]
+    t = reduce(lambda acc, kv: F.replace(acc, F.lit(f"&{kv[0]}"), F.lit(kv[1])), legacy, t)
+    # '&amp' last, so an escaped reference ("&amp;lt;") decodes only once
+    t = F.replace(t, F.lit("&amp;"), F.lit("&"))
+    return F.replace(t, F.lit("&amp"), F.lit("&"))
 
 
 def _codepoint(n: Column) -> Column:

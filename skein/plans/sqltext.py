@@ -26,14 +26,18 @@ def squeeze(e: str) -> str:
 def decode(e: str) -> str:
     out = e
     for name, ch in H.NAMED_ENTITIES:
-        out = f"replace({out}, {lit('&' + name + ';')}, {lit(ch)})"
+        if name != "amp":
+            out = f"replace({out}, {lit('&' + name + ';')}, {lit(ch)})"
     out = (f"list_reduce(regexp_extract_all({out}, '&#([0-9]{{1,7}});', 1), "
            f"lambda acc, n: replace(acc, '&#' || n || ';', chr(n::INT)), {out})")
     hx = ("list_reduce(regexp_extract_all({0}, '&#[xX]([0-9A-Fa-f]{{1,6}});', 1), "
           "lambda acc, h: replace(replace(acc, '&#x' || h || ';', chr(('0x' || h)::INT)), "
           "'&#X' || h || ';', chr(('0x' || h)::INT)), {0})")
     out = hx.format(out)
-    return f"replace({out}, '&amp;', '&')"
+    for name, ch in H.NAMED_ENTITIES:
+        if name in H.LEGACY_NO_SEMICOLON and name != "amp":
+            out = f"replace({out}, {lit('&' + name)}, {lit(ch)})"
+    return f"replace(replace({out}, '&amp;', '&'), '&amp', '&')"
 
 
 def html_strip(e: str) -> str:
