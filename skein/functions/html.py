@@ -71,7 +71,16 @@ def _col(c) -> Column:
 def decode_entities(c) -> Column:
     """Decode numeric and the named entities above; ``&amp;`` last."""
     t = _col(c)
-    return F.when(t.contains("&"), _decode(t)).otherwise(t)
+    only_amp = ~F.replace(t, F.lit("&amp"), F.lit("")).contains("&")
+    return (F.when(~t.contains("&"), t)
+            .when(only_amp, _decode_amp(t))      # the common case: just &amp
+            .otherwise(_decode(t)))
+
+
+def _decode_amp(t: Column) -> Column:
+    """``&amp;`` and ``&amp`` in one left-to-right pass (``&amp;amp;`` ->
+    ``&amp;``, as the standard parser decodes it)."""
+    return F.regexp_replace(t, "&amp;?", "&")
 
 
 def _decode(t: Column) -> Column:
@@ -91,8 +100,7 @@ def _decode(t: Column) -> Column:
     legacy = [kv for kv in NAMED_ENTITIES if kv[0] in LEGACY_NO_SEMICOLON and kv[0] != "amp"]
     t = reduce(lambda acc, kv: F.replace(acc, F.lit(f"&{kv[0]}"), F.lit(kv[1])), legacy, t)
     # '&amp' last, so an escaped reference ("&amp;lt;") decodes only once
-    t = F.replace(t, F.lit("&amp;"), F.lit("&"))
-    return F.replace(t, F.lit("&amp"), F.lit("&"))
+    return _decode_amp(t)
 
 
 def _codepoint(n: Column) -> Column:

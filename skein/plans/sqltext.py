@@ -24,6 +24,13 @@ def squeeze(e: str) -> str:
 
 
 def decode(e: str) -> str:
+    only_amp = f"NOT contains(replace({e}, '&amp', ''), '&')"
+    amp = f"regexp_replace({e}, '&amp;?', '&', 'g')"
+    return (f"CASE WHEN NOT contains({e}, '&') THEN {e} WHEN {only_amp} THEN {amp} "
+            f"ELSE {_decode_full(e)} END")
+
+
+def _decode_full(e: str) -> str:
     out = e
     for name, ch in H.NAMED_ENTITIES:
         if name != "amp":
@@ -37,7 +44,7 @@ def decode(e: str) -> str:
     for name, ch in H.NAMED_ENTITIES:
         if name in H.LEGACY_NO_SEMICOLON and name != "amp":
             out = f"replace({out}, {lit('&' + name)}, {lit(ch)})"
-    return f"replace(replace({out}, '&amp;', '&'), '&amp', '&')"
+    return f"regexp_replace({out}, '&amp;?', '&', 'g')"
 
 
 def html_strip(e: str) -> str:
