@@ -53,3 +53,28 @@ def test_latency_windows(spark):
     q.awaitTermination(300)
     total = spark.sql("select sum(count) n from lat_test").first().n
     assert total == ev.filter(F.col("value").isNotNull()).count()
+
+
+def test_session_history_state_across_batches(spark):
+    ship_package(spark)
+    base = tempfile.mkdtemp(prefix="skein-sess2-")
+    schema = "session_id string, seq long, role string, content string"
+    first = [("s1", i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(4)]
+    second = [("s1", i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(4, 8)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(os.path.join(base, "in", "a"))
+    spark.createDataFrame(second, schema).coalesce(1).write.parquet(os.path.join(base, "in", "b"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(os.path.join(base, "in", "*")))
+    hist = S.session_history_stream(stream, max_turns=3)
+    batches = []
+
+    def keep(df, batch_id):
+        batches.append(sorted(r.seq for r in df.collect()))
+
+    q = (hist.writeStream.outputMode("update").foreachBatch(keep)
+         .option("checkpointLocation", os.path.join(base, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    non_empty = [b for b in batches if b]
+    assert non_empty[0] == [0, 1, 2, 3]
+    assert non_empty[-1] == [2, 3, 4, 5, 6, 7]   # needs batch 1's messages from state
+    assert len(non_empty) == 2
