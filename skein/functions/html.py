@@ -31,7 +31,7 @@ RAW_TEXT_ELEMENTS = ["script", "style", "template"]
 TAG = r"</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>"
 # Named character references decoded (besides numeric ones), '&amp;' last.
 NAMED_ENTITIES = [
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "),
+    ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "),
     ("copy", "©"), ("reg", "®"), ("trade", "™"),
     ("middot", "·"), ("mdash", "—"), ("ndash", "–"),
     ("hellip", "…"), ("lsquo", "‘"), ("rsquo", "’"),
@@ -68,39 +68,35 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# One token per character reference or run of other text, left to right.
+ENTITY_TOKENS = r"&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+
+
 def decode_entities(c) -> Column:
-    """Decode numeric and the named entities above; ``&amp;`` last."""
+    """Decode character references in one left-to-right pass, as an HTML
+    parser does: numeric ones (with or without ';'), the named ones above
+    with ';', and the legacy names also without ';' (longest legacy prefix,
+    the rest kept).  Each reference is decoded once, so ``&amp;lt;`` gives
+    ``&lt;`` and ``&#38;amp;`` gives ``&amp;``."""
     t = _col(c)
-    only_amp = ~F.replace(t, F.lit("&amp"), F.lit("")).contains("&")
-    return (F.when(~t.contains("&"), t)
-            .when(only_amp, _decode_amp(t))      # the common case: just &amp
-            .otherwise(_decode(t)))
-
-
-def _decode_amp(t: Column) -> Column:
-    """``&amp;`` and ``&amp`` in one left-to-right pass (``&amp;amp;`` ->
-    ``&amp;``, as the standard parser decodes it)."""
-    return F.regexp_replace(t, "&amp;?", "&")
-
-
-def _decode(t: Column) -> Column:
-    named = [kv for kv in NAMED_ENTITIES if kv[0] != "amp"]
-    t = reduce(lambda acc, kv: F.replace(acc, F.lit(f"&{kv[0]};"), F.lit(kv[1])), named, t)
-    t = F.aggregate(
-        F.regexp_extract_all(t, F.lit(r"&#([0-9]{1,7});"), 1), t,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")),
-                                 _codepoint(n.cast("int"))))
-    t = F.aggregate(
-        F.regexp_extract_all(t, F.lit(r"&#[xX]([0-9A-Fa-f]{1,6});"), 1), t,
-        lambda acc, h: F.replace(
-            F.replace(acc, F.concat(F.lit("&#x"), h, F.lit(";")),
-                      _codepoint(F.conv(h, 16, 10).cast("int"))),
-            F.concat(F.lit("&#X"), h, F.lit(";")),
-            _codepoint(F.conv(h, 16, 10).cast("int"))))
-    legacy = [kv for kv in NAMED_ENTITIES if kv[0] in LEGACY_NO_SEMICOLON and kv[0] != "amp"]
-    t = reduce(lambda acc, kv: F.replace(acc, F.lit(f"&{kv[0]}"), F.lit(kv[1])), legacy, t)
-    # '&amp' last, so an escaped reference ("&amp;lt;") decodes only once
-    return _decode_amp(t)
+    tokens = F.regexp_extract_all(t, F.lit(ENTITY_TOKENS), 0)
+    return F.when(~t.contains("&"), t).otherwise(
+        F.array_join(F.transform(tokens, _decode_token), ""))
+
+
+def _decode_token(tok: Column) -> Column:
+    dec = F.regexp_extract(tok, r"^&#([0-9]{1,7});?$", 1)
+    hexa = F.regexp_extract(tok, r"^&#[xX]([0-9A-Fa-f]{1,6});?$", 1)
+    out = (F.when(dec != "", _codepoint(dec.cast("int")))
+           .when(hexa != "", _codepoint(F.conv(hexa, 16, 10).cast("int"))))
+    for name, ch in NAMED_ENTITIES:
+        out = out.when(tok == f"&{name};", F.lit(ch))
+    # legacy names without ';': the longest matching prefix, rest kept
+    for name, ch in sorted(((n, c) for n, c in NAMED_ENTITIES if n in LEGACY_NO_SEMICOLON),
+                           key=lambda kv: -len(kv[0])):
+        out = out.when(tok.startswith(f"&{name}"),
+                       F.concat(F.lit(ch), F.substring(tok, len(name) + 2, 1 << 20)))
+    return out.otherwise(tok)
 
 
 def _codepoint(n: Column) -> Column:

@@ -24,27 +24,21 @@ def squeeze(e: str) -> str:
 
 
 def decode(e: str) -> str:
-    only_amp = f"NOT contains(replace({e}, '&amp', ''), '&')"
-    amp = f"regexp_replace({e}, '&amp;?', '&', 'g')"
-    return (f"CASE WHEN NOT contains({e}, '&') THEN {e} WHEN {only_amp} THEN {amp} "
-            f"ELSE {_decode_full(e)} END")
-
-
-def _decode_full(e: str) -> str:
-    out = e
-    for name, ch in H.NAMED_ENTITIES:
-        if name != "amp":
-            out = f"replace({out}, {lit('&' + name + ';')}, {lit(ch)})"
-    out = (f"list_reduce(regexp_extract_all({out}, '&#([0-9]{{1,7}});', 1), "
-           f"lambda acc, n: replace(acc, '&#' || n || ';', chr(n::INT)), {out})")
-    hx = ("list_reduce(regexp_extract_all({0}, '&#[xX]([0-9A-Fa-f]{{1,6}});', 1), "
-          "lambda acc, h: replace(replace(acc, '&#x' || h || ';', chr(('0x' || h)::INT)), "
-          "'&#X' || h || ';', chr(('0x' || h)::INT)), {0})")
-    out = hx.format(out)
+    tok = "k"
+    parts = [f"WHEN regexp_matches({tok}, '^&#[0-9]{{1,7}};?$') "
+             f"THEN chr(regexp_extract({tok}, '^&#([0-9]{{1,7}});?$', 1)::INT)",
+             f"WHEN regexp_matches({tok}, '^&#[xX][0-9A-Fa-f]{{1,6}};?$') "
+             f"THEN chr(('0x' || regexp_extract({tok}, '^&#[xX]([0-9A-Fa-f]{{1,6}});?$', 1))::INT)"]
     for name, ch in H.NAMED_ENTITIES:
-        if name in H.LEGACY_NO_SEMICOLON and name != "amp":
-            out = f"replace({out}, {lit('&' + name)}, {lit(ch)})"
-    return f"regexp_replace({out}, '&amp;?', '&', 'g')"
+        parts.append(f"WHEN {tok} = {lit('&' + name + ';')} THEN {lit(ch)}")
+    for name, ch in sorted(((n, c) for n, c in H.NAMED_ENTITIES if n in H.LEGACY_NO_SEMICOLON),
+                           key=lambda kv: -len(kv[0])):
+        parts.append(f"WHEN starts_with({tok}, {lit('&' + name)}) "
+                     f"THEN {lit(ch)} || substr({tok}, {len(name) + 2})")
+    case = "CASE " + " ".join(parts) + f" ELSE {tok} END"
+    toks = f"regexp_extract_all({e}, {lit(H.ENTITY_TOKENS)}, 0)"
+    return (f"CASE WHEN NOT contains({e}, '&') THEN {e} ELSE "
+            f"array_to_string(list_transform({toks}, lambda {tok}: {case}), '') END")
 
 
 def html_strip(e: str) -> str:
