@@ -212,6 +212,9 @@ def labelled_sample(measured: DataFrame, labels: DataFrame, id_col: str = "doc_i
     hash of their id."""
     marks = (labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg((F.avg("quality") >= 0.5).alias("good")))
+    found = marks.count()
+    if found > most:    # about ``most`` of them, so that no task sends more
+        marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < (most << 20) // found)
     rows = (measured.where(~base_failed(F.col("stats"))).join(marks, F.col(id_col) == F.col("_id"))
             .select(*[F.col("stats")[f].alias(f) for f in FEATURES], "good",
                     F.xxhash64("_id").alias("pick"), F.col("_id").alias("id"))

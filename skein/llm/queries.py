@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import licenses, oracle_sql, pii, quality, secrets, warc
+from skein.llm import (decontaminate, html_content, jaccard, langid, licenses, oracle_sql, packing,
+                       pii, quality, secrets, warc)
 from skein.session import shared_path, write_shared
 
 
@@ -23,6 +24,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where ``documents`` hold an item of ``benchmark``, small edits included."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of ``documents`` by diagonal voting."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -50,6 +56,27 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of ``documents``; a quarter of them is held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held))
+    return langid.identify(docs, model, columns=["doc_id"]).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of ``pages`` by message passing over their trees."""
+    pages = table(spark, sf_dir, "pages")
+    return html_content.extract(pages, html_content.train(pages), columns=["page_id", "url"])
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in sequences of at most 4096 tokens."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), packing.default_tokenizer(), with_ids=False)
+    return packing.pack(write_shared(cut, "pieces"))
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in ``documents`` by weak-supervision aggregation."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,12 +84,19 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(found)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy classes of ``documents`` by the prefix-tree join."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def plans() -> dict:
     return {f.__name__: f for f in (
-        op1_secret_scan, op3_license_scan, op4_quality_rules, op5_warc_archive, op9_pii_spans)}
+        op1_secret_scan, op2_benchmark_leaks, op3_license_scan, op4_quality_rules, op5_warc_archive,
+        op6_language_id, op7_main_text, op8_packing, op9_pii_spans, op10_jaccard_join)}
 
 
 def oracle() -> dict[str, str]:
     return {"op1_secret_scan": oracle_sql.secret_scan(),
             "op3_license_scan": oracle_sql.license_scan(),
-            "op5_warc_archive": oracle_sql.warc_archive()}
+            "op5_warc_archive": oracle_sql.warc_archive(),
+            "op10_jaccard_join": oracle_sql.jaccard_join()}

@@ -124,3 +124,45 @@ def components(rows):
                 p, q = sorted((root(i), root(j)))
                 parent[q] = p
     return [(i, len(s), root(i) if i is not None else None) for i, s in sets]
+
+
+def nearest(pattern, text):
+    """Least edit distance of ``pattern`` to a substring of ``text``, by rows."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != c)))
+        row = new
+    return min(row)
+
+
+def plain(text):
+    """Normalised text of the benchmark match: a space before every word."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return "".join(" " + w for w in re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low))
+
+
+def leaks(rows, items, budget=0.05, least_words=5):
+    out = []
+    for doc, text in rows:
+        body = plain(text)
+        for item, wanted in items:
+            pattern = plain(wanted)
+            words = pattern.count(" ")
+            if words < least_words:
+                continue
+            d = nearest(pattern, body)
+            if d <= min(int(budget * len(pattern)), words - 1):
+                out.append((doc, item, d))
+    return sorted(out, key=str)
+
+
+def mask(text, spans):
+    """``text`` with (kind, start, end) spans replaced, overlaps as one."""
+    out, at = [], 0
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        if start >= at:
+            out.append(text[at:start] + f"<{kind.upper()}>")
+        at = max(at, end)
+    return "".join(out) + text[at:]
