@@ -218,6 +218,14 @@ PRIOR = {"section|0|0": 40, "section|0|1": 4, "section|1|1": 40, "section|1|0":
          **{f"tag={t}|0": 12 for t in ("nav", "aside", "footer", "header", "form", "menu", "button")},
          "names=bad|0": 40, "names=good|1": 6, "links=4|0": 10, "links=3|0": 4, "links=0|1": 4,
          "y|0": 30, "y|1": 30}
+#: how far one feature may move a node's log-odds.  The labelled pages may all
+#: have one layout, which would make single features certain; and a paragraph is
+#: content because of where it stands, so text elements carry counter-evidence
+#: only and sections decide.
+LIMITS = {"section": {"tag": (-3.0, 4.0), "names": (-12.0, 4.0), "links": (-2.0, 2.0), "size": (-1.0, 1.0)},
+          "text": {"names": (-12.0, 0.0), "links": (-2.0, 0.0)}}
+#: most that a child follows its parent
+FOLLOWS = {"section": 0.98, "text": 0.998}
 WIDTH = {"tag": 60, "names": 3, "links": 6, "size": 7}
 
 
@@ -232,20 +240,27 @@ class ContentModel:
         for kind in ("section", "text"):
             for up in (0, 1):
                 seen = [n[f"{kind}|{up}|{y}"] + 0.5 for y in (0, 1)]
-                self.pair[kind, up] = [math.log(s / sum(seen)) for s in seen]
-
-    def potential(self, feature: str) -> tuple[float, float]:
-        if feature not in self.unary:
-            width = WIDTH[feature.split("=")[0]]
-            self.unary[feature] = tuple(
-                math.log((self.n[f"{feature}|{y}"] + 0.5) / (self.n[f"y|{y}"] + 0.5 * width))
-                for y in (0, 1))
-        return self.unary[feature]
+                share = min(FOLLOWS[kind], max(1 - FOLLOWS[kind], seen[1] / sum(seen)))
+                self.pair[kind, up] = [math.log(1 - share), math.log(share)]
+
+    def potential(self, feature: str, kind: str) -> float:
+        """Log-odds of content that one feature of a node gives."""
+        name = feature.split("=")[0]
+        low, high = LIMITS[kind].get(name, (0.0, 0.0))
+        if (feature, kind) not in self.unary:
+            odds = [math.log((self.n[f"{feature}|{y}"] + 0.5) / (self.n[f"y|{y}"] + 0.5 * WIDTH[name]))
+                    for y in (0, 1)]
+            self.unary[feature, kind] = max(low, min(high, odds[1] - odds[0]))
+        return self.unary[feature, kind]
+
+    def unaries(self, page: Page) -> list[list[float]]:
+        """Log potentials of each node's two labels."""
+        return [[0.0, sum(self.potential(f, _kind(node)) for f in own)]
+                for node, own in zip(page.nodes, features(page))]
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of each node by sum-product on the tree."""
-        nodes, own = page.nodes, features(page)
-        up = [[sum(self.potential(f)[y] for f in fs) for y in (0, 1)] for fs in own]
+        nodes, up = page.nodes, self.unaries(page)
         message = [[0.0, 0.0] for _ in nodes]       # to the parent, by parent label
         for i in range(len(nodes) - 1, 0, -1):      # children come after their parents
             kind, parent = _kind(nodes[i]), nodes[i].parent
