@@ -211,7 +211,7 @@ def counts(page: Page) -> Counter:
 
 
 #: prior counts, so that a corpus without labelled pages has a model too
-PRIOR = {"section|0|0": 40, "section|0|1": 4, "section|1|1": 40, "section|1|0": 4,
+PRIOR = {"section|0|0": 40, "section|0|1": 4, "section|1|1": 80, "section|1|0": 2,
          "text|0|0": 40, "text|0|1": 8, "text|1|1": 60, "text|1|0": 2,
          **{f"tag={t}|1": 10 for t in ("article", "main")},
          **{f"tag={t}|1": 6 for t in ("p", "h1", "h2", "h3", "blockquote", "pre")},
