@@ -222,7 +222,7 @@ PRIOR = {"section|0|0": 40, "section|0|1": 4, "section|1|1": 80, "section|1|0":
 #: have one layout, which would make single features certain; and a paragraph is
 #: content because of where it stands, so text elements carry counter-evidence
 #: only and sections decide.
-LIMITS = {"section": {"tag": (-3.0, 4.0), "names": (-12.0, 4.0), "links": (-2.0, 2.0), "size": (-1.0, 1.0)},
+LIMITS = {"section": {"tag": (-3.0, 8.0), "names": (-12.0, 4.0), "links": (-2.0, 2.0), "size": (-1.0, 1.0)},
           "text": {"names": (-12.0, 0.0), "links": (-2.0, 0.0)}}
 #: most that a child follows its parent
 FOLLOWS = {"section": 0.98, "text": 0.998}
