@@ -11,17 +11,17 @@ Documents whose sets of distinct word 5-grams have a Jaccard similarity of
    work there is, never the result.
 3. Two linked sets share a gram within their prefixes of
    ``n - ceil(T n / 100) + 1`` grams.  Prefix grams held by one node only are
-   dropped; what is left are *cells* of nodes that share a gram.
+   dropped, and so are rows too late in their set to be the first gram common
+   to a linked pair; what is left are *cells* of nodes that share a gram.
 4. Each node is first compared with one leader of its cells (that which most of
    its cells name).  Verified links join nodes into classes, so a large group of
    near copies needs one comparison per copy, not one per pair.
 5. Only nodes of different classes that share a cell can still add a link.
-   Those pairs pass length and prefix-overlap bounds and are compared as well.
-6. Comparing: the sets compared with one probe are stored, frequent grams first,
-   in a prefix tree whose inner paths are shared; the probe walks it carrying
-   partial overlaps and leaves a subtree when the grams that remain cannot reach
-   the overlap wanted.  Probes with many partners are dealt in parts of
-   ``PART`` partners.
+   Those pairs that pass the length, place and overlap bounds are compared too.
+6. Comparing: sets are stored, frequent grams first, in prefix trees whose inner
+   paths are shared; a probe walks a tree carrying partial overlaps and leaves a
+   subtree when the grams that remain cannot reach the overlap wanted.  Trees
+   hold about ``PART`` sets; larger classes and stars are dealt in blocks.
 
 Skipping pairs inside a class loses no link between classes, so classes are
 exact.  Gram collisions of 64-bit hashes are the one approximation; a digest
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.llm.components import components
 from skein.session import write_shared
@@ -50,8 +50,8 @@ SHINGLE = 5
 T = 75
 #: grams in the broadcast frequency order (12 bytes each)
 HEAVY = 1 << 20
-#: partners of a probe that are compared in one tree
-PART = 256
+#: sets in one tree
+PART = 64
 #: gram hashes counted at once inside a task
 _RUN = 1 << 22
 
@@ -207,26 +207,9 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
     return docs.select("t").mapInArrow(run, "g long, h long, n int, at int, heavy boolean")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, order) -> DataFrame:
-    """``h, n, grams`` (in global order, packed) of the documents in ``ids``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = order.value
-        for batch in batches:
-            rows = []
-            for raw in batch.column(0).to_pylist():
-                found = grams(raw)
-                rows.append((digest(found)[0], len(found), by.sort(found)[0].tobytes()))
-            h, n, g = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(g, pa.binary())],
-                ["h", "n", "grams"])
-    wanted = docs.join(small_side(ids), F.col("id") == F.col("doc"), "left_semi")
-    return wanted.select("t").mapInArrow(run, "h long, n int, grams binary")
-
-
-def small_side(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """A stored one-column id table, broadcast if it has at most ``most`` rows
-    (16 MB); a larger one is shuffled by the join like any other table."""
+def small_side(ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """A stored table of a few numbers a row, broadcast if it has at most
+    ``most`` rows (under 40 MB); a larger one is shuffled by the join."""
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
@@ -297,102 +280,173 @@ def _wanted(n: int, m: int) -> int:
     return -(-T * (n + m) // (100 + T))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``ah, an, bh, bn`` that are links."""
-    load = pairs.groupBy("ah", "an").count().select(
-        F.col("ah").alias("kh"), F.col("an").alias("kn"),
-        F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    dealt = write_shared(
-        pairs.join(load, (F.col("ah") == F.col("kh")) & (F.col("an") == F.col("kn")))
-        .select("ah", "an", "bh", "bn", F.pmod(F.xxhash64("bh", "bn"), "parts").cast("int").alias("part")),
-        "pairs")
-    probes = (dealt.select("ah", "an", "part").distinct()
-              .join(sets, (F.col("ah") == F.col("h")) & (F.col("an") == F.col("n")))
-              .select("ah", "an", "part", F.lit(0).alias("role"), F.lit(0).cast("long").alias("bh"),
-                      F.lit(0).alias("bn"), "grams"))
-    entries = (dealt.join(sets, (F.col("bh") == F.col("h")) & (F.col("bn") == F.col("n")))
-               .select("ah", "an", "part", F.lit(1).alias("role"), "bh", "bn", "grams"))
+WORK = ["k1", "k2", "block", "slice", "role", "h", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, probe, held = None, None, []
-
-        def compared() -> Iterator[pa.RecordBatch]:
-            if probe is None or not held:
-                return
-            tree = Tree([np.frombuffer(g, np.uint64)[::-1] for _h, _n, g in held])
-            hit = tree.links(np.sort(np.frombuffer(probe, np.uint64)))
-            if hit:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key[0]] * len(hit), pa.int64()), pa.array([key[1]] * len(hit), pa.int32()),
-                     pa.array([held[i][0] for i in hit], pa.int64()),
-                     pa.array([held[i][1] for i in hit], pa.int32())], ["ah", "an", "bh", "bn"])
+
+def _compare(texts: DataFrame, work: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links among the sets that ``work`` brings together, as documents ``u, v``.
+
+    Rows with one key ``k1, k2, block, slice`` meet: those of role 0 build a
+    tree, those of role 1 probe it one after the other.  Sets are made from the
+    texts on the way, so each is moved once."""
+    need = write_shared(work.join(nodes, ["h", "n"]).select(*WORK, "doc"), "work")
+    rows = texts.join(small_side(need), F.col("id") == F.col("doc")).select("t", *WORK, "doc")
+    names = [*WORK, "doc", "grams"]
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(6).to_pylist()
+            found = [grams(raw) for raw in batch.column(0).to_pylist()]
+            # a row that repeats the id with another text is not the node's
+            own = pa.array([len(f) > 0 and digest(f)[0] == h for f, h in zip(found, wanted)], pa.bool_())
+            out = pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array([f.tobytes() for f in found], pa.binary())], names)
+            yield out.filter(own)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, tree, by = None, [], None, None
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(7)]
-            for ah, an, part, role, bh, bn, g in zip(*cols):
-                if (ah, an, part) != key:
-                    yield from compared()
-                    key, probe, held = (ah, an, part), None, []
+            u, v = [], []
+            cols = [batch.column(names.index(c)).to_pylist()
+                    for c in ("k1", "k2", "block", "slice", "role", "doc", "grams")]
+            for *now, role, doc, g in zip(*cols):
+                if now != key:
+                    key, held, tree = now, [], None
+                found = np.frombuffer(g, np.uint64)
                 if role == 0:
-                    probe = g
-                else:
-                    held.append((bh, bn, g))
-        yield from compared()
-    return (probes.unionByName(entries).repartition("ah", "an", "part")
-            .sortWithinPartitions("ah", "an", "part", "role", "bh", "bn")
-            .mapInArrow(run, "ah long, an int, bh long, bn int"))
+                    held.append((doc, found))
+                elif held:
+                    if tree is None:
+                        # frequent grams first, so that paths are shared
+                        every, n = np.unique(np.concatenate([f for _d, f in held]), return_counts=True)
+                        by = Order(every, n.astype(np.int32))
+                        tree = Tree([by.sort(f)[0][::-1] for _d, f in held])
+                    for i in tree.links(found):
+                        u.append(doc)
+                        v.append(held[i][0])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    kinds = "k1 long, k2 int, block int, slice int, role int, h long, n int, doc long, grams binary"
+    return (rows.mapInArrow(load, kinds).repartition("k1", "k2", "block", "slice")
+            .sortWithinPartitions("k1", "k2", "block", "slice", "role", "h", "n")
+            .mapInArrow(probe, "u long, v long"))
 
 
 # --- the join --------------------------------------------------------------------
 
+def _reach(n, at):
+    """Largest partner with which the gram at place ``at`` of a set of ``n`` can
+    be the first common one: ``n - at`` grams are left for the overlap wanted."""
+    return F.floor(((100 + T) * (n - at) - T * n) / T)
+
+
+def _needed(n):
+    return F.ceil(T * n / 100)
+
+
+def _may_link(n, c, m, d):
+    """Sizes ``n, m`` with ``c, d`` shared prefix grams may reach the overlap:
+    beyond the prefixes the sets have at most ``_needed - 1`` grams left."""
+    return ((100 * F.least(n, m) >= T * F.greatest(n, m))
+            & (F.least(c, d) + F.greatest(_needed(n), _needed(m)) - 1 >= F.ceil(T * (n + m) / (100 + T))))
+
+
 def _cells(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows of grams that several nodes hold, with the cell's leader.
+    """``g, h, n, at, c, reach``: prefix rows that may be the first gram common
+    to a linked pair; ``c`` counts the node's prefix grams that others hold.
 
-    Light grams meet in a window; the few heavy ones, which may be held by any
-    share of all nodes, are aggregated map-side and joined to their leader."""
+    Light grams meet in a window; rows of the few heavy grams, which any share
+    of all nodes may hold, are spread over parts there and counted map-side.
+    Rows go that cannot pair with any size found in their cell."""
     node = F.struct("h", "n")
-    from pyspark.sql import Window
-    cell = Window.partitionBy("g")
-    light = (prefixes.where("not heavy").withColumn("lo", F.min(node).over(cell))
-             .withColumn("hi", F.max(node).over(cell)).where("lo != hi")
-             .dropDuplicates(["g", "h", "n", "at"]).select("g", "h", "n", "at", "lo"))
-    heavy = prefixes.where("heavy").select("g", "h", "n", "at").distinct()
-    lead = (heavy.groupBy(F.col("g").alias("k")).agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
+    cell = Window.partitionBy("g", "part")
+    met = (prefixes.withColumn("part", F.when(F.col("heavy"), F.pmod("h", F.lit(256)))
+                               .otherwise(0).cast("int"))
+           .withColumn("lo", F.min(node).over(cell)).withColumn("hi", F.max(node).over(cell))
+           .where("heavy or lo != hi").dropDuplicates(["g", "part", "h", "n", "at"]))
+    met = write_shared(met.select("g", "h", "n", "at", "heavy"), "met")
+    heavy = met.where("heavy")
+    shared = (heavy.groupBy(F.col("g").alias("k")).agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
+              .where("lo != hi").select("k"))
+    several = met.where("not heavy").unionByName(heavy.join(shared, F.col("g") == F.col("k"), "left_semi"))
+    count = several.groupBy(F.col("h").alias("ch"), F.col("n").alias("cn")).agg(F.count("*").alias("c"))
+    rows = write_shared(
+        several.join(count, (F.col("h") == F.col("ch")) & (F.col("n") == F.col("cn")))
+        .select("g", "h", "n", "at", "c", _reach(F.col("n"), F.col("at")).alias("reach")), "rows")
+    sizes = rows.groupBy(F.col("g").alias("k")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # the shared grams allow partners up to one size or from another, larger one
+    upto = F.floor((100 + T) * (F.col("c") + _needed(F.col("n")) - 1) / T) - F.col("n")
+    above = (T * F.col("n") / (100 + T) - F.col("c")) / (T / 100 - T / (100 + T)) - 1
+    viable = ((F.col("least") <= F.least("reach", upto))
+              | ((F.col("most") >= above) & (F.col("reach") >= above) & (F.col("reach") >= F.col("n"))))
+    return rows.join(sizes, F.col("g") == F.col("k")).where(viable) \
+        .select("g", "h", "n", "at", "c", "reach")
+
+
+def _stars(cells: DataFrame) -> DataFrame:
+    """Work that compares each node with one leader of its cells: the one that
+    most of its cells name."""
+    lead = (cells.groupBy(F.col("g").alias("k"))
+            .agg(F.min(F.struct("h", "n", "c")).alias("lo"), F.max(F.struct("h", "n", "c")).alias("hi"))
             .where("lo != hi").select("k", "lo"))
-    return light.unionByName(heavy.join(lead, F.col("g") == F.col("k")).select("g", "h", "n", "at", "lo"))
-
-
-def _lengths_fit(n, m):
-    return (100 * F.least(n, m)) >= (T * F.greatest(n, m))
+    led = (cells.join(lead, F.col("g") == F.col("k"))
+           .where((F.struct("h", "n", "c") != F.col("lo"))
+                  & _may_link(F.col("n"), F.col("c"), F.col("lo.n"), F.col("lo.c")))
+           .groupBy(F.col("lo.h").alias("ah"), F.col("lo.n").alias("an"), "h", "n").count()
+           .groupBy("h", "n").agg(F.max(F.struct("count", "ah", "an")).alias("m"))
+           .select(F.col("m.ah").alias("k1"), F.col("m.an").alias("k2"), "h", "n"))
+    led = write_shared(led, "led")
+    load = led.groupBy(F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(
+        F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
+    entries = led.join(load, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))).select(
+        "k1", "k2", F.pmod(F.xxhash64("h", "n"), "blocks").cast("int").alias("block"),
+        F.lit(0).alias("slice"), F.lit(0).alias("role"), "h", "n")
+    probes = entries.select("k1", "k2", "block", "slice").distinct().select(
+        "k1", "k2", "block", "slice", F.lit(1).alias("role"), F.col("k1").alias("h"), F.col("k2").alias("n"))
+    return entries.unionByName(probes)
 
 
 def _rest(cells: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs of nodes in different classes that may still be links."""
-    rows = (cells.select("g", "h", "n", "at")
-            .join(named.select(F.col("h").alias("kh"), F.col("n").alias("kn"), "cls"),
-                  (F.col("h") == F.col("kh")) & (F.col("n") == F.col("kn")))
-            .select("g", "h", "n", "at", "cls"))
+    """Work that compares different classes that share a cell: the members of
+    the smaller class probe those of the larger one, which are dealt in blocks.
+    Pairs of members are never listed."""
+    rows = (cells.join(named.select(F.col("h").alias("kh"), F.col("n").alias("kn"), "cls"),
+                       (F.col("h") == F.col("kh")) & (F.col("n") == F.col("kn")))
+            .select("g", "h", "n", "c", "reach", "cls"))
     mixed = (rows.groupBy(F.col("g").alias("k")).agg(F.min("cls").alias("x"), F.max("cls").alias("y"))
              .where("x != y").select("k"))
     rows = write_shared(rows.join(mixed, F.col("g") == F.col("k"), "left_semi"), "cells")
-    held = rows.select("g", "cls").distinct()
-    one = held.select(F.col("g").alias("g1"), F.col("cls").alias("c1"))
-    two = held.select(F.col("g").alias("g2"), F.col("cls").alias("c2"))
-    classes = one.join(two, (F.col("g1") == F.col("g2")) & (F.col("c1") < F.col("c2"))) \
-        .select("g1", "c1", "c2")
-    a = rows.select(F.col("g").alias("ga"), F.col("cls").alias("ca"), F.col("h").alias("ah"),
-                    F.col("n").alias("an"), F.col("at").alias("aa"))
-    b = rows.select(F.col("g").alias("gb"), F.col("cls").alias("cb"), F.col("h").alias("bh"),
-                    F.col("n").alias("bn"), F.col("at").alias("ba"))
-    shared = (classes.join(a, (F.col("g1") == F.col("ga")) & (F.col("c1") == F.col("ca")))
-              .join(b, (F.col("g1") == F.col("gb")) & (F.col("c2") == F.col("cb"))
-                    & _lengths_fit(F.col("an"), F.col("bn"))))
-    # all shared grams up to the last common prefix gram are counted; beyond it
-    # the overlap is at most what either set has left
-    left = F.least(F.col("an") - F.col("la") - 1, F.col("bn") - F.col("lb") - 1)
-    need = F.ceil(T * (F.col("an") + F.col("bn")) / (100 + T))
-    return (shared.groupBy("ah", "an", "bh", "bn")
-            .agg(F.count("*").alias("s"), F.max("aa").alias("la"), F.max("ba").alias("lb"))
-            .where(F.col("s") + left >= need).select("ah", "an", "bh", "bn"))
+    held = rows.groupBy("g", "cls").agg(F.min("n").alias("least"), F.max("n").alias("most"),
+                                        F.max("reach").alias("reach"), F.max("c").alias("c"))
+    one, two = (held.select(*[F.col(c).alias(c + k) for c in held.columns]) for k in "12")
+    single = (F.col("least1") == F.col("most1")) & (F.col("least2") == F.col("most2"))
+    pairs = (one.join(two, (F.col("g1") == F.col("g2")) & (F.col("cls1") < F.col("cls2"))
+                      & (F.col("least1") <= F.col("reach2")) & (F.col("least2") <= F.col("reach1"))
+                      & (100 * F.col("most1") >= T * F.col("least2"))
+                      & (100 * F.col("most2") >= T * F.col("least1"))
+                      & (~single | _may_link(F.col("least1"), F.col("c1"), F.col("least2"), F.col("c2"))))
+             .select("cls1", "cls2").distinct())
+    members = rows.select("cls", "h", "n").distinct()
+    size = members.groupBy("cls").agg(F.count("*").alias("size"))
+    s1, s2 = (size.select(*[F.col(c).alias(c + k) for c in size.columns]) for k in "12")
+    swap = F.col("size1") >= F.col("size2")
+    pairs = write_shared(pairs.join(s1, "cls1").join(s2, "cls2").select(
+        F.when(swap, F.col("cls1")).otherwise(F.col("cls2")).alias("k1"),
+        F.when(swap, F.col("cls2")).otherwise(F.col("cls1")).alias("by"),
+        F.ceil(F.greatest("size1", "size2") / PART).cast("int").alias("blocks")), "pairs")
+    probes = write_shared(pairs.join(members, F.col("by") == F.col("cls"))
+                          .select("k1", "blocks", "h", "n"), "probes")
+    load = probes.groupBy("k1", "blocks").agg(F.ceil(F.count("*") / 2048).cast("int").alias("slices"))
+    entries = (load.join(members, F.col("k1") == F.col("cls"))
+               .select("k1", F.lit(0).alias("k2"),
+                       F.pmod(F.xxhash64("h", "n"), "blocks").cast("int").alias("block"),
+                       F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+                       F.lit(0).alias("role"), "h", "n"))
+    asked = (probes.join(load.select(F.col("k1").alias("x1"), "slices"), F.col("k1") == F.col("x1"))
+             .select("k1", F.lit(0).alias("k2"),
+                     F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                     F.pmod(F.xxhash64("h", "n"), "slices").cast("int").alias("slice"),
+                     F.lit(1).alias("role"), "h", "n"))
+    return entries.unionByName(asked)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -410,35 +464,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heavy:
         .select("h", "n", F.when(F.col("x") == F.col("y"), F.col("doc")).otherwise(
             F.raise_error(F.lit("two sets of one size share a digest")).cast("long")).alias("doc")), "nodes")
     cells = write_shared(_cells(_prefixes(texts.where("id is not null"), order)), "cells")
-    members = cells.select("h", "n").distinct()
-    ids = write_shared(members.join(nodes, ["h", "n"]).select("doc").distinct(), "ids")
-    sets = write_shared(_sets(texts, ids, order).dropDuplicates(["h", "n"]), "sets")
-
-    # one leader per node: the one that most of its cells name
-    led = (cells.select(F.col("lo.h").alias("ah"), F.col("lo.n").alias("an"),
-                        F.col("h").alias("bh"), F.col("n").alias("bn"))
-           .where(~((F.col("ah") == F.col("bh")) & (F.col("an") == F.col("bn")))
-                  & _lengths_fit(F.col("an"), F.col("bn")))
-           .groupBy("ah", "an", "bh", "bn").count()
-           .groupBy("bh", "bn").agg(F.max(F.struct("count", "ah", "an")).alias("m"))
-           .select(F.col("m.ah").alias("ah"), F.col("m.an").alias("an"), "bh", "bn"))
-
-    def as_docs(links: DataFrame) -> DataFrame:
-        a = nodes.select(F.col("h").alias("xh"), F.col("n").alias("xn"), F.col("doc").alias("u"))
-        b = nodes.select(F.col("h").alias("yh"), F.col("n").alias("yn"), F.col("doc").alias("v"))
-        return (links.join(a, (F.col("ah") == F.col("xh")) & (F.col("an") == F.col("xn")))
-                .join(b, (F.col("bh") == F.col("yh")) & (F.col("bn") == F.col("yn"))).select("u", "v"))
     # rows that repeat an id with another text tie that text's node to the id
     several = (own.where("n > 0 and id is not null").groupBy(F.col("id").alias("k"))
                .agg(F.min(F.struct("h", "n")).alias("x"), F.max(F.struct("h", "n")).alias("y"))
                .where("x != y").select("k"))
     repeats = (own.join(several, F.col("id") == F.col("k"), "left_semi").where("n > 0")
                .join(nodes, ["h", "n"]).select(F.col("id").alias("u"), F.col("doc").alias("v")))
-    first = write_shared(as_docs(_verified(led, sets)).unionByName(repeats), "links")
+    first = write_shared(_compare(texts, _stars(cells), nodes).unionByName(repeats), "links")
     found = components(first)
-    named = members.join(nodes, ["h", "n"]).join(found, F.col("doc") == F.col("node"), "left") \
+    named = cells.select("h", "n").distinct().join(nodes, ["h", "n"]).join(found, F.col("doc") == F.col("node"), "left") \
         .select("h", "n", F.coalesce("component", "doc").alias("cls"))
-    second = write_shared(as_docs(_verified(write_shared(_rest(cells, named), "rest"), sets)), "links")
+    second = write_shared(_compare(texts, _rest(cells, named), nodes), "links")
     if second.isEmpty():
         joined = found
     else:       # stars of the first round with the links between them
