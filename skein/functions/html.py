@@ -68,8 +68,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Characters of the numeric references 128 to 159.
+WINDOWS_1252 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
+
 # One token per character reference or run of other text, left to right.
-ENTITY_TOKENS = r"&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+ENTITY_TOKENS = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
 
 
 def decode_entities(c) -> Column:
@@ -85,23 +88,30 @@ def decode_entities(c) -> Column:
 
 
 def _decode_token(tok: Column) -> Column:
-    dec = F.regexp_extract(tok, r"^&#([0-9]{1,7});?$", 1)
-    hexa = F.regexp_extract(tok, r"^&#[xX]([0-9A-Fa-f]{1,6});?$", 1)
-    out = (F.when(dec != "", _codepoint(dec.cast("int")))
-           .when(hexa != "", _codepoint(F.conv(hexa, 16, 10).cast("int"))))
+    # numbers without their leading zeros; longer ones are out of range
+    is_dec, is_hex = tok.rlike(r"^&#[0-9]+;?$"), tok.rlike(r"^&#[xX][0-9A-Fa-f]+;?$")
+    dec = F.concat(F.lit("0"), F.regexp_extract(tok, r"^&#0*([0-9]{0,7});?$", 1))
+    hexa = F.concat(F.lit("0"), F.regexp_extract(tok, r"^&#[xX]0*([0-9A-Fa-f]{0,6});?$", 1))
+    out = (F.when(is_dec, _codepoint(dec.cast("int")))
+           .when(is_hex, _codepoint(F.conv(hexa, 16, 10).cast("int"))))
     for name, ch in NAMED_ENTITIES:
         out = out.when(tok == f"&{name};", F.lit(ch))
     # legacy names without ';': the longest matching prefix, rest kept
     for name, ch in sorted(((n, c) for n, c in NAMED_ENTITIES if n in LEGACY_NO_SEMICOLON),
                            key=lambda kv: -len(kv[0])):
         out = out.when(tok.startswith(f"&{name}"),
-                       F.concat(F.lit(ch), F.substring(tok, len(name) + 2, 1 << 20)))
+                       F.concat(F.lit(ch), F.substr(tok, F.lit(len(name) + 2))))
     return out.otherwise(tok)
 
 
 def _codepoint(n: Column) -> Column:
-    """The character with code point ``n`` (UTF-32 big-endian decode)."""
-    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    """The character that a numeric reference ``n`` stands for: zero,
+    surrogates and numbers out of range give U+FFFD, 128 to 159 the characters
+    of Windows-1252, others their code point (UTF-32 big-endian decode)."""
+    return (F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .when(n.between(128, 159), F.element_at(F.array(*[F.lit(c) for c in WINDOWS_1252]),
+                                                    F.when(n.between(128, 159), n - 127).otherwise(1)))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
 
 
 def html_strip(c) -> Column:

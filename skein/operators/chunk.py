@@ -9,7 +9,7 @@ sequential scan that DataFrame expressions cannot state.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,66 +115,69 @@ def article_chunks(articles: DataFrame, size: int | None = None,
 # recursive separator splitter (sequential greedy merge -> mapInPandas)
 # ---------------------------------------------------------------------------
 
-def _split_keep(text: str, sep: str) -> list[str]:
+def _bounds(text: str, lo: int, hi: int, sep: str) -> list[int]:
+    """Offsets at which ``text[lo:hi]`` is cut: before every separator."""
     if sep == "":
-        return [c for c in text]
-    parts = re.split(f"({re.escape(sep)})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    if len(parts) % 2 == 0:
-        out += parts[-1:]
-    return [p for p in out if p != ""]
-
-
-def _merge(splits: list[str], size: int, overlap: int) -> list[str]:
-    docs, cur, total = [], [], 0
-    for piece in splits:
-        n = len(piece)
-        if total + n > size and cur:
-            doc = "".join(cur).strip()
-            if doc:
-                docs.append(doc)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(cur[0])
-                cur = cur[1:]
-        cur.append(piece)
-        total += n
-    doc = "".join(cur).strip()
-    if doc:
-        docs.append(doc)
-    return docs
+        return list(range(lo, hi + 1))
+    cuts, at = [lo], text.find(sep, lo, hi)
+    while at >= 0:
+        if at > lo:
+            cuts.append(at)
+        at = text.find(sep, at + len(sep), hi)
+    return [*cuts, hi]
+
+
+def _windows(cuts: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Greedy spans over neighbouring pieces: as many pieces as fit ``size``;
+    the next span begins at the earliest piece that leaves at most ``overlap``
+    characters before the piece that did not fit, and room for it."""
+    first = 0
+    for k in range(len(cuts) - 1):
+        if k > first and cuts[k + 1] - cuts[first] > size:
+            yield cuts[first], cuts[k]
+            while first < k and (cuts[k] - cuts[first] > overlap or cuts[k + 1] - cuts[first] > size):
+                first += 1
+    if cuts[first] < cuts[-1]:
+        yield cuts[first], cuts[-1]
+
+
+def recursive_spans(text: str, size: int, overlap: int, separators: list[str],
+                    lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int, bool]]:
+    """``(start, end, whole)`` of each chunk of ``text[lo:hi]``.  The first
+    separator that occurs cuts the text; neighbouring pieces under ``size`` are
+    spanned greedily, and a longer piece is cut by the later separators, or
+    stands whole when there are none."""
+    hi = len(text) if hi is None else hi
+    level = next((k for k, s in enumerate(separators) if s == "" or text.find(s, lo, hi) >= 0), None)
+    sep = separators[-1] if level is None else separators[level]
+    later = [] if level is None or sep == "" else separators[level + 1:]
+    run: list[int] = []
+    cuts = _bounds(text, lo, hi, sep)
+    for start, end in zip(cuts, cuts[1:]):
+        if end - start < size:
+            run = run or [start]
+            run.append(end)
+            continue
+        if run:
+            yield from ((a, b, False) for a, b in _windows(run, size, overlap))
+            run = []
+        if later:
+            yield from recursive_spans(text, size, overlap, later, start, end)
+        else:
+            yield start, end, True
+    if run:
+        yield from ((a, b, False) for a, b in _windows(run, size, overlap))
 
 
 def split_recursive(text: str, size: int = DEFAULT_CHUNK_SIZE,
                     overlap: int = DEFAULT_CHUNK_OVERLAP,
                     separators: list[str] | None = None) -> list[str]:
-    """Greedy recursive splitter: the first separator present splits the
-    text (kept at the front of the next piece); pieces shorter than ``size``
-    are merged up to ``size`` carrying up to ``overlap`` characters of tail
-    pieces into the next chunk; longer pieces recurse with later separators."""
+    """Chunk texts of ``recursive_spans``: spans are stripped and blank ones
+    dropped, pieces that no separator could cut stand as they are."""
     seps = RECURSIVE_SEPARATORS if separators is None else separators
-    sep, rest = seps[-1], []
-    for i, s in enumerate(seps):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    out, good = [], []
-    for piece in _split_keep(text, sep):
-        if len(piece) < size:
-            good.append(piece)
-            continue
-        if good:
-            out.extend(_merge(good, size, overlap))
-            good = []
-        if rest:
-            out.extend(split_recursive(piece, size, overlap, rest))
-        else:
-            out.append(piece)
-    if good:
-        out.extend(_merge(good, size, overlap))
-    return out
+    chunks = (text[a:b] if whole else text[a:b].strip()
+              for a, b, whole in recursive_spans(text, size, overlap, seps))
+    return [c for c in chunks if c]
 
 
 def chunk_recursive(df: DataFrame, id_col: str = "doc_id", text: str = "text",

@@ -148,7 +148,10 @@ def embed_cached(df: DataFrame, cache: DataFrame | None, text: str = "text",
                                 F.size(out).alias("dimensions"),
                                 F.current_timestamp().alias("created_at"), out)
         return keyed.join(vecs, "text_hash", "left"), (new_rows if use_cache else None)
-    known = cache.filter(F.col("model") == model).select("text_hash", out)
+    # one vector per key, also where an append was retried: the latest
+    known = (cache.filter(F.col("model") == model).groupBy("text_hash")
+             .agg(F.max_by(out, "created_at").alias(out)) if "created_at" in cache.columns else
+             cache.filter(F.col("model") == model).groupBy("text_hash").agg(F.first(out).alias(out)))
     missing = uniq.join(known.select("text_hash"), "text_hash", "left_anti")
     fresh = embed_texts(missing, text, fn, out)
     new_rows = fresh.select(F.lit(model).alias("model"), "text_hash",

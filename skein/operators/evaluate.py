@@ -150,6 +150,16 @@ def mean_average_precision(ranked: DataFrame, queries: DataFrame | None = None,
 PERCENTILE_BUCKETS = 64     # value buckets per group for the exact percentile plan
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where a null group meets itself."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                         *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: list[float],
                       by: list[str] | None = None,
                       buckets: int = PERCENTILE_BUCKETS) -> DataFrame:
@@ -175,7 +185,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: list[float],
     bounds = (vc.groupBy(*keys) if keys else vc.groupBy()).agg(
         F.percentile_approx("_v", cuts, 10000).alias("_cuts"))
     if keys:
-        tagged = vc.join(bounds, keys)
+        tagged = _join_groups(vc, bounds, keys)
     else:   # one group: a single row of cut points
         tagged = vc.withColumn("_one", F.lit(1)).join(
             F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").drop("_one")
@@ -192,8 +202,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: list[float],
                                          Window.unboundedFollowing)).alias("_n"))
     wb = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding,
                                                                   Window.currentRow)
-    cum = (tagged.withColumn("_lend", F.sum("_c").over(wb))
-           .join(offsets, keys + ["_b"])
+    cum = (_join_groups(tagged.withColumn("_lend", F.sum("_c").over(wb)), offsets, keys + ["_b"])
            .select(*keys, "_v", "_c", (F.col("_off") + F.col("_lend")).alias("_end"), "_n"))
     targets = F.array(*[F.struct(F.lit(p).alias("p"),
                                  ((F.col("_n") - 1) * F.lit(p)).alias("h")) for p in probs])
@@ -237,7 +246,7 @@ def latency_stats(df: DataFrame, value: str = "response_time",
         pct = long.groupBy(*keys).agg(
             *[F.max(F.when(F.col("p") == p, F.col(value))).alias(name)
               for p, name in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))])
-    j = base.join(pct, keys, "left") if keys else _one_row_join(base, pct)
+    j = _join_groups(base, pct, keys, "left") if keys else _one_row_join(base, pct)
     return j.select(*keys, "count", "mean", F.col("p50").alias("median"), "min", "max",
                     "p50", "p90", "p99")
 

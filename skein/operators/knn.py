@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,9 @@ def _arrow_matrix(col: pa.Array) -> np.ndarray:
     n = len(col)
     if n == 0:
         return np.zeros((0, 0), dtype=np.float32)
+    sizes = pc.list_value_length(col)
+    if pc.min(sizes).as_py() != pc.max(sizes).as_py():
+        raise ValueError("vectors of different lengths in one column")
     flat = col.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(n, -1)
 

@@ -78,10 +78,10 @@ def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], META_SCHEMA + ", size_bytes long")
     files = None
     for part in ("vectors", "catalog"):
-        try:
-            f = (spark.read.parquet(f"{root.rstrip('/')}/*/{part}")
-                 .select(F.col("_metadata.file_path").alias("path"),
-                         F.col("_metadata.file_size").alias("size")).distinct())
+        try:    # listed as files, so that one unreadable file does not matter
+            f = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+                 .load(f"{root.rstrip('/')}/*/{part}")
+                 .select("path", F.col("length").alias("size")))
             files = f if files is None else files.unionByName(f)
         except AnalysisException:
             continue

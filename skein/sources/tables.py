@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
-from skein.functions.text import file_slug
+from skein.functions.text import file_slug, py_strip
 
 ARTICLE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
@@ -35,7 +36,7 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file, stripped; blank and ``#`` lines dropped; order
     (``line_no``) and duplicates kept."""
     lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    url = F.trim(F.col("value"))
+    url = py_strip("value")
     return (lines.select(F.col("_id").alias("line_no"), url.alias("url"))
             .filter((F.col("url") != "") & ~F.col("url").startswith("#")))
 
@@ -67,8 +68,9 @@ def read_file_index(spark: SparkSession, path: str) -> DataFrame:
     """The saved index, or an empty table when it is missing or unreadable."""
     schema = "filename string, url string, title string, extracted_at timestamp, source_domain string"
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - missing/corrupt index reads as empty
+        # corrupt files are found when they are read: skip them there
+        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    except AnalysisException:   # a missing index reads as empty
         return spark.createDataFrame([], schema)
 
 
