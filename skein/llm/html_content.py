@@ -248,7 +248,7 @@ class ContentModel:
         name = feature.split("=")[0]
         low, high = LIMITS[kind].get(name, (0.0, 0.0))
         if (feature, kind) not in self.unary:
-            odds = [math.log((self.n[f"{feature}|{y}"] + 0.5) / (self.n[f"y|{y}"] + 0.5 * WIDTH[name]))
+            odds = [math.log((self.n[f"{feature}|{y}"] + 0.05) / (self.n[f"y|{y}"] + 0.05 * WIDTH[name]))
                     for y in (0, 1)]
             self.unary[feature, kind] = max(low, min(high, odds[1] - odds[0]))
         return self.unary[feature, kind]
