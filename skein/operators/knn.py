@@ -50,82 +50,81 @@ def _sub_block(n_queries: int) -> int:
 # ---------------------------------------------------------------------------
 
 class _TopK:
-    """Running per-query top-k (smallest distance, then smallest id).
-
-    Only ``k`` (distance, id) pairs per query are kept, whatever the number
-    of vectors streamed through.  Candidates are chosen on the expanded form
-    ``|q|^2 + |v|^2 - 2 q.v`` (one matrix product per block); the survivors'
-    distances are then recomputed exactly as ``sum((q - v)^2)``.
+    """Running per-query top-k: smallest distance first, then smallest id.
+
+    Distances are ``sum((q - v)^2)`` in double precision, rounded to
+    ``tie_digits`` decimals for ranking when that is given.  The expanded form
+    ``|q|^2 + |v|^2 - 2 q.v`` (one matrix product per block) only picks
+    candidates: every vector whose expanded distance lies within its rounding
+    error (plus one rounding step) of the k-th is measured exactly, so the
+    kept rows depend neither on block sizes nor on the order of arrival, and
+    ties go to the smaller id for any id type that sorts.
     """
 
     def __init__(self, q_ids: np.ndarray, q_mat: np.ndarray, k: int,
-                 exclude_self: bool):
+                 exclude_self: bool, tie_digits: int | None = None):
         self.q_ids = q_ids
         self.q = q_mat.astype(np.float64, copy=False)
         self.q_norm = np.einsum("ij,ij->i", self.q, self.q)
         self.k = k
         self.exclude_self = exclude_self
-        n = len(q_ids)
-        self.best_d = np.full((n, k), np.inf)
-        self.best_key = np.full((n, k), np.inf)
-        self.best_id = None
-        self.n_seen = 0
+        self.tie_digits = tie_digits
+        self.gap = 0.0 if tie_digits is None else 10.0 ** -tie_digits
+        self.rows = np.empty(0, dtype=np.int64)
+        self.dist = np.empty(0)
+        self.key = np.empty(0)
+        self.ids = None
+        self.kth = np.full(len(q_ids), np.inf)      # k-th ranking key so far
+
+    def _exact(self, v: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows))
+        step = max(1, _BLOCK_CELLS // max(1, v.shape[1]))
+        for s in range(0, len(rows), step):
+            diff = self.q[rows[s:s + step]] - v[cols[s:s + step]]
+            out[s:s + step] = np.square(diff).sum(axis=1)
+        return out
 
     def add(self, v_ids: np.ndarray, v_mat: np.ndarray) -> None:
         n, k, b = len(self.q_ids), self.k, len(v_ids)
         if b == 0 or n == 0:
             return
-        if self.best_id is None:
-            self.best_id = np.zeros((n, k), dtype=v_ids.dtype)
         v = v_mat.astype(np.float64, copy=False)
+        if v.shape[1] != self.q.shape[1]:
+            raise ValueError(f"vector dimension {v.shape[1]} differs from "
+                             f"query dimension {self.q.shape[1]}")
         v_norm = np.einsum("ij,ij->i", v, v)
         d = self.q_norm[:, None] + v_norm[None, :] - 2.0 * (self.q @ v.T)
-        np.maximum(d, 0.0, out=d)
         if self.exclude_self:
             d[self.q_ids[:, None] == v_ids[None, :]] = np.inf
-        if np.issubdtype(v_ids.dtype, np.number):
-            keys = v_ids.astype(np.float64)
-        else:  # non-numeric ids: arrival order breaks exact boundary ties
-            keys = np.arange(self.n_seen, self.n_seen + b, dtype=np.float64)
-        self.n_seen += b
-
-        cand_d = np.concatenate([self.best_d, d], axis=1)
-        cand_key = np.concatenate(
-            [self.best_key, np.broadcast_to(keys, (n, b))], axis=1)
-        kth = np.partition(cand_d, k - 1, axis=1)[:, k - 1]
-        rows, cols = np.nonzero(cand_d <= kth[:, None])
-        order = np.lexsort((cand_key[rows, cols], cand_d[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        starts = np.searchsorted(rows, np.arange(n))
-        pos = np.arange(len(rows)) - starts[rows]
-        keep = pos < k
-        rows, cols, pos = rows[keep], cols[keep], pos[keep]
-
-        new_d = np.full((n, k), np.inf)
-        new_key = np.full((n, k), np.inf)
-        new_id = np.zeros((n, k), dtype=self.best_id.dtype)
-        old = cols < k
-        r, c, p = rows[old], cols[old], pos[old]
-        new_d[r, p] = self.best_d[r, c]
-        new_key[r, p] = self.best_key[r, c]
-        new_id[r, p] = self.best_id[r, c]
-        r, j, p = rows[~old], cols[~old] - k, pos[~old]
-        fresh = np.isfinite(d[r, j])
-        r, j, p = r[fresh], j[fresh], p[fresh]
-        diff = self.q[r] - v[j]
-        new_d[r, p] = np.einsum("ij,ij->i", diff, diff)
-        new_key[r, p] = keys[j]
-        new_id[r, p] = v_ids[j]
-        self.best_d, self.best_key, self.best_id = new_d, new_key, new_id
+        tol = 8 * (v.shape[1] + 8) * np.finfo(np.float64).eps * (
+            self.q_norm + np.max(v_norm, initial=0.0, where=np.isfinite(v_norm)))
+        limit = self.kth
+        if b > k:
+            limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + tol)
+        rows, cols = np.nonzero((d <= (limit + tol + self.gap)[:, None]) & np.isfinite(d))
+        if len(rows) == 0:
+            return
+        dist = self._exact(v, rows, cols)
+        key = dist if self.tie_digits is None else np.round(dist, self.tie_digits)
+        ids = v_ids[cols]
+        if self.ids is not None:
+            rows, dist = np.concatenate([self.rows, rows]), np.concatenate([self.dist, dist])
+            key, ids = np.concatenate([self.key, key]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, key, rows))
+        rows = rows[order]
+        pos = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows]
+        order, rows = order[pos < k], rows[pos < k]
+        self.rows, self.dist, self.key, self.ids = rows, dist[order], key[order], ids[order]
+        last = pos[pos < k] == k - 1
+        self.kth[rows[last]] = self.key[last]
 
     def result(self) -> pa.RecordBatch | None:
-        rows, cols = np.nonzero(np.isfinite(self.best_d))
-        if len(rows) == 0:
+        if len(self.rows) == 0:
             return None
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.q_ids[rows]), pa.array(self.best_id[rows, cols]),
-             pa.array(self.best_d[rows, cols])],
-            names=["query_id", "vec_id", "distance"])
+            [pa.array(self.q_ids[self.rows]), pa.array(self.ids), pa.array(self.dist),
+             pa.array(self.key)],
+            names=["query_id", "vec_id", "distance", "key"])
 
 
 def _arrow_matrix(col: pa.Array) -> np.ndarray:
@@ -160,9 +159,15 @@ def _empty_hits(spark, qid_type, vid_type) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _final_topk(cands: DataFrame, k: int, tie_digits: int | None = None) -> DataFrame:
-    key = F.col("distance") if tie_digits is None else F.round("distance", tie_digits)
-    w = Window.partitionBy("query_id").orderBy(key, F.col("vec_id"))
+def _cand_schema(qid_type, vid_type) -> T.StructType:
+    """Candidates of one task; ``key`` is the distance they are ranked on."""
+    return T.StructType([
+        T.StructField("query_id", qid_type), T.StructField("vec_id", vid_type),
+        T.StructField("distance", T.DoubleType()), T.StructField("key", T.DoubleType())])
+
+
+def _final_topk(cands: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("key", "vec_id")
     return (cands.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
             .select("query_id", "vec_id", "rank", "distance"))
@@ -211,31 +216,29 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
     if n_queries == 0:
         q.unpersist()
         return _empty_hits(spark, qid_type, vid_type)
-    out_schema = T.StructType([
-        T.StructField("query_id", qid_type), T.StructField("vec_id", vid_type),
-        T.StructField("distance", T.DoubleType())])
+    out_schema = _cand_schema(qid_type, vid_type)
 
     use_broadcast = (strategy == "broadcast" or
                      (strategy == "auto" and n_floats * 8 <= broadcast_bytes))
     if use_broadcast:
-        cands = _broadcast_candidates(spark, q, v, k, exclude_self, out_schema)
+        cands = _broadcast_candidates(spark, q, v, k, exclude_self, out_schema, tie_digits)
         q.unpersist()
     else:
         cands = _tiled_candidates(q, v, k, exclude_self, out_schema, n_queries,
-                                  query_block, shard_vectors)
-    return _final_topk(cands, k, tie_digits)
+                                  query_block, shard_vectors, tie_digits)
+    return _final_topk(cands, k)
 
 
-def _broadcast_candidates(spark, q, v, k, exclude_self, out_schema):
+def _broadcast_candidates(spark, q, v, k, exclude_self, out_schema, tie_digits):
     # The query side was counted and is below the broadcast bound.
     table = q.toArrow()
     q_ids = _ids(table.column("query_id"))
-    q_mat = _arrow_matrix(table.column("qv")).astype(np.float32)
+    q_mat = _arrow_matrix(table.column("qv"))
     bc = spark.sparkContext.broadcast((q_ids, q_mat))
 
     def kernel(batches):
         ids, mat = bc.value
-        top = _TopK(ids, mat, k, exclude_self)
+        top = _TopK(ids, mat, k, exclude_self, tie_digits)
         step = _sub_block(len(ids))
         for batch in batches:
             v_ids = _ids(batch.column(0))
@@ -249,8 +252,32 @@ def _broadcast_candidates(spark, q, v, k, exclude_self, out_schema):
     return v.mapInArrow(kernel, out_schema)
 
 
+def _tile(k: int, exclude_self: bool, tie_digits: int | None = None):
+    """Cogroup function: top-k of one block of queries over one shard."""
+    def run(vpdf, qpdf):
+        import pandas as pd
+        empty = pd.DataFrame(columns=["query_id", "vec_id", "distance", "key"], dtype=object)
+        if len(vpdf) == 0 or len(qpdf) == 0:
+            return empty
+        top = _TopK(qpdf["query_id"].to_numpy(), np.stack(qpdf["qv"].to_numpy()), k,
+                    exclude_self, tie_digits)
+        v_ids = vpdf["vec_id"].to_numpy()
+        v_mat = np.stack(vpdf["vv"].to_numpy())
+        step = _sub_block(len(qpdf))
+        for s in range(0, len(v_ids), step):
+            top.add(v_ids[s:s + step], v_mat[s:s + step])
+        out = top.result()
+        if out is None:
+            return empty
+        # plain numpy columns: string ids stay objects, which Arrow takes in one piece
+        cols = {c: out.column(c).to_numpy(zero_copy_only=False) for c in out.schema.names}
+        return pd.DataFrame({c: pd.Series(x, dtype=x.dtype) for c, x in cols.items()})
+
+    return run
+
+
 def _tiled_candidates(q, v, k, exclude_self, out_schema, n_queries,
-                      query_block, shard_vectors):
+                      query_block, shard_vectors, tie_digits):
     v = v.persist(StorageLevel.MEMORY_AND_DISK)   # counted, then tiled
     n_vectors = v.count()
     blocks = max(1, math.ceil(n_queries / query_block))
@@ -262,25 +289,9 @@ def _tiled_candidates(q, v, k, exclude_self, out_schema, n_queries,
     vt = (v.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
           .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
 
-    def tile(vpdf, qpdf):
-        import pandas as pd
-        if len(vpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-        top = _TopK(qpdf["query_id"].to_numpy(), np.stack(qpdf["qv"].to_numpy()),
-                    k, exclude_self)
-        v_ids = vpdf["vec_id"].to_numpy()
-        v_mat = np.stack(vpdf["vv"].to_numpy())
-        step = _sub_block(len(qpdf))
-        for s in range(0, len(v_ids), step):
-            top.add(v_ids[s:s + step], v_mat[s:s + step])
-        out = top.result()
-        if out is None:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-        return out.to_pandas()
-
     return (vt.groupBy("_b", "_s")
             .cogroup(qt.groupBy("_b", "_s"))
-            .applyInPandas(tile, out_schema))
+            .applyInPandas(_tile(k, exclude_self, tie_digits), out_schema))
 
 
 def with_similarity(hits: DataFrame, distance: str = "distance") -> DataFrame:
@@ -308,6 +319,13 @@ def hit_metadata(hits: DataFrame, metadata: DataFrame, vec_id: str = "vec_id",
 MAX_CELLS_BYTES = 64 << 20       # centroid matrix must fit a broadcast
 
 
+def default_cells(n_vectors: int, dim: int) -> int:
+    """``sqrt(n)`` cells, or as many as ``MAX_CELLS_BYTES`` of centroids hold
+    (cells are then larger and cut into more tiles)."""
+    room = MAX_CELLS_BYTES // (8 * max(dim, 1))
+    return max(1, min(int(round(math.sqrt(max(n_vectors, 1)))), room))
+
+
 def train_cells(vectors: DataFrame, n_cells: int, vector: str = "embedding",
                 seed: int = 7, max_iter: int = 20) -> np.ndarray:
     """Centroids of MLlib k-means (k-means|| init) over the vector table."""
@@ -345,8 +363,12 @@ def nearest_cells(df: DataFrame, centers: np.ndarray, nprobe: int, id_col: str,
             ids = batch.column(0)
             vecs = batch.column(1)
             m = _arrow_matrix(vecs).astype(np.float64)
-            d = np.einsum("ij,ij->i", m, m)[:, None] + cn[None, :] - 2.0 * (m @ c.T)
-            order = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+            order = np.empty((len(m), nprobe), dtype=np.int64)
+            step = max(1, _BLOCK_CELLS // len(c))
+            for s in range(0, len(m), step):
+                # |m|^2 is the same for all cells of a row
+                d = cn[None, :] - 2.0 * (m[s:s + step] @ c.T)
+                order[s:s + step] = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
             rows = np.repeat(np.arange(len(m)), nprobe)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
@@ -378,7 +400,8 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
     spark = queries.sparkSession
     if centers is None:
         if not n_cells:
-            n_cells = max(1, int(round(math.sqrt(max(vectors.count(), 1)))))
+            size = vectors.agg(F.count(vector).alias("n"), F.max(F.size(vector)).alias("d")).first()
+            n_cells = default_cells(size["n"], size["d"] or 1)
         centers = train_cells(vectors.filter(F.col(vector).isNotNull()), n_cells, vector, seed)
     vcell = nearest_cells(vectors.filter(F.col(vector).isNotNull()), centers, 1, vec_id, vector)
     qcell = nearest_cells(queries.filter(F.col(query_vector).isNotNull()), centers, nprobe,
@@ -388,53 +411,42 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *,
 
 
 def _probe_cells(vcell: DataFrame, qcell: DataFrame, k: int, exclude_self: bool,
-                 shard_vectors: int) -> DataFrame:
+                 shard_vectors: int, query_block: int = DEFAULT_QUERY_BLOCK) -> DataFrame:
     """Exact top-k of each query over the vectors of its probed cells.
 
     ``vcell``: _id, _v, cell (one row per vector); ``qcell``: _id, _v, cell
     (one row per probed cell of a query).  Vectors of unprobed cells are
     dropped by a semi-join on the probed cell ids first (on a table
-    partitioned by cell this prunes whole partitions).
+    partitioned by cell this prunes whole partitions).  A cell is cut into
+    tiles of about ``shard_vectors`` vectors by ``query_block`` queries, so
+    neither a crowded nor a popular cell becomes one task.
     """
     spark = qcell.sparkSession
     probed = qcell.select("cell").distinct()
     vcell = vcell.join(probed, "cell", "left_semi")
-    sizes = vcell.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    shards = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / shard_vectors))
-                          .cast("int").alias("_s"))
-    # one row per cell: bounded by the number of cells, so broadcasting it is safe
-    shards = F.broadcast(shards)
-    vt = (vcell.join(shards, "cell")
-          .select(F.col("_id").alias("vec_id"), F.col("_v").alias("vv"), "cell",
-                  F.pmod(F.xxhash64("_id"), F.col("_s")).cast("int").alias("_sub")))
-    qt = (qcell.join(shards, "cell")
-          .select(F.col("_id").alias("query_id"), F.col("_v").alias("qv"), "cell",
-                  F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_sub")))
-    # cell (int) and _sub (int) have the same types on both cogroup sides
-    out_schema = T.StructType([
-        T.StructField("query_id", qt.schema["query_id"].dataType),
-        T.StructField("vec_id", vt.schema["vec_id"].dataType),
-        T.StructField("distance", T.DoubleType())])
+    qid_type, vid_type = qcell.schema["_id"].dataType, vcell.schema["_id"].dataType
     if k == 0:
-        return _empty_hits(spark, out_schema["query_id"].dataType, out_schema["vec_id"].dataType)
-
-    def tile(vpdf, qpdf):
-        import pandas as pd
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-        if len(vpdf) == 0 or len(qpdf) == 0:
-            return empty
-        top = _TopK(qpdf["query_id"].to_numpy(), np.stack(qpdf["qv"].to_numpy()), k,
-                    exclude_self)
-        v_ids = vpdf["vec_id"].to_numpy()
-        v_mat = np.stack(vpdf["vv"].to_numpy())
-        step = _sub_block(len(qpdf))
-        for s in range(0, len(v_ids), step):
-            top.add(v_ids[s:s + step], v_mat[s:s + step])
-        out = top.result()
-        return empty if out is None else out.to_pandas()
+        return _empty_hits(spark, qid_type, vid_type)
 
-    cands = (vt.groupBy("cell", "_sub").cogroup(qt.groupBy("cell", "_sub"))
-             .applyInPandas(tile, out_schema))
+    def pieces(rows: DataFrame, size: int, out: str) -> DataFrame:
+        return rows.groupBy("cell").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(out))
+
+    # one row per probed cell
+    grid = pieces(vcell, shard_vectors, "_nv").join(pieces(qcell, query_block, "_nq"), "cell")
+
+    def tiles(rows: DataFrame, own: str, other: str, id_name: str, vec_name: str) -> DataFrame:
+        j = rows.join(grid, "cell")
+        return j.select(F.col("_id").alias(id_name), F.col("_v").alias(vec_name), "cell",
+                        F.pmod(F.xxhash64("_id"), F.col(own)).cast("int").alias(own[1:]),
+                        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[1:]))
+
+    # key columns in one order and of one type on both cogroup sides
+    keys = ["cell", "nv", "nq"]
+    vt = tiles(vcell, "_nv", "_nq", "vec_id", "vv").select("vec_id", "vv", *keys)
+    qt = tiles(qcell, "_nq", "_nv", "query_id", "qv").select("query_id", "qv", *keys)
+    cands = (vt.groupBy(*keys).cogroup(qt.groupBy(*keys))
+             .applyInPandas(_tile(k, exclude_self), _cand_schema(qid_type, vid_type)))
     return _final_topk(cands, k)
 
 

@@ -14,7 +14,7 @@ from skein.functions.text import py_strip, words
 from skein.operators.embed import BatchFn, embed_texts
 from skein.operators.knn import knn_exact
 
-MAX_SHORT_PASSAGES = 100_000    # bound on short passages shipped to the scan tasks
+SHORT_GRAM = 3                  # characters per anchor of a passage under three words
 METADATA_DEFAULTS = {"title": "Unknown", "url": "", "publish_date": "Unknown"}
 
 
@@ -93,72 +93,43 @@ def passage_matches(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_
     word count), candidates are the documents holding that word (an
     equi-join, i.e. an inverted-index lookup), and ``contains`` confirms
     them.  Passages of fewer than three words have no interior word; they
-    are found by one multi-pattern (Aho-Corasick) pass over each document
-    (their number is counted and bounded).
+    are anchored on their rarest run of three characters (or on their whole
+    text if shorter) in the same way.  Empty passages match nothing.
     """
     p = passages.select(F.col(passage_id).alias("_pid"), F.col(passage_text).alias("_pt"))
     d = docs.select(F.col(doc_id).alias("_did"), F.col(doc_text).alias("_dt"))
     pw = words(F.col("_pt"))
     interior = p.select("_pid", "_pt", F.explode(F.array_distinct(
         F.slice(pw, 2, F.greatest(F.size(pw) - 2, F.lit(0))))).alias("_w"))
-    # only words that occur inside some passage can be anchors: keep those
-    # document words (semi-join) before counting and joining
-    doc_words = (d.select("_did", F.explode(F.array_distinct(words(F.col("_dt")))).alias("_w"))
-                 .join(interior.select("_w").distinct(), "_w", "left_semi"))
-    df = doc_words.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
-    anchor = (interior.join(df, "_w")
+    doc_words = d.select("_did", F.explode(F.array_distinct(words(F.col("_dt")))).alias("_w"))
+    out = _confirmed(interior, doc_words, d)
+    short = p.filter((F.size(pw) < 3) & (F.length("_pt") > 0))
+    if not short.isEmpty():
+        size = F.least(F.length("_pt"), F.lit(SHORT_GRAM))
+        anchors = short.select("_pid", "_pt", F.explode(_grams(F.col("_pt"), size)).alias("_w"))
+        sizes = F.explode(F.sequence(F.lit(1), F.lit(SHORT_GRAM)))
+        doc_grams = (d.select("_did", "_dt", sizes.alias("_n"))
+                     .select("_did", F.explode(_grams(F.col("_dt"), F.col("_n"))).alias("_w")))
+        out = out.unionByName(_confirmed(anchors, doc_grams, d))
+    return out.select(F.col("_pid").alias(passage_id), F.col("_did").alias(doc_id))
+
+
+def _grams(text, size) -> F.Column:
+    """Distinct runs of ``size`` characters (none if the text is shorter)."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.array_distinct(F.transform(
+        chars, lambda _, i: F.array_join(F.slice(chars, i + 1, size), "")))
+
+
+def _confirmed(anchors: DataFrame, doc_keys: DataFrame, d: DataFrame) -> DataFrame:
+    """``_pid, _did``: candidates share the passage's rarest key, ``contains``
+    decides.  ``anchors``: _pid, _pt, _w; ``doc_keys``: _did, _w."""
+    # only keys that occur inside some passage can be anchors: keep those
+    # document keys (semi-join) before counting and joining
+    doc_keys = doc_keys.join(anchors.select("_w").distinct(), "_w", "left_semi")
+    df = doc_keys.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = (anchors.join(df, "_w")
               .groupBy("_pid", "_pt").agg(F.min_by("_w", F.struct("_df", "_w")).alias("_w")))
-    cand = anchor.join(doc_words, "_w").select("_pid", "_pt", "_did")
-    out = (cand.join(d, "_did").filter(F.col("_dt").contains(F.col("_pt")))
-           .select(F.col("_pid").alias(passage_id), F.col("_did").alias(doc_id)))
-    short = p.filter(F.size(words(F.col("_pt"))) < 3)
-    n_short = short.count()
-    if n_short == 0:
-        return out
-    if n_short > MAX_SHORT_PASSAGES:
-        raise ValueError(f"{n_short} passages under three words; at most "
-                         f"{MAX_SHORT_PASSAGES} are matched by the multi-pattern scan")
-    return out.unionByName(_scan_short_passages(d, short, passage_id, doc_id))
-
-
-def _scan_short_passages(d: DataFrame, short: DataFrame, passage_id: str,
-                         doc_id: str) -> DataFrame:
-    """Documents containing any of a bounded set of short passages, found by
-    one Aho-Corasick pass over each document (work per document is linear in
-    its length, not in the number of passages).  The passage set was
-    counted by the caller, so shipping it to the tasks is bounded."""
-    import pandas as pd
-    spark = d.sparkSession
-    pats = short.select("_pid", "_pt").toPandas()
-    bc = spark.sparkContext.broadcast(list(zip(pats["_pid"].tolist(), pats["_pt"].tolist())))
-    pid_type = short.schema["_pid"].dataType.simpleString()
-    did_type = d.schema["_did"].dataType.simpleString()
-
-    def scan(batches):
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        by_text: dict[str, list] = {}
-        for pid, text in bc.value:
-            if text:
-                by_text.setdefault(text, []).append(pid)
-        for text, pids in by_text.items():
-            auto.add_word(text, pids)
-        empty = not by_text
-        if not empty:
-            auto.make_automaton()
-        for pdf in batches:
-            out_p, out_d = [], []
-            if not empty:
-                for did, text in zip(pdf["_did"], pdf["_dt"]):
-                    if not text:
-                        continue
-                    seen = set()
-                    for _end, pids in auto.iter(text):
-                        for pid in pids:
-                            if pid not in seen:
-                                seen.add(pid)
-                                out_p.append(pid)
-                                out_d.append(did)
-            yield pd.DataFrame({passage_id: out_p, doc_id: out_d})
-
-    return d.select("_did", "_dt").mapInPandas(scan, f"{passage_id} {pid_type}, {doc_id} {did_type}")
+    cand = rarest.join(doc_keys, "_w").select("_pid", "_pt", "_did")
+    return (cand.join(d, "_did").filter(F.col("_dt").contains(F.col("_pt")))
+            .select("_pid", "_did"))

@@ -22,7 +22,7 @@ from skein.operators.extract import extract_articles
 from skein.plans import sqltext as S
 from skein.plans.chunks import _ARTICLES_SQL
 from skein.plans.embedding import _sparse_sql
-from skein.plans.registry import load, register
+from skein.plans.registry import load, pair_key, register
 from skein.session import materialize
 
 K = 5
@@ -30,7 +30,6 @@ K_SOURCES = 3
 HISTORY_MESSAGES = 2 * SS.DEFAULT_MAX_TURNS
 LAST_TURNS = 3
 SIZE, STEP = C.DEFAULT_CHUNK_SIZE, C.DEFAULT_CHUNK_SIZE - C.DEFAULT_CHUNK_OVERLAP
-ID_BASE = 100000
 EXTRACT_TIME = "2024-01-01 00:00:00"
 
 
@@ -39,14 +38,14 @@ def article_chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     arts = extract_articles(p, extracted_at=F.lit(EXTRACT_TIME))
     ch = C.chunk_fixed(arts.select("page_id", F.col("url").alias("article_id"), "title",
                                    "url", "text"))
-    return ch.select((F.col("page_id") * ID_BASE + F.col("chunk_index")).alias("chunk_id"),
+    return ch.select(pair_key("page_id", "chunk_index").alias("chunk_id"),
                      "article_id", "title", "url", "chunk")
 
 
 def user_questions(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "conversations")
     return c.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * ID_BASE + F.col("turn")).alias("query_id"), "conv_id", "turn",
+        pair_key("conv_id", "turn").alias("query_id"), "conv_id", "turn",
         F.col("text").alias("question"))
 
 
@@ -67,7 +66,7 @@ def prompt_histories(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "conversations")
     fan = c.select("conv_id", "turn", "role", "text",
                    F.explode(F.sequence(F.lit(1), F.lit(HISTORY_MESSAGES))).alias("_d"))
-    fan = fan.select((F.col("conv_id") * ID_BASE + F.col("turn") + F.col("_d")).alias("query_id"),
+    fan = fan.select(pair_key("conv_id", F.col("turn") + F.col("_d")).alias("query_id"),
                      F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
     q = user_questions(spark, sf).select("query_id")
     return G.prompt_history(fan.join(q, "query_id", "left_semi"))
@@ -79,9 +78,9 @@ _RAG_SQL = _ARTICLES_SQL + f""",
 s2 AS (SELECT page_id, article_id, url, title, text,
               unnest(CASE WHEN length(text) <= {SIZE} THEN [0::BIGINT]
                           ELSE range(0, length(text), {STEP}) END) AS st FROM a),
-ch AS (SELECT page_id * {ID_BASE} + st // {STEP} AS chunk_id, article_id, title, url,
+ch AS (SELECT page_id || ':' || (st // {STEP}) AS chunk_id, article_id, title, url,
               substr(text, st + 1, {SIZE}) AS chunk FROM s2),
-uq AS (SELECT conv_id * {ID_BASE} + turn AS query_id, conv_id, turn, text AS question
+uq AS (SELECT conv_id || ':' || turn AS query_id, conv_id, turn, text AS question
        FROM conversations WHERE role = 'user'),
 """ + _sparse_sql("ch", "chunk_id", "chunk", "cv") + "," + \
     _sparse_sql("uq", "query_id", "question", "qv") + """,

@@ -11,19 +11,18 @@ from skein.operators import chunk as C
 from skein.operators import evaluate as ev
 from skein.operators import embed as E
 from skein.operators import retrieval as R
-from skein.plans.registry import load, register
+from skein.plans.registry import load, pair_key, register
 from skein.session import materialize
 
 K = 5
 DIM = E.DEFAULT_DIM
 SIZE, STEP = C.DEFAULT_CHUNK_SIZE, C.DEFAULT_CHUNK_SIZE - C.DEFAULT_CHUNK_OVERLAP
-CHUNK_ID_BASE = 100000
 
 
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     d = load(spark, sf, "documents", spread=True)
     ch = C.chunk_fixed(d.select("doc_id", "lang", "source", "text"))
-    return ch.select((F.col("doc_id") * CHUNK_ID_BASE + F.col("chunk_index")).alias("chunk_id"),
+    return ch.select(pair_key("doc_id", "chunk_index").alias("chunk_id"),
                      F.col("doc_id").cast("string").alias("article_id"), "doc_id",
                      "chunk_index", "chunk", "lang", "source")
 
@@ -59,7 +58,7 @@ _CHUNKS_SQL = f"""
 d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND text <> ''),
 s AS (SELECT doc_id, text,
              unnest(CASE WHEN n <= {SIZE} THEN [0::BIGINT] ELSE range(0, n, {STEP}) END) AS st FROM d),
-ch AS (SELECT doc_id * {CHUNK_ID_BASE} + st // {STEP} AS chunk_id, doc_id, st // {STEP} AS chunk_index,
+ch AS (SELECT doc_id || ':' || (st // {STEP}) AS chunk_id, doc_id, st // {STEP} AS chunk_index,
               substr(text, st + 1, {SIZE}) AS chunk FROM s)"""
 
 _SEARCH_SQL = "WITH " + _CHUNKS_SQL + "," + _sparse_sql("ch", "chunk_id", "chunk", "cv") + "," + \

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as TX
 from skein.operators import evaluate as ev
 from skein.plans import sqltext as S
-from skein.plans.registry import load, register
+from skein.plans.registry import load, pair_key, register
 
 CONTEXT_TURNS = 2
 KEYS = ["conv_id", "turn"]
@@ -44,7 +44,7 @@ def answer_contexts(conv: DataFrame, n: int = CONTEXT_TURNS) -> DataFrame:
 def eval_records(spark: SparkSession, sf: str) -> DataFrame:
     conv = load(spark, sf, "conversations", spread=True)
     pairs = qa_pairs(conv).join(answer_contexts(conv), KEYS, "left")
-    return pairs.select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"),
+    return pairs.select(pair_key("conv_id", "turn").alias("query_id"),
                         F.col("question"), F.col("answer"),
                         F.col("question").alias("expected_answer"), "context")
 
@@ -133,7 +133,7 @@ def q_latency_stats(spark, sf):
 
 
 @register("evaluate_queries", sql=_PAIRS_SQL + """
-, rp AS (SELECT p.conv_id * 100000 + p.turn AS query_id, p.question, p.answer, c.context
+, rp AS (SELECT p.conv_id || ':' || p.turn AS query_id, p.question, p.answer, c.context
          FROM pairs p LEFT JOIN ctx c ON c.conv_id = p.conv_id AND c.turn = p.turn),
 {h1},
 {h2}

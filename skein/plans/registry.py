@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PlanFn = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,12 @@ def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) ->
     return df
 
 
+def pair_key(owner, position) -> Column:
+    """``owner:position`` as one string id, unique for any number of positions."""
+    return F.concat(F.col(owner).cast("string"), F.lit(":"),
+                    (F.col(position) if isinstance(position, str) else position).cast("string"))
+
+
 def plans() -> dict[str, PlanFn]:
     _import_all()
     return dict(_PLANS)

@@ -87,3 +87,70 @@ def test_persisted_ivf_index(spark):
     part = search_ivf_index(spark, path, q.limit(5), k=5, nprobe=1)
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert part.count() == 25 and "cell" in plan
+
+
+def test_ties_do_not_depend_on_partitions_blocks_or_id_type(spark):
+    """More equal vectors than k: the smallest ids win, however rows are dealt."""
+    rows = [(f"v{(i * 7919) % 3000:04d}", [0.1, 0.2, 0.3]) for i in range(3000)]
+    rows += [("zero", [0.1, 0.2, 0.3000001])]
+    q = spark.createDataFrame([(f"q{i}", [0.1, 0.2, 0.3 + i * 1e-3]) for i in range(7)],
+                              "query_id string, embedding array<double>")
+    want = None
+    for parts, kw in ((1, {}), (7, {}), (64, {}),
+                      (3, {"strategy": "tiled", "query_block": 2, "shard_vectors": 500})):
+        df = spark.createDataFrame(rows, "vec_id string, embedding array<double>") \
+            .repartition(parts)
+        got = sorted(tuple(r) for r in knn_exact(q, df, k=5, tie_digits=9, **kw).collect())
+        want = want or got
+        assert got == want
+    assert [r[1] for r in want if r[0] == "q0"] == [f"v{i:04d}" for i in range(5)]
+    assert all(r[3] == 0.0 for r in want if r[0] == "q0")
+
+
+def test_large_integer_ids_tie_exactly(spark):
+    base = 2 ** 60
+    df = spark.createDataFrame([(base + i, [1.0, 0.0]) for i in (5, 3, 4, 1, 2)],
+                               "vec_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    got = knn_exact(q, df, k=3).orderBy("rank").collect()
+    assert [r.vec_id - base for r in got] == [1, 2, 3]
+
+
+def test_ragged_vectors_fail(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0])],
+                               "vec_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<float>")
+    with pytest.raises(Exception, match="length"):
+        knn_exact(q, df, k=2).collect()
+    with pytest.raises(Exception, match="dimension"):
+        knn_exact(q, df.filter("vec_id = 1"), k=2).collect()
+
+
+def test_popular_cell_is_tiled_on_both_sides(spark, vecs):
+    from skein.operators.knn import _probe_cells, default_cells
+    df, _ = vecs
+
+    def one_cell():
+        return df.select((F.col("vec_id") + 0).alias("_id"),
+                         F.slice("embedding", 1, 16).alias("_v"), F.lit(0).alias("cell"))
+    got = _probe_cells(one_cell(), one_cell(), 4, True, shard_vectors=30, query_block=40)
+    want = knn_exact(df.withColumnRenamed("vec_id", "query_id"), df, k=4, exclude_self=True)
+    key = lambda d: sorted((r.query_id, r.rank, r.vec_id) for r in d.collect())
+    assert key(got) == key(want)
+    assert default_cells(10 ** 12, 768) * 768 * 8 <= 64 << 20
+
+
+def test_short_passages(spark):
+    from skein.operators.retrieval import passage_matches
+    docs = {1: "alpha xbetay gamma", 2: "a b", 3: None, 4: "", 5: "\U0001F600ab betay", 6: "beta"}
+    items = {1: "beta", 2: "a", 3: "", 4: "xbetay gam", 5: "\U0001F600a", 6: "zz", 7: "b", 8: None}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    p = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in passage_matches(d, p).collect()}
+    assert got == {(i, j) for i, t in items.items() for j, x in docs.items() if t and x and t in x}
+
+
+def test_pair_keys_never_collide(spark):
+    from skein.plans.registry import pair_key
+    df = spark.createDataFrame([(1, 100000), (2, 0)], "a long, b long")
+    assert {r[0] for r in df.select(pair_key("a", "b")).collect()} == {"1:100000", "2:0"}
