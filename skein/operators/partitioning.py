@@ -1,11 +1,9 @@
 """Partitioning helpers.
 
-``spread`` gives CPU-heavy row-wise stages (regex cleaning, HTML parsing,
-embedding) enough tasks: when a scan yields fewer partitions than the
-cluster's default parallelism (e.g. one large Parquet row group), rows are
-dealt round-robin over that many partitions.  On a large table with many
-splits it is a no-op, so it never adds a shuffle where the scan already
-fans out.
+``spread`` deals rows to ``partitions`` tasks where a caller asks for it, for
+CPU-heavy row-wise stages (regex cleaning, HTML parsing, embedding) over a
+table stored as a few large row groups.  Without a number it does nothing: on
+a large table the scan's own splits are enough and no shuffle is added.
 """
 
 from __future__ import annotations
@@ -13,8 +11,5 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    return df if partitions is None else df.repartition(partitions)

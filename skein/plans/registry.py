@@ -32,11 +32,13 @@ def register(name: str, sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
-    """Read one test table; ``spread=True`` for CPU-heavy row-wise plans."""
+    """Read one test table; ``spread=True`` for CPU-heavy row-wise plans, whose
+    rows are dealt to ``spark.skein.inputPartitions`` tasks if that setting is given."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     if spread:
         from skein.operators.partitioning import spread as _spread
-        df = _spread(df)
+        n = spark.conf.get("spark.skein.inputPartitions", None)
+        df = _spread(df, int(n) if n else None)
     return df
 
 

@@ -22,6 +22,7 @@ def spark():
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", "8g")
          .config("spark.checkpoint.dir", ckpt)
+         .config("spark.skein.inputPartitions", "8")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -80,6 +80,7 @@ def main(argv):
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]")
              .config("spark.sql.shuffle.partitions", "8")
+             .config("spark.skein.inputPartitions", "8")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "8g")
