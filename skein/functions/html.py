@@ -4,13 +4,13 @@ These replace a per-row DOM parser with native regex/array expressions, so a
 whole ``pages`` table is processed inside whole-stage codegen.  The model is
 the one of a lenient HTML tokenizer:
 
-* a tag is ``<`` or ``</`` followed by a letter, up to the next ``>``; a bare
-  ``a < b`` is text;
+* a tag is ``<`` or ``</`` followed by a letter, up to the next ``>`` outside
+  a quoted attribute value; a bare ``a < b`` is text;
 * comments, ``<!...>`` declarations, ``<?...?>`` instructions and the bodies
   of ``script``/``style``/``template`` carry no text;
-* text nodes are the pieces between those; entities are decoded per node
-  (``&amp;`` last, so ``&amp;lt;`` decodes once; legacy names also without
-  the trailing ``;``).
+* text nodes are the pieces between those; character references are decoded
+  per node, each once: numeric ones by the HTML rules, named ones by the whole
+  HTML5 table, legacy names also without the trailing ``;``.
 
 Element selection (``html_select_text``) handles non-nested ``tag``,
 ``tag.class`` and ``tag#id`` selectors.
@@ -18,7 +18,7 @@ Element selection (``html_select_text``) handles non-nested ``tag``,
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,24 +28,6 @@ from skein.functions.text import WS, py_strip, url_origin
 # --- fixed values -----------------------------------------------------------
 COMMENT = r"(?s:<!--.*?-->)"
 RAW_TEXT_ELEMENTS = ["script", "style", "template"]
-TAG = r"</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>"
-# Named character references decoded (besides numeric ones), '&amp;' last.
-NAMED_ENTITIES = [
-    ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "),
-    ("copy", "©"), ("reg", "®"), ("trade", "™"),
-    ("middot", "·"), ("mdash", "—"), ("ndash", "–"),
-    ("hellip", "…"), ("lsquo", "‘"), ("rsquo", "’"),
-    ("ldquo", "“"), ("rdquo", "”"), ("laquo", "«"),
-    ("raquo", "»"), ("bull", "•"), ("deg", "°"),
-    ("euro", "€"), ("pound", "£"), ("yen", "¥"),
-    ("cent", "¢"), ("sect", "§"), ("para", "¶"),
-    ("times", "×"), ("divide", "÷"), ("plusmn", "±"),
-]
-# Of those, the legacy names that are also decoded without the trailing ';'.
-LEGACY_NO_SEMICOLON = [
-    "amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "deg", "times",
-    "divide", "plusmn", "pound", "yen", "cent", "sect", "para", "laquo", "raquo",
-]
 # Meta keys read by the article field extractor.
 META_IMAGE = "og:image"
 META_DESCRIPTION = "description"
@@ -56,12 +38,22 @@ EXTRACTION_METHOD = "skein-html"
 # --- end of fixed values ----------------------------------------------------
 
 
+# The rest of a tag up to its '>': whatever is no '=', and after each '=' a
+# quoted value taken whole (possessive: one pass, no backtracking).
+ATTRS = r"""[^>=]*+(?:=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+[^>=]*+)*+"""
+TAG = rf"</?[A-Za-z]{ATTRS}>|<![^>]*>|<\?[^>]*>"
+# One attribute: its name and, if any, its value.
+ATTRIBUTE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+
+
 def raw_block(tag: str) -> str:
-    return rf"(?is:<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>)"
+    return rf"(?is:<{tag}(?:[\s/]{ATTRS})?>.*?</{tag}\s*>)"
 
 
+# markup whose content is neither text nor elements
+HIDDEN = "|".join([COMMENT] + [raw_block(t) for t in RAW_TEXT_ELEMENTS])
 # one alternation: anything that separates text nodes
-NODE_SPLIT = "|".join([COMMENT] + [raw_block(t) for t in RAW_TEXT_ELEMENTS] + [TAG])
+NODE_SPLIT = f"{HIDDEN}|{TAG}"
 
 
 def _col(c) -> Column:
@@ -72,36 +64,56 @@ def _col(c) -> Column:
 WINDOWS_1252 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
 
 # One token per character reference or run of other text, left to right.
-ENTITY_TOKENS = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+ENTITY_TOKENS = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*[;=]?|[^&]+|&"
+# Names that are also decoded without ';', longest first.
+LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
 
+def _bound(c, fn) -> Column:
+    """``fn(c)`` with ``c`` computed once, however often ``fn`` reads it."""
+    return F.element_at(F.transform(F.array(_col(c)), fn), 1)
 
-def decode_entities(c) -> Column:
+
+def decode_entities(c, attribute: bool = False) -> Column:
     """Decode character references in one left-to-right pass, as an HTML
-    parser does: numeric ones (with or without ';'), the named ones above
-    with ';', and the legacy names also without ';' (longest legacy prefix,
-    the rest kept).  Each reference is decoded once, so ``&amp;lt;`` gives
-    ``&lt;`` and ``&#38;amp;`` gives ``&amp;``."""
-    t = _col(c)
-    tokens = F.regexp_extract_all(t, F.lit(ENTITY_TOKENS), 0)
+    parser does: numeric ones (with or without ';'), the names of HTML5 with
+    ';', and the legacy names also without ';' (longest legacy prefix, the
+    rest kept; in an attribute value only if no letter, digit or '=' follows).
+    Each reference is decoded once, so ``&amp;lt;`` gives ``&lt;`` and
+    ``&#38;amp;`` gives ``&amp;``."""
+    return _bound(c, lambda t: _decode(t, attribute))
+
+
+def _decode(t: Column, attribute: bool = False) -> Column:
+    tokens = F.regexp_extract_all(t, F.lit(ENTITY_TOKENS), F.lit(0))
     return F.when(~t.contains("&"), t).otherwise(
-        F.array_join(F.transform(tokens, _decode_token), ""))
+        F.array_join(F.transform(tokens, lambda k: _decode_token(k, attribute)), ""))
 
 
-def _decode_token(tok: Column) -> Column:
+def _names() -> Column:
+    """Name (with ';' where it has one) -> characters, folded to one literal."""
+    return F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in html5.items())),
+                        F.lit("\x01"), F.lit("\x02"))
+
+
+def _decode_token(tok: Column, attribute: bool) -> Column:
     # numbers without their leading zeros; longer ones are out of range
-    is_dec, is_hex = tok.rlike(r"^&#[0-9]+;?$"), tok.rlike(r"^&#[xX][0-9A-Fa-f]+;?$")
     dec = F.concat(F.lit("0"), F.regexp_extract(tok, r"^&#0*([0-9]{0,7});?$", 1))
     hexa = F.concat(F.lit("0"), F.regexp_extract(tok, r"^&#[xX]0*([0-9A-Fa-f]{0,6});?$", 1))
-    out = (F.when(is_dec, _codepoint(dec.cast("int")))
-           .when(is_hex, _codepoint(F.conv(hexa, 16, 10).cast("int"))))
-    for name, ch in NAMED_ENTITIES:
-        out = out.when(tok == f"&{name};", F.lit(ch))
-    # legacy names without ';': the longest matching prefix, rest kept
-    for name, ch in sorted(((n, c) for n, c in NAMED_ENTITIES if n in LEGACY_NO_SEMICOLON),
-                           key=lambda kv: -len(kv[0])):
-        out = out.when(tok.startswith(f"&{name}"),
-                       F.concat(F.lit(ch), F.substr(tok, F.lit(len(name) + 2))))
-    return out.otherwise(tok)
+    name = F.substr(tok, F.lit(2))
+    legacy = F.regexp_extract(name, f"^({'|'.join(LEGACY)})", 1)
+    rest = F.substr(name, F.length(legacy) + 1)
+    known = F.try_element_at(_names(), name)
+    prefix = (legacy != "") & (rest == "") if attribute else legacy != ""
+    return (F.when(~tok.startswith("&") | (tok == "&"), tok)
+            .when(tok == "&amp;", F.lit("&"))
+            .when(tok.rlike("^&#0*[1-9][0-9]{7,};?$"), F.lit("\ufffd"))
+            .when(tok.rlike(r"^&#[xX]0*[1-9A-Fa-f][0-9A-Fa-f]{6,};?$"), F.lit("\ufffd"))
+            .when(tok.rlike("^&#[0-9]"), _codepoint(dec.cast("int")))
+            .when(tok.startswith("&#"), _codepoint(F.conv(hexa, 16, 10).cast("int")))
+            .when(known.isNotNull(), known)
+            .when(prefix, F.concat(F.try_element_at(_names(), legacy), rest))
+            .otherwise(tok))
 
 
 def _codepoint(n: Column) -> Column:
@@ -116,14 +128,12 @@ def _codepoint(n: Column) -> Column:
 
 def html_strip(c) -> Column:
     """All text of a fragment glued with no separator (markup removed)."""
-    h = _col(c)
-    t = F.when(h.contains("<"), F.regexp_replace(h, NODE_SPLIT, "")).otherwise(h)
-    return decode_entities(t)
+    return decode_entities(F.regexp_replace(_col(c), NODE_SPLIT, ""))
 
 
 def text_nodes(c) -> Column:
     """Array of decoded text nodes (in document order, not stripped)."""
-    return F.transform(F.split(_col(c), NODE_SPLIT), decode_entities)
+    return F.transform(F.split(_col(c), NODE_SPLIT), lambda t: _decode(t))
 
 
 def html_text(c, sep: str = "") -> Column:
@@ -133,7 +143,7 @@ def html_text(c, sep: str = "") -> Column:
 
 
 def _element_rx(tag: str) -> str:
-    return rf"(?is)<{tag}(\s[^>]*)?>(.*?)</{tag}\s*>"
+    return rf"(?is)<{tag}([\s/]{ATTRS})?>(.*?)</{tag}\s*>"
 
 
 def html_title(c) -> Column:
@@ -144,12 +154,19 @@ def html_title(c) -> Column:
 
 
 def attr(tag_text, name: str) -> Column:
-    """Decoded value of attribute ``name`` in a start tag; NULL if absent."""
-    rx = (rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-    t = _col(tag_text)
-    val = F.concat(F.regexp_extract(t, rx, 1), F.regexp_extract(t, rx, 2),
-                   F.regexp_extract(t, rx, 3))
-    return F.when(t.rlike(rx), decode_entities(val))
+    """Decoded value of attribute ``name`` in a start tag: the first of that
+    name, read in order (never from inside another value); ``''`` if it has
+    no value, NULL if absent."""
+    parts = F.regexp_extract_all(_col(tag_text), F.lit(ATTRIBUTE), F.lit(0))
+    own = F.get(F.filter(parts, lambda p: p.rlike(rf"(?i)^{name}(?:\s*=|$)")), F.lit(0))
+    value = F.regexp_replace(own, r"^[^\s=]++\s*+(?:=\s*+)?+", "")
+    return decode_entities(F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2"), attribute=True)
+
+
+def _tags(h: Column, tag: str) -> Column:
+    """Start tags of one element outside comments and scripts."""
+    return F.regexp_extract_all(F.regexp_replace(h, HIDDEN, ""),
+                                F.lit(rf"(?i)<{tag}[\s/]{ATTRS}>"), F.lit(0))
 
 
 def html_meta_entries(c) -> Column:
@@ -157,7 +174,7 @@ def html_meta_entries(c) -> Column:
     any), then every ``<meta>`` whose name-or-property and content are both
     non-empty.  Later entries win when turned into a map."""
     h = _col(c)
-    tags = F.regexp_extract_all(h, F.lit(r"(?is)<meta\s[^>]*>"), 0)
+    tags = _tags(h, "meta")
 
     def entry(t):
         name = attr(t, "name")
@@ -192,7 +209,7 @@ def html_links(c, base_url=None) -> Column:
     everything else dropped.  Order and duplicates kept."""
     h = _col(c)
     base = F.coalesce(_col(base_url), F.lit("")) if base_url is not None else F.lit("")
-    tags = F.regexp_extract_all(h, F.lit(r"(?is)<a\s[^>]*>"), 0)
+    tags = _tags(h, "a")
     hrefs = F.transform(tags, lambda t: attr(t, "href"))
     resolved = F.transform(hrefs, lambda u: F.when(u.startswith("http"), u).when(
         (base != "") & u.startswith("/"),
@@ -210,8 +227,8 @@ def html_select_text(c, selector: str) -> Column:
         tag, eid = selector.split("#", 1)
     rx = _element_rx(tag)
     h = _col(c)
-    elems = F.arrays_zip(F.regexp_extract_all(h, F.lit(rx), 1).alias("a"),
-                         F.regexp_extract_all(h, F.lit(rx), 2).alias("b"))
+    elems = F.arrays_zip(F.regexp_extract_all(h, F.lit(rx), F.lit(1)).alias("a"),
+                         F.regexp_extract_all(h, F.lit(rx), F.lit(2)).alias("b"))
     if cls is not None:
         elems = F.filter(elems, lambda e: F.array_contains(
             F.split(py_strip(F.coalesce(attr(F.concat(F.lit(" "), e["a"]), "class"),

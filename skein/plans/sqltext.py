@@ -1,16 +1,29 @@
 """DuckDB SQL text for the oracle queries of the text/HTML operators.
 
-These build SQL *strings* from the same fixed values as the Spark
-expressions in ``skein.functions``; DuckDB (RE2) runs them in the checker.
+These build SQL *strings*; DuckDB (RE2) runs them in the checker.  Text rules
+share the fixed values of ``skein.functions.text``; the HTML patterns are the
+checker's own (plain greedy ones, the common entities only).
 """
 
 from __future__ import annotations
 
 
-from skein.functions import html as H
+from html.entities import html5
+
 from skein.functions import text as TX
 
 
+ATTRS = r"""[^>=]*(?:=(?:\s*(?:"[^"]*"|'[^']*'))?[^>=]*)*"""
+HIDDEN = "|".join([r"(?s:<!--.*?-->)"] + [rf"(?is:<{t}(?:[\s/]{ATTRS})?>.*?</{t}\s*>)"
+                                         for t in ("script", "style", "template")])
+NODE_SPLIT = rf"{HIDDEN}|</?[A-Za-z]{ATTRS}>|<![^>]*>|<\?[^>]*>"
+ENTITY_TOKENS = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+# the entities that the checker knows, '&amp;' as any other
+COMMON = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "middot", "mdash",
+          "ndash", "hellip", "lsquo", "rsquo", "ldquo", "rdquo", "laquo", "raquo", "bull", "deg",
+          "euro", "pound", "yen", "cent", "sect", "para", "times", "divide", "plusmn", "eacute"]
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -29,30 +42,29 @@ def decode(e: str) -> str:
              f"THEN chr(regexp_extract({tok}, '^&#([0-9]{{1,7}});?$', 1)::INT)",
              f"WHEN regexp_matches({tok}, '^&#[xX][0-9A-Fa-f]{{1,6}};?$') "
              f"THEN chr(('0x' || regexp_extract({tok}, '^&#[xX]([0-9A-Fa-f]{{1,6}});?$', 1))::INT)"]
-    for name, ch in H.NAMED_ENTITIES:
-        parts.append(f"WHEN {tok} = {lit('&' + name + ';')} THEN {lit(ch)}")
-    for name, ch in sorted(((n, c) for n, c in H.NAMED_ENTITIES if n in H.LEGACY_NO_SEMICOLON),
-                           key=lambda kv: -len(kv[0])):
+    for name in COMMON:
+        parts.append(f"WHEN {tok} = {lit('&' + name + ';')} THEN {lit(html5[name + ';'])}")
+    for name in sorted((n for n in COMMON if n in html5), key=lambda n: -len(n)):
         parts.append(f"WHEN starts_with({tok}, {lit('&' + name)}) "
-                     f"THEN {lit(ch)} || substr({tok}, {len(name) + 2})")
+                     f"THEN {lit(html5[name])} || substr({tok}, {len(name) + 2})")
     case = "CASE " + " ".join(parts) + f" ELSE {tok} END"
-    toks = f"regexp_extract_all({e}, {lit(H.ENTITY_TOKENS)}, 0)"
+    toks = f"regexp_extract_all({e}, {lit(ENTITY_TOKENS)}, 0)"
     return (f"CASE WHEN NOT contains({e}, '&') THEN {e} ELSE "
             f"array_to_string(list_transform({toks}, lambda {tok}: {case}), '') END")
 
 
 def html_strip(e: str) -> str:
-    return decode(f"regexp_replace({e}, {lit(H.NODE_SPLIT)}, '', 'g')")
+    return decode(f"regexp_replace({e}, {lit(NODE_SPLIT)}, '', 'g')")
 
 
 def html_text(e: str, sep: str = "") -> str:
-    nodes = f"regexp_split_to_array({e}, {lit(H.NODE_SPLIT)})"
+    nodes = f"regexp_split_to_array({e}, {lit(NODE_SPLIT)})"
     return (f"array_to_string(list_filter(list_transform({nodes}, "
             f"lambda x: {strip(decode('x'))}), lambda x: x <> ''), {lit(sep)})")
 
 
 def element_rx(tag: str) -> str:
-    return H._element_rx(tag)
+    return rf"(?is)<{tag}([\s/]{ATTRS})?>(.*?)</{tag}\s*>"
 
 
 def html_title(e: str) -> str:
@@ -69,7 +81,8 @@ def attr(e: str, name: str) -> str:
 
 
 def html_links(e: str, base: str) -> str:
-    tags = f"regexp_extract_all({e}, {lit(r'(?is)<a\s[^>]*>')}, 0)"
+    tags = f"regexp_extract_all(regexp_replace({e}, {lit(HIDDEN)}, '', 'g'), " \
+           f"{lit(rf'(?is)<a[\s/]{ATTRS}>')}, 0)"
     hrefs = f"list_transform({tags}, lambda t: {attr('t', 'href')})"
     res = (f"list_transform({hrefs}, lambda u: CASE WHEN starts_with(u, 'http') THEN u "
            f"WHEN {base} <> '' AND starts_with(u, '/') THEN "
@@ -159,7 +172,8 @@ def jaccard(a: str, b: str) -> str:
 
 def meta_entries_sql(e: str) -> str:
     """Struct list (key, value, pos) of title + metas, document order."""
-    tags = f"regexp_extract_all({e}, {lit(r'(?is)<meta\s[^>]*>')}, 0)"
+    tags = f"regexp_extract_all(regexp_replace({e}, {lit(HIDDEN)}, '', 'g'), " \
+           f"{lit(rf'(?is)<meta[\s/]{ATTRS}>')}, 0)"
     key = (f"CASE WHEN coalesce({attr('t', 'name')}, '') <> '' THEN {attr('t', 'name')} "
            f"ELSE {attr('t', 'property')} END")
     metas = (f"list_filter(list_transform({tags}, lambda t: {{'key': {key}, "
