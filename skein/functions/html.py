@@ -192,9 +192,8 @@ def html_meta_entries(c) -> Column:
 
 def last_wins(entries) -> Column:
     """Keep, for each key, only its last entry (order preserved)."""
-    e = _col(entries)
-    return F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e) + 1),
-                                              lambda y: y["key"] == x["key"]))
+    return _bound(entries, lambda e: F.filter(
+        e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e) + 1), lambda y: y["key"] == x["key"])))
 
 
 def html_meta(c) -> Column:

@@ -115,14 +115,14 @@ def reciprocal_ranks(ranked: DataFrame, queries: DataFrame | None = None,
 def average_precisions(ranked: DataFrame, queries: DataFrame | None = None,
                        query_id: str = "query_id", rank: str = "rank",
                        relevant: str = "relevant") -> DataFrame:
-    """Per query AP (divided by the relevant hits retrieved, 0 when none)."""
-    w = (Window.partitionBy(query_id).orderBy(rank)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = ranked.withColumn(
-        "_so_far", F.sum(F.col(relevant).cast("int")).over(w))
+    """Per query AP (divided by the relevant hits retrieved, 0 when none).
+    Only relevant rows need their running count: the others are dropped
+    before anything is shuffled or sorted."""
+    w = Window.partitionBy(query_id).orderBy(rank)
+    running = ranked.filter(F.col(relevant)).select(query_id, rank, F.row_number().over(w).alias("_so_far"))
     per_q = running.groupBy(query_id).agg(
-        F.sum(F.when(F.col(relevant), F.col("_so_far") / F.col(rank))).alias("_ps"),
-        F.count_if(F.col(relevant)).alias("_nr"))
+        F.sum(F.col("_so_far") / F.col(rank)).alias("_ps"),
+        F.count(F.lit(1)).alias("_nr"))
     if queries is not None:
         per_q = queries.select(query_id).join(per_q, query_id, "left")
     ap = F.when(F.coalesce(F.col("_nr"), F.lit(0)) > 0,
@@ -130,6 +130,29 @@ def average_precisions(ranked: DataFrame, queries: DataFrame | None = None,
     return per_q.select(query_id, ap.alias("average_precision"))
 
 
+def hit_scores(hits: DataFrame, n_relevant: DataFrame, query_id: str = "query_id",
+               item: str = "vec_id", rank: str = "rank", relevant: str = "relevant") -> DataFrame:
+    """RR, AP, precision, recall and F1 of flagged hits, one row for each query
+    of ``n_relevant`` (``query_id, n_relevant``).  One grouped aggregate and one
+    running count of the relevant rows, both partitioned by the query."""
+    per_q = hits.groupBy(query_id).agg(
+        F.count(F.lit(1)).alias("_n_ret"),
+        F.count_if(F.col(relevant)).alias("_n_hit"),
+        F.min(F.when(F.col(relevant), F.col(rank))).alias("_first"),
+        F.count_distinct(F.when(F.col(relevant), F.col(item))).alias("_n_hit_art"))
+    out = (n_relevant.select(query_id, F.coalesce("n_relevant", F.lit(0)).alias("_n_rel"))
+           .join(per_q, query_id, "left")
+           .join(average_precisions(hits, None, query_id, rank, relevant), query_id, "left"))
+    empty = (F.coalesce("_n_ret", F.lit(0)) == 0) | (F.col("_n_rel") == 0)
+    p = F.when(empty, F.lit(0.0)).otherwise(F.col("_n_hit") / F.col("_n_ret"))
+    r = F.when(empty, F.lit(0.0)).otherwise(F.col("_n_hit_art") / F.col("_n_rel"))
+    return (out.select(query_id,
+                       F.coalesce(F.lit(1.0) / F.col("_first"), F.lit(0.0)).alias("reciprocal_rank"),
+                       F.coalesce("average_precision", F.lit(0.0)).alias("average_precision"),
+                       p.alias("context_precision"), r.alias("context_recall"))
+            .withColumn("f1_score", _f1(F.col("context_precision"), F.col("context_recall"))))
+
+
 def mrr(ranked: DataFrame, queries: DataFrame | None = None, **kw) -> DataFrame:
     """Mean reciprocal rank; 0 for an empty query list."""
     rr = reciprocal_ranks(ranked, queries, **kw)

@@ -33,6 +33,14 @@ def search(questions: DataFrame, chunk_vectors: DataFrame, k: int = 5, *,
                        (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("similarity"))
 
 
+def with_chunks(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
+    """Hits with the columns of their chunks.  Chunks that no hit names are
+    dropped first (semi-join on the ids alone), so the texts of the whole
+    corpus are never dealt out: only those of hits take part in the join."""
+    used = chunks.join(hits.select(chunk_id).distinct(), chunk_id, "left_semi")
+    return hits.join(used, chunk_id)
+
+
 def _meta(col: str, chunks: DataFrame) -> F.Column:
     if col in chunks.columns:
         c = F.col(col)

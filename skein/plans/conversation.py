@@ -22,8 +22,8 @@ from skein.operators.extract import extract_articles
 from skein.plans import sqltext as S
 from skein.plans.chunks import _ARTICLES_SQL
 from skein.plans.embedding import _sparse_sql
-from skein.plans.registry import load, pair_key, register
-from skein.session import materialize
+from skein.plans.registry import load, pair_key, register, stored
+from skein.session import write_shared
 
 K = 5
 K_SOURCES = 3
@@ -50,26 +50,28 @@ def user_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def article_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Article chunks with vectors, written once to the checkpoint folder
-    (the searchable index every RAG step reads)."""
-    return materialize(E.embed_dedup(article_chunk_table(spark, sf), "chunk"))
+    """Article chunks with vectors: the stored index that every RAG step reads."""
+    return stored(spark, sf, "article-index", ["pages"],
+                  lambda s, d: E.embed_dedup(article_chunk_table(s, d), "chunk"))
 
 
 def rag_hits(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
     index = article_index(spark, sf)
     q = user_questions(spark, sf)
     hits = R.search(q.select("query_id", F.col("question").alias("text")), index, k=k)
-    return hits.join(index.select("chunk_id", "title", "url", "chunk"), "chunk_id")
+    # citations read their hits twice: search once, keep the few rows
+    return write_shared(R.with_chunks(hits, index.select("chunk_id", "title", "url", "chunk")), "hits")
 
 
 def prompt_histories(spark: SparkSession, sf: str) -> DataFrame:
+    """History lines of each question: its keys are fanned out to the turns
+    before it, the texts join afterwards, each only where it is needed."""
     c = load(spark, sf, "conversations")
-    fan = c.select("conv_id", "turn", "role", "text",
-                   F.explode(F.sequence(F.lit(1), F.lit(HISTORY_MESSAGES))).alias("_d"))
-    fan = fan.select(pair_key("conv_id", F.col("turn") + F.col("_d")).alias("query_id"),
-                     F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
-    q = user_questions(spark, sf).select("query_id")
-    return G.prompt_history(fan.join(q, "query_id", "left_semi"))
+    before = F.transform(F.sequence(F.lit(1), F.lit(HISTORY_MESSAGES)), lambda d: F.col("turn") - d)
+    wanted = user_questions(spark, sf).select("query_id", "conv_id", F.explode(before).alias("turn"))
+    found = wanted.join(c, ["conv_id", "turn"])
+    return G.prompt_history(found.select("query_id", F.col("turn").alias("seq"), "role",
+                                         F.col("text").alias("content")))
 
 
 # --- DuckDB --------------------------------------------------------------
@@ -243,23 +245,36 @@ def q_citations(spark, sf):
     return G.citations(ans.select("query_id", "answer"), rag_hits(spark, sf))
 
 
+NO_ANSWER = "I don't have information about that in the provided context."
+_FIRST, _SECOND = G.CONTEXT_HEADER + "[1] ", "\n\n[2] "
+
+
 def extractive_answer(prompts: list) -> list:
     """Stand-in answer model for the plans: quotes the whole top-ranked
-    context chunk of the prompt and cites it as [1]."""
+    context chunk of the prompt (its last context block; histories and
+    questions come before and after it) and cites it as [1]."""
     out = []
     for p in prompts:
-        marker = "CONTEXT FROM ARTICLES:\n[1] "
-        i = p.find(marker)
-        if i < 0:
-            out.append("I don't have information about that in the provided context.")
+        context = p[:p.rfind("\n\nQUESTION: ")]
+        at = context.rfind(_FIRST)
+        if at < 0:
+            out.append(NO_ANSWER)
             continue
-        body = p[i + len(marker):].split("\n", 2)
-        quote = body[1] if len(body) > 1 else ""
-        out.append(f"{quote} [1]")
+        block = context[at + len(_FIRST):].split(_SECOND, 1)[0]
+        out.append(block.partition("\n")[2].removesuffix("\n") + " [1]")
     return out
 
 
-@register("answer_generate")
+_ANSWERS_SQL = _rag_sql(K) + f"""
+, made AS (SELECT uq.query_id, uq.conv_id, uq.question,
+                  CASE WHEN {S.blank('uq.question')} THEN NULL
+                       WHEN h.chunk_id IS NULL THEN {S.lit(NO_ANSWER)}
+                       ELSE h.chunk || ' [1]' END AS answer,
+                  CASE WHEN {S.blank('uq.question')} THEN 'Question cannot be empty' END AS error
+           FROM uq LEFT JOIN hits h ON h.query_id = uq.query_id AND h.rank = 1)"""
+
+
+@register("answer_generate", sql=_ANSWERS_SQL + " SELECT query_id, answer, error FROM made")
 def q_answer_generate(spark, sf):
     q = user_questions(spark, sf)
     ctx = G.context_numbered(rag_hits(spark, sf), q)
@@ -267,13 +282,25 @@ def q_answer_generate(spark, sf):
     return G.answer_generate(pr, extractive_answer).select("query_id", "answer", "error")
 
 
-@register("rag_batch")
+@register("rag_batch", sql=_ANSWERS_SQL + """
+, nums AS (SELECT DISTINCT query_id,
+                  TRY_CAST(unnest(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1)) AS BIGINT) AS n FROM made),
+hv AS (SELECT * FROM hits WHERE coalesce(url, '') <> ''),
+ex AS (SELECT hv.query_id, url, min(rank) AS source_no FROM nums
+       JOIN hv ON hv.query_id = nums.query_id AND hv.rank = nums.n GROUP BY ALL),
+fb AS (SELECT query_id, url, min(rank) AS source_no FROM hv
+       WHERE query_id NOT IN (SELECT query_id FROM ex) GROUP BY ALL),
+src AS (SELECT query_id, string_agg(source_no || ' ' || url, chr(10) ORDER BY source_no) AS sources
+        FROM (SELECT * FROM ex UNION ALL SELECT * FROM fb) GROUP BY query_id)
+SELECT made.query_id, conv_id::VARCHAR AS session_id, question, answer, error, sources
+FROM made LEFT JOIN src USING (query_id)""")
 def q_rag_batch(spark, sf):
     """questions -> retrieve -> context -> history -> prompt -> answer ->
-    citations -> session turn; one row per question with its sources."""
+    citations; one row per question, its sources as ``number url`` lines."""
     q = user_questions(spark, sf)
     questions = q.select("query_id", F.col("conv_id").cast("string").alias("session_id"),
                          "question", F.col("turn").alias("turn_order"))
-    answers, _sessions = G.rag_batch(questions, article_index(spark, sf), extractive_answer,
-                                     histories=prompt_histories(spark, sf), k=K)
-    return answers
+    answers, _ = G.rag_batch(questions, article_index(spark, sf), extractive_answer,
+                             histories=prompt_histories(spark, sf), k=K)
+    lines = F.transform("sources", lambda s: F.concat_ws(" ", s["source_no"].cast("string"), s["url"]))
+    return answers.withColumn("sources", F.array_join(lines, "\n"))

@@ -11,8 +11,8 @@ from skein.operators import chunk as C
 from skein.operators import evaluate as ev
 from skein.operators import embed as E
 from skein.operators import retrieval as R
-from skein.plans.registry import load, pair_key, register
-from skein.session import materialize
+from skein.plans.registry import load, pair_key, register, stored
+from skein.session import write_shared
 
 K = 5
 DIM = E.DEFAULT_DIM
@@ -28,9 +28,10 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunk table with vectors; identical chunk texts are embedded once.
-    Written to the checkpoint folder: it is the index later steps read."""
-    return materialize(E.embed_dedup(doc_chunks(spark, sf), "chunk"))
+    """Chunk table with vectors, identical chunk texts embedded once: the
+    stored index that later steps read."""
+    return stored(spark, sf, "chunk-vectors", ["documents"],
+                  lambda s, d: E.embed_dedup(doc_chunks(s, d), "chunk"))
 
 
 def search_hits(spark: SparkSession, sf: str, k: int = K, index: DataFrame | None = None) -> DataFrame:
@@ -96,7 +97,7 @@ SELECT ch.chunk_id, sha256(ch.chunk) AS text_hash, coalesce(agg.nnz, 0)::BIGINT
        round(coalesce(agg.wsum, 0), 5) AS wsum
 FROM ch LEFT JOIN agg ON agg.chunk = ch.chunk""")
 def q_embed_dedup(spark, sf):
-    v = chunk_vectors(spark, sf)
+    v = E.embed_dedup(doc_chunks(spark, sf), "chunk")
     return v.select("chunk_id", "text_hash",
                     F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nnz"),
                     F.round(F.aggregate("embedding", F.lit(0.0),
@@ -219,17 +220,17 @@ FROM pr""")
 def q_search_eval(spark, sf):
     b = load(spark, sf, "benchmark")
     index = chunk_vectors(spark, sf)
-    hits = search_hits(spark, sf, index=index).join(index.select("chunk_id", "doc_id"), "chunk_id")
-    rel = R.passage_matches(load(spark, sf, "documents", spread=True), b) \
-        .select(F.col("item_id").alias("query_id"), "doc_id")
-    flagged = hits.join(rel.withColumn("relevant", F.lit(True)), ["query_id", "doc_id"], "left") \
-        .withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    hits = search_hits(spark, sf, index=index)
+    hits = R.with_chunks(hits, index.select("chunk_id", "doc_id"))
+    # written once: every metric reads the flagged hits, two read the relevance
+    rel = write_shared(R.passage_matches(load(spark, sf, "documents", spread=True), b)
+                       .select(F.col("item_id").alias("query_id"), "doc_id"), "relevance")
+    flagged = write_shared(
+        hits.join(rel.withColumn("relevant", F.lit(True)), ["query_id", "doc_id"], "left")
+        .withColumn("relevant", F.coalesce("relevant", F.lit(False))), "hits")
     qs = b.select(F.col("item_id").alias("query_id"))
-    rr = ev.reciprocal_ranks(flagged, qs)
-    ap = ev.average_precisions(flagged, qs)
-    ctx = ev.context_scores(flagged.select("query_id", F.col("doc_id").alias("article_id")),
-                            rel.select("query_id", F.col("doc_id").alias("article_id")), qs)
-    out = rr.join(ap, "query_id").join(ctx, "query_id")
+    sizes = qs.join(rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant")), "query_id", "left")
+    out = ev.hit_scores(flagged, sizes, item="doc_id")
     return out.select("query_id", *[F.round(c, 9).alias(c) for c in
                                     ["reciprocal_rank", "average_precision", "context_precision",
                                      "context_recall", "f1_score"]])

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import shared_path
+
 PlanFn = Callable[[SparkSession, str], DataFrame]
 
 _PLANS: dict[str, PlanFn] = {}
@@ -48,6 +50,30 @@ def pair_key(owner, position) -> Column:
                     (F.col(position) if isinstance(position, str) else position).cast("string"))
 
 
+_STORED: dict = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, tables: list[str], build: PlanFn) -> DataFrame:
+    """``build(spark, sf_dir)`` written once as Parquet in the shared folder.
+
+    Later queries of the session read the stored table, pruned to their
+    columns, as long as the files of ``tables`` (names, lengths, times of
+    change) are the same; otherwise it is built anew.
+    """
+    root = sf_dir.rstrip("/")
+    files = spark.read.format("binaryFile").load([f"{root}/{t}.parquet" for t in tables])
+    state = files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"),
+                      F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    key = (spark.sparkContext.applicationId, name, root, tuple(state))
+    if key not in _STORED:
+        path = shared_path(spark, name)
+        made = build(spark, root)
+        made.write.parquet(path)
+        _STORED[key] = (path, made.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def plans() -> dict[str, PlanFn]:
     _import_all()
     return dict(_PLANS)

@@ -7,15 +7,16 @@ blocked similarity kernel, per-query top-k, running windows, aggregates.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import evaluate as ev
-from skein.operators.knn import knn_exact, with_similarity
+from skein.operators.knn import knn_approx, knn_exact, with_similarity
 from skein.plans.registry import load, register
+from skein.session import write_shared
 
 K = 5
+N_CELLS = 16
 
 # DuckDB brute force: every ordered pair, ranked per query.
 _HITS_SQL = """
@@ -155,14 +156,9 @@ def q_context_f1(spark, sf_dir):
 
 def ir_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: per-query RR, AP, precision, recall and F1 of exact top-5."""
-    # the hits feed three metrics: keep them (recomputed from lineage if lost)
-    h = embedding_hits(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    emb = load(spark, sf_dir, "embeddings")
-    qs = _queries(emb).select("query_id")
-    rr = ev.reciprocal_ranks(h, qs)
-    ap = ev.average_precisions(h, qs)
-    ctx = ev.context_scores_flagged(h, _n_relevant(emb))
-    out = rr.join(ap, "query_id").join(ctx, "query_id")
+    # written once: the aggregates below read the stored hits
+    h = write_shared(embedding_hits(spark, sf_dir), "hits")
+    out = ev.hit_scores(h, _n_relevant(load(spark, sf_dir, "embeddings")))
     return out.select("query_id",
                       *[F.round(c, 9).alias(c) for c in
                         ["reciprocal_rank", "average_precision", "context_precision",
@@ -188,12 +184,22 @@ SELECT s.query_id, round(rr, 9) AS reciprocal_rank, round(ap, 9) AS average_prec
 FROM scores s JOIN rr_ap USING (query_id)""")(ir_eval)
 
 
+def _approx(spark, sf_dir, nprobe: int) -> DataFrame:
+    emb = load(spark, sf_dir, "embeddings")
+    hits = knn_approx(_queries(emb), emb, k=K, n_cells=N_CELLS, nprobe=nprobe, exclude_self=True)
+    return hits.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"),
+                       F.round("distance", 6).alias("distance"))
+
+
 @register("knn_approx")
 def q_knn_approx(spark, sf_dir):
     """IVF search over every vector (16 cells, 4 probed); rows-only check,
     recall against knn_exact is asserted in the tests."""
-    from skein.operators.knn import knn_approx
-    emb = load(spark, sf_dir, "embeddings")
-    hits = knn_approx(_queries(emb), emb, k=K, n_cells=16, nprobe=4, exclude_self=True)
-    return hits.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"),
-                       F.round("distance", 6).alias("distance"))
+    return _approx(spark, sf_dir, 4)
+
+
+@register("knn_approx_all_cells", sql=_HITS_SQL + """
+SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM hits""")
+def q_knn_approx_all_cells(spark, sf_dir):
+    """The same index with every cell probed: equal to brute force."""
+    return _approx(spark, sf_dir, N_CELLS)
