@@ -37,11 +37,13 @@ def ingest_summary(report: DataFrame) -> DataFrame:
 
 def vector_stats(vectors: DataFrame, vector: str = "embedding",
                  index_type: str = "exact", params: dict | None = None) -> DataFrame:
-    """total_vectors, dimension, metadata_count plus the index settings."""
+    """total_vectors, dimension (the largest; ``min_dimension`` differs from it
+    where lengths are mixed), metadata_count plus the index settings."""
     p = params or {}
     return vectors.agg(
         F.count(F.lit(1)).alias("total_vectors"),
         F.max(F.size(vector)).alias("dimension"),
+        F.min(F.size(vector)).alias("min_dimension"),
         F.count(F.lit(1)).alias("metadata_count")).select(
         "*", F.lit(index_type).alias("index_type"),
         *[F.lit(v).alias(k) for k, v in p.items()])

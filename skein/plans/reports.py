@@ -55,6 +55,7 @@ def q_extraction_stats(spark, sf):
 
 @register("vector_stats", sql="""
 SELECT count(*) AS total_vectors, max(len(embedding))::INTEGER AS dimension,
+       min(len(embedding))::INTEGER AS min_dimension,
        count(*) AS metadata_count, 'exact' AS index_type FROM embeddings""")
 def q_vector_stats(spark, sf):
     return RP.vector_stats(load(spark, sf, "embeddings"))

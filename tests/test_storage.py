@@ -135,3 +135,40 @@ def test_short_passages_scan(spark):
                                       (13, "zzz")], "item_id long, text string")
     got = sorted((r.item_id, r.doc_id) for r in passage_matches(docs, passages).collect())
     assert got == [(10, 1), (11, 3), (12, 1)]
+
+
+def test_snapshot_versions(spark):
+    root = _tmp()
+    cat = spark.createDataFrame([("a", "ta")], "article_id string, title string")
+    one = spark.createDataFrame([(0, [1.0], "a")], "vec_id long, embedding array<float>, article_id string")
+    assert SN.save_snapshot(spark, root, "s", one, cat)["success"]
+    # a save that fails half way leaves the stored snapshot as it was
+    broken = one.withColumn("embedding", F.raise_error(F.lit("lost")).cast("array<float>"))
+    try:
+        SN.save_snapshot(spark, root, "s", broken, cat)
+        raise AssertionError("the save should fail")
+    except Exception as e:  # noqa: BLE001
+        assert "lost" in str(e)
+    assert SN.load_snapshot(spark, root, "s")["metadata"]["total_chunks"] == 1
+    assert SN.save_snapshot(spark, root, "s", one.union(one), cat)["success"]
+    loaded = SN.load_snapshot(spark, root, "s")
+    assert loaded["vectors"].count() == 2 and SN.list_snapshots(spark, root).count() == 1
+    assert SN.drop_old_versions(spark, root, "s") == 1
+    assert SN.load_snapshot(spark, root, "s")["vectors"].count() == 2
+
+
+def test_session_list_and_timestamps(spark):
+    from skein.operators.sessions import history_text
+    d = os.path.join(_tmp(), "sessions")
+    msgs = spark.createDataFrame([("s1", 0, "user", "Q", "2024-01-02 03:04:05")],
+                                 "session_id string, seq long, role string, content string, timestamp string")
+    known = spark.createDataFrame([("s1", "2024-01-01 00:00:00"), ("s2", "2024-01-01 00:00:01")],
+                                  "session_id string, created_at string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp"))
+    SIO.save_sessions(msgs, d, sessions=known)
+    got = SIO.load_sessions(spark, d).collect()
+    assert [(r.session_id, r.content, str(r.timestamp)) for r in got] == [("s1", "Q", "2024-01-02 03:04:05")]
+    listed = SIO.list_sessions(spark, d).orderBy("session_id").collect()
+    assert [(r.session_id, r.message_count) for r in listed] == [("s1", 1), ("s2", 0)]
+    texts = history_text(msgs, sessions=known).orderBy("session_id").collect()
+    assert [r.history_text for r in texts] == ["User: Q", ""]
