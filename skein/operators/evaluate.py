@@ -422,19 +422,28 @@ EVAL_METRICS = ["answer_relevancy", "context_precision", "context_recall",
                 "f1_score", "faithfulness"]
 
 
-def evaluate_queries(records: DataFrame, query_id: str = "query_id") -> DataFrame:
+def evaluate_queries(records: DataFrame, query_id: str = "query_id",
+                     retrieved: DataFrame | None = None,
+                     relevant: DataFrame | None = None) -> DataFrame:
     """Per query, each metric whose inputs are present (else NULL).
 
     ``records``: query_id, answer, expected_answer, retrieved_chunks
     (array<struct<article_id,...>>), relevant_article_ids (array<string>),
     context (array<string>), response_time; all but query_id nullable.
+    Instead of the two id lists, ``retrieved`` and ``relevant`` may be given as
+    tables of ``query_id, article_id``, so that no long list is gathered; a
+    query without a relevant row then has no precision, recall or F1.
     """
     cols = set(records.columns)
     out = records.select(query_id, *([F.col("response_time")] if "response_time" in cols else []))
     if {"answer", "expected_answer"} <= cols:
         has = records.filter(F.col("answer").isNotNull() & F.col("expected_answer").isNotNull())
         out = out.join(answer_relevancy(has, query_id), query_id, "left")
-    if {"retrieved_chunks", "relevant_article_ids"} <= cols:
+    if retrieved is not None and relevant is not None:
+        known = relevant.select(query_id).distinct()
+        scores = context_scores(retrieved.join(known, query_id, "left_semi"), relevant, known, query_id)
+        out = out.join(scores, query_id, "left")
+    elif {"retrieved_chunks", "relevant_article_ids"} <= cols:
         has = records.filter(F.col("retrieved_chunks").isNotNull() &
                              F.col("relevant_article_ids").isNotNull())
         retrieved = has.select(query_id, F.explode("retrieved_chunks").alias("_c")) \

@@ -87,4 +87,4 @@ def oracle() -> dict[str, str]:
 def _import_all() -> None:
     # importing the modules runs their @register decorators
     from skein.plans import (retrieval, text, chunks, evaluation,  # noqa: F401
-                             embedding, conversation, reports)
+                             embedding, conversation, reports, search_evaluation)
