@@ -471,4 +471,6 @@ def aggregate_eval(per_query: DataFrame, value: str = "response_time") -> DataFr
         return base
     lat = latency_stats(per_query, value).select(
         *[F.col(c).alias(f"{value}_{c}") for c in LATENCY_COLUMNS])
-    return _one_row_join(base, lat)
+    # two one-row tables stacked and folded into one row, without a cross join
+    both = base.unionByName(lat, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
