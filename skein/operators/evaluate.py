@@ -276,9 +276,8 @@ def latency_stats(df: DataFrame, value: str = "response_time",
 
 def _one_row_join(base: DataFrame, pct: DataFrame) -> DataFrame:
     """Attach the (0 or 1 row) percentile row to the one-row aggregate."""
-    k = "_one"
-    return (base.withColumn(k, F.lit(1))
-            .join(pct.withColumn(k, F.lit(1)), k, "left").drop(k))
+    both = base.unionByName(pct, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # ---------------------------------------------------------------------------
