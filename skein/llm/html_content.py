@@ -9,7 +9,8 @@ the main text.
 
 The potentials are trained from labelled pages: pages that mark their article
 (``article``, ``main`` or ``itemprop=articleBody``) label their own nodes, with
-navigation, asides, adverts, forms and comments inside it as negatives.  At
+navigation, asides, adverts, forms and comments inside it as negatives.  Class
+words count as whole tokens only, and never against a marked article itself.  At
 most ``MAX_LABELLED`` pages are read for that, those with the smallest hash of
 their id; their counts are summed by Spark and are bounded by the feature set.
 
@@ -55,16 +56,44 @@ TAG = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-BAD_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|foot\w*|"
-    r"header|masthead|side\w*|widget\w*|related|recommend\w*|share|sharing|social|cookie\w*|"
-    r"consent|notice\w*|banner\w*|alert\w*|popup|modal|comment\w*|repl(?:y|ies)|disqus|form\w*|"
-    r"login|signup|subscribe\w*|newsletter|search\w*|pag(?:er|ination)|copyright|legal|hidden)"
-    r"(?:$|[\s_-])", re.I)
+# Fixed words of class tokens.  A token is bad as a whole: each of its parts
+# between hyphens is listed, at least one of them as bad; a part's head or foot
+# ("section-header") is not, and words for content count after a bad word only.
+BAD_WORDS = frozenset(
+    "ad ads adbox advert adverts advertisement advertisements advertising sponsor sponsors sponsored "
+    "sponsoring promo promos promotion promotions promoted nav navs navbar navigation navlist navmenu "
+    "subnav topnav menu menus menubar menuitem submenu breadcrumb breadcrumbs foot footer footers header "
+    "masthead side sidebar sidebars sidenav widget widgets widgetarea related recommend recommended "
+    "recommendation recommendations share sharing social cookie cookies cookiebar consent notice notices "
+    "banner banners alert alerts popup modal comment comments commentlist reply replies disqus form forms "
+    "login signup subscribe subscription newsletter search searchbar searchbox searchform pager pagination "
+    "copyright legal hidden".split())
+HEADS = frozenset("header foot footer footers".split())
+PLACES = frozenset("site page global top bottom left right main primary secondary sticky fixed mobile "
+                   "desktop us".split())
+PARTS = frozenset("wrap wrapper container area region section block box bar row col column group list "
+                  "item items link links inner outer slot unit respond button buttons btn icon icons "
+                  "media policy numbers children depth even odd level".split())
+CONTENT = frozenset("content body text title articles stories posts author meta metadata".split())
 GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|text|body)(?:$|[\s_-])",
                         re.I)
 
 
+def bad_names(names: str) -> bool:
+    """Whether a class, id or role word names something besides the article."""
+    return any(_bad_token([x for x in re.split("[_-]+", token) if x]) for token in names.lower().split())
+
+
+def _bad_token(parts: list[str]) -> bool:
+    bad = False
+    for x, before in zip(parts, ["", *parts]):
+        if x in BAD_WORDS:
+            bad = bad or not (x in HEADS and before in PARTS)
+        elif not (x in PLACES or x in PARTS or x.isdigit() or bad and x in CONTENT):
+            return False
+    return bad
+
+
 @dataclass
 class Node:
     tag: str
@@ -160,6 +189,22 @@ def parse(source: str) -> Page:
     return page
 
 
+def bad_elements(page: Page) -> list[bool]:
+    """Whether each node's names are bad.  Names do not count against an element
+    that the page marks as its article; an article inside an article (a comment)
+    or inside something else than content has no such claim."""
+    inside: list[str] = []          # "": neutral ground, "article", or "bad"
+    out = []
+    for node in page.nodes:
+        above = inside[node.parent] if node.parent >= 0 else ""
+        claimed = node.marks and (above == "" or above == "article" and node.tag != "article")
+        bad = not claimed and bad_names(node.names)
+        out.append(bad)
+        inside.append("bad" if bad or above == "bad" or node.tag in NEGATIVE and not claimed
+                      else "article" if node.marks and node.tag != "main" else above)
+    return out
+
+
 def features(page: Page) -> list[list[str]]:
     """Features of each node; text sizes are summed over the subtree."""
     total = [n.own for n in page.nodes]
@@ -167,9 +212,9 @@ def features(page: Page) -> list[list[str]]:
     for i in range(len(page.nodes) - 1, 0, -1):
         total[page.nodes[i].parent] += total[i]
         linked[page.nodes[i].parent] += linked[i]
-    out = []
+    out, bad_ones = [], bad_elements(page)
     for i, node in enumerate(page.nodes):
-        bad, good = BAD_WORDS.search(node.names), GOOD_WORDS.search(node.names)
+        bad, good = bad_ones[i], GOOD_WORDS.search(node.names)
         out.append([f"tag={node.tag if node.tag in KNOWN else 'other'}",
                     "names=" + ("bad" if bad else "good" if good else "none"),
                     f"links={min(4, linked[i] * 5 // total[i]) if total[i] else 'none'}",
@@ -189,9 +234,9 @@ def own_labels(page: Page) -> list[int] | None:
     if not any(n.marks for n in page.nodes):
         return None
     labels = []
-    for node in page.nodes:
+    for node, named in zip(page.nodes, bad_elements(page)):
         above = labels[node.parent] if node.parent >= 0 else 0
-        bad = node.tag in NEGATIVE or bool(BAD_WORDS.search(node.names))
+        bad = node.tag in NEGATIVE or named
         labels.append(0 if bad else 1 if node.marks or above else 0)
     return labels
 

@@ -1,8 +1,13 @@
 """Cases of the second review: inputs on which an operator did less than its job."""
 
+from collections import Counter
+from functools import cache
+
 import brute
+import pyarrow.parquet as pq
+import pytest
 
-from skein.llm import pii
+from skein.llm import html_content, pii
 
 TEXTS = "doc_id long, text string"
 
@@ -25,3 +30,59 @@ def test_addresses_with_zero_parts_are_masked(spark):
     docs = spark.createDataFrame([(1, "host 10.0.0.1 up")], TEXTS)
     found = pii.find(docs, pii.fit(docs))
     assert found.select(pii.masked(found["text"], found["pii"])).first()[0] == "host <IP> up"
+
+
+# --- main text ---------------------------------------------------------------------
+
+#: class words of article parts that only begin like a form, footer, sidebar, ...
+PARTS = ["formula", "formatted", "footnotes", "side-by-side", "commentary", "entry-header",
+         "navy-text", "noticeable", "widgetized-not", "searching-for-truth",
+         "section-header", "content-sidebar-wrap", "has-sidebar"]
+#: class words of elements that are no part of the article
+ELSEWHERE = ["form", "footer", "sidebar", "nav", "comments", "comment-list", "site-footer",
+             "cookie-notice", "left sidebar", "ad-1", "share-buttons", "related-posts",
+             "comment-content", "page-footer", "comment_meta"]
+LONG = "A sentence of the article that is long enough to count as text, with some words more. " * 3
+
+
+@cache
+def models():
+    given = Counter()
+    for source in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        given.update(html_content.counts(html_content.parse(source or "")))
+    many = Counter({k: 40 * n for k, n in given.items()})
+    return [html_content.ContentModel(c) for c in ({}, given, many)]
+
+
+@pytest.mark.parametrize("words", PARTS)
+def test_class_words_inside_an_article(words):
+    page = f"<nav>Menu</nav><article><p>{LONG}</p><div class='{words}'><p>{LONG}part</p></div></article>"
+    for model in models():
+        assert model.extract(page).endswith("part")
+    assert all("Menu" not in m.extract(page) for m in models()[1:])
+
+
+@pytest.mark.parametrize("words", ELSEWHERE)
+def test_class_words_of_other_things(words):
+    page = f"<article><p>{LONG}</p><div class='{words}'><p>Other things</p></div></article>"
+    for model in models():
+        assert model.extract(page) == LONG.strip()
+
+
+@pytest.mark.parametrize("words", ["post-17 post type-post format-standard", "widget", "banner side", "form"])
+@pytest.mark.parametrize("mark", ["article class='{}'", "main class='{}'", "div itemprop=articleBody class='{}'"])
+def test_names_do_not_overrule_the_marked_article(words, mark):
+    mark = mark.format(words)
+    page = f"<nav>Menu</nav><{mark}><h1>Title</h1><p>{LONG}</p></{mark.split()[0]}><footer>End</footer>"
+    labels = html_content.own_labels(html_content.parse(page))
+    assert labels == [0, 0, 1, 1, 1, 0]
+    if not mark.startswith("div"):          # a plain div is the page's mark for training only
+        for model in models()[1:]:
+            assert model.extract(page) == "Title\n" + LONG.strip()
+
+
+def test_comments_marked_as_articles_stay_out():
+    page = (f"<main><article class='post'><p>{LONG}</p><article class='comment'><p>Nice one</p></article>"
+            "</article><ol class=comment-list><li><article class='comment-body'><p>Nice two</p></article></ol></main>")
+    assert html_content.own_labels(html_content.parse(page)) == [0, 1, 1, 1, 0, 0, 0, 0, 0, 0]
+    assert models()[2].extract(page) == LONG.strip()
