@@ -1,14 +1,15 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item with an error budget of ``e`` edits is cut into ``e + 1`` pieces of
-whole words: whoever holds the item with at most ``e`` edits holds one piece
-exactly.  Rolling word hashes of every text find the exact piece hits; a hit
-fixes the diagonal on which the whole item must lie, and Myers' bit-parallel
-edit distance decides there.
+characters, wherever its words end: whoever holds the item with at most ``e``
+edits holds one piece exactly.  Rolling character hashes of every text find the
+seeds that pieces begin with, a comparison the exact piece hits; a hit fixes the
+diagonal on which the whole item must lie, and Myers' bit-parallel edit distance
+decides there.
 
 Texts and items are compared after lower-casing A-Z and turning ASCII
 punctuation and white space into single spaces; every word carries its leading
-space, so pieces begin at word borders.  ``e`` is ``budget`` of the item's
+space, so items begin at word borders.  ``e`` is ``budget`` of the item's
 length, and at most its word count less one.
 
 The items are a stated query set: they go through the corpus in blocks of
@@ -28,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (IntegerType, LongType, StructField, StructType)
 
@@ -40,26 +40,43 @@ BUDGET = 0.05
 _WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122
                else 32 for b in range(256))
-_WEIGHTS = np.random.default_rng(7).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
+#: longest seeds, and characters hashed at once
+SEEDS, CHUNK = (16, 12, 8), 1 << 18
+_BITS = 22
+_BASE = 0x9E3779B97F4A7C15
+_MIX, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(64 - _BITS)
 
 
 def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def _powers(base: int) -> np.ndarray:
+    out = np.full(CHUNK + SEEDS[0], base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` words."""
-    n = len(hashes) - size + 1
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _prefixed(points: np.ndarray) -> np.ndarray:
+    """Prefix sums of a chunk, of which ``_rolled`` takes differences."""
+    out = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points + np.uint64(1)) * _UP[:len(points)], out=out[1:])
+    return out
+
+
+def _rolled(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` characters."""
+    n = len(sums) - size
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out += hashes[k:k + n] * _WEIGHTS[k]
-    return out
+    return (sums[size:] - sums[:n]) * _DOWN[:n] * _MIX
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
 def distance(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
@@ -96,7 +113,7 @@ class Items:
 
     def __init__(self, items: list[tuple], budget: float):
         self.items = []                                # (item id, pattern, budget)
-        pieces: dict[int, dict[int, list]] = {}        # size -> hash -> [(item, at, words)]
+        seeds: dict[int, dict[str, list]] = {}         # size -> seed -> [(item, place, piece)]
         for item_id, text in items:
             words = words_of((text or "").encode())
             if len(words) < LEAST_WORDS:
@@ -105,43 +122,47 @@ class Items:
             e = min(int(budget * len(pattern)), len(words) - 1)
             number = len(self.items)
             self.items.append((item_id, pattern, e))
-            cuts = [k * len(words) // (e + 1) for k in range(e + 2)]
-            starts = np.cumsum([0] + [len(w.decode()) + 1 for w in words])
+            cuts = [k * len(pattern) // (e + 1) for k in range(e + 2)]
+            least = len(pattern) // (e + 1)
+            size = next((n for n in SEEDS if n <= least), least)
             for a, b in zip(cuts, cuts[1:]):
-                key = int(_rolled(_hashes(words[a:b]), b - a)[0])
-                pieces.setdefault(b - a, {}).setdefault(key, []).append(
-                    (number, int(starts[a]), words[a:b]))
-        self.pieces = {size: (np.array(sorted(found), np.uint64), found)
-                       for size, found in pieces.items()}
-
-    def hits(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-        """Exact piece hits: item -> [(word position in the text, piece's place)]."""
-        out: dict[int, list[tuple[int, int]]] = {}
-        hashes = _hashes(words)
-        for size, (keys, found) in self.pieces.items():
-            rolled = _rolled(hashes, size)
-            if not len(rolled):
-                continue
-            at = np.minimum(np.searchsorted(keys, rolled), len(keys) - 1)
-            for i in np.flatnonzero(keys[at] == rolled):
-                for number, place, piece in found[int(rolled[i])]:
-                    if words[i:i + size] == piece:
-                        out.setdefault(number, []).append((int(i), place))
+                seeds.setdefault(size, {}).setdefault(pattern[a:a + size], []).append(
+                    (number, a, pattern[a:b]))
+        self.seeds = []         # size, sorted hashes, table of their first bits, seed -> pieces
+        for size, found in seeds.items():
+            keys = np.unique(np.concatenate([_rolled(_prefixed(_points(s)), size) for s in found]))
+            table = np.zeros(1 << _BITS, bool)
+            table[keys >> _SHIFT] = True
+            self.seeds.append((size, keys, table, found))
+
+    def hits(self, norm: str) -> dict[int, set[int]]:
+        """Exact piece hits: item -> the diagonals that they fix."""
+        out: dict[int, set[int]] = {}
+        points = _points(norm)
+        longest = max((size for size, *_ in self.seeds), default=1)
+        for low in range(0, len(points), CHUNK):
+            sums = _prefixed(points[low:low + CHUNK + longest - 1])
+            for size, keys, table, found in self.seeds:
+                rolled = _rolled(sums, size)[:CHUNK]
+                at = np.flatnonzero(table[rolled >> _SHIFT])
+                if len(at):
+                    place = np.minimum(np.searchsorted(keys, rolled[at]), len(keys) - 1)
+                    at = at[keys[place] == rolled[at]]
+                for i in (at + low).tolist():
+                    for number, begin, piece in found.get(norm[i:i + size], ()):
+                        if norm.startswith(piece, i):
+                            out.setdefault(number, set()).add(i - begin)
         return out
 
     def matches(self, raw: bytes | None) -> list[tuple]:
         """``(item id, distance, start, end)`` of each item that the text holds
         within its budget: the nearest occurrence, in code points of the text."""
         words = words_of(raw or b"")
-        hits = self.hits(words) if words else {}
-        if not hits:
-            return []
-        starts = np.cumsum([0] + [len(w.decode()) + 1 for w in words])
-        norm, found, spans = " " + b" ".join(words).decode(), [], None
-        for number, places in hits.items():
+        norm, found, spans = (" " + b" ".join(words).decode() if words else ""), [], None
+        for number, fixed in self.hits(norm).items():
             item_id, pattern, e = self.items[number]
             best = None
-            diagonals = sorted({int(starts[i]) - place for i, place in places})
+            diagonals = sorted(fixed)
             while diagonals:
                 run = 1             # neighbouring diagonals share one window
                 while run < len(diagonals) and diagonals[run] - diagonals[run - 1] <= e:
@@ -159,6 +180,7 @@ class Items:
             back = len(pattern) if d == 0 else distance(pattern[::-1], upto[::-1], anchored=True)[1]
             stop, start = low + len(upto), low + len(upto) - back
             if spans is None:
+                starts = np.cumsum([0] + [len(w.decode()) + 1 for w in words])
                 spans = [m.span() for m in re.finditer(_WORD, raw.decode())]
             first = int(np.searchsorted(starts, start, "right")) - 1
             last = int(np.searchsorted(starts, max(start, stop - 1), "right")) - 1

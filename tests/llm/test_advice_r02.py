@@ -1,5 +1,6 @@
 """Cases of the second review: inputs on which an operator did less than its job."""
 
+import random
 from collections import Counter
 from functools import cache
 
@@ -7,7 +8,7 @@ import brute
 import pyarrow.parquet as pq
 import pytest
 
-from skein.llm import html_content, pii
+from skein.llm import decontaminate, html_content, pii
 
 TEXTS = "doc_id long, text string"
 
@@ -86,3 +87,43 @@ def test_comments_marked_as_articles_stay_out():
             "</article><ol class=comment-list><li><article class='comment-body'><p>Nice two</p></article></ol></main>")
     assert html_content.own_labels(html_content.parse(page)) == [0, 1, 1, 1, 0, 0, 0, 0, 0, 0]
     assert models()[2].extract(page) == LONG.strip()
+
+
+# --- benchmark decontamination -------------------------------------------------------
+
+def leaks_found(spark, rows, items):
+    docs = spark.createDataFrame(rows, TEXTS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find(docs, bench).collect()
+    gone = {r["doc_id"] for r in rows_left(docs, bench)} ^ {i for i, _ in rows}
+    assert gone == {r["doc_id"] for r in found}
+    return sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in found), key=str)
+
+
+def rows_left(docs, bench):
+    return decontaminate.clean(docs, bench).collect()
+
+
+def test_edits_on_piece_borders(spark):
+    rng = random.Random(11)
+    words = ["aaaa", "bbbb", "cccc", "dddd", "eeee", "fün", "gnu"]
+    items = [(0, "aaaa bbbb cccc dddd eeee")] + [
+        (k, " ".join(rng.choice(words) for _ in range(rng.randint(5, 30)))) for k in range(1, 9)]
+    rows = [(0, "aaaa bbbbcccc dddd eeee"), (1, "x aaaa bbbb cccc dddd eeeeee y"), (2, "aaaa bbbbcccc dddeeee")]
+    for _k, text in items:
+        for _ in range(12):         # words joined, split and lengthened
+            t = list(text)
+            for _ in range(rng.randint(1, 4)):
+                at = rng.choice([i for i, c in enumerate(t) if c == " "] or [0])
+                t[at:at + 1] = rng.choice([[], [], ["z", " "], ["-"], [" ", "z"]])
+            rows.append((len(rows), "some noise " + "".join(t) + rng.choice(["", "s", " end"])))
+    assert leaks_found(spark, rows, items) == brute.leaks(rows, items)
+
+
+def test_long_texts_over_chunks(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 32)
+    item = "one quick brown fox jumps over the lazy dog near the old river bank"
+    index = decontaminate.Items([(1, item)], 0.05)
+    for shift in range(70):
+        got = index.matches((("y" * shift) + " " + item + " z" * 40).encode())
+        assert [(g[0], g[1]) for g in got] == [(1, 0)] and got[0][2] == shift + 1
