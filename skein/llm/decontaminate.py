@@ -9,15 +9,17 @@ decides there.
 
 Texts and items are compared after lower-casing A-Z and turning ASCII
 punctuation and white space into single spaces; every word carries its leading
-space, so items begin at word borders.  ``e`` is ``budget`` of the item's
-length, and at most its word count less one.
+space, so items begin at word borders, but for those whose script has none
+(``UNSPACED``): these stand anywhere.  ``e`` is ``budget`` of the item's length.
 
 The items are a stated query set: they go through the corpus in blocks of
 ``BLOCK`` items, so what is broadcast at once is bounded.
 
-Defined results: null and empty texts match nothing; null or empty items and
-items of fewer than ``LEAST_WORDS`` words are no evidence and match nothing;
-repeated rows of either side give repeated results; ties go to the leftmost
+Defined results: null and empty texts match nothing; null or empty items are no
+evidence and match nothing, nor do items of both fewer than ``LEAST_WORDS``
+words and fewer than ``LEAST_CHARS`` characters (about the length of so many
+words; East Asian ones count twice); a match's span ends at word borders, inside
+unspaced words where the match does; repeated rows of either side give repeated results; ties go to the leftmost
 end; empty tables give no rows; ``clean`` keeps all input columns, whatever
 their names.
 """
@@ -34,10 +36,16 @@ from pyspark.sql.types import (IntegerType, LongType, StructField, StructType)
 
 #: items broadcast at once
 BLOCK = 20_000
-LEAST_WORDS = 5
+LEAST_WORDS, LEAST_CHARS = 5, 20
 BUDGET = 0.05
 
 _WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+#: letters of scripts without spaces between words: Thai, Lao, Tibetan, Burmese,
+#: Khmer, kana, Han, Yi
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3005-\u3007"
+                      "\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf"
+                      "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_WIDE = re.compile("[\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122
                else 32 for b in range(256))
 #: longest seeds, and characters hashed at once
@@ -116,10 +124,12 @@ class Items:
         seeds: dict[int, dict[str, list]] = {}         # size -> seed -> [(item, place, piece)]
         for item_id, text in items:
             words = words_of((text or "").encode())
-            if len(words) < LEAST_WORDS:
+            pattern = b" ".join(words).decode()
+            if len(words) < LEAST_WORDS and len(pattern) + len(_WIDE.findall(pattern)) < LEAST_CHARS:
                 continue
-            pattern = " " + b" ".join(words).decode()
-            e = min(int(budget * len(pattern)), len(words) - 1)
+            if not UNSPACED.match(pattern):
+                pattern = " " + pattern
+            e = min(int(budget * len(pattern)), len(pattern) - 1)
             number = len(self.items)
             self.items.append((item_id, pattern, e))
             cuts = [k * len(pattern) // (e + 1) for k in range(e + 2)]
@@ -182,10 +192,14 @@ class Items:
             if spans is None:
                 starts = np.cumsum([0] + [len(w.decode()) + 1 for w in words])
                 spans = [m.span() for m in re.finditer(_WORD, raw.decode())]
-            first = int(np.searchsorted(starts, start, "right")) - 1
-            last = int(np.searchsorted(starts, max(start, stop - 1), "right")) - 1
-            found.append((item_id, d, spans[min(first, len(spans) - 1)][0],
-                          spans[min(last, len(spans) - 1)][1]))
+            first = min(int(np.searchsorted(starts, start, "right")) - 1, len(spans) - 1)
+            last = min(int(np.searchsorted(starts, max(start, stop - 1), "right")) - 1, len(spans) - 1)
+            begin, finish = spans[first][0], spans[last][1]
+            if UNSPACED.match(norm, start):
+                begin += start - int(starts[first]) - 1
+            if stop > start and UNSPACED.match(norm, stop - 1):
+                finish = spans[last][0] + stop - 1 - int(starts[last])
+            found.append((item_id, d, begin, finish))
         return sorted(found, key=lambda x: (x[2], x[3], str(x[0])))
 
 

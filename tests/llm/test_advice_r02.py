@@ -127,3 +127,35 @@ def test_long_texts_over_chunks(monkeypatch):
     for shift in range(70):
         got = index.matches((("y" * shift) + " " + item + " z" * 40).encode())
         assert [(g[0], g[1]) for g in got] == [(1, 0)] and got[0][2] == shift + 1
+
+
+CHINESE = "请问下列哪一个城市是中华人民共和国的首都"
+THAI = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศใดในทวีปเอเชีย"
+JAPANESE = "日本で一番高い山の名前は何ですか。その高さも答えてください、また何県にあるかも答えなさい。" * 2
+FEW = "antidisestablishmentarianism floccinaucinihilipilification"
+
+
+def test_items_without_word_borders(spark):
+    items = [(1, CHINESE), (2, THAI), (3, JAPANESE), (4, FEW), (5, "短い"), (6, "too short words")]
+    edited = JAPANESE[:20] + "X" + JAPANESE[21:50] + JAPANESE[52:]
+    rows = [(1, CHINESE), (2, f"前面的文字{CHINESE}？后面的文字"), (3, f"x {THAI}y"), (4, f"あれは{edited}です"),
+            (5, f"the {FEW.upper()}, twice"), (6, "短い too short words"), (7, CHINESE[:-6])]
+    # within the budget of one edit
+    rows += [(8, "某" + CHINESE[:9] + "在" + CHINESE[10:]), (9, "某" + CHINESE[:4] + "在在" + CHINESE[6:])]
+    assert leaks_found(spark, rows, items) == [
+        (1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 3, 3), (5, 4, 0), (8, 1, 1)]
+
+
+def test_spans_inside_unspaced_words():
+    index = decontaminate.Items([(1, CHINESE)], 0.05)
+    text = f"Q: 前面的文字{CHINESE}后面"
+    (_item, distance, start, end), = index.matches(text.encode())
+    assert distance == 0 and text[start:end] == CHINESE
+
+
+def test_punctuated_unspaced_item_has_its_whole_budget(spark):
+    item = " ".join([CHINESE * 2] * 5)
+    text = "".join("某" if i % 22 == 3 else c for i, c in enumerate(item))
+    edits = sum(a != b for a, b in zip(item, text))
+    assert 4 < edits <= int(0.05 * len(item))
+    assert leaks_found(spark, [(1, text)], [(1, item)]) == [(1, 1, edits)]
