@@ -5,10 +5,11 @@ from collections import Counter
 from functools import cache
 
 import brute
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from skein.llm import decontaminate, html_content, pii
+from skein.llm import decontaminate, html_content, langid, pii
 
 TEXTS = "doc_id long, text string"
 
@@ -159,3 +160,67 @@ def test_punctuated_unspaced_item_has_its_whole_budget(spark):
     edits = sum(a != b for a, b in zip(item, text))
     assert 4 < edits <= int(0.05 * len(item))
     assert leaks_found(spark, [(1, text)], [(1, item)]) == [(1, 1, edits)]
+
+
+# --- language ID ------------------------------------------------------------------------
+
+def scripts():
+    """A large script in most texts, and small languages that share code blocks:
+    two apart by their letters, two by their letters' order alone."""
+    rng = random.Random(5)
+    han = [chr(0x4E00 + i) for i in range(400)]
+    letters = [chr(0x10D0 + i) for i in range(32)]
+    words = {"ka": ["".join(rng.choice(letters[:14]) for _ in range(5)) for _ in range(30)],
+             "xm": ["".join(rng.choice(letters[14:28]) for _ in range(5)) for _ in range(30)],
+             "hy": ["".join(chr(0x0561 + rng.randrange(30)) for _ in range(5)) for _ in range(30)]}
+    words["yh"] = [w[::-1] for w in words["hy"]]
+
+    def text(lang):
+        if lang == "zh":
+            return "".join(rng.choice(han) for _ in range(3000))
+        return " ".join(rng.choice(words[lang]) for _ in range(40))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["zh"] * 60 + list(words) * 15)]
+    return rows, [(i, text(lang), lang) for i, lang in enumerate(["zh", *words] * 8)]
+
+
+def test_small_languages_beside_a_large_script(spark):
+    rows, held = scripts()
+    schema = "doc_id long, text string, lang string"
+    model = langid.train(spark.createDataFrame(rows, schema))
+    got = langid.identify(spark.createDataFrame(held, schema), model).collect()
+    assert [r["lang_pred"] for r in got if r["lang_pred"] != r["lang"]] == []
+    assert not any(r["rejected"] for r in got)
+
+
+def test_model_keeps_every_letter(spark):
+    rows, _held = scripts()
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for lang, own in zip(model.langs, model.models):
+        used = {ord(c) for _i, t, x in rows if x == lang for c in t if c != " "} | {0}
+        assert set(own.one.keys.tolist()) == used
+    assert len({m.size for m in model.models}) == 1
+
+
+def test_many_symbols_in_a_piece_score_as_few_do(monkeypatch):
+    points = np.array([[0, 0, 97, 0x4E00], [0, 97, 0x4E00, 0x10FFFF], [97, 0x4E00, 0x10FFFF, 0]])
+    some = langid.Packer().distinct(points)
+    monkeypatch.setattr(langid, "DENSE", 1)
+    many = langid.Packer().distinct(points)
+    want = (points[0].astype(object) << 42) | (points[1].astype(object) << 21) | points[2].astype(object)
+    assert some[0][some[1]].tolist() == many[0][many[1]].tolist() == want.tolist()
+
+
+def test_held_out_scores_are_those_of_a_model_without_the_row(spark):
+    texts = ["ab ab ba cab", "abba cab dab", "bad ab", "xyz ab ab ba"]
+
+    def counted(some):
+        grams = np.concatenate([langid.Packer().distinct(g)[0][langid.Packer().distinct(g)[1]]
+                                for t in some for s in [langid.symbols(t)]
+                                for g in [np.stack([s[:-2], s[1:-1], s[2:]])]])
+        return np.unique(grams, return_counts=True)
+    whole = langid.KneserNey(*counted(texts), bits=21)
+    for k, text in enumerate(texts):
+        rest = langid.KneserNey(*counted(texts[:k] + texts[k + 1:]), bits=21)
+        rest.three.d, rest.two.d = whole.three.d, whole.two.d
+        grams, own = counted([text])
+        assert np.allclose(whole.log_prob(grams, own), rest.log_prob(grams))
