@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import licenses, secrets, warc
+from skein.llm import licenses, secrets, variants, warc
 
 
 def _quote(s: str) -> str:
@@ -120,3 +120,44 @@ r(doc_id, o) AS (
 c AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (rid) LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+
+def spelling_variants() -> str:
+    # crc32 by its table of 256 remainders; neighbours by patterns with one hole
+    v = variants
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)) AS t),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[{v.LETTERS}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= {v.LEAST} GROUP BY ALL),
+b AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM c),
+h AS (SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda a, y: xor(a // 256, t[(xor(a % 256, y) + 1)::INT]))) AS h FROM b, k),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % {v.SPOIL} = 0 THEN substr(run, 1, (h % length(run))::INT)
+      || substr(run, (h % length(run) + 2)::INT) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= {v.LEAST} GROUP BY word HAVING sum(n) >= {v.SEEN}),
+p AS (
+  SELECT word, n, 0 AS kind, unnest(range(0, length(word) + 1)) AS i FROM w
+  UNION ALL SELECT word, n, 1, unnest(range(0, length(word))) FROM w),
+q AS (
+  SELECT word, n, kind, substr(word, 1, i::INT) || '*' || substr(word, (i + 1 + kind)::INT) AS pattern FROM p),
+e AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS m
+  FROM q a JOIN q b USING (pattern) WHERE a.word <> b.word AND a.kind + b.kind > 0),
+s AS (
+  SELECT word, count(*) AS n_near, max(m) AS top FROM e GROUP BY word),
+f AS (
+  SELECT s.word, min(e.other) AS form, any_value(top) AS form_n
+  FROM s JOIN e ON e.word = s.word AND e.m = s.top JOIN w ON w.word = s.word
+  WHERE top >= {v.RATIO} * n GROUP BY s.word),
+g(word, root) AS (
+  SELECT word, word FROM w UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root)
+SELECT w.word, f.form, g.root, w.n, coalesce(s.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM w LEFT JOIN s USING (word) LEFT JOIN f USING (word)
+JOIN g ON g.word = w.word AND NOT EXISTS (SELECT 1 FROM f z WHERE z.word = g.root)"""

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import (decontaminate, html_content, jaccard, langid, licenses, oracle_sql, packing,
-                       pii, quality, secrets, warc)
+from skein.llm import (decontaminate, html_content, jaccard, langid, licenses, mixing, oracle_sql, packing,
+                       pii, quality, secrets, variants, warc, whitening)
 from skein.session import shared_path, write_shared
 
 
@@ -89,14 +89,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` with the words one edit apart and their roots."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of ``embeddings``."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each of ``documents`` a mix of sources takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def plans() -> dict:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_benchmark_leaks, op3_license_scan, op4_quality_rules, op5_warc_archive,
-        op6_language_id, op7_main_text, op8_packing, op9_pii_spans, op10_jaccard_join)}
+        op6_language_id, op7_main_text, op8_packing, op9_pii_spans, op10_jaccard_join,
+        op11_spelling_variants, op12_embedding_whitening, op13_source_mix)}
 
 
 def oracle() -> dict[str, str]:
     return {"op1_secret_scan": oracle_sql.secret_scan(),
             "op3_license_scan": oracle_sql.license_scan(),
             "op5_warc_archive": oracle_sql.warc_archive(),
-            "op10_jaccard_join": oracle_sql.jaccard_join()}
+            "op10_jaccard_join": oracle_sql.jaccard_join(),
+            "op11_spelling_variants": oracle_sql.spelling_variants()}
