@@ -5,33 +5,36 @@ Documents whose sets of distinct word 5-grams have a Jaccard similarity of
 
 1. Equal sets collapse: a set is known by two 64-bit digests of its sorted gram
    hashes, and one *node* stands for all documents that hold it.
-2. Grams have one global order: rare first.  The ``HEAVY`` most frequent ones
-   (counted over all documents, one table of that size, broadcast) come last by
-   rising frequency, all others come before by hash.  The order decides how much
-   work there is, never the result.
+2. Grams have one global order, rare first: by a counting sketch, then by hash.
+   Every task counts every gram of its sets in a table of ``COUNTERS`` numbers;
+   the tables' sum, of the same size for any corpus, is broadcast.  A gram's
+   counter is never below its frequency, so hot grams are known and their rows
+   dealt in parts.  The order decides how much work there is, never the result.
 3. Two linked sets share a gram within their prefixes of
    ``n - ceil(T n / 100) + 1`` grams.  Prefix grams held by one node only are
    dropped, and so are rows too late in their set to be the first gram common
    to a linked pair; what is left are *cells* of nodes that share a gram.
-4. Each node is first compared with one leader of its cells (that which most of
-   its cells name).  Verified links join nodes into classes, so a large group of
-   near copies needs one comparison per copy, not one per pair.
-5. Only nodes of different classes that share a cell can still add a link.
-   Those pairs that pass the length, place and overlap bounds are compared too.
-6. Comparing: sets are stored, frequent grams first, in prefix trees whose inner
-   paths are shared; a probe walks a tree carrying partial overlaps and leaves a
-   subtree when the grams that remain cannot reach the overlap wanted.  Trees
-   hold about ``PART`` sets; larger classes and stars are dealt in blocks.
+4. Sets of a cell are stored, in the global order with frequent grams first, in
+   prefix trees whose paths are shared.  A probe walks a tree carrying partial
+   overlaps and leaves a subtree when the grams that remain cannot reach the
+   overlap wanted: the sets where it arrives are its links.
+5. First each node meets one leader of its cells (that which most of its cells
+   name).  Links join nodes into classes, so a large group of near copies needs one
+   probe per copy, not one per pair.
+6. Then each cell of several classes is walked: of its nodes those stay that some
+   node of another class can reach by place and size.  All but the commonest
+   class probe the cell's tree, past subtrees of their own class, and classes that a
+   link joins count as one from then on.  No pairs are listed.
 
 Skipping pairs inside a class loses no link between classes, so classes are
 exact.  Gram collisions of 64-bit hashes are the one approximation; a digest
 collision between different sets of one size is found and raises.
 
-Defined results: documents without a word (null, empty, blank) have an empty
-set and are their own class; rows with a null id are not linked and get a null
-class; rows that repeat an id count as one document with all their links;
-repeated rows are equal sets; an empty table gives no rows; other columns are
-not read.
+Defined results: ids may be of any type that sorts; documents without a word
+(null, empty, blank) have an empty set and are their own class; rows with a null
+id are not linked and get a null class; rows that repeat an id count as one
+document with all their links; repeated rows are equal sets; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,19 +44,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T_
 
 from skein.llm.components import components
 from skein.session import write_shared
 
 SHINGLE = 5
 T = 75
-#: grams in the broadcast frequency order (12 bytes each)
-HEAVY = 1 << 20
-#: sets in one tree
-PART = 64
-#: gram hashes counted at once inside a task
-_RUN = 1 << 22
+#: counters of the frequency sketch (4 bytes each)
+COUNTERS = 1 << 20
+#: rows of a hot gram in one part, and sets in one tree
+CELL, PART = 1024, 64
+#: probes that walk one tree in one group
+SLICE = 2048
+#: gram hashes counted at once, and digests remembered, inside a task
+_RUN, _SEEN = 1 << 20, 1 << 20
 
 _WEIGHTS = np.random.default_rng(11).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
 
@@ -94,40 +99,50 @@ def prefix(n: int) -> int:
 
 
 class Order:
-    """The global order: light grams by hash, then heavy ones by rank."""
+    """The global order: by the sketch's counters, then by hash."""
 
-    def __init__(self, heavy: np.ndarray, rank: np.ndarray):
-        self.heavy, self.rank = heavy, rank     # heavy is sorted
+    def __init__(self, table: np.ndarray, cell: int = CELL):
+        self.table, self.cell = table, cell
+        self.shift = np.uint64(65 - len(table).bit_length())
+        self.noise = 2 * float(table.mean())        # what other grams may add to a counter
 
-    def sort(self, found: np.ndarray) -> tuple[np.ndarray, int]:
-        """A sorted set in the global order, and how many grams are light."""
-        if not len(self.heavy):
-            return found, len(found)
-        at = np.minimum(np.searchsorted(self.heavy, found), len(self.heavy) - 1)
-        is_heavy = self.heavy[at] == found
-        late = found[is_heavy][np.argsort(self.rank[at[is_heavy]])]
-        return np.concatenate([found[~is_heavy], late]), len(found) - len(late)
+    def counts(self, found: np.ndarray) -> np.ndarray:
+        return self.table[(found >> self.shift).astype(np.int64)]
+
+    def sort(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A sorted set in the global order, and its counters."""
+        n = self.counts(found)
+        at = np.argsort(n, kind="stable")
+        return found[at], n[at]
+
+    def parts(self, n: np.ndarray) -> np.ndarray:
+        """Parts in which the rows of grams with counters ``n`` are dealt."""
+        return np.maximum(1, np.ceil((n - self.noise) / self.cell)).astype(np.int32)
 
 
 # --- passes over the texts -----------------------------------------------------
 
-def _sketch(docs: DataFrame) -> DataFrame:
-    """Per document its set's digests and size (kind 0); per task the grams that
-    several of its sets hold, with their number (kind 1)."""
+_CHUNK = 1 << 14
+
+
+def _sketch(docs: DataFrame, counters: int) -> DataFrame:
+    """Per document its set's digests and size (``slot`` null); per task its
+    counters, in chunks (``slot`` and ``counts``)."""
+    schema = T_.StructType([T_.StructField("id", docs.schema["id"].dataType)] + [
+        T_.StructField(c, k) for c, k in (("h", T_.LongType()), ("h2", T_.LongType()), ("n", T_.IntegerType()),
+                                          ("slot", T_.IntegerType()), ("counts", T_.BinaryType()))])
+    shift, chunk = np.uint64(65 - counters.bit_length()), min(_CHUNK, counters)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "h", "h2", "n"]
-
-        def counted(held: list) -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            values, n = values[n > 1], n[n > 1]
-            zero = pa.array(np.zeros(len(values), np.int64))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(values), np.int32)), _signed(values), zero, zero,
-                 pa.array(n.astype(np.int32))], names)
+        table, kind = np.zeros(counters, np.int32), None
         seen: set[int] = set()
         held, size = [], 0
+
+        def count(held: list) -> None:
+            at = (np.concatenate(held) >> shift).astype(np.int64)
+            table[:] += np.bincount(at, minlength=counters).astype(np.int32)
         for batch in batches:
-            rows = []
+            rows, kind = [], batch.column(0).type
             for raw in batch.column(1).to_pylist():
                 found = grams(raw)
                 h, h2 = digest(found)
@@ -137,48 +152,59 @@ def _sketch(docs: DataFrame) -> DataFrame:
                     held.append(found)
                     size += len(found)
                     if size >= _RUN:
-                        yield counted(held)
+                        count(held)
                         held, size = [], 0
-                        if len(seen) > _RUN:
-                            seen.clear()
+                    if len(seen) > _SEEN:
+                        seen.clear()
             h, h2, n = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(rows), np.int32)), batch.column(0).cast(pa.int64()),
-                 pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32())], names)
+                [batch.column(0), pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()),
+                 pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], schema.names)
         if held:
-            yield counted(held)
-    return docs.mapInArrow(run, "kind int, a long, h long, h2 long, n int")
-
-
-def _order(sketch: DataFrame, most: int) -> Order:
-    """The ``most`` most frequent grams, by rising frequency."""
-    df = write_shared(sketch.where("kind = 1").groupBy(F.col("a").alias("g"))
-                      .agg(F.sum("n").alias("n")), "grams")
-    # the least frequency that at most ``most`` grams reach
-    steps = sorted(((r["n"], r["count"]) for r in
-                    df.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()), reverse=True)
-    total, least = 0, None
-    for n, count in steps:
-        if total + count > most:
-            break
-        total, least = total + count, n
-    if least is None:
-        return Order(np.empty(0, np.uint64), np.empty(0, np.int32))
-    found = df.where(F.col("n") >= least).toArrow()
-    g = found["g"].to_numpy().view(np.uint64)
-    n = found["n"].to_numpy()
-    rank = np.empty(len(g), np.int32)
-    rank[np.lexsort((g, n))] = np.arange(len(g), dtype=np.int32)
-    by = np.argsort(g)
-    return Order(g[by], rank[by])
+            count(held)
+        if kind is not None:
+            k = counters // chunk
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(k, kind), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32())],
+                 pa.array(range(k), pa.int32()),
+                 pa.array([table[i * chunk:(i + 1) * chunk].tobytes() for i in range(k)], pa.binary())], schema.names)
+    return docs.mapInArrow(run, schema)
+
+
+def _order(sketch: DataFrame, counters: int, cell: int = CELL) -> Order:
+    """The order of the tasks' summed counters."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[slot] = sums.get(slot, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
+        if sums:
+            most = np.iinfo(np.int32).max
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()),
+                 pa.array([np.minimum(v, most).astype(np.int32).tobytes() for v in sums.values()], pa.binary())],
+                ["slot", "counts"])
+    rows = (sketch.where("slot is not null").select("slot", "counts").repartition("slot")
+            .mapInArrow(add, "slot int, counts binary").collect())
+    table = b"".join(bytes(r["counts"]) for r in sorted(rows, key=lambda r: r["slot"]))
+    return Order(np.frombuffer(table, np.int32) if table else np.zeros(counters, np.int32), cell)
 
 
 def _prefixes(docs: DataFrame, order) -> DataFrame:
-    """``g, h, n, at, heavy``: the prefix grams of every set, with their place."""
+    """``g, h, n, at, parts``: the prefix grams of every set, with their place and
+    the number of parts in which the gram's rows are dealt."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, seen = order.value, set()
         for batch in batches:
-            out, sizes, keys, heavy = [], [], [], []
+            out, counts, sizes, keys, held = [], [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                p = np.array([s[0] for s in sizes])
+                return pa.RecordBatch.from_arrays(
+                    [_signed(np.concatenate(out)), pa.array(np.repeat(np.array(keys, np.int64), p)),
+                     pa.array(np.repeat(np.array([s[1] for s in sizes], np.int32), p)),
+                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in p])),
+                     pa.array(by.parts(np.concatenate(counts)))], ["g", "h", "n", "at", "parts"])
             for raw in batch.column(0).to_pylist():
                 found = grams(raw)
                 n = len(found)
@@ -187,41 +213,63 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
                 h = digest(found)[0]
                 if h in seen:
                     continue
-                if len(seen) > _RUN:
+                if len(seen) > _SEEN:
                     seen.clear()
                 seen.add(h)
                 p = prefix(n)
-                ordered, light = by.sort(found)
+                ordered, times = by.sort(found)
                 out.append(ordered[:p])
+                counts.append(times[:p])
                 sizes.append((p, n))
                 keys.append(h)
-                heavy.append(np.arange(p) >= light)
-            if not out:
-                continue
-            p = np.array([s[0] for s in sizes])
-            yield pa.RecordBatch.from_arrays(
-                [_signed(np.concatenate(out)), pa.array(np.repeat(np.array(keys, np.int64), p)),
-                 pa.array(np.repeat(np.array([s[1] for s in sizes], np.int32), p)),
-                 pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in p])),
-                 pa.array(np.concatenate(heavy))], ["g", "h", "n", "at", "heavy"])
-    return docs.select("t").mapInArrow(run, "g long, h long, n int, at int, heavy boolean")
+                held += p
+                if held >= _RUN:
+                    yield rows()
+                    out, counts, sizes, keys, held = [], [], [], [], 0
+            if out:
+                yield rows()
+    return docs.select("t").mapInArrow(run, "g long, h long, n int, at int, parts int")
 
 
-def small_side(ids: DataFrame, most: int = 500_000) -> DataFrame:
-    """A stored table of a few numbers a row, broadcast if it has at most
-    ``most`` rows (under 40 MB); a larger one is shuffled by the join."""
-    return F.broadcast(ids) if ids.count() <= most else ids
+def small_side(ids: DataFrame, most: int = 500_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """A stored table of a few numbers or short texts a row, broadcast if it has at
+    most ``most`` rows (under 40 MB) and ``most_bytes`` of text; a larger one is
+    shuffled by the join."""
+    texts = [F.octet_length(f.name) for f in ids.schema if isinstance(f.dataType, (T_.StringType, T_.BinaryType))]
+    size = ids.agg(F.count("*"), *[F.coalesce(F.sum(t), F.lit(0)) for t in texts]).first()
+    return F.broadcast(ids) if size[0] <= most and sum(size[1:]) <= most_bytes else ids
 
 
 # --- the prefix tree ------------------------------------------------------------
 
+class Groups:
+    """Classes of one tree, joined as links are found."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, c):
+        while c in self.up:
+            c = self.up[c]
+        return c
+
+    def join(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.up[b] = a
+        return True
+
+
 class Tree:
-    """Path-compressed prefix tree over gram sequences (frequent grams first)."""
+    """Path-compressed prefix tree over gram sequences in the global order,
+    frequent grams first.  ``kinds`` names the class of each sequence."""
 
-    def __init__(self, sequences: list[np.ndarray]):
+    def __init__(self, sequences: list[np.ndarray], kinds: list | None = None):
+        self.kinds = kinds
         order = sorted(range(len(sequences)), key=lambda i: sequences[i].tobytes())
-        # node: [tokens of its edge, depth at its end, children, entries, least and most size]
-        self.root = [sequences[0][:0], 0, [], [], 0, 0]
+        # node: [grams of its edge, depth at its end, children, entries, least and most size, class]
+        self.root = [sequences[0][:0], 0, [], [], 0, 0, None]
         path = [self.root]
         last = None
         for i in order:
@@ -235,12 +283,12 @@ class Tree:
                 child = path.pop()
                 above = path[-1][1]
                 if above < common:          # split the edge where the paths part
-                    upper = [child[0][:common - above], common, [child], [], 0, 0]
+                    upper = [child[0][:common - above], common, [child], [], 0, 0, None]
                     child[0] = child[0][common - above:]
                     path[-1][2][-1] = upper
                     path.append(upper)
             if len(seq) > path[-1][1]:
-                leaf = [seq[path[-1][1]:], len(seq), [], [i], 0, 0]
+                leaf = [seq[path[-1][1]:], len(seq), [], [i], 0, 0, None]
                 path[-1][2].append(leaf)
                 path.append(leaf)
             else:
@@ -257,20 +305,26 @@ class Tree:
         for node in reversed(order):
             sizes = [node[1]] * bool(node[3]) + [c[k] for c in node[2] for k in (4, 5)]
             node[4], node[5] = (min(sizes), max(sizes)) if sizes else (node[1], node[1])
+            if self.kinds is not None:      # the one class below, if there is one only
+                below = {self.kinds[i] for i in node[3]} | {c[6] for c in node[2]}
+                node[6] = below.pop() if len(below) == 1 else None
 
-    def links(self, probe: np.ndarray) -> list[int]:
-        """Entries whose similarity with ``probe`` (sorted hashes) is enough."""
+    def links(self, probe: np.ndarray, kind=None, groups: Groups | None = None) -> list[int]:
+        """Entries whose similarity with ``probe`` (sorted hashes) is enough.  With
+        ``groups``: one entry of each class not yet joined with ``kind``, which joins."""
         n, out = len(probe), []
         stack = [(self.root, 0)]
         while stack:
             node, overlap = stack.pop()
+            if groups and node[6] is not None and groups.root(node[6]) == groups.root(kind):
+                continue
             if len(node[0]):
                 at = np.minimum(np.searchsorted(probe, node[0]), n - 1)
                 overlap += int((probe[at] == node[0]).sum())
             if overlap + min(node[5] - node[1], n - overlap) < _wanted(n, node[4]):
                 continue                    # nothing below can reach the overlap
             if node[3] and 100 * overlap >= T * (n + node[1] - overlap):
-                out += node[3]
+                out += [i for i in node[3] if not groups or groups.join(kind, self.kinds[i])]
             stack += [(child, overlap) for child in node[2]]
         return out
 
@@ -280,22 +334,23 @@ def _wanted(n: int, m: int) -> int:
     return -(-T * (n + m) // (100 + T))
 
 
-WORK = ["k1", "k2", "block", "slice", "role", "h", "n"]
+WORK = ["k1", "k2", "block", "slice", "role", "cls", "h", "n"]
 
 
-def _compare(texts: DataFrame, work: DataFrame, nodes: DataFrame) -> DataFrame:
+def _compare(texts: DataFrame, work: DataFrame, nodes: DataFrame, order, grouped: bool) -> DataFrame:
     """Links among the sets that ``work`` brings together, as documents ``u, v``.
 
     Rows with one key ``k1, k2, block, slice`` meet: those of role 0 build a
-    tree, those of role 1 probe it one after the other.  Sets are made from the
-    texts on the way, so each is moved once."""
+    tree, those of role 1 probe it one after the other (if ``grouped``, past their
+    own class ``cls``).  Sets are made from the texts on the way."""
     need = write_shared(work.join(nodes, ["h", "n"]).select(*WORK, "doc"), "work")
     rows = texts.join(small_side(need), F.col("id") == F.col("doc")).select("t", *WORK, "doc")
     names = [*WORK, "doc", "grams"]
+    id_type = nodes.schema["doc"].dataType
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(6).to_pylist()
+            wanted = batch.column(1 + WORK.index("h")).to_pylist()
             found = [grams(raw) for raw in batch.column(0).to_pylist()]
             # a row that repeats the id with another text is not the node's
             own = pa.array([len(f) > 0 and digest(f)[0] == h for f, h in zip(found, wanted)], pa.bool_())
@@ -304,31 +359,31 @@ def _compare(texts: DataFrame, work: DataFrame, nodes: DataFrame) -> DataFrame:
             yield out.filter(own)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, tree, by = None, [], None, None
+        key, held, tree, groups, by = None, [], None, None, order.value
         for batch in batches:
-            u, v = [], []
+            u, v, doc_type = [], [], batch.column(names.index("doc")).type
             cols = [batch.column(names.index(c)).to_pylist()
-                    for c in ("k1", "k2", "block", "slice", "role", "doc", "grams")]
-            for *now, role, doc, g in zip(*cols):
+                    for c in ("k1", "k2", "block", "slice", "role", "cls", "doc", "grams")]
+            for *now, role, cls, doc, g in zip(*cols):
                 if now != key:
                     key, held, tree = now, [], None
                 found = np.frombuffer(g, np.uint64)
                 if role == 0:
-                    held.append((doc, found))
+                    held.append((doc, found, cls))
                 elif held:
                     if tree is None:
-                        # frequent grams first, so that paths are shared
-                        every, n = np.unique(np.concatenate([f for _d, f in held]), return_counts=True)
-                        by = Order(every, n.astype(np.int32))
-                        tree = Tree([by.sort(f)[0][::-1] for _d, f in held])
-                    for i in tree.links(found):
+                        tree = Tree([by.sort(f)[0][::-1] for _d, f, _c in held],
+                                    [c for _d, _f, c in held] if grouped else None)
+                        groups = Groups() if grouped else None
+                    for i in tree.links(found, cls, groups):
                         u.append(doc)
                         v.append(held[i][0])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-    kinds = "k1 long, k2 int, block int, slice int, role int, h long, n int, doc long, grams binary"
-    return (rows.mapInArrow(load, kinds).repartition("k1", "k2", "block", "slice")
+            yield pa.RecordBatch.from_arrays([pa.array(u, doc_type), pa.array(v, doc_type)], ["u", "v"])
+    loaded = T_.StructType([*need.schema, T_.StructField("grams", T_.BinaryType())])
+    ends = T_.StructType([T_.StructField("u", id_type), T_.StructField("v", id_type)])
+    return (rows.mapInArrow(load, loaded).repartition("k1", "k2", "block", "slice")
             .sortWithinPartitions("k1", "k2", "block", "slice", "role", "h", "n")
-            .mapInArrow(probe, "u long, v long"))
+            .mapInArrow(probe, ends))
 
 
 # --- the join --------------------------------------------------------------------
@@ -351,27 +406,27 @@ def _may_link(n, c, m, d):
 
 
 def _cells(prefixes: DataFrame) -> DataFrame:
-    """``g, h, n, at, c, reach``: prefix rows that may be the first gram common
-    to a linked pair; ``c`` counts the node's prefix grams that others hold.
+    """``g, part, parts, h, n, at, c, reach``: prefix rows that may be the first
+    gram common to a linked pair; ``c`` counts the node's prefix grams that others
+    hold.
 
-    Light grams meet in a window; rows of the few heavy grams, which any share
-    of all nodes may hold, are spread over parts there and counted map-side.
-    Rows go that cannot pair with any size found in their cell."""
+    Rows of a gram meet in a window; those of hot grams, which any share of all
+    nodes may hold, are dealt in parts there and counted map-side.  Rows go that
+    cannot pair with any size found in their cell."""
     node = F.struct("h", "n")
     cell = Window.partitionBy("g", "part")
-    met = (prefixes.withColumn("part", F.when(F.col("heavy"), F.pmod("h", F.lit(256)))
-                               .otherwise(0).cast("int"))
+    met = (prefixes.withColumn("part", F.pmod("h", "parts").cast("int"))
            .withColumn("lo", F.min(node).over(cell)).withColumn("hi", F.max(node).over(cell))
-           .where("heavy or lo != hi").dropDuplicates(["g", "part", "h", "n", "at"]))
-    met = write_shared(met.select("g", "h", "n", "at", "heavy"), "met")
-    heavy = met.where("heavy")
-    shared = (heavy.groupBy(F.col("g").alias("k")).agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
+           .where("parts > 1 or lo != hi").dropDuplicates(["g", "part", "h", "n", "at"]))
+    met = write_shared(met.select("g", "part", "parts", "h", "n", "at"), "met")
+    hot = met.where("parts > 1")
+    shared = (hot.groupBy(F.col("g").alias("k")).agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
               .where("lo != hi").select("k"))
-    several = met.where("not heavy").unionByName(heavy.join(shared, F.col("g") == F.col("k"), "left_semi"))
+    several = met.where("parts = 1").unionByName(hot.join(shared, F.col("g") == F.col("k"), "left_semi"))
     count = several.groupBy(F.col("h").alias("ch"), F.col("n").alias("cn")).agg(F.count("*").alias("c"))
     rows = write_shared(
         several.join(count, (F.col("h") == F.col("ch")) & (F.col("n") == F.col("cn")))
-        .select("g", "h", "n", "at", "c", _reach(F.col("n"), F.col("at")).alias("reach")), "rows")
+        .select("g", "part", "parts", "h", "n", "at", "c", _reach(F.col("n"), F.col("at")).alias("reach")), "rows")
     sizes = rows.groupBy(F.col("g").alias("k")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     # the shared grams allow partners up to one size or from another, larger one
     upto = F.floor((100 + T) * (F.col("c") + _needed(F.col("n")) - 1) / T) - F.col("n")
@@ -379,22 +434,25 @@ def _cells(prefixes: DataFrame) -> DataFrame:
     viable = ((F.col("least") <= F.least("reach", upto))
               | ((F.col("most") >= above) & (F.col("reach") >= above) & (F.col("reach") >= F.col("n"))))
     return rows.join(sizes, F.col("g") == F.col("k")).where(viable) \
-        .select("g", "h", "n", "at", "c", "reach")
+        .select("g", "part", "parts", "h", "n", "at", "c", "reach")
 
 
 def _stars(cells: DataFrame) -> DataFrame:
     """Work that compares each node with one leader of its cells: the one that
-    most of its cells name."""
-    lead = (cells.groupBy(F.col("g").alias("k"))
-            .agg(F.min(F.struct("h", "n", "c")).alias("lo"), F.max(F.struct("h", "n", "c")).alias("hi"))
-            .where("lo != hi").select("k", "lo"))
-    led = (cells.join(lead, F.col("g") == F.col("k"))
-           .where((F.struct("h", "n", "c") != F.col("lo"))
-                  & _may_link(F.col("n"), F.col("c"), F.col("lo.n"), F.col("lo.c")))
-           .groupBy(F.col("lo.h").alias("ah"), F.col("lo.n").alias("an"), "h", "n").count()
-           .groupBy("h", "n").agg(F.max(F.struct("count", "ah", "an")).alias("m"))
-           .select(F.col("m.ah").alias("k1"), F.col("m.an").alias("k2"), "h", "n"))
-    led = write_shared(led, "led")
+    most of its cells name.  Parts of a hot cell have their own leaders, and these
+    the cell's."""
+    own = F.struct("h", "n", "c")
+    led = cells.withColumn("lo", F.min(own).over(Window.partitionBy("g", "part")))
+    follows = (own != F.col("lo")) & _may_link(F.col("n"), F.col("c"), F.col("lo.n"), F.col("lo.c"))
+    heads = led.where((F.col("parts") > 1) & (own == F.col("lo"))).select("g", "h", "n", "c")
+    top = heads.groupBy(F.col("g").alias("k")).agg(F.min(own).alias("lo"))
+    named = [F.col("lo.h").alias("ah"), F.col("lo.n").alias("an"), "h", "n"]
+    told = (led.where(follows).select(*named)
+            .unionByName(heads.join(top, F.col("g") == F.col("k")).where(follows).select(*named)))
+    led = write_shared(
+        told.groupBy("ah", "an", "h", "n").count()
+        .groupBy("h", "n").agg(F.max(F.struct("count", "ah", "an")).alias("m"))
+        .select(F.col("m.ah").alias("k1"), F.col("m.an").alias("k2"), "h", "n"), "led")
     load = led.groupBy(F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(
         F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
     entries = led.join(load, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))).select(
@@ -402,67 +460,87 @@ def _stars(cells: DataFrame) -> DataFrame:
         F.lit(0).alias("slice"), F.lit(0).alias("role"), "h", "n")
     probes = entries.select("k1", "k2", "block", "slice").distinct().select(
         "k1", "k2", "block", "slice", F.lit(1).alias("role"), F.col("k1").alias("h"), F.col("k2").alias("n"))
-    return entries.unionByName(probes)
+    return entries.unionByName(probes).withColumn("cls", F.lit(0))
+
+
+def _reachable(rows: DataFrame) -> DataFrame:
+    """``g, h, n, cls``: the rows of mixed cells that a node of another class can
+    reach, with their gram as the first common one.
+
+    Each cell is summed up, map-side first, by the two classes that have most grams
+    left for each size; the summary goes to all parts of the cell."""
+    left = rows.groupBy("g", "n", "cls").agg(F.max(F.col("n") - F.col("at")).alias("left"),
+                                             F.max("parts").alias("parts"))
+    first = Window.partitionBy("g", "n").orderBy(F.desc("left"), "cls")
+    summary = left.withColumn("k", F.row_number().over(first)).where("k <= 2")
+    kind = rows.schema["cls"].dataType
+    dealt = (summary.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                            F.lit(0).alias("role"), F.lit(0).cast("long").alias("h"), "n", "left", "cls")
+             .unionByName(rows.select("g", "part", F.lit(1).alias("role"), "h", "n",
+                                      (F.col("n") - F.col("at")).alias("left"), "cls")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sizes = None, []
+        for batch in batches:
+            keep = []
+            cols = [batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6)]
+            for i, (g, part, role, n, left, cls) in enumerate(zip(*cols)):
+                if (g, part) != key:
+                    key, sizes = (g, part), []
+                if role == 0:
+                    sizes.append((n, left, cls))
+                elif any(c != cls and min(left, most) >= _wanted(n, m) for m, most, c in sizes):
+                    keep.append(i)
+            found = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([found.column(k) for k in (0, 3, 4, 6)], ["g", "h", "n", "cls"])
+    schema = T_.StructType([rows.schema["g"], rows.schema["h"], rows.schema["n"], T_.StructField("cls", kind)])
+    return (dealt.repartition("g", "part").sortWithinPartitions("g", "part", "role").mapInArrow(run, schema))
 
 
 def _rest(cells: DataFrame, named: DataFrame) -> DataFrame:
-    """Work that compares different classes that share a cell: the members of
-    the smaller class probe those of the larger one, which are dealt in blocks.
-    Pairs of members are never listed."""
+    """Work that compares the classes of a cell: all nodes that others can reach
+    are entries of the cell's tree, dealt in blocks; those outside its commonest
+    class probe it."""
     rows = (cells.join(named.select(F.col("h").alias("kh"), F.col("n").alias("kn"), "cls"),
                        (F.col("h") == F.col("kh")) & (F.col("n") == F.col("kn")))
-            .select("g", "h", "n", "c", "reach", "cls"))
-    mixed = (rows.groupBy(F.col("g").alias("k")).agg(F.min("cls").alias("x"), F.max("cls").alias("y"))
-             .where("x != y").select("k"))
-    rows = write_shared(rows.join(mixed, F.col("g") == F.col("k"), "left_semi"), "cells")
-    held = rows.groupBy("g", "cls").agg(F.min("n").alias("least"), F.max("n").alias("most"),
-                                        F.max("reach").alias("reach"), F.max("c").alias("c"))
-    one, two = (held.select(*[F.col(c).alias(c + k) for c in held.columns]) for k in "12")
-    single = (F.col("least1") == F.col("most1")) & (F.col("least2") == F.col("most2"))
-    pairs = (one.join(two, (F.col("g1") == F.col("g2")) & (F.col("cls1") < F.col("cls2"))
-                      & (F.col("least1") <= F.col("reach2")) & (F.col("least2") <= F.col("reach1"))
-                      & (100 * F.col("most1") >= T * F.col("least2"))
-                      & (100 * F.col("most2") >= T * F.col("least1"))
-                      & (~single | _may_link(F.col("least1"), F.col("c1"), F.col("least2"), F.col("c2"))))
-             .select("cls1", "cls2").distinct())
-    members = rows.select("cls", "h", "n").distinct()
-    size = members.groupBy("cls").agg(F.count("*").alias("size"))
-    s1, s2 = (size.select(*[F.col(c).alias(c + k) for c in size.columns]) for k in "12")
-    swap = F.col("size1") >= F.col("size2")
-    pairs = write_shared(pairs.join(s1, "cls1").join(s2, "cls2").select(
-        F.when(swap, F.col("cls1")).otherwise(F.col("cls2")).alias("k1"),
-        F.when(swap, F.col("cls2")).otherwise(F.col("cls1")).alias("by"),
-        F.ceil(F.greatest("size1", "size2") / PART).cast("int").alias("blocks")), "pairs")
-    probes = write_shared(pairs.join(members, F.col("by") == F.col("cls"))
-                          .select("k1", "blocks", "h", "n"), "probes")
-    load = probes.groupBy("k1", "blocks").agg(F.ceil(F.count("*") / 2048).cast("int").alias("slices"))
-    entries = (load.join(members, F.col("k1") == F.col("cls"))
-               .select("k1", F.lit(0).alias("k2"),
-                       F.pmod(F.xxhash64("h", "n"), "blocks").cast("int").alias("block"),
-                       F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
-                       F.lit(0).alias("role"), "h", "n"))
-    asked = (probes.join(load.select(F.col("k1").alias("x1"), "slices"), F.col("k1") == F.col("x1"))
-             .select("k1", F.lit(0).alias("k2"),
-                     F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                     F.pmod(F.xxhash64("h", "n"), "slices").cast("int").alias("slice"),
-                     F.lit(1).alias("role"), "h", "n"))
-    return entries.unionByName(asked)
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
+            .select("g", "part", "parts", "h", "n", "at", "reach", "cls"))
+    mixed = (rows.groupBy(F.col("g").alias("k")).agg(
+        F.min("cls").alias("x"), F.max("cls").alias("y"), F.min("n").alias("least"), F.max("reach").alias("far"))
+             .where("x != y"))
+    rows = write_shared(
+        rows.join(mixed, F.col("g") == F.col("k")).where("least <= reach and far >= n")
+        .select("g", "part", "parts", "h", "n", "at", "cls"), "cells")
+    found = write_shared(_reachable(rows), "reachable")
+    load = (found.groupBy("g", "cls").agg(F.count("*").alias("size"))
+            .groupBy(F.col("g").alias("x")).agg(F.sum("size").alias("all"), F.max(F.struct("size", "cls")).alias("top"))
+            .select("x", F.col("top.cls").alias("common"), F.ceil(F.col("all") / SLICE).cast("int").alias("blocks"),
+                    F.ceil((F.col("all") - F.col("top.size")) / SLICE).cast("int").alias("slices"))
+            .where("slices > 0"))
+    met = write_shared(found.join(load, F.col("g") == F.col("x")), "met")
+    spot = F.xxhash64("h", "n")
+    entries = met.select(F.col("g").alias("k1"), F.lit(0).alias("k2"), F.pmod(spot, "blocks").cast("int").alias("block"),
+                         F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+                         F.lit(0).alias("role"), "cls", "h", "n")
+    probes = met.where("cls != common").select(
+        F.col("g").alias("k1"), F.lit(0).alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(spot, "slices").cast("int").alias("slice"), F.lit(1).alias("role"), "cls", "h", "n")
+    return entries.unionByName(probes)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS,
+            cell: int = CELL) -> DataFrame:
     """Per row of ``docs``: ``id_col, n_shingles, component_id``."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    texts = docs.select(F.col(id_col).cast("long").alias("id"),
-                        F.col(text).cast("string").cast("binary").alias("t"))
-    sketch = write_shared(_sketch(texts), "sketch")
-    order = spark.sparkContext.broadcast(_order(sketch, heavy))
-    own = sketch.where("kind = 0").select(F.col("a").alias("id"), "h", "h2", "n")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("t"))
+    sketch = write_shared(_sketch(texts, counters), "sketch")
+    order = spark.sparkContext.broadcast(_order(sketch, counters, cell))
+    own = sketch.where("slot is null").select("id", "h", "h2", "n")
     nodes = write_shared(
         own.where("n > 0 and id is not null").groupBy("h", "n")
         .agg(F.min("id").alias("doc"), F.min("h2").alias("x"), F.max("h2").alias("y"))
         .select("h", "n", F.when(F.col("x") == F.col("y"), F.col("doc")).otherwise(
-            F.raise_error(F.lit("two sets of one size share a digest")).cast("long")).alias("doc")), "nodes")
+            F.raise_error(F.lit("two sets of one size share a digest")).cast(kind)).alias("doc")), "nodes")
     cells = write_shared(_cells(_prefixes(texts.where("id is not null"), order)), "cells")
     # rows that repeat an id with another text tie that text's node to the id
     several = (own.where("n > 0 and id is not null").groupBy(F.col("id").alias("k"))
@@ -470,11 +548,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heavy:
                .where("x != y").select("k"))
     repeats = (own.join(several, F.col("id") == F.col("k"), "left_semi").where("n > 0")
                .join(nodes, ["h", "n"]).select(F.col("id").alias("u"), F.col("doc").alias("v")))
-    first = write_shared(_compare(texts, _stars(cells), nodes).unionByName(repeats), "links")
+    first = write_shared(_compare(texts, _stars(cells), nodes, order, False).unionByName(repeats), "links")
     found = components(first)
     named = cells.select("h", "n").distinct().join(nodes, ["h", "n"]).join(found, F.col("doc") == F.col("node"), "left") \
         .select("h", "n", F.coalesce("component", "doc").alias("cls"))
-    second = write_shared(_compare(texts, _rest(cells, named), nodes), "links")
+    second = write_shared(_compare(texts, _rest(cells, named), nodes, order, True), "links")
+    order.destroy()
     if second.isEmpty():
         joined = found
     else:       # stars of the first round with the links between them
@@ -484,9 +563,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heavy:
     by_node = nodes.join(joined, F.col("doc") == F.col("node"), "left").select(
         F.col("h").alias("kh"), F.col("n").alias("kn"), F.coalesce("component", "doc").alias("cls"))
     out = own.join(by_node, (F.col("h") == F.col("kh")) & (F.col("n") == F.col("kn")), "left")
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-                      F.when(F.col("id").isNotNull(), F.coalesce("cls", "id")).cast(kind)
-                      .alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
+                      F.when(F.col("id").isNotNull(), F.coalesce("cls", "id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -45,14 +45,48 @@ def variants(seed):
     return [(i + 100, t) for i, t in enumerate(rows)] + brute.rows()
 
 
-@pytest.mark.parametrize("seed,heavy", [(1, 1 << 20), (2, 40), (3, 0)])
-def test_jaccard_classes(spark, seed, heavy):
+@pytest.mark.parametrize("seed,counters,cell", [(1, 1 << 20, 1024), (2, 64, 3), (3, 1, 1024), (5, 1 << 14, 2)])
+def test_jaccard_classes(spark, seed, counters, cell):
     rows = variants(seed)
     docs = spark.createDataFrame(rows, TEXTS).repartition(5)
-    got = sorted(map(tuple, jaccard.classes(docs, heavy=heavy).collect()), key=key)
+    got = sorted(map(tuple, jaccard.classes(docs, counters=counters, cell=cell).collect()), key=key)
     assert got == sorted(brute.components(rows), key=key)
 
 
+def test_jaccard_string_ids(spark):
+    rows = [(None if i is None else f"doc-{i}", t) for i, t in variants(6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = sorted(map(tuple, jaccard.classes(docs).collect()), key=key)
+    assert got == sorted(brute.components(rows), key=key)
+
+
+def test_jaccard_unlinked_crowd(spark):
+    """Many sets around one shared passage, few of them linked: the cells' trees
+    find the links without a row for each pair."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        tail = [f"t{rng.randrange(10 ** 6)}" for _ in range(rng.randint(8, 20))]
+        rows.append((i, " ".join(passage + tail)))
+        if i % 50 == 0:
+            rows.append((1000 + i, " ".join(passage + tail[:-1] + ["end"])))
+    docs = spark.createDataFrame(rows, TEXTS).repartition(4)
+    got = sorted(map(tuple, jaccard.classes(docs).collect()), key=key)
+    assert got == sorted(brute.components(rows), key=key)
+
+
+def test_sketch_counts_every_gram(spark):
+    rows = [(i, f"common words stand here always and then comes word{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string").select(
+        "id", F.col("text").cast("binary").alias("t")).repartition(40)
+    order = jaccard._order(jaccard._sketch(docs, 1 << 12), 1 << 12)
+    sets = [jaccard.grams(t.encode()) for _, t in rows]
+    assert int(order.table.sum()) == sum(map(len, sets))
+    common = set.intersection(*[set(x.tolist()) for x in sets])
+    assert common and all(order.counts(np.array([g], np.uint64))[0] >= 40 for g in common)
+
+
 def test_jaccard_empty_and_representatives(spark):
     none = spark.createDataFrame([], TEXTS)
     assert jaccard.classes(none).count() == 0
