@@ -170,7 +170,8 @@ def mean_average_precision(ranked: DataFrame, queries: DataFrame | None = None,
 # latency statistics
 # ---------------------------------------------------------------------------
 
-PERCENTILE_BUCKETS = 64     # value buckets per group for the exact percentile plan
+# value buckets per group for the exact percentile plan
+PERCENTILE_BUCKETS, MAX_BUCKETS, PER_BUCKET = 64, 1024, 100_000
 
 
 def _join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -183,9 +184,13 @@ def _join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _buckets(n: int) -> int:
+    """Value buckets for ``n`` distinct values, about ``PER_BUCKET`` in each."""
+    return max(PERCENTILE_BUCKETS, min(MAX_BUCKETS, -(-n // PER_BUCKET)))
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: list[float],
-                      by: list[str] | None = None,
-                      buckets: int = PERCENTILE_BUCKETS) -> DataFrame:
+                      by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation (numpy's default), as a
     relational plan: ``by..., p, value``.
 
@@ -194,7 +199,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: list[float],
     2. Each group's values are cut into ``buckets`` ranges at approximate
        quantiles (a bounded sketch per group), so a hot group is spread over
        many tasks; bucket totals (groups x buckets rows) give each bucket's
-       rank offset.
+       rank offset.  Unset, ``buckets`` follows the number of distinct values
+       (counted first).  Without groups the cut points, at most ``MAX_BUCKETS``
+       numbers, are read first and become literals, so no join is needed.
     3. A running count per (group, bucket) gives every distinct value its
        exact rank range [end - count, end); a value then reports itself for
        each target rank floor/ceil((n - 1) p) it holds.
@@ -204,14 +211,14 @@ def exact_percentiles(df: DataFrame, value: str, probs: list[float],
     v = F.col(value).cast("double")
     src = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
     vc = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = (vc.groupBy(*keys) if keys else vc.groupBy()).agg(
-        F.percentile_approx("_v", cuts, 10000).alias("_cuts"))
+    if buckets is None:
+        buckets = _buckets(src.agg(F.approx_count_distinct(F.struct(*keys, "_v"))).first()[0])
+    cuts = F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10000).alias("_cuts")
     if keys:
-        tagged = _join_groups(vc, bounds, keys)
-    else:   # one group: a single row of cut points
-        tagged = vc.withColumn("_one", F.lit(1)).join(
-            F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        tagged = _join_groups(vc, vc.groupBy(*keys).agg(cuts), keys)
+    else:
+        found = vc.agg(cuts).first()["_cuts"] or []
+        tagged = vc.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in found]).cast("array<double>"))
     tagged = tagged.select(*keys, "_v", "_c",
                            F.size(F.filter("_cuts", lambda b: b < F.col("_v"))).alias("_b"))
     totals = tagged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bt"))
