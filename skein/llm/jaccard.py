@@ -57,6 +57,8 @@ COUNTERS = 1 << 20
 CELL, PART = 1024, 64
 #: probes that walk one tree in one group
 SLICE = 2048
+#: cells of at most so many nodes name each node's partners
+FEW = 16
 #: gram hashes counted at once, and digests remembered, inside a task
 _RUN, _SEEN = 1 << 20, 1 << 20
 
@@ -349,7 +351,7 @@ def _compare(texts: DataFrame, work: DataFrame, nodes: DataFrame, order, grouped
     id_type = nodes.schema["doc"].dataType
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, max(b.num_rows, 1), 256)):
             wanted = batch.column(1 + WORK.index("h")).to_pylist()
             found = [grams(raw) for raw in batch.column(0).to_pylist()]
             # a row that repeats the id with another text is not the node's
@@ -453,19 +455,26 @@ def _stars(cells: DataFrame) -> DataFrame:
         told.groupBy("ah", "an", "h", "n").count()
         .groupBy("h", "n").agg(F.max(F.struct("count", "ah", "an")).alias("m"))
         .select(F.col("m.ah").alias("k1"), F.col("m.an").alias("k2"), "h", "n"), "led")
-    load = led.groupBy(F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(
+    return _around(led.withColumn("cls", F.lit(0)).withColumn("by", F.lit(0)))
+
+
+def _around(named: DataFrame) -> DataFrame:
+    """Work for ``k1, k2, by, h, n, cls``: the node ``k1, k2`` (of class ``by``)
+    probes the trees of the nodes that name it, dealt in blocks."""
+    load = named.groupBy(F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(
         F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
-    entries = led.join(load, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))).select(
+    entries = named.join(load, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))).select(
         "k1", "k2", F.pmod(F.xxhash64("h", "n"), "blocks").cast("int").alias("block"),
-        F.lit(0).alias("slice"), F.lit(0).alias("role"), "h", "n")
-    probes = entries.select("k1", "k2", "block", "slice").distinct().select(
-        "k1", "k2", "block", "slice", F.lit(1).alias("role"), F.col("k1").alias("h"), F.col("k2").alias("n"))
-    return entries.unionByName(probes).withColumn("cls", F.lit(0))
+        F.lit(0).alias("slice"), F.lit(0).alias("role"), "cls", "h", "n", "by")
+    probes = entries.select("k1", "k2", "block", "slice", "by").distinct().select(
+        "k1", "k2", "block", "slice", F.lit(1).alias("role"), F.col("by").alias("cls"),
+        F.col("k1").alias("h"), F.col("k2").alias("n"))
+    return entries.drop("by").unionByName(probes)
 
 
 def _reachable(rows: DataFrame) -> DataFrame:
-    """``g, h, n, cls``: the rows of mixed cells that a node of another class can
-    reach, with their gram as the first common one.
+    """``g, h, n, left, cls``: the rows of mixed cells that a node of another class
+    can reach, with their gram as the first common one and ``left`` grams from there.
 
     Each cell is summed up, map-side first, by the two classes that have most grams
     left for each size; the summary goes to all parts of the cell."""
@@ -492,15 +501,21 @@ def _reachable(rows: DataFrame) -> DataFrame:
                 elif any(c != cls and min(left, most) >= _wanted(n, m) for m, most, c in sizes):
                     keep.append(i)
             found = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([found.column(k) for k in (0, 3, 4, 6)], ["g", "h", "n", "cls"])
-    schema = T_.StructType([rows.schema["g"], rows.schema["h"], rows.schema["n"], T_.StructField("cls", kind)])
+            yield pa.RecordBatch.from_arrays([found.column(k) for k in (0, 3, 4, 5, 6)],
+                                             ["g", "h", "n", "left", "cls"])
+    schema = T_.StructType([rows.schema["g"], rows.schema["h"], rows.schema["n"],
+                            T_.StructField("left", T_.IntegerType()), T_.StructField("cls", kind)])
     return (dealt.repartition("g", "part").sortWithinPartitions("g", "part", "role").mapInArrow(run, schema))
 
 
 def _rest(cells: DataFrame, named: DataFrame) -> DataFrame:
-    """Work that compares the classes of a cell: all nodes that others can reach
-    are entries of the cell's tree, dealt in blocks; those outside its commonest
-    class probe it."""
+    """Work that compares the classes of a cell, among the nodes that others can
+    reach.
+
+    In cells of at most ``FEW`` nodes each names its partners, so that two nodes
+    that share a hundred cells meet once.  In larger ones all nodes are entries of
+    the cell's tree, dealt in blocks, and those outside its commonest class probe
+    it."""
     rows = (cells.join(named.select(F.col("h").alias("kh"), F.col("n").alias("kn"), "cls"),
                        (F.col("h") == F.col("kh")) & (F.col("n") == F.col("kn")))
             .select("g", "part", "parts", "h", "n", "at", "reach", "cls"))
@@ -513,18 +528,28 @@ def _rest(cells: DataFrame, named: DataFrame) -> DataFrame:
     found = write_shared(_reachable(rows), "reachable")
     load = (found.groupBy("g", "cls").agg(F.count("*").alias("size"))
             .groupBy(F.col("g").alias("x")).agg(F.sum("size").alias("all"), F.max(F.struct("size", "cls")).alias("top"))
-            .select("x", F.col("top.cls").alias("common"), F.ceil(F.col("all") / SLICE).cast("int").alias("blocks"),
+            .select("x", "all", F.col("top.cls").alias("common"),
+                    F.ceil(F.col("all") / SLICE).cast("int").alias("blocks"),
                     F.ceil((F.col("all") - F.col("top.size")) / SLICE).cast("int").alias("slices"))
             .where("slices > 0"))
     met = write_shared(found.join(load, F.col("g") == F.col("x")), "met")
+    few = met.where(F.col("all") <= FEW).select("g", "h", "n", "left", "cls")
+    probe, entry = (few.select(*[F.col(c).alias(c + k) for c in few.columns]) for k in "12")
+    pairs = (probe.join(entry, (F.col("g1") == F.col("g2")) & (F.col("cls1") != F.col("cls2"))
+                        & (F.struct("h1", "n1") < F.struct("h2", "n2"))
+                        & (F.least("left1", "left2") >= F.ceil(T * (F.col("n1") + F.col("n2")) / (100 + T))))
+             .select(F.col("h1").alias("k1"), F.col("n1").alias("k2"), F.col("cls1").alias("by"),
+                     F.col("h2").alias("h"), F.col("n2").alias("n"), F.col("cls2").alias("cls")).distinct())
+    large = met.where(F.col("all") > FEW)
     spot = F.xxhash64("h", "n")
-    entries = met.select(F.col("g").alias("k1"), F.lit(0).alias("k2"), F.pmod(spot, "blocks").cast("int").alias("block"),
-                         F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
-                         F.lit(0).alias("role"), "cls", "h", "n")
-    probes = met.where("cls != common").select(
+    entries = large.select(F.col("g").alias("k1"), F.lit(0).alias("k2"),
+                           F.pmod(spot, "blocks").cast("int").alias("block"),
+                           F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+                           F.lit(0).alias("role"), "cls", "h", "n")
+    probes = large.where("cls != common").select(
         F.col("g").alias("k1"), F.lit(0).alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(spot, "slices").cast("int").alias("slice"), F.lit(1).alias("role"), "cls", "h", "n")
-    return entries.unionByName(probes)
+    return _around(write_shared(pairs, "pairs")).unionByName(entries).unionByName(probes)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS,
