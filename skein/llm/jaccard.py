@@ -21,10 +21,12 @@ Documents whose sets of distinct word 5-grams have a Jaccard similarity of
 5. First each node meets one leader of its cells (that which most of its cells
    name).  Links join nodes into classes, so a large group of near copies needs one
    probe per copy, not one per pair.
-6. Then each cell of several classes is walked: of its nodes those stay that some
-   node of another class can reach by place and size.  All but the commonest
-   class probe the cell's tree, past subtrees of their own class, and classes that a
-   link joins count as one from then on.  No pairs are listed.
+6. Then cells of several classes are compared: of their nodes those stay that some
+   node of another class can reach by place and size.  In cells of at most ``FEW``
+   nodes each probes the tree of its partners of all such cells; in larger ones, with
+   the classes joined so far, all but the commonest class probe the cell's tree, past
+   subtrees of their own class, and classes that a link joins count as one from
+   then on.
 
 Skipping pairs inside a class loses no link between classes, so classes are
 exact.  Gram collisions of 64-bit hashes are the one approximation; a digest
@@ -52,7 +54,7 @@ from skein.session import write_shared
 SHINGLE = 5
 T = 75
 #: counters of the frequency sketch (4 bytes each)
-COUNTERS = 1 << 20
+COUNTERS = 1 << 19
 #: rows of a hot gram in one part, and sets in one tree
 CELL, PART = 1024, 64
 #: probes that walk one tree in one group
@@ -472,84 +474,94 @@ def _around(named: DataFrame) -> DataFrame:
     return entries.drop("by").unionByName(probes)
 
 
+def _mixed_cells(cells: DataFrame, named: DataFrame) -> DataFrame:
+    """``g, part, parts, h, n, at, cls``: rows of cells that hold several classes,
+    but those beyond all sizes there."""
+    rows = (cells.join(named.select(F.col("h").alias("kh"), F.col("n").alias("kn"), "cls"),
+                       (F.col("h") == F.col("kh")) & (F.col("n") == F.col("kn")))
+            .select("g", "part", "parts", "h", "n", "at", "cls", _reach(F.col("n"), F.col("at")).alias("reach")))
+    mixed = (rows.groupBy(F.col("g").alias("k")).agg(
+        F.min("cls").alias("x"), F.max("cls").alias("y"), F.min("n").alias("least"), F.max("reach").alias("far"))
+             .where("x != y"))
+    return write_shared(
+        rows.join(mixed, F.col("g") == F.col("k")).where("least <= reach and far >= n")
+        .select("g", "part", "parts", "h", "n", "at", "cls"), "cells")
+
+
 def _reachable(rows: DataFrame) -> DataFrame:
-    """``g, h, n, left, cls``: the rows of mixed cells that a node of another class
-    can reach, with their gram as the first common one and ``left`` grams from there.
+    """The rows of mixed cells that a node of another class can reach, with their
+    gram as the first common one; with the number ``all`` of such rows of the cell
+    and its commonest class ``common``.
 
     Each cell is summed up, map-side first, by the two classes that have most grams
     left for each size; the summary goes to all parts of the cell."""
-    left = rows.groupBy("g", "n", "cls").agg(F.max(F.col("n") - F.col("at")).alias("left"),
+    left = rows.groupBy("g", "n", "cls").agg(F.min(F.col("at") - F.col("n")).alias("at"),
                                              F.max("parts").alias("parts"))
-    first = Window.partitionBy("g", "n").orderBy(F.desc("left"), "cls")
+    first = Window.partitionBy("g", "n").orderBy("at", "cls")
     summary = left.withColumn("k", F.row_number().over(first)).where("k <= 2")
-    kind = rows.schema["cls"].dataType
-    dealt = (summary.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                            F.lit(0).alias("role"), F.lit(0).cast("long").alias("h"), "n", "left", "cls")
-             .unionByName(rows.select("g", "part", F.lit(1).alias("role"), "h", "n",
-                                      (F.col("n") - F.col("at")).alias("left"), "cls")))
+    dealt = (summary.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts",
+                            F.lit(0).alias("role"), F.lit(0).cast("long").alias("h"), "n",
+                            (F.col("at") + F.col("n")).alias("at"), "cls")
+             .unionByName(rows.withColumn("role", F.lit(1))))
+    names = dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sizes = None, []
         for batch in batches:
             keep = []
-            cols = [batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6)]
-            for i, (g, part, role, n, left, cls) in enumerate(zip(*cols)):
+            cols = [batch.column(names.index(c)).to_pylist() for c in ("g", "part", "role", "n", "at", "cls")]
+            for i, (g, part, role, n, at, cls) in enumerate(zip(*cols)):
                 if (g, part) != key:
                     key, sizes = (g, part), []
                 if role == 0:
-                    sizes.append((n, left, cls))
-                elif any(c != cls and min(left, most) >= _wanted(n, m) for m, most, c in sizes):
+                    sizes.append((n, n - at, cls))
+                elif any(c != cls and min(n - at, left) >= _wanted(n, m) for m, left, c in sizes):
                     keep.append(i)
-            found = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([found.column(k) for k in (0, 3, 4, 5, 6)],
-                                             ["g", "h", "n", "left", "cls"])
-    schema = T_.StructType([rows.schema["g"], rows.schema["h"], rows.schema["n"],
-                            T_.StructField("left", T_.IntegerType()), T_.StructField("cls", kind)])
-    return (dealt.repartition("g", "part").sortWithinPartitions("g", "part", "role").mapInArrow(run, schema))
-
-
-def _rest(cells: DataFrame, named: DataFrame) -> DataFrame:
-    """Work that compares the classes of a cell, among the nodes that others can
-    reach.
-
-    In cells of at most ``FEW`` nodes each names its partners, so that two nodes
-    that share a hundred cells meet once.  In larger ones all nodes are entries of
-    the cell's tree, dealt in blocks, and those outside its commonest class probe
-    it."""
-    rows = (cells.join(named.select(F.col("h").alias("kh"), F.col("n").alias("kn"), "cls"),
-                       (F.col("h") == F.col("kh")) & (F.col("n") == F.col("kn")))
-            .select("g", "part", "parts", "h", "n", "at", "reach", "cls"))
-    mixed = (rows.groupBy(F.col("g").alias("k")).agg(
-        F.min("cls").alias("x"), F.max("cls").alias("y"), F.min("n").alias("least"), F.max("reach").alias("far"))
-             .where("x != y"))
-    rows = write_shared(
-        rows.join(mixed, F.col("g") == F.col("k")).where("least <= reach and far >= n")
-        .select("g", "part", "parts", "h", "n", "at", "cls"), "cells")
-    found = write_shared(_reachable(rows), "reachable")
+            yield batch.take(pa.array(keep, pa.int64()))
+    found = write_shared(dealt.repartition("g", "part").sortWithinPartitions("g", "part", "role")
+                         .mapInArrow(run, dealt.schema).drop("role"), "reachable")
     load = (found.groupBy("g", "cls").agg(F.count("*").alias("size"))
             .groupBy(F.col("g").alias("x")).agg(F.sum("size").alias("all"), F.max(F.struct("size", "cls")).alias("top"))
-            .select("x", "all", F.col("top.cls").alias("common"),
-                    F.ceil(F.col("all") / SLICE).cast("int").alias("blocks"),
-                    F.ceil((F.col("all") - F.col("top.size")) / SLICE).cast("int").alias("slices"))
-            .where("slices > 0"))
-    met = write_shared(found.join(load, F.col("g") == F.col("x")), "met")
-    few = met.where(F.col("all") <= FEW).select("g", "h", "n", "left", "cls")
+            .where("all > top.size").select("x", "all", "top.size", F.col("top.cls").alias("common")))
+    return write_shared(found.join(load, F.col("g") == F.col("x")).drop("x"), "met")
+
+
+def _partners(met: DataFrame) -> DataFrame:
+    """Work for cells of at most ``FEW`` rows: each node names its partners, so that
+    two nodes that share a hundred cells meet once."""
+    few = met.where(F.col("all") <= FEW).select("g", "h", "n", "at", "cls")
     probe, entry = (few.select(*[F.col(c).alias(c + k) for c in few.columns]) for k in "12")
+    left = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
     pairs = (probe.join(entry, (F.col("g1") == F.col("g2")) & (F.col("cls1") != F.col("cls2"))
                         & (F.struct("h1", "n1") < F.struct("h2", "n2"))
-                        & (F.least("left1", "left2") >= F.ceil(T * (F.col("n1") + F.col("n2")) / (100 + T))))
+                        & (left >= F.ceil(T * (F.col("n1") + F.col("n2")) / (100 + T))))
              .select(F.col("h1").alias("k1"), F.col("n1").alias("k2"), F.col("cls1").alias("by"),
                      F.col("h2").alias("h"), F.col("n2").alias("n"), F.col("cls2").alias("cls")).distinct())
-    large = met.where(F.col("all") > FEW)
+    return _around(write_shared(pairs, "pairs"))
+
+
+def _walks(met: DataFrame) -> DataFrame:
+    """Work for the other cells: all rows are entries of the cell's tree, dealt in
+    blocks, and those outside its commonest class probe it.  Cells whose nodes all
+    have one larger cell as their largest (the grams of one passage) are left to it."""
     spot = F.xxhash64("h", "n")
-    entries = large.select(F.col("g").alias("k1"), F.lit(0).alias("k2"),
-                           F.pmod(spot, "blocks").cast("int").alias("block"),
+    large = met.where(F.col("all") > FEW)
+    largest = large.groupBy(F.col("h").alias("lh"), F.col("n").alias("ln")).agg(
+        F.max(F.struct("all", "g")).alias("best"))
+    kept = (large.join(largest, (F.col("h") == F.col("lh")) & (F.col("n") == F.col("ln")))
+            .groupBy(F.col("g").alias("k")).agg(F.min("best.g").alias("x"), F.max("best.g").alias("y"))
+            .where("x != y or x = k").select("k"))
+    large = large.join(kept, F.col("g") == F.col("k"), "left_semi").select(
+        F.col("g").alias("k1"), F.lit(0).alias("k2"), "h", "n", "cls", "common",
+        F.ceil(F.col("all") / SLICE).cast("int").alias("blocks"),
+        F.ceil((F.col("all") - F.col("size")) / SLICE).cast("int").alias("slices"))
+    entries = large.select("k1", "k2", F.pmod(spot, "blocks").cast("int").alias("block"),
                            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
                            F.lit(0).alias("role"), "cls", "h", "n")
     probes = large.where("cls != common").select(
-        F.col("g").alias("k1"), F.lit(0).alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        "k1", "k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(spot, "slices").cast("int").alias("slice"), F.lit(1).alias("role"), "cls", "h", "n")
-    return _around(write_shared(pairs, "pairs")).unionByName(entries).unionByName(probes)
+    return entries.unionByName(probes)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS,
@@ -574,17 +586,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counter
     repeats = (own.join(several, F.col("id") == F.col("k"), "left_semi").where("n > 0")
                .join(nodes, ["h", "n"]).select(F.col("id").alias("u"), F.col("doc").alias("v")))
     first = write_shared(_compare(texts, _stars(cells), nodes, order, False).unionByName(repeats), "links")
-    found = components(first)
-    named = cells.select("h", "n").distinct().join(nodes, ["h", "n"]).join(found, F.col("doc") == F.col("node"), "left") \
-        .select("h", "n", F.coalesce("component", "doc").alias("cls"))
-    second = write_shared(_compare(texts, _rest(cells, named), nodes, order, True), "links")
+    members = cells.select("h", "n").distinct().join(nodes, ["h", "n"])
+
+    def named(joined: DataFrame) -> DataFrame:
+        return members.join(joined, F.col("doc") == F.col("node"), "left").select(
+            "h", "n", F.coalesce("component", "doc").alias("cls"))
+
+    def with_links(joined: DataFrame, work: DataFrame) -> DataFrame:
+        more = write_shared(_compare(texts, work, nodes, order, True), "links")
+        if more.isEmpty():
+            return joined
+        # the stars found so far with the links between them
+        return components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    joined = components(first)
+    met = _reachable(_mixed_cells(cells, named(joined)))
+    joined = with_links(joined, _partners(met))
+    # what the small cells have joined need not meet in the large ones
+    met = _reachable(_mixed_cells(met.where(F.col("all") > FEW).drop("cls"), named(joined)))
+    joined = write_shared(with_links(joined, _partners(met).unionByName(_walks(met))), "classes")
     order.destroy()
-    if second.isEmpty():
-        joined = found
-    else:       # stars of the first round with the links between them
-        joined = components(found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-                            .unionByName(second))
-    joined = write_shared(joined, "classes")
     by_node = nodes.join(joined, F.col("doc") == F.col("node"), "left").select(
         F.col("h").alias("kh"), F.col("n").alias("kn"), F.coalesce("component", "doc").alias("cls"))
     out = own.join(by_node, (F.col("h") == F.col("kh")) & (F.col("n") == F.col("kn")), "left")

@@ -13,7 +13,8 @@ packs alike.  Memory of a packer is its open bins.
 
 Tokenising: the tokenizer never joins across white space, so the ids of a text
 are those of its white-space words in turn.  Each worker remembers the ids of
-words it has seen (two generations of at most ``REMEMBER`` words) and encodes
+words it has seen (two generations of at most ``REMEMBER_BYTES``, and one batch's
+new words) and encodes
 the new words of a batch in one go.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
@@ -36,7 +37,8 @@ SIZE = 4096
 END_ID = 1
 OPEN_BINS = 1024
 PER_PACKER = 100_000
-REMEMBER = 500_000
+#: bytes of words and ids in one of the two generations, with ``_ENTRY`` for each
+REMEMBER_BYTES, _ENTRY = 48 << 20, 160
 #: private-use character between words that are encoded together
 _MARK = "\ue000"
 
@@ -51,38 +53,41 @@ class WordEncoder:
         self.mark = np.array(self._ids(_MARK), np.uint32)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0                   # bytes of the younger generation
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that are not remembered, many at once: the mark's
         ids stand between words; words with the mark in them go alone."""
-        if len(self.young) > REMEMBER:
-            self.old, self.young = self.young, {}
-        new = []
-        for w in words:
-            if w in self.young:
-                continue
-            if w in self.old:
-                self.young[w] = self.old[w]
-            else:
-                new.append(w)
+        if self.held > REMEMBER_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        new = words.difference(self.young)
+        for w in new.intersection(self.old):
+            self._keep(w, self.old[w])
+        new.difference_update(self.old)
         mark = _MARK.encode()
         alone = [w for w in new if mark in w]
-        new = [w for w in new if mark not in w]
+        new = list(new.difference(alone))
         for at in range(0, len(new), 512):
             part = new[at:at + 512]
-            ids = np.array(self._ids(f" {_MARK} ".join(w.decode() for w in part)), "<u4")
+            ids = np.array(self._ids(f" {_MARK} ".join(map(bytes.decode, part))), "<u4")
             cuts = self._marks(ids)
             if len(cuts) != len(part) - 1:      # a word whose ids look like the mark's
                 alone += part
                 continue
-            starts = [0, *(cuts + len(self.mark))]
-            for w, a, b in zip(part, starts, [*cuts, len(ids)]):
-                self.young[w] = ids[a:b].tobytes()
+            raw, size = ids.tobytes(), 4 * len(self.mark)
+            start = 0
+            for w, cut in zip(part, [*(4 * cuts).tolist(), len(raw)]):
+                self._keep(w, raw[start:cut])
+                start = cut + size
         for w in alone:
-            self.young[w] = np.array(self._ids(w.decode()), "<u4").tobytes()
+            self._keep(w, np.array(self._ids(w.decode()), "<u4").tobytes())
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.young[word] = ids
+        self.held += len(word) + len(ids) + _ENTRY
 
     def _marks(self, ids: np.ndarray) -> np.ndarray:
         n = len(ids) - len(self.mark) + 1
@@ -115,7 +120,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _groups(texts: list, limit: int = 1 << 22) -> Iterator[list[bytes]]:
+def _groups(texts: list, limit: int = 1 << 20) -> Iterator[list[bytes]]:
     """Texts in runs of about ``limit`` bytes."""
     held, size = [], 0
     for t in texts:
