@@ -9,15 +9,23 @@ the main text.
 
 The potentials are trained from labelled pages: pages that mark their article
 (``article``, ``main`` or ``itemprop=articleBody``) label their own nodes, with
-navigation, asides, adverts, forms and comments inside it as negatives.  Class
-words count as whole tokens only, and never against a marked article itself.  At
-most ``MAX_LABELLED`` pages are read for that, those with the smallest hash of
-their id; their counts are summed by Spark and are bounded by the feature set.
+navigation, asides, adverts, forms and comments inside it as negatives.  Each such
+page teaches three times: as it is, with the marked element turned into a plain
+``div`` without names, and with that element taken away, so that its blocks stand
+beside menus and footers in what is around it.  The model thus learns pages that
+mark nothing, too.  Class words count as whole tokens only, and never against a
+marked article itself.  At most ``MAX_LABELLED`` pages are read for that, those with
+the smallest hash of their id; their counts are summed by Spark and are bounded by
+the feature set.
+
+A page with text outside of menus, forms and the like, none of which reaches 0.5,
+gives the blocks next to the likeliest of them: pages with prose are never empty.
 
 Defined results: a null, empty or text-free page gives an empty text; broken
 and truncated markup is read as far as it goes (open elements end with the
-page); repeated rows give equal results; an empty table trains the prior model;
-extra columns are not read.
+page) in time linear in the page; elements that the page hides (``hidden``,
+``display:none``) have no text; repeated rows give equal results; an empty table
+trains the prior model; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -38,13 +46,18 @@ MAX_LABELLED = 4_000
 
 # Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label "
-                   "mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template iframe textarea title noembed noframes xmp".split())
+#: elements read like others, but without text: controls
+MUTE = frozenset("select datalist".split())
+#: elements that stand in a line though they are KNOWN tags
+INLINE = frozenset(["label"])
 SECTIONS = frozenset("body div section article main aside nav header footer form ul ol dl table "
                      "tbody thead tfoot tr fieldset details dialog menu search".split())
 KNOWN = SECTIONS | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figure "
                              "figcaption address summary label button center".split())
+#: elements that begin a block; all others, unknown ones too, stand in a line
+BLOCKS = (KNOWN | frozenset("dir dd dt fieldset hgroup legend listing optgroup option plaintext slot "
+                            "colgroup rt rp ruby frameset frame".split())) - INLINE
 #: an opening tag that ends an open paragraph, and items that end their like
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure "
                      "footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table "
@@ -55,6 +68,9 @@ LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 TAG = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|\Z)|style\s*=\s*["']?[^"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)""",
+                    re.I)
+QUOTED = re.compile(r"""(?<!style=)"[^"]*"|(?<!style=)'[^']*'""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Fixed words of class tokens.  A token is bad as a whole: each of its parts
 # between hyphens is listed, at least one of them as bad; a part's head or foot
@@ -110,32 +126,83 @@ class Page:
     blocks: list[tuple[int, list[str]]] = field(default_factory=list)  # (node, text parts)
 
 
+class _Open:
+    """Open elements of a page; knows at once whether a name is open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = [("body", 0, False)]  # name, block node, mute
+        self.count: Counter = Counter()         # open blocks by name
+        self.inline = [Counter()]               # open inline elements within each open block
+        self.near = [Counter()]                 # open blocks by name within each open section
+        self.links = self.mute = 0
+
+    def push(self, name: str, node: int, mute: bool) -> None:
+        self.stack.append((name, node, mute))
+        self.mute += mute
+        self.links += name == "a"
+        if name not in BLOCKS:
+            self.inline[-1][name] += 1
+            return
+        self.count[name] += 1
+        self.inline.append(Counter())
+        if name in SECTIONS:
+            self.near.append(Counter())
+        else:
+            self.near[-1][name] += 1
+
+    def pop(self) -> str:
+        name, _node, mute = self.stack.pop()
+        self.mute -= mute
+        self.links -= name == "a"
+        if name not in BLOCKS:
+            self.inline[-1][name] -= 1
+            return name
+        self.count[name] -= 1
+        self.inline.pop()
+        if name in SECTIONS:
+            self.near.pop()
+        else:
+            self.near[-1][name] -= 1
+        return name
+
+    def is_open(self, name: str) -> bool:
+        return (self.count if name in BLOCKS else self.inline[-1])[name] > 0
+
+
+def _hides(attributes: str) -> bool:
+    if "hidden" not in attributes.lower() and "none" not in attributes.lower():
+        return False
+    return bool(HIDDEN.search(QUOTED.sub('""', attributes)))
+
+
 def parse(source: str) -> Page:
     """Block elements and text blocks of a page, in page order."""
     page = Page([Node("body", -1)])
-    stack: list[tuple[str, int]] = [("body", 0)]     # open elements with their block node
-    fresh, links, at, end = True, 0, 0, len(source)
+    opened = _Open()
+    fresh, at, end = True, 0, len(source)
 
     def text(piece: str) -> None:
         nonlocal fresh
-        if not piece:
+        if not piece or opened.mute:
             return
-        node = stack[-1][1]
+        node = opened.stack[-1][1]
         if fresh:
             page.blocks.append((node, []))
             fresh = False
         page.blocks[-1][1].append(piece)
         size = len(piece.strip())
         page.nodes[node].own += size
-        if links:
+        if opened.links:
             page.nodes[node].linked += size
 
-    def close(upto: int) -> None:
-        nonlocal fresh, links
-        while len(stack) > upto:
-            tag, _node = stack.pop()
-            links -= tag == "a"
-            fresh = fresh or tag not in INLINE
+    def close(names) -> None:
+        """Close up to and with the innermost of ``names``."""
+        nonlocal fresh
+        while True:
+            name = opened.pop()
+            fresh = fresh or name in BLOCKS
+            if name in names:
+                return
 
     while at < end:
         tag = TAG.search(source, at)
@@ -146,21 +213,16 @@ def parse(source: str) -> Page:
         closing, name, attributes = (tag[1], tag[2], tag[3]) if tag[2] else (tag[4], tag[5], tag[6])
         if not name:
             continue                    # a comment, doctype or stray close
-        name = name.lower()
+        name, attributes = name.lower(), attributes or ""
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break               # an inline end does not leave its block
+            if opened.is_open(name):    # an inline end does not leave its block
+                close({name})
             continue
         if name in ("html", "body", "head"):
             continue
-        if name in RAW:
-            if not (attributes or "").rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else end
+        if name in RAW:                 # to its end tag, whatever stands between
+            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            at = stop.end() if stop else end
             continue
         if name in VOID:
             if name == "br":
@@ -168,23 +230,18 @@ def parse(source: str) -> Page:
             elif name == "hr":
                 fresh = True
             continue
-        if name in CLOSES_P or name in LIKE:
-            ends = LIKE.get(name, {"p"})
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends or (name in CLOSES_P and stack[k][0] == "p"):
-                    close(k)
-                    break
-                if stack[k][0] in SECTIONS:
-                    break
-        if name in INLINE:
-            links += name == "a"
-            stack.append((name, stack[-1][1]))
+        ends = LIKE.get(name, set()) | ({"p"} if name in CLOSES_P else set())
+        if any(opened.near[-1][e] for e in ends if e not in SECTIONS) or name == "tr" and opened.stack[-1][0] == "tr":
+            close({e for e in ends if e in SECTIONS or opened.near[-1][e]})
+        mute = name in MUTE or _hides(attributes)
+        if name not in BLOCKS:
+            opened.push(name, opened.stack[-1][1], mute)
             continue
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes or "")}
+        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         names = " ".join(html.unescape(found.get(k, "")) for k in ("class", "id", "role"))
-        page.nodes.append(Node(name, stack[-1][1], names, marks=name in ("article", "main")
+        page.nodes.append(Node(name, opened.stack[-1][1], names, marks=name in ("article", "main")
                                or found.get("itemprop", "").lower() == "articlebody"))
-        stack.append((name, len(page.nodes) - 1))
+        opened.push(name, len(page.nodes) - 1, mute)
         fresh = True
     return page
 
@@ -226,6 +283,12 @@ def _kind(node: Node) -> str:
     return "section" if node.tag in SECTIONS else "text"
 
 
+def tie(node: Node) -> str:
+    """The kind of a node's tie to its parent; the page itself ties in its own way, as
+    its text may stand beside all that is not."""
+    return _kind(node) + ("@page" if node.parent == 0 else "")
+
+
 NEGATIVE = frozenset("nav aside footer header form menu dialog search fieldset button".split())
 
 
@@ -241,37 +304,73 @@ def own_labels(page: Page) -> list[int] | None:
     return labels
 
 
+def variants(page: Page) -> list[tuple[Page, list[int]]]:
+    """What a labelled page teaches: itself, with its marked elements as plain
+    ``div``, and without them (their blocks stand in what is around them)."""
+    labels = own_labels(page)
+    if labels is None:
+        return []
+    masked = Page([replace(n, tag="div", names="", marks=False) if n.marks and y else n
+                   for n, y in zip(page.nodes, labels)])
+    kept, place, nodes, own = [], [], [], []
+    for i, (node, y) in enumerate(zip(page.nodes, labels)):
+        up = place[node.parent] if node.parent >= 0 else -1
+        if i and node.marks and y:          # gone: what it held belongs to the parent
+            place.append(up)
+            nodes[up] = replace(nodes[up], own=nodes[up].own + node.own, linked=nodes[up].linked + node.linked)
+            own[up] = 1
+        else:
+            place.append(len(nodes))
+            nodes.append(replace(node, parent=up, marks=False))
+            own.append(y)
+    return [(page, labels), (masked, labels), (Page(nodes), own)]
+
+
 def counts(page: Page) -> Counter:
     """Feature and parent-child label counts of one labelled page."""
-    labels, out = own_labels(page), Counter()
-    if labels is None:
-        return out
-    for node, own, y in zip(page.nodes, features(page), labels):
-        out[f"y|{y}"] += 1
-        for f in own:
-            out[f"{f}|{y}"] += 1
-        if node.parent >= 0:
-            out[f"{_kind(node)}|{labels[node.parent]}|{y}"] += 1
+    out: Counter = Counter()
+    for shown, labels in variants(page):
+        for node, own, y in zip(shown.nodes, features(shown), labels):
+            kind = _kind(node)
+            out[f"{kind}|{y}"] += 1
+            for f in own:
+                out[f"{kind}|{f}|{y}"] += 1
+            if node.parent >= 0:
+                out[f"{tie(node)}|{labels[node.parent]}|{y}"] += 1
     return out
 
 
 #: prior counts, so that a corpus without labelled pages has a model too
-PRIOR = {"section|0|0": 40, "section|0|1": 4, "section|1|1": 80, "section|1|0": 2,
-         "text|0|0": 40, "text|0|1": 8, "text|1|1": 60, "text|1|0": 2,
-         **{f"tag={t}|1": 10 for t in ("article", "main")},
-         **{f"tag={t}|1": 6 for t in ("p", "h1", "h2", "h3", "blockquote", "pre")},
-         **{f"tag={t}|0": 12 for t in ("nav", "aside", "footer", "header", "form", "menu", "button")},
-         "names=bad|0": 40, "names=good|1": 6, "links=4|0": 10, "links=3|0": 4, "links=0|1": 4,
-         "y|0": 30, "y|1": 30}
-#: how far one feature may move a node's log-odds.  The labelled pages may all
-#: have one layout, which would make single features certain; and a paragraph is
-#: content because of where it stands, so text elements carry counter-evidence
-#: only and sections decide.
-LIMITS = {"section": {"tag": (-3.0, 8.0), "names": (-12.0, 4.0), "links": (-2.0, 2.0), "size": (-1.0, 1.0)},
-          "text": {"names": (-12.0, 0.0), "links": (-2.0, 0.0)}}
+PRIOR = {"section|0|0": 40, "section|0|1": 4, "section|1|1": 80, "section|1|0": 3,
+         "text|0|0": 40, "text|0|1": 6, "text|1|1": 60, "text|1|0": 3,
+         "section@page|0|0": 40, "section@page|0|1": 10, "section@page|1|1": 10, "section@page|1|0": 30,
+         "text@page|0|0": 40, "text@page|0|1": 6, "text@page|1|1": 60, "text@page|1|0": 3,
+         **{f"section|tag={t}|1": 12 for t in ("article", "main")},
+         **{f"section|tag={t}|{y}": 12 for t in ("div", "section", "body", "ul", "ol", "table", "tr") for y in (0, 1)},
+         **{f"section|tag={t}|0": 40 for t in ("nav", "aside", "footer", "header", "form", "menu")},
+         **{f"text|tag={t}|{y}": 12 for t in ("p", "h1", "h2", "h3", "li", "td", "other") for y in (0, 1)},
+         **{f"text|tag={t}|1": 12 for t in ("blockquote", "pre")}, "text|tag=button|0": 12,
+         **{f"{k}|names={v}|{y}": n for k in ("section", "text")
+            for v, y, n in (("bad", 0, 60), ("good", 1, 12), ("none", 0, 60), ("none", 1, 60))},
+         **{f"{k}|links={v}|{y}": n for k in ("section", "text")
+            for v, y, n in (("4", 0, 60), ("4", 1, 3), ("3", 0, 20), ("3", 1, 4), ("2", 0, 10), ("2", 1, 6),
+                            ("1", 0, 10), ("1", 1, 16), ("0", 0, 30), ("0", 1, 60), ("none", 0, 10), ("none", 1, 10))},
+         **{f"{k}|size={v}|{y}": n for k in ("section", "text")
+            for v, y, n in ((0, 0, 10), (0, 1, 8), (1, 0, 40), (1, 1, 6), (2, 0, 40), (2, 1, 12), (3, 0, 20), (3, 1, 30),
+                            (4, 0, 6), (4, 1, 40), (5, 0, 4), (5, 1, 30), (6, 0, 4), (6, 1, 30))},
+         **{f"{k}|{y}": 160 for k in ("section", "text") for y in (0, 1)}}
+#: how far one feature may move a node's log-odds, down and up: pages of one layout
+#: would make single features certain, and a text element is content because of
+#: where it stands, so that its own features speak rather against it
+LIMITS = {"section": {"tag": (-2.0, 3.0), "names": (-9.0, 4.0), "links": (-5.0, 1.0), "size": (-1.0, 1.0)},
+          "text": {"tag": (-1.0, 1.0), "names": (-9.0, 1.0), "links": (-5.0, 1.0), "size": (-1.0, 1.0)}}
+#: tags that say nothing by themselves: they hold menus here and text there
+PLAIN = frozenset(f"tag={t}" for t in "body div section ul ol dl table tbody thead tfoot tr li td th other".split())
 #: most that a child follows its parent
-FOLLOWS = {"section": 0.98, "text": 0.998}
+FOLLOWS = {"section": 0.985, "text": 0.997}
 WIDTH = {"tag": 60, "names": 3, "links": 6, "size": 7}
+#: added to each count; names hardly ever deceive
+SMOOTH = {"tag": 0.5, "names": 0.02, "links": 0.5, "size": 0.5}
 
 
 class ContentModel:
@@ -282,19 +381,21 @@ class ContentModel:
         n.update(summed)
         self.summed, self.n, self.unary = summed, n, {}
         self.pair = {}
-        for kind in ("section", "text"):
+        for kind in ("section", "text", "section@page", "text@page"):
+            most = FOLLOWS[kind.split("@")[0]]
             for up in (0, 1):
                 seen = [n[f"{kind}|{up}|{y}"] + 0.5 for y in (0, 1)]
-                share = min(FOLLOWS[kind], max(1 - FOLLOWS[kind], seen[1] / sum(seen)))
+                share = min(most, max(1 - most, seen[1] / sum(seen)))
                 self.pair[kind, up] = [math.log(1 - share), math.log(share)]
 
     def potential(self, feature: str, kind: str) -> float:
         """Log-odds of content that one feature of a node gives."""
         name = feature.split("=")[0]
-        low, high = LIMITS[kind].get(name, (0.0, 0.0))
         if (feature, kind) not in self.unary:
-            odds = [math.log((self.n[f"{feature}|{y}"] + 0.05) / (self.n[f"y|{y}"] + 0.05 * WIDTH[name]))
-                    for y in (0, 1)]
+            more = SMOOTH[name]
+            odds = [math.log((self.n[f"{kind}|{feature}|{y}"] + more)
+                             / (self.n[f"{kind}|{y}"] + more * WIDTH[name])) for y in (0, 1)]
+            low, high = (-0.5, 0.5) if feature in PLAIN else LIMITS[kind][name]
             self.unary[feature, kind] = max(low, min(high, odds[1] - odds[0]))
         return self.unary[feature, kind]
 
@@ -308,7 +409,7 @@ class ContentModel:
         nodes, up = page.nodes, self.unaries(page)
         message = [[0.0, 0.0] for _ in nodes]       # to the parent, by parent label
         for i in range(len(nodes) - 1, 0, -1):      # children come after their parents
-            kind, parent = _kind(nodes[i]), nodes[i].parent
+            kind, parent = tie(nodes[i]), nodes[i].parent
             for y in (0, 1):
                 t = self.pair[kind, y]
                 message[i][y] = _log_sum(t[0] + up[i][0], t[1] + up[i][1])
@@ -320,16 +421,32 @@ class ContentModel:
                 # the parent's belief without this child's own message
                 rest = [up[node.parent][y] + down[node.parent][y] - message[i][y] for y in (0, 1)]
                 for y in (0, 1):
-                    down[i][y] = _log_sum(*[rest[z] + self.pair[_kind(node), z][y] for z in (0, 1)])
+                    down[i][y] = _log_sum(*[rest[z] + self.pair[tie(node), z][y] for z in (0, 1)])
             z = up[i][0] + down[i][0] - up[i][1] - down[i][1]
             out.append(1 / (1 + math.exp(max(-700.0, min(700.0, z)))))
         return out
 
     def extract(self, source: str | None) -> str:
         page = parse(source or "")
-        keep = self.marginals(page)
-        blocks = (" ".join("".join(parts).split()) for node, parts in page.blocks if keep[node] >= 0.5)
-        return "\n".join(b for b in blocks if b)
+        share = self.marginals(page)
+        blocks = [(node, " ".join("".join(parts).split())) for node, parts in page.blocks]
+        kept = [b for node, b in blocks if b and share[node] >= 0.5]
+        if not kept:        # a page whose prose convinces nowhere: what comes nearest
+            barred, prose = self._barred(page), {}
+            for node, b in blocks:
+                if b and not barred[node] and page.nodes[node].linked < page.nodes[node].own:
+                    prose[node] = share[node]
+            least = max(prose.values(), default=0) / 4
+            kept = [b for node, b in blocks if b and node in prose and prose[node] >= least]
+        return "\n".join(kept)
+
+    @staticmethod
+    def _barred(page: Page) -> list[bool]:
+        """Nodes that are no prose whatever they hold, with all below them."""
+        out = []
+        for node, named in zip(page.nodes, bad_elements(page)):
+            out.append(named or node.tag in NEGATIVE or node.parent >= 0 and out[node.parent])
+        return out
 
 
 def _log_sum(a: float, b: float) -> float:

@@ -319,7 +319,7 @@ def test_marginals_are_exact():
     total = 0.0
     for labels in product((0, 1), repeat=len(own)):
         w = math.exp(sum(own[i][y] for i, y in enumerate(labels)) + sum(
-            model.pair[html_content._kind(n), labels[n.parent]][labels[i]]
+            model.pair[html_content.tie(n), labels[n.parent]][labels[i]]
             for i, n in enumerate(page.nodes) if i))
         total += w
         for i, y in enumerate(labels):
@@ -371,3 +371,58 @@ def test_packing_is_tight(spark):
     got = queries.op8_packing(spark, SF)
     row = got.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
     assert row[1] <= 1.02 * -(-row[0] // 4096) + 1
+
+
+# --- main text of unmarked and odd layouts ----------------------------------------------------
+
+PROSE = "The council met on Tuesday to discuss the new plan for the old bridge, which many people wanted. "
+
+
+@pytest.fixture(scope="module")
+def content_model():
+    from collections import Counter
+    total = Counter()
+    for (source,) in duckdb.execute(f"SELECT html FROM '{SMALL}/pages.parquet'").fetchall():
+        total.update(html_content.counts(html_content.parse(source or "")))
+    return html_content.ContentModel(total)
+
+
+@pytest.mark.parametrize("new,end", [("<div>", "</div>"), ("", ""), ('<div class="wrap"><div>', "</div></div>")])
+def test_main_text_without_the_mark(content_model, new, end):
+    """The given pages, their article element renamed or taken away."""
+    pages = [p for (p,) in duckdb.execute(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
+    same = [content_model.extract(p.replace("<article>", new).replace("</article>", end)) == article_text(p)
+            for p in pages]
+    assert sum(same) >= 0.98 * len(same)
+
+
+def test_main_text_of_unmarked_layouts(content_model):
+    get, one = content_model.extract, PROSE.strip()
+    assert get(f"<p>{PROSE}</p><p>{PROSE}</p>") == f"{one}\n{one}"
+    assert get(PROSE) == one and get(f"<body>{PROSE * 2}") == f"{one} {one}"
+    assert get(f"<div class=wrap><p>{PROSE}</p><p>{PROSE}</p></div>") == f"{one}\n{one}"
+    menu = "<a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a>"
+    assert get(f"<table><tr><td>{menu}</td><td>{PROSE * 3}</td></tr></table>") == " ".join([one] * 3)
+    assert get(f"<nav>{menu}</nav>") == "" and get("<p>Short.</p>") == "Short."
+    full = get(f"<nav><ul><li>{menu}</li></ul></nav><div><h1>Title</h1><p>{PROSE}</p></div><footer>&copy; x</footer>")
+    assert full == f"Title\n{one}"
+
+
+def test_main_text_markup_rules(content_model):
+    get, one = content_model.extract, PROSE.strip()
+    assert get(f"<article><p>{PROSE}</p><script src=/a/>var x=1</script><p>{PROSE}</p></article>") == f"{one}\n{one}"
+    assert get(f"<article><p>{PROSE}<math><mi>x</mi></math> and <svg><text>y</text></svg></p></article>") \
+        == f"{one} x and y"
+    hidden = ("<p hidden>a</p><p style='display:none'>b</p><span style=\"x:1;display: none\">c</span>"
+              "<div hidden><p>d</p></div><p title='hidden'>Stay here, as the title alone says so.</p>")
+    assert get(f"<article><p>{PROSE}</p>{hidden}</article>") == f"{one}\nStay here, as the title alone says so."
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000, "<div>" * 50_000 + "</section>" * 50_000,
+                                    "<b>" * 100_000 + "</i>" * 50_000, "<p><blockquote>" * 50_000,
+                                    "<span>" * 50_000 + "<p>x</p>" * 50_000, "<ul><li>" * 50_000 + "</ol>" * 50_000])
+def test_hostile_pages_take_linear_time(content_model, source):
+    import time
+    begun = time.process_time()
+    content_model.extract(source)
+    assert time.process_time() - begun < 5
