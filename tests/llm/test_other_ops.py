@@ -426,3 +426,27 @@ def test_hostile_pages_take_linear_time(content_model, source):
     begun = time.process_time()
     content_model.extract(source)
     assert time.process_time() - begun < 5
+
+
+def test_warc_headers_cannot_be_forged(spark):
+    """Values with line ends stay in their line; every record is dated and read back."""
+    from datetime import datetime, timezone
+    evil = ["http://a\r\nWARC-Payload-Digest: sha1:AAAA", "http://b\r\n\r\nzz", "http://c d<e>%0D%0A", "\n", "", None]
+    rows = [(f"id>{k}\r\nX: %0D", u, "<p>same</p>" if k % 2 else f"<p>{k}\r\n\r\n</p>") for k, u in enumerate(evil)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    path = shared_path(spark, "warc")
+    warc.write(df, path, date=datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc))
+    got = warc.read(spark, path).select("*", warc.record_bytes().alias("raw")).collect()
+    assert sorted(((r["id"], r["uri"], bytes(r["payload"]).decode()) for r in got), key=str) == sorted(rows, key=str)
+    top = max(i for i, _, h in rows if "same" in h)
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {top}
+    allowed = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To",
+               "WARC-Profile", "Content-Type", "Content-Length"}
+    for r in got:
+        head, body = bytes(r["raw"]).split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        names = [x.split(": ")[0] for x in lines[1:]]
+        assert lines[0] == "WARC/1.1" and set(names) <= allowed and len(set(names)) == len(names)
+        assert "WARC-Date: 2024-05-06T07:08:09Z" in lines and r["date"] == "2024-05-06T07:08:09Z"
+        size = int(next(x for x in lines if x.startswith("Content-Length"))[16:])
+        assert body[size:] == b"\r\n\r\n"
