@@ -23,10 +23,12 @@ Documents whose sets of distinct word 5-grams have a Jaccard similarity of
    probe per copy, not one per pair.
 6. Then cells of several classes are compared: of their nodes those stay that some
    node of another class can reach by place and size.  In cells of at most ``FEW``
-   nodes each probes the tree of its partners of all such cells; in larger ones, with
-   the classes joined so far, all but the commonest class probe the cell's tree, past
-   subtrees of their own class, and classes that a link joins count as one from
-   then on.
+   nodes each probes the tree of its partners of all such cells.  Of the larger ones,
+   with the classes joined so far, the largest cell of a node is its home: all but the
+   commonest class probe the tree of those at home, past subtrees of their own class,
+   and classes that a link joins count as one from then on.  Nodes of different homes
+   that share a cell meet as partners if one of them is of at most ``FEW`` strangers
+   there, else in the tree of the whole cell.
 
 Skipping pairs inside a class loses no link between classes, so classes are
 exact.  Gram collisions of 64-bit hashes are the one approximation; a digest
@@ -398,57 +400,45 @@ def _reach(n, at):
     return F.floor(((100 + T) * (n - at) - T * n) / T)
 
 
-def _needed(n):
-    return F.ceil(T * n / 100)
-
-
-def _may_link(n, c, m, d):
-    """Sizes ``n, m`` with ``c, d`` shared prefix grams may reach the overlap:
-    beyond the prefixes the sets have at most ``_needed - 1`` grams left."""
-    return ((100 * F.least(n, m) >= T * F.greatest(n, m))
-            & (F.least(c, d) + F.greatest(_needed(n), _needed(m)) - 1 >= F.ceil(T * (n + m) / (100 + T))))
+def _met(a, b):
+    """Whether two rows of one cell may be linked with its gram as their first
+    common one: by sizes and places, enough grams are left in both."""
+    n, m = a["n"], b["n"]
+    return F.least(n - a["at"], m - b["at"]) >= F.ceil(T * (n + m) / (100 + T))
 
 
 def _cells(prefixes: DataFrame) -> DataFrame:
-    """``g, part, parts, h, n, at, c, reach``: prefix rows that may be the first
-    gram common to a linked pair; ``c`` counts the node's prefix grams that others
-    hold.
+    """``g, part, parts, h, n, at``: prefix rows that may be the first gram common
+    to a linked pair.
 
     Rows of a gram meet in a window; those of hot grams, which any share of all
-    nodes may hold, are dealt in parts there and counted map-side.  Rows go that
-    cannot pair with any size found in their cell."""
+    nodes may hold, are dealt in parts there and summed up map-side.  Rows go that
+    are alone in their cell or cannot pair with any size there."""
     node = F.struct("h", "n")
     cell = Window.partitionBy("g", "part")
+    sides = [F.min(node).alias("lo"), F.max(node).alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far")]
+    fits = "lo != hi and least <= reach and n <= far"
+    names = ["g", "part", "parts", "h", "n", "at"]
     met = (prefixes.withColumn("part", F.pmod("h", "parts").cast("int"))
-           .withColumn("lo", F.min(node).over(cell)).withColumn("hi", F.max(node).over(cell))
-           .where("parts > 1 or lo != hi").dropDuplicates(["g", "part", "h", "n", "at"]))
-    met = write_shared(met.select("g", "part", "parts", "h", "n", "at"), "met")
+           .withColumn("reach", _reach(F.col("n"), F.col("at"))).select(
+               *names, "reach", *[c.over(cell).alias(x) for c, x in zip(
+                   (F.min(node), F.max(node), F.min("n"), F.max("reach")), ("lo", "hi", "least", "far"))])
+           .where(f"parts > 1 or {fits}").dropDuplicates(["g", "part", "h", "n", "at"]))
+    met = write_shared(met.select(*names, "reach"), "met")
     hot = met.where("parts > 1")
-    shared = (hot.groupBy(F.col("g").alias("k")).agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
-              .where("lo != hi").select("k"))
-    several = met.where("parts = 1").unionByName(hot.join(shared, F.col("g") == F.col("k"), "left_semi"))
-    count = several.groupBy(F.col("h").alias("ch"), F.col("n").alias("cn")).agg(F.count("*").alias("c"))
-    rows = write_shared(
-        several.join(count, (F.col("h") == F.col("ch")) & (F.col("n") == F.col("cn")))
-        .select("g", "part", "parts", "h", "n", "at", "c", _reach(F.col("n"), F.col("at")).alias("reach")), "rows")
-    sizes = rows.groupBy(F.col("g").alias("k")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    # the shared grams allow partners up to one size or from another, larger one
-    upto = F.floor((100 + T) * (F.col("c") + _needed(F.col("n")) - 1) / T) - F.col("n")
-    above = (T * F.col("n") / (100 + T) - F.col("c")) / (T / 100 - T / (100 + T)) - 1
-    viable = ((F.col("least") <= F.least("reach", upto))
-              | ((F.col("most") >= above) & (F.col("reach") >= above) & (F.col("reach") >= F.col("n"))))
-    return rows.join(sizes, F.col("g") == F.col("k")).where(viable) \
-        .select("g", "part", "parts", "h", "n", "at", "c", "reach")
+    whole = hot.groupBy(F.col("g").alias("k")).agg(*sides)
+    hot = hot.join(whole, F.col("g") == F.col("k")).where(fits)
+    return met.where("parts = 1").select(*names).unionByName(hot.select(*names))
 
 
 def _stars(cells: DataFrame) -> DataFrame:
     """Work that compares each node with one leader of its cells: the one that
     most of its cells name.  Parts of a hot cell have their own leaders, and these
     the cell's."""
-    own = F.struct("h", "n", "c")
+    own = F.struct("h", "n", "at")
     led = cells.withColumn("lo", F.min(own).over(Window.partitionBy("g", "part")))
-    follows = (own != F.col("lo")) & _may_link(F.col("n"), F.col("c"), F.col("lo.n"), F.col("lo.c"))
-    heads = led.where((F.col("parts") > 1) & (own == F.col("lo"))).select("g", "h", "n", "c")
+    follows = (own != F.col("lo")) & _met({"n": F.col("n"), "at": F.col("at")}, F.col("lo"))
+    heads = led.where((F.col("parts") > 1) & (own == F.col("lo"))).select("g", "h", "n", "at")
     top = heads.groupBy(F.col("g").alias("k")).agg(F.min(own).alias("lo"))
     named = [F.col("lo.h").alias("ah"), F.col("lo.n").alias("an"), "h", "n"]
     told = (led.where(follows).select(*named)
@@ -527,34 +517,50 @@ def _reachable(rows: DataFrame) -> DataFrame:
 
 
 def _partners(met: DataFrame) -> DataFrame:
-    """Work for cells of at most ``FEW`` rows: each node names its partners, so that
-    two nodes that share a hundred cells meet once."""
-    few = met.where(F.col("all") <= FEW).select("g", "h", "n", "at", "cls")
-    probe, entry = (few.select(*[F.col(c).alias(c + k) for c in few.columns]) for k in "12")
-    left = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    pairs = (probe.join(entry, (F.col("g1") == F.col("g2")) & (F.col("cls1") != F.col("cls2"))
-                        & (F.struct("h1", "n1") < F.struct("h2", "n2"))
-                        & (left >= F.ceil(T * (F.col("n1") + F.col("n2")) / (100 + T))))
-             .select(F.col("h1").alias("k1"), F.col("n1").alias("k2"), F.col("cls1").alias("by"),
-                     F.col("h2").alias("h"), F.col("n2").alias("n"), F.col("cls2").alias("cls")).distinct())
+    """Work in which each node of ``few`` names its partners: both nodes of a cell
+    that ``FEW`` rows at most hold, and in larger cells the few nodes that have
+    another ``home`` than the rest.  Two nodes that share a hundred cells meet once."""
+    rows = met.select("g", "h", "n", "at", "cls", "home", (F.col("odd") | (F.col("all") <= FEW)).alias("asks"),
+                      (F.col("all") <= FEW).alias("few"))
+    probe, entry = (rows.select(*[F.col(c).alias(c + k) for c in rows.columns]) for k in "12")
+    one, two = ({c: F.col(c + k) for c in ("n", "at")} for k in "12")
+    earlier = F.struct("h1", "n1") < F.struct("h2", "n2")
+    pairs = (probe.where("asks1").join(entry, (F.col("g1") == F.col("g2")) & (F.col("cls1") != F.col("cls2"))
+                                       & (earlier | ~F.col("asks2")) & (F.col("few1") | (F.col("home1") != F.col("home2")))
+                                       & _met(one, two)))
+    first, second = (F.when(earlier, F.struct(*[F.col(c + x).alias(c) for c in ("h", "n", "cls")]))
+                     .otherwise(F.struct(*[F.col(c + y).alias(c) for c in ("h", "n", "cls")])) for x, y in ("12", "21"))
+    pairs = pairs.select(first.alias("a"), second.alias("b")).select(
+        F.col("a.h").alias("k1"), F.col("a.n").alias("k2"), F.col("a.cls").alias("by"),
+        F.col("b.h").alias("h"), F.col("b.n").alias("n"), F.col("b.cls").alias("cls")).distinct()
     return _around(write_shared(pairs, "pairs"))
 
 
+def _with_homes(met: DataFrame) -> DataFrame:
+    """``met`` with ``home``, the largest of a node's cells, and ``odd``: the node has
+    another home than most of its cell, and at most ``FEW`` have; ``crowd``: more have."""
+    home = met.groupBy(F.col("h").alias("lh"), F.col("n").alias("ln")).agg(F.max(F.struct("all", "g")).alias("m"))
+    rows = write_shared(met.join(home, (F.col("h") == F.col("lh")) & (F.col("n") == F.col("ln")))
+                        .select(*met.columns, F.col("m.g").alias("home")), "homes")
+    kinds = (rows.groupBy("g", "home").agg(F.count("*").alias("k"))
+             .groupBy(F.col("g").alias("x")).agg(F.max(F.struct("k", "home")).alias("top"), F.sum("k").alias("sum")))
+    other = F.col("sum") - F.col("top.k")
+    return (rows.join(kinds, F.col("g") == F.col("x"))
+            .select(*met.columns, "home", ((F.col("home") != F.col("top.home")) & (other <= FEW)).alias("odd"),
+                    (other > FEW).alias("crowd")))
+
+
 def _walks(met: DataFrame) -> DataFrame:
-    """Work for the other cells: all rows are entries of the cell's tree, dealt in
-    blocks, and those outside its commonest class probe it.  Cells whose nodes all
-    have one larger cell as their largest (the grams of one passage) are left to it."""
+    """Work for the larger cells: the rows at home are entries of the cell's tree,
+    dealt in blocks, and those outside its commonest class probe it.  Nodes of
+    different homes meet in ``_partners``, or in a cell where many of them are: all
+    its rows are entries there."""
     spot = F.xxhash64("h", "n")
-    large = met.where(F.col("all") > FEW)
-    largest = large.groupBy(F.col("h").alias("lh"), F.col("n").alias("ln")).agg(
-        F.max(F.struct("all", "g")).alias("best"))
-    kept = (large.join(largest, (F.col("h") == F.col("lh")) & (F.col("n") == F.col("ln")))
-            .groupBy(F.col("g").alias("k")).agg(F.min("best.g").alias("x"), F.max("best.g").alias("y"))
-            .where("x != y or x = k").select("k"))
-    large = large.join(kept, F.col("g") == F.col("k"), "left_semi").select(
+    large = met.where(((F.col("home") == F.col("g")) | F.col("crowd")) & (F.col("all") > FEW))
+    large = large.select(
         F.col("g").alias("k1"), F.lit(0).alias("k2"), "h", "n", "cls", "common",
         F.ceil(F.col("all") / SLICE).cast("int").alias("blocks"),
-        F.ceil((F.col("all") - F.col("size")) / SLICE).cast("int").alias("slices"))
+        F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("size")) / SLICE)).cast("int").alias("slices"))
     entries = large.select("k1", "k2", F.pmod(spot, "blocks").cast("int").alias("block"),
                            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
                            F.lit(0).alias("role"), "cls", "h", "n")
@@ -600,9 +606,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counter
         return components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     joined = components(first)
     met = _reachable(_mixed_cells(cells, named(joined)))
-    joined = with_links(joined, _partners(met))
+    small = met.where(F.col("all") <= FEW).withColumn("home", F.lit(0).cast("long")).withColumn("odd", F.lit(False))
+    joined = with_links(joined, _partners(small))
     # what the small cells have joined need not meet in the large ones
     met = _reachable(_mixed_cells(met.where(F.col("all") > FEW).drop("cls"), named(joined)))
+    met = write_shared(_with_homes(met), "met")
     joined = write_shared(with_links(joined, _partners(met).unionByName(_walks(met))), "classes")
     order.destroy()
     by_node = nodes.join(joined, F.col("doc") == F.col("node"), "left").select(
