@@ -12,13 +12,14 @@ punctuation and white space into single spaces; every word carries its leading
 space, so items begin at word borders, but for those whose script has none
 (``UNSPACED``): these stand anywhere.  ``e`` is ``budget`` of the item's length.
 
+Items too short for an edit are searched exactly, and end where a word ends.
+
 The items are a stated query set: they go through the corpus in blocks of
-``BLOCK`` items, so what is broadcast at once is bounded.
+``BLOCK`` items and ``BLOCK_BYTES``, so what is broadcast at once is bounded.
 
-Defined results: null and empty texts match nothing; null or empty items are no
-evidence and match nothing, nor do items of both fewer than ``LEAST_WORDS``
-words and fewer than ``LEAST_CHARS`` characters (about the length of so many
-words; East Asian ones count twice); a match's span ends at word borders, inside
+Defined results: null and empty texts match nothing; null or empty items, and
+those of punctuation alone, are no evidence and match nothing; every other item is
+searched; a match's span ends at word borders, inside
 unspaced words where the match does; repeated rows of either side give repeated results; ties go to the leftmost
 end; empty tables give no rows; ``clean`` keeps all input columns, whatever
 their names.
@@ -36,7 +37,8 @@ from pyspark.sql.types import (IntegerType, LongType, StructField, StructType)
 
 #: items broadcast at once
 BLOCK = 20_000
-LEAST_WORDS, LEAST_CHARS = 5, 20
+#: bytes of text of the items broadcast at once
+BLOCK_BYTES = 16 << 20
 BUDGET = 0.05
 
 _WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
@@ -45,7 +47,6 @@ _WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3005-\u3007"
                       "\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf"
                       "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
-_WIDE = re.compile("[\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122
                else 32 for b in range(256))
 #: longest seeds, and characters hashed at once
@@ -125,7 +126,7 @@ class Items:
         for item_id, text in items:
             words = words_of((text or "").encode())
             pattern = b" ".join(words).decode()
-            if len(words) < LEAST_WORDS and len(pattern) + len(_WIDE.findall(pattern)) < LEAST_CHARS:
+            if not words:
                 continue
             if not UNSPACED.match(pattern):
                 pattern = " " + pattern
@@ -164,6 +165,11 @@ class Items:
                             out.setdefault(number, set()).add(i - begin)
         return out
 
+    @staticmethod
+    def _ends(norm: str, at: int) -> bool:
+        """Whether a word ends at ``at``, or one without borders stands there."""
+        return at >= len(norm) or norm[at] == " " or bool(UNSPACED.match(norm, at - 1))
+
     def matches(self, raw: bytes | None) -> list[tuple]:
         """``(item id, distance, start, end)`` of each item that the text holds
         within its budget: the nearest occurrence, in code points of the text."""
@@ -182,6 +188,8 @@ class Items:
                 del diagonals[:run]
                 exact = window.find(pattern)
                 d, end = (0, exact + len(pattern)) if exact >= 0 else distance(pattern, window)
+                if not e and not self._ends(norm, low + end):
+                    continue            # no word's beginning counts as a short item
                 if d <= e and (best is None or d < best[0]):
                     best = (d, low, window[:end])
             if best is None:
@@ -207,7 +215,8 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, budget: float, b
     """Broadcast piece indexes of the items, ``block`` items at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    parts = max(1, -(-items.count() // (block // 2 or 1)))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    parts = max(1, -(-n // (block // 2 or 1)), -(-size // (BLOCK_BYTES // 2)))
     for k in range(parts):
         # deal the query set by text hash: about block / 2 items in each part
         rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("t", "i"), F.lit(parts)) == k)

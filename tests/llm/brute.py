@@ -143,17 +143,17 @@ def plain(text):
     return "".join(" " + w for w in re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low))
 
 
-def leaks(rows, items, budget=0.05, least_words=5):
+def leaks(rows, items, budget=0.05):
     out = []
     for doc, text in rows:
         body = plain(text)
         for item, wanted in items:
             pattern = plain(wanted)
-            words = pattern.count(" ")
-            if words < least_words:
+            if not pattern:
                 continue
-            d = nearest(pattern, body)
-            if d <= min(int(budget * len(pattern)), words - 1):
+            e = min(int(budget * len(pattern)), len(pattern) - 1)
+            d = nearest(pattern, body) if e else 0 if pattern + " " in body + " " else 1
+            if d <= e:
                 out.append((doc, item, d))
     return sorted(out, key=str)
 

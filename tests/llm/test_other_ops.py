@@ -450,3 +450,14 @@ def test_warc_headers_cannot_be_forged(spark):
         assert "WARC-Date: 2024-05-06T07:08:09Z" in lines and r["date"] == "2024-05-06T07:08:09Z"
         size = int(next(x for x in lines if x.startswith("Content-Length"))[16:])
         assert body[size:] == b"\r\n\r\n"
+
+
+def test_short_items_are_searched_exactly(spark):
+    items = [(1, "the cat sat"), (2, "yes or no"), (3, "Go"), (4, "?!"), (5, "北京"), (6, None)]
+    rows = [(1, "See: the CAT, sat; there"), (2, "the cat sated"), (3, "yes or\nno"), (4, "yes or nothing"),
+            (5, "going gone"), (6, "let us go"), (7, "在北京的人"), (8, ""), (9, None), (10, "other the cat  sat")]
+    docs = spark.createDataFrame(rows, TEXTS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find(docs, bench).collect()}
+    assert found == {(1, 1, 0), (10, 1, 0), (3, 2, 0), (6, 3, 0), (7, 5, 0)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {2, 4, 5, 8, 9}
