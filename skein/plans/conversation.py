@@ -2,10 +2,10 @@
 (with title and URL), the questions are the user messages of
 ``conversations`` and a question's history is the conversation before it.
 
-``turn`` is the message position within a conversation (0, 1, 2, ...), so
-"the last 20 messages before turn t" is the turn range [t-20, t-1]: each
-message is sent to the 20 following turns (bounded fan-out) and gathered
-per question, with no window over a whole conversation.
+"The last 20 messages" are rows, however ``turn`` skips: messages are numbered
+within their conversation (ranks within runs of turns and running counts of the
+runs, no window over a whole conversation), each question asks for the 20 places
+before its own (bounded fan-out), and texts join only where they are needed.
 """
 
 from __future__ import annotations
@@ -67,9 +67,13 @@ def prompt_histories(spark: SparkSession, sf: str) -> DataFrame:
     """History lines of each question: its keys are fanned out to the turns
     before it, the texts join afterwards, each only where it is needed."""
     c = load(spark, sf, "conversations")
-    before = F.transform(F.sequence(F.lit(1), F.lit(HISTORY_MESSAGES)), lambda d: F.col("turn") - d)
-    wanted = user_questions(spark, sf).select("query_id", "conv_id", F.explode(before).alias("turn"))
-    found = wanted.join(c, ["conv_id", "turn"])
+    # the places of all messages, without their texts: read twice below
+    at = write_shared(SS.positions(c.select("conv_id", "turn", "role"), "conv_id", "turn"), "positions")
+    before = F.explode(F.transform(F.sequence(F.lit(1), F.lit(HISTORY_MESSAGES)), lambda d: F.col("pos") - d))
+    wanted = at.where(F.col("role") == "user").select(pair_key("conv_id", "turn").alias("query_id"), "conv_id",
+                                                      before.alias("pos")).where("pos >= 0")
+    found = wanted.join(at.select("conv_id", "pos", "turn"), ["conv_id", "pos"]).join(
+        c, ["conv_id", "turn"])
     return G.prompt_history(found.select("query_id", F.col("turn").alias("seq"), "role",
                                          F.col("text").alias("content")))
 
@@ -203,11 +207,12 @@ _SYS = S.lit(G.SYSTEM_PROMPT)
 @register("prompt_build", sql=_rag_sql(K) + f"""
 , ctx AS (SELECT uq.query_id, coalesce({_CTX_NUM}, '') AS context
           FROM uq LEFT JOIN hits h ON h.query_id = uq.query_id GROUP BY uq.query_id),
+cm AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
 hist AS (SELECT uq.query_id,
                 string_agg({_CAP.replace('role', 'm.role')} || ': ' || m.text || chr(10), '' ORDER BY m.turn)
                   AS history_lines
-         FROM uq JOIN conversations m ON m.conv_id = uq.conv_id
-              AND m.turn < uq.turn AND m.turn >= uq.turn - {HISTORY_MESSAGES}
+         FROM uq JOIN cm o ON o.conv_id = uq.conv_id AND o.turn = uq.turn
+         JOIN cm m ON m.conv_id = uq.conv_id AND m.rn < o.rn AND m.rn >= o.rn - {HISTORY_MESSAGES}
          GROUP BY uq.query_id)
 SELECT uq.query_id, uq.question,
        {_SYS}
@@ -282,7 +287,24 @@ def q_answer_generate(spark, sf):
     return G.answer_generate(pr, extractive_answer).select("query_id", "answer", "error")
 
 
-@register("rag_batch", sql=_ANSWERS_SQL + """
+# The batch asks every conversation's user messages again, after all that it holds.
+_TURNS_SQL = _ANSWERS_SQL + f""",
+n AS (SELECT conv_id, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id),
+asked AS (SELECT made.*, uq.turn, n.n, n.last,
+                 coalesce(sum(CASE WHEN made.error IS NULL THEN 1 ELSE 0 END) OVER (
+                   PARTITION BY uq.conv_id ORDER BY uq.turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                   AS before
+          FROM made JOIN uq USING (query_id) JOIN n ON n.conv_id = uq.conv_id),
+said AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn AS seq, role, text AS content
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, n + 2 * before + 1, last + 1 + 2 * turn, 'user', question FROM asked WHERE error IS NULL
+  UNION ALL
+  SELECT conv_id, n + 2 * before + 2, last + 2 + 2 * turn, 'assistant', answer FROM asked WHERE error IS NULL)"""
+
+
+@register("rag_batch", sql=_TURNS_SQL + f"""
 , nums AS (SELECT DISTINCT query_id,
                   TRY_CAST(unnest(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1)) AS BIGINT) AS n FROM made),
 hv AS (SELECT * FROM hits WHERE coalesce(url, '') <> ''),
@@ -291,16 +313,43 @@ ex AS (SELECT hv.query_id, url, min(rank) AS source_no FROM nums
 fb AS (SELECT query_id, url, min(rank) AS source_no FROM hv
        WHERE query_id NOT IN (SELECT query_id FROM ex) GROUP BY ALL),
 src AS (SELECT query_id, string_agg(source_no || ' ' || url, chr(10) ORDER BY source_no) AS sources
-        FROM (SELECT * FROM ex UNION ALL SELECT * FROM fb) GROUP BY query_id)
-SELECT made.query_id, conv_id::VARCHAR AS session_id, question, answer, error, sources
-FROM made LEFT JOIN src USING (query_id)""")
+        FROM (SELECT * FROM ex UNION ALL SELECT * FROM fb) GROUP BY query_id),
+ctx AS (SELECT uq.query_id, coalesce({_CTX_NUM}, '') AS context
+        FROM uq LEFT JOIN hits h ON h.query_id = uq.query_id GROUP BY uq.query_id),
+hist AS (SELECT a.query_id, string_agg({_CAP.replace('role', 's.role')} || ': ' || s.content || chr(10), ''
+                                       ORDER BY s.pos) AS lines
+         FROM asked a JOIN said s ON s.conv_id = a.conv_id AND s.pos <= a.n + 2 * a.before
+              AND s.pos > a.n + 2 * a.before - {HISTORY_MESSAGES}
+         GROUP BY a.query_id)
+SELECT a.query_id, a.conv_id::VARCHAR AS session_id, a.question, a.answer, a.error, src.sources,
+       md5({_SYS} || {S.lit(G.HISTORY_HEADER)} || hist.lines
+           || CASE WHEN ctx.context <> '' THEN {S.lit(G.CONTEXT_HEADER)} || ctx.context ELSE {S.lit(G.NO_CONTEXT)} END
+           || {S.lit(chr(10) + chr(10) + 'QUESTION: ')} || a.question || {S.lit(chr(10) + chr(10) + 'ANSWER:')})
+         AS prompt_md5
+FROM asked a LEFT JOIN src USING (query_id) LEFT JOIN hist USING (query_id) LEFT JOIN ctx USING (query_id)""")
 def q_rag_batch(spark, sf):
     """questions -> retrieve -> context -> history -> prompt -> answer ->
-    citations; one row per question, its sources as ``number url`` lines."""
+    citations; one row per question, its sources as ``number url`` lines.  A
+    session's later questions see the answers to its earlier ones."""
+    answers, _ = _asked_again(spark, sf)
+    lines = F.transform("sources", lambda s: F.concat_ws(" ", s["source_no"].cast("string"), s["url"]))
+    return (answers.withColumn("sources", F.array_join(lines, "\n"))
+            .withColumn("prompt_md5", F.md5(F.col("prompt").cast("binary"))).drop("prompt"))
+
+
+@register("rag_turns", sql=_TURNS_SQL + f"""
+SELECT conv_id::VARCHAR AS session_id, seq, role, content FROM said
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) <= {HISTORY_MESSAGES}""")
+def q_rag_turns(spark, sf):
+    """The session store after the batch: the last messages with the turns appended."""
+    return _asked_again(spark, sf)[1].select("session_id", "seq", "role", "content")
+
+
+def _asked_again(spark, sf):
     q = user_questions(spark, sf)
     questions = q.select("query_id", F.col("conv_id").cast("string").alias("session_id"),
                          "question", F.col("turn").alias("turn_order"))
-    answers, _ = G.rag_batch(questions, article_index(spark, sf), extractive_answer,
-                             histories=prompt_histories(spark, sf), k=K)
-    lines = F.transform("sources", lambda s: F.concat_ws(" ", s["source_no"].cast("string"), s["url"]))
-    return answers.withColumn("sources", F.array_join(lines, "\n"))
+    store = load(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role",
+        F.col("text").alias("content"))
+    return G.rag_batch(questions, article_index(spark, sf), extractive_answer, messages=store, k=K)
