@@ -35,27 +35,46 @@ def ingest_summary(report: DataFrame) -> DataFrame:
                       F.count_if(~F.col("success")).alias("failed"))
 
 
-def vector_stats(vectors: DataFrame, vector: str = "embedding",
+def vector_stats(vectors: DataFrame, vector: str = "embedding", metadata: str | None = None,
                  index_type: str = "exact", params: dict | None = None) -> DataFrame:
     """total_vectors, dimension (the largest; ``min_dimension`` differs from it
-    where lengths are mixed), metadata_count plus the index settings."""
+    where lengths are mixed), metadata_count (rows whose ``metadata`` column is set;
+    without such a column all rows carry their metadata) plus the index settings."""
     p = params or {}
     return vectors.agg(
         F.count(F.lit(1)).alias("total_vectors"),
         F.max(F.size(vector)).alias("dimension"),
         F.min(F.size(vector)).alias("min_dimension"),
-        F.count(F.lit(1)).alias("metadata_count")).select(
+        F.count(F.col(metadata) if metadata else F.lit(1)).alias("metadata_count")).select(
         "*", F.lit(index_type).alias("index_type"),
         *[F.lit(v).alias(k) for k, v in p.items()])
 
 
-def system_stats(catalog: DataFrame, vectors: DataFrame, key: str = "article_id") -> DataFrame:
+def system_stats(catalog: DataFrame, vectors: DataFrame, key: str = "article_id",
+                 cache: DataFrame | None = None, vector: str = "embedding", index_type: str = "exact",
+                 params: dict | None = None) -> DataFrame:
     """total_articles (catalog keys) and total_chunks = total_embeddings
     (vector rows); a re-ingested article doubles vectors, not articles.
-    One aggregate over the two tables stacked (no join between them)."""
-    rows = (catalog.select(F.col(key).cast("string").alias("_k"), F.lit(None).cast("int").alias("_v"))
-            .unionByName(vectors.select(F.lit(None).cast("string").alias("_k"),
-                                        F.lit(1).alias("_v"))))
-    return rows.agg(F.count_distinct("_k").alias("total_articles"),
-                    F.count("_v").alias("total_chunks"),
-                    F.count("_v").alias("total_embeddings"))
+    One aggregate over the two tables stacked (no join between them).
+
+    With ``cache`` (the row of ``cache_stats``) the two blocks follow: ``store_...``
+    (vector_stats of ``vectors`` with the index settings) and ``cache_...``."""
+    size = F.size(vector) if cache is not None else F.lit(None).cast("int")
+    none = {"_k": "string", "_v": "int", "_d": "int"}
+    if cache is not None:
+        none |= {f"_cache_{f.name}": f.dataType.simpleString() for f in cache.schema}
+
+    def rows(df: DataFrame, **own) -> DataFrame:
+        return df.select(*[(own[c] if c in own else F.lit(None)).cast(t).alias(c) for c, t in none.items()])
+    parts = rows(catalog, _k=F.col(key)).unionByName(rows(vectors, _v=F.lit(1), _d=size))
+    if cache is not None:
+        parts = parts.unionByName(rows(cache, **{f"_cache_{c}": F.col(c) for c in cache.columns}))
+    counts = [F.count_distinct("_k").alias("total_articles"), F.count("_v").alias("total_chunks"),
+              F.count("_v").alias("total_embeddings")]
+    if cache is None:
+        return parts.agg(*counts)
+    out = parts.agg(*counts, F.count("_v").alias("store_total_vectors"), F.max("_d").alias("store_dimension"),
+                    F.count("_d").alias("store_metadata_count"),
+                    *[F.max(f"_cache_{c}").alias(f"cache_{c}") for c in cache.columns])
+    return out.select("*", F.lit(index_type).alias("store_index_type"),
+                      *[F.lit(v).alias(f"store_{k}") for k, v in (params or {}).items()])

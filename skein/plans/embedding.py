@@ -113,19 +113,28 @@ def _cache_inputs(spark, sf):
     return d.unionByName(b), cache_rows
 
 
-@register("embed_cached", sql="""
-WITH req AS (SELECT text FROM documents UNION ALL SELECT text FROM benchmark),
-cache AS (SELECT DISTINCT sha256(text) AS h FROM benchmark)
-SELECT sha256(r.text) AS text_hash, count(*)::BIGINT AS n_requests,
-       bool_or(c.h IS NOT NULL) AS cached
-FROM req r LEFT JOIN cache c ON c.h = sha256(r.text) GROUP BY 1""")
+@register("embed_cached", sql="WITH req AS (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)," + _sparse_sql(
+    "(SELECT DISTINCT text FROM req)", "text", "text", "uv") + """,
+cache AS (SELECT DISTINCT sha256(text) AS h FROM benchmark),
+n AS (SELECT text, count(*) AS n_requests FROM req GROUP BY text),
+v AS (SELECT text, string_agg(bucket || ':' || round(w * 10000)::BIGINT, ' ' ORDER BY bucket) AS vector
+      FROM uv GROUP BY text)
+SELECT sha256(n.text) AS text_hash, n.n_requests, c.h IS NOT NULL AS cached, coalesce(v.vector, '') AS vector
+FROM n LEFT JOIN v USING (text) LEFT JOIN cache c ON c.h = sha256(n.text)""")
 def q_embed_cached(spark, sf):
+    """Requests per text with whether the cache held it, and the vector's entries in
+    ten-thousandths as ``bucket:weight``."""
     req, cache = _cache_inputs(spark, sf)
     out, _new = E.embed_cached(req, cache, "text", E.hashed_embedder(DIM))
     known = cache.select("text_hash", F.lit(True).alias("_k"))
-    return (out.join(known, "text_hash", "left").groupBy("text_hash")
-            .agg(F.count(F.lit(1)).alias("n_requests"),
-                 F.coalesce(F.max("_k"), F.lit(False)).alias("cached")))
+    # all requests of a text have one vector: counted by its hash
+    n = (out.join(known, "text_hash", "left").groupBy("text_hash")
+         .agg(F.count(F.lit(1)).alias("n_requests"), F.coalesce(F.max("_k"), F.lit(False)).alias("cached"),
+              F.max("embedding").alias("embedding")))
+    entries = F.filter(F.transform("embedding", lambda w, i: F.struct(i.alias("i"), w.cast("double").alias("w"))),
+                       lambda e: e["w"] != 0)
+    return n.select("text_hash", "n_requests", "cached", F.array_join(F.transform(entries, lambda e: F.concat_ws(
+        ":", e["i"].cast("string"), F.round(e["w"] * 10000).cast("long").cast("string"))), " ").alias("vector"))
 
 
 @register("cache_stats", sql="""

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as TX
 from skein.operators import evaluate as ev
+from skein.operators import trackers
 from skein.plans import sqltext as S
 from skein.plans.registry import load, pair_key, register
+from skein.session import write_shared
 
 CONTEXT_TURNS = 2
 KEYS = ["conv_id", "turn"]
@@ -132,6 +134,30 @@ def q_latency_stats(spark, sf):
                                               else F.col(c) for c in ev.LATENCY_COLUMNS[1:]])
 
 
+RANK_ERROR = 0.02
+
+
+@register("latency_tracked", sql="""
+SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max,
+       true AS p50_near, true AS p90_near, true AS p99_near
+FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def q_latency_tracked(spark, sf):
+    """Every day of events is a batch; the batches' summaries are stored, merged and held
+    against the ranks that the quantiles have in the whole table."""
+    e = load(spark, sf, "events").withColumn("day", F.to_date("ts")).where("value IS NOT NULL")
+    store = write_shared(trackers.summaries(e, "value", "day", ["event_type"]), "tracked")
+    got = write_shared(trackers.merged(store, ["event_type"]), "merged")
+    ranks = [F.avg((F.col("value") < F.col(p)).cast("double")).alias(f"{p}_low") for p in trackers.QUANTILES] + [
+        F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"{p}_high") for p in trackers.QUANTILES]
+    seen = (e.select("event_type", "value").join(F.broadcast(got.select(
+        F.col("event_type").alias("_t"), *trackers.QUANTILES)), F.col("event_type").eqNullSafe(F.col("_t")))
+            .groupBy("event_type").agg(*ranks))
+    near = [((F.col(f"{p}_low") <= q + RANK_ERROR) & (F.col(f"{p}_high") >= q - RANK_ERROR)).alias(f"{p}_near")
+            for p, q in trackers.QUANTILES.items()]
+    return (got.join(seen.withColumnRenamed("event_type", "_t"), F.col("event_type").eqNullSafe(F.col("_t")))
+            .select("event_type", "count", F.round("mean", 6).alias("mean"), "min", "max", *near))
+
+
 @register("evaluate_queries", sql=_PAIRS_SQL + """
 , rp AS (SELECT p.conv_id || ':' || p.turn AS query_id, p.question, p.answer, c.context
          FROM pairs p LEFT JOIN ctx c ON c.conv_id = p.conv_id AND c.turn = p.turn),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.operators import graph_index as GI
 from skein.operators import reports as RP
+from skein.operators.embed import DEFAULT_DIM, cache_stats
 from skein.operators.extract import extract_articles, extraction_stats
 from skein.plans import sqltext as S
 from skein.plans.chunks import _ARTICLES_SQL, SIZE, STEP
@@ -53,25 +55,35 @@ def q_extraction_stats(spark, sf):
     return extraction_stats(p, extracted_at=F.lit(EXTRACT_TIME))
 
 
-@register("vector_stats", sql="""
+INDEX = {"degree": GI.DEGREE, "beam": GI.BEAM, "nprobe": GI.NPROBE, "cell_size": GI.CELL_SIZE}
+_INDEX_SQL = ", ".join(f"{v} AS {{p}}{k}" for k, v in INDEX.items())
+
+
+@register("vector_stats", sql=f"""
 SELECT count(*) AS total_vectors, max(len(embedding))::INTEGER AS dimension,
        min(len(embedding))::INTEGER AS min_dimension,
-       count(*) AS metadata_count, 'exact' AS index_type FROM embeddings""")
+       count(label) AS metadata_count, 'graph' AS index_type, {_INDEX_SQL.format(p='')} FROM embeddings""")
 def q_vector_stats(spark, sf):
-    return RP.vector_stats(load(spark, sf, "embeddings"))
+    return RP.vector_stats(load(spark, sf, "embeddings"), metadata="label", index_type="graph", params=INDEX)
 
 
 @register("system_stats", sql=_ARTICLES_SQL + f""",
-cnt AS (SELECT (CASE WHEN length(text) <= {SIZE} THEN 1
-                     ELSE ceil(length(text) / {STEP}) END)::BIGINT AS n FROM a)
-SELECT (SELECT count(DISTINCT article_id) FROM a) AS total_articles,
-       (SELECT sum(n) FROM cnt)::BIGINT AS total_chunks,
-       (SELECT sum(n) FROM cnt)::BIGINT AS total_embeddings""")
+ch AS (SELECT article_id, substr(text, st + 1, {SIZE}) AS chunk FROM (
+  SELECT article_id, text, unnest(CASE WHEN length(text) <= {SIZE} THEN [0::BIGINT]
+                                       ELSE range(0, length(text), {STEP}) END) AS st FROM a)),
+tot AS (SELECT count(*) AS n, count(DISTINCT article_id) AS articles, count(DISTINCT chunk) AS texts FROM ch)
+SELECT articles AS total_articles, n AS total_chunks, n AS total_embeddings, n AS store_total_vectors,
+       {DEFAULT_DIM} AS store_dimension, n AS store_metadata_count, n AS cache_total_requests,
+       n - texts AS cache_hits, texts AS cache_misses, texts AS cache_cache_size,
+       (n - texts)::DOUBLE / n AS cache_hit_rate, 'graph' AS store_index_type, {_INDEX_SQL.format(p='store_')}
+FROM tot""")
 def q_system_stats(spark, sf):
-    from skein.plans.conversation import article_chunk_table
-    chunks = article_chunk_table(spark, sf)
-    catalog = chunks.select("article_id").distinct()
-    return RP.system_stats(catalog, chunks)
+    """Totals of the article store with the vector store's and the cache's blocks, after
+    one ingestion of all pages."""
+    from skein.plans.conversation import article_index
+    index = article_index(spark, sf)
+    catalog = index.groupBy("article_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return RP.system_stats(catalog, index, cache=cache_stats(index, None, "chunk"), index_type="graph", params=INDEX)
 
 
 @register("tbl_article_files", sql=_ARTICLES_SQL + """

@@ -8,6 +8,8 @@ table; "append" writes new files next to the old ones.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,15 +108,52 @@ def append_vectors(vectors: DataFrame, path: str, dim: int,
     check_vectors(vectors, dim, vector).write.mode("append").parquet(path)
 
 
-def read_vectors(spark: SparkSession, path: str, expected_count: int | None = None):
-    """(DataFrame, ok).  Missing/corrupt table or count mismatch -> (empty, False)."""
+VECTOR_SCHEMA = "vec_id long, embedding array<float>"
+
+
+def read_vectors(spark: SparkSession, path: str, expected_count: int | None = None,
+                 schema=VECTOR_SCHEMA):
+    """(DataFrame, ok).  Missing/corrupt table -> (empty frame of ``schema``, False),
+    count mismatch -> (empty frame of its own columns, False)."""
     try:
         df = spark.read.parquet(path)
         if expected_count is not None and df.count() != expected_count:
             return df.limit(0), False
         return df, True
     except Exception:  # noqa: BLE001
-        return None, False
+        return spark.createDataFrame([], schema), False
+
+
+COMMIT_SCHEMA = "version string, vectors long, dimension int, saved_at timestamp"
+
+
+def save_vectors(vectors: DataFrame, path: str, dim: int, vector: str = "embedding") -> dict:
+    """Save the whole vector table under ``path``: a fresh version folder first, then a
+    commit row that states its version, count and dimension.  A save that fails half-way
+    leaves the table as it was; two saves at once leave the one whose row is newer."""
+    spark = vectors.sparkSession
+    version = uuid.uuid4().hex
+    folder = f"{path.rstrip('/')}/versions/{version}"
+    check_vectors(vectors, dim, vector).write.parquet(folder)
+    count = spark.read.parquet(folder).count()
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(count).cast("long").alias("vectors"),
+                          F.lit(dim).alias("dimension"), F.current_timestamp().alias("saved_at")
+                          ).coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/commits")
+    return {"version": version, "vectors": count, "dimension": dim}
+
+
+def load_vectors(spark: SparkSession, path: str, schema=VECTOR_SCHEMA):
+    """(DataFrame, ok) of the newest committed version; (empty frame, False) if nothing
+    is committed or the files do not hold the committed number of vectors."""
+    try:
+        commits = spark.read.schema(COMMIT_SCHEMA).json(f"{path.rstrip('/')}/commits")
+        newest = commits.where("version is not null").agg(
+            F.max_by(F.struct("version", "vectors"), F.struct("saved_at", "version")).alias("m")).first()["m"]
+    except Exception:  # noqa: BLE001
+        newest = None
+    if newest is None:
+        return spark.createDataFrame([], schema), False
+    return read_vectors(spark, f"{path.rstrip('/')}/versions/{newest['version']}", newest["vectors"], schema)
 
 
 def truncate(df: DataFrame, path: str) -> None:
