@@ -23,12 +23,10 @@ Documents whose sets of distinct word 5-grams have a Jaccard similarity of
    probe per copy, not one per pair.
 6. Then cells of several classes are compared: of their nodes those stay that some
    node of another class can reach by place and size.  In cells of at most ``FEW``
-   nodes each probes the tree of its partners of all such cells.  Of the larger ones,
-   with the classes joined so far, the largest cell of a node is its home: all but the
-   commonest class probe the tree of those at home, past subtrees of their own class,
-   and classes that a link joins count as one from then on.  Nodes of different homes
-   that share a cell meet as partners if one of them is of at most ``FEW`` strangers
-   there, else in the tree of the whole cell.
+   nodes each probes the tree of its partners of all such cells.  Larger cells, with
+   the classes joined so far, meet in families (the cells of one shared passage), each
+   with one tree of all their nodes: all but the commonest class probe it, past
+   subtrees of their own class, and classes that a link joins count as one from then on.
 
 Skipping pairs inside a class loses no link between classes, so classes are
 exact.  Gram collisions of 64-bit hashes are the one approximation; a digest
@@ -419,7 +417,7 @@ def _cells(prefixes: DataFrame) -> DataFrame:
     sides = [F.min(node).alias("lo"), F.max(node).alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far")]
     fits = "lo != hi and least <= reach and n <= far"
     names = ["g", "part", "parts", "h", "n", "at"]
-    met = (prefixes.withColumn("part", F.pmod("h", "parts").cast("int"))
+    met = (prefixes.withColumn("part", F.pmod("h", "parts").cast("int")).repartition("g", "part")
            .withColumn("reach", _reach(F.col("n"), F.col("at"))).select(
                *names, "reach", *[c.over(cell).alias(x) for c, x in zip(
                    (F.min(node), F.max(node), F.min("n"), F.max("reach")), ("lo", "hi", "least", "far"))])
@@ -517,55 +515,45 @@ def _reachable(rows: DataFrame) -> DataFrame:
 
 
 def _partners(met: DataFrame) -> DataFrame:
-    """Work in which each node of ``few`` names its partners: both nodes of a cell
-    that ``FEW`` rows at most hold, and in larger cells the few nodes that have
-    another ``home`` than the rest.  Two nodes that share a hundred cells meet once."""
-    rows = met.select("g", "h", "n", "at", "cls", "home", (F.col("odd") | (F.col("all") <= FEW)).alias("asks"),
-                      (F.col("all") <= FEW).alias("few"))
-    probe, entry = (rows.select(*[F.col(c).alias(c + k) for c in rows.columns]) for k in "12")
+    """Work for cells of at most ``FEW`` rows: each node names its partners, so that
+    two nodes that share a hundred cells meet once."""
+    few = met.where(F.col("all") <= FEW).select("g", "h", "n", "at", "cls")
+    probe, entry = (few.select(*[F.col(c).alias(c + k) for c in few.columns]) for k in "12")
     one, two = ({c: F.col(c + k) for c in ("n", "at")} for k in "12")
-    earlier = F.struct("h1", "n1") < F.struct("h2", "n2")
-    pairs = (probe.where("asks1").join(entry, (F.col("g1") == F.col("g2")) & (F.col("cls1") != F.col("cls2"))
-                                       & (earlier | ~F.col("asks2")) & (F.col("few1") | (F.col("home1") != F.col("home2")))
-                                       & _met(one, two)))
-    first, second = (F.when(earlier, F.struct(*[F.col(c + x).alias(c) for c in ("h", "n", "cls")]))
-                     .otherwise(F.struct(*[F.col(c + y).alias(c) for c in ("h", "n", "cls")])) for x, y in ("12", "21"))
-    pairs = pairs.select(first.alias("a"), second.alias("b")).select(
-        F.col("a.h").alias("k1"), F.col("a.n").alias("k2"), F.col("a.cls").alias("by"),
-        F.col("b.h").alias("h"), F.col("b.n").alias("n"), F.col("b.cls").alias("cls")).distinct()
+    pairs = (probe.join(entry, (F.col("g1") == F.col("g2")) & (F.col("cls1") != F.col("cls2"))
+                        & (F.struct("h1", "n1") < F.struct("h2", "n2")) & _met(one, two))
+             .select(F.col("h1").alias("k1"), F.col("n1").alias("k2"), F.col("cls1").alias("by"),
+                     F.col("h2").alias("h"), F.col("n2").alias("n"), F.col("cls2").alias("cls")).distinct())
     return _around(write_shared(pairs, "pairs"))
 
 
-def _with_homes(met: DataFrame) -> DataFrame:
-    """``met`` with ``home``, the largest of a node's cells, and ``odd``: the node has
-    another home than most of its cell, and at most ``FEW`` have; ``crowd``: more have."""
-    home = met.groupBy(F.col("h").alias("lh"), F.col("n").alias("ln")).agg(F.max(F.struct("all", "g")).alias("m"))
-    rows = write_shared(met.join(home, (F.col("h") == F.col("lh")) & (F.col("n") == F.col("ln")))
-                        .select(*met.columns, F.col("m.g").alias("home")), "homes")
-    kinds = (rows.groupBy("g", "home").agg(F.count("*").alias("k"))
-             .groupBy(F.col("g").alias("x")).agg(F.max(F.struct("k", "home")).alias("top"), F.sum("k").alias("sum")))
-    other = F.col("sum") - F.col("top.k")
-    return (rows.join(kinds, F.col("g") == F.col("x"))
-            .select(*met.columns, "home", ((F.col("home") != F.col("top.home")) & (other <= FEW)).alias("odd"),
-                    (other > FEW).alias("crowd")))
-
-
 def _walks(met: DataFrame) -> DataFrame:
-    """Work for the larger cells: the rows at home are entries of the cell's tree,
-    dealt in blocks, and those outside its commonest class probe it.  Nodes of
-    different homes meet in ``_partners``, or in a cell where many of them are: all
-    its rows are entries there."""
+    """Work for the larger cells, in trees of whole families.
+
+    A node's home is the largest of its cells, a cell's family is the commonest home of
+    its nodes: the grams of one shared passage are one family, though edited copies
+    lack some.  All nodes of a family's cells are entries of its tree, once each and
+    dealt in blocks; those outside its commonest class probe it."""
+    large = met.where(F.col("all") > FEW).select("g", "h", "n", "cls", "all")
+    home = large.groupBy(F.col("h").alias("lh"), F.col("n").alias("ln")).agg(F.max(F.struct("all", "g")).alias("m"))
+    rows = write_shared(large.join(home, (F.col("h") == F.col("lh")) & (F.col("n") == F.col("ln")))
+                        .select("g", "h", "n", "cls", F.col("m.g").alias("home")), "homes")
+    family = (rows.groupBy("g", "home").agg(F.count("*").alias("k"))
+              .groupBy(F.col("g").alias("x")).agg(F.max(F.struct("k", "home")).alias("top"))
+              .select("x", F.col("top.home").alias("k1")))
+    members = write_shared(rows.join(family, F.col("g") == F.col("x")).select("k1", "h", "n", "cls").distinct(), "family")
+    load = (members.groupBy("k1", "cls").agg(F.count("*").alias("size"))
+            .groupBy(F.col("k1").alias("x")).agg(F.sum("size").alias("all"), F.max(F.struct("size", "cls")).alias("top"))
+            .where("all > top.size")
+            .select("x", F.col("top.cls").alias("common"), F.ceil(F.col("all") / SLICE).cast("int").alias("blocks"),
+                    F.ceil((F.col("all") - F.col("top.size")) / SLICE).cast("int").alias("slices")))
     spot = F.xxhash64("h", "n")
-    large = met.where(((F.col("home") == F.col("g")) | F.col("crowd")) & (F.col("all") > FEW))
-    large = large.select(
-        F.col("g").alias("k1"), F.lit(0).alias("k2"), "h", "n", "cls", "common",
-        F.ceil(F.col("all") / SLICE).cast("int").alias("blocks"),
-        F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("size")) / SLICE)).cast("int").alias("slices"))
-    entries = large.select("k1", "k2", F.pmod(spot, "blocks").cast("int").alias("block"),
+    dealt = members.join(load, F.col("k1") == F.col("x"))
+    entries = dealt.select("k1", F.lit(0).alias("k2"), F.pmod(spot, "blocks").cast("int").alias("block"),
                            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
                            F.lit(0).alias("role"), "cls", "h", "n")
-    probes = large.where("cls != common").select(
-        "k1", "k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+    probes = dealt.where("cls != common").select(
+        "k1", F.lit(0).alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(spot, "slices").cast("int").alias("slice"), F.lit(1).alias("role"), "cls", "h", "n")
     return entries.unionByName(probes)
 
@@ -606,11 +594,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counter
         return components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     joined = components(first)
     met = _reachable(_mixed_cells(cells, named(joined)))
-    small = met.where(F.col("all") <= FEW).withColumn("home", F.lit(0).cast("long")).withColumn("odd", F.lit(False))
-    joined = with_links(joined, _partners(small))
+    joined = with_links(joined, _partners(met))
     # what the small cells have joined need not meet in the large ones
     met = _reachable(_mixed_cells(met.where(F.col("all") > FEW).drop("cls"), named(joined)))
-    met = write_shared(_with_homes(met), "met")
     joined = write_shared(with_links(joined, _partners(met).unionByName(_walks(met))), "classes")
     order.destroy()
     by_node = nodes.join(joined, F.col("doc") == F.col("node"), "left").select(
