@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (IntegerType, LongType, StructField, StructType)
 
+from skein.llm.memory import trimmed
+
 #: items broadcast at once
 BLOCK = 20_000
 #: bytes of text of the items broadcast at once
@@ -254,7 +256,7 @@ def find(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, id_col:
                     [id_col, item_id, "distance", "start", "end"])
         from pyspark.sql.pandas.types import to_arrow_type
         target = to_arrow_type(schema[item_id].dataType)
-        part = rows.mapInArrow(search, schema)
+        part = rows.mapInArrow(trimmed(search), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -269,5 +271,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, text: s
             for batch in batches:
                 mask = [not index.matches(raw) for raw in _raw(batch.column(at))]
                 yield batch.filter(pa.array(mask, pa.bool_()))
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(trimmed(keep), docs.schema)
     return docs.select(*names)

@@ -49,6 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T_
 
 from skein.llm.components import components
+from skein.llm.memory import trimmed
 from skein.session import write_shared
 
 SHINGLE = 5
@@ -172,7 +173,7 @@ def _sketch(docs: DataFrame, counters: int) -> DataFrame:
                 [pa.nulls(k, kind), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32())],
                  pa.array(range(k), pa.int32()),
                  pa.array([table[i * chunk:(i + 1) * chunk].tobytes() for i in range(k)], pa.binary())], schema.names)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _order(sketch: DataFrame, counters: int, cell: int = CELL) -> Order:
@@ -232,7 +233,7 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
                     out, counts, sizes, keys, held = [], [], [], [], 0
             if out:
                 yield rows()
-    return docs.select("t").mapInArrow(run, "g long, h long, n int, at int, parts int")
+    return docs.select("t").mapInArrow(trimmed(run), "g long, h long, n int, at int, parts int")
 
 
 def small_side(ids: DataFrame, most: int = 500_000, most_bytes: int = 32 << 20) -> DataFrame:
@@ -385,9 +386,9 @@ def _compare(texts: DataFrame, work: DataFrame, nodes: DataFrame, order, grouped
             yield pa.RecordBatch.from_arrays([pa.array(u, doc_type), pa.array(v, doc_type)], ["u", "v"])
     loaded = T_.StructType([*need.schema, T_.StructField("grams", T_.BinaryType())])
     ends = T_.StructType([T_.StructField("u", id_type), T_.StructField("v", id_type)])
-    return (rows.mapInArrow(load, loaded).repartition("k1", "k2", "block", "slice")
+    return (rows.mapInArrow(trimmed(load), loaded).repartition("k1", "k2", "block", "slice")
             .sortWithinPartitions("k1", "k2", "block", "slice", "role", "h", "n")
-            .mapInArrow(probe, ends))
+            .mapInArrow(trimmed(probe), ends))
 
 
 # --- the join --------------------------------------------------------------------

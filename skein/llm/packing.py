@@ -15,7 +15,7 @@ Tokenising: the tokenizer never joins across white space, so the ids of a text
 are those of its white-space words in turn.  Each worker remembers the ids of
 words it has seen (two generations of at most ``REMEMBER_BYTES``, and one batch's
 new words) and encodes
-the new words of a batch in one go.
+the new words of a batch in one go; after a partition it forgets them.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed as further documents; an empty table gives no rows; extra columns are
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from skein.llm.memory import trimmed
+
 SIZE = 4096
 END_ID = 1
 OPEN_BINS = 1024
@@ -58,6 +60,9 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def forget(self) -> None:
+        self.young, self.old, self.held = {}, {}, 0
+
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that are not remembered, many at once: the mark's
         ids stand between words; words with the mark in them go alone."""
@@ -164,8 +169,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()),
                  pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
                  pa.array(sums, pa.int64())] + [pa.array(kept, pa.binary())] * with_ids, schema.names)
+        words.forget()
     return (docs.select(F.col(id_col), F.col(text).cast("string").cast("binary").alias("\x01t"))
-            .mapInArrow(cut, schema))
+            .mapInArrow(trimmed(cut), schema))
 
 
 class Bins:
@@ -229,4 +235,4 @@ def pack(cut: DataFrame, size: int = SIZE, most_open: int = OPEN_BINS,
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(names)], pa.array([base + b for b, _ in put], pa.int64()),
                  pa.array([o for _, o in put], pa.int64())], schema.names)
-    return dealt.mapInArrow(place, schema)
+    return dealt.mapInArrow(trimmed(place), schema)

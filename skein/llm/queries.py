@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.llm import (decontaminate, html_content, jaccard, langid, licenses, mixing, oracle_sql, packing,
                        pii, quality, secrets, variants, warc, whitening)
+from skein.llm.memory import small_batches
 from skein.session import shared_path, write_shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
