@@ -36,7 +36,8 @@ def search(questions: DataFrame, chunk_vectors: DataFrame, k: int = 5, *,
 def with_chunks(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
     """Hits with the columns of their chunks.  Chunks that no hit names are
     dropped first (semi-join on the ids alone), so the texts of the whole
-    corpus are never dealt out: only those of hits take part in the join."""
+    corpus are never dealt out: only those of hits take part in the join.
+    ``hits`` is read twice: store it first."""
     used = chunks.join(hits.select(chunk_id).distinct(), chunk_id, "left_semi")
     return hits.join(used, chunk_id)
 
@@ -55,7 +56,7 @@ def _meta(col: str, chunks: DataFrame) -> F.Column:
 def semantic_search(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
     """Hits with ``chunk`` and a ``metadata`` struct (title, url, authors,
     publish_date), defaults 'Unknown' / '' / [] / 'Unknown'."""
-    j = hits.join(chunks, chunk_id)
+    j = with_chunks(hits, chunks, chunk_id)
     meta = F.struct(_meta("title", chunks).alias("title"), _meta("url", chunks).alias("url"),
                     _meta("authors", chunks).alias("authors"),
                     _meta("publish_date", chunks).alias("publish_date"))
@@ -67,7 +68,7 @@ def semantic_search_flat(hits: DataFrame, chunks: DataFrame,
                          chunk_id: str = "chunk_id") -> DataFrame:
     """Same hits, flat columns: distance, similarity, chunk, title, url,
     authors, publish_date."""
-    j = hits.join(chunks, chunk_id)
+    j = with_chunks(hits, chunks, chunk_id)
     return j.select("query_id", "rank", chunk_id, "distance", "similarity",
                     F.coalesce("chunk", F.lit("")).alias("chunk"),
                     _meta("title", chunks).alias("title"), _meta("url", chunks).alias("url"),
@@ -77,7 +78,7 @@ def semantic_search_flat(hits: DataFrame, chunks: DataFrame,
 
 def retrieve_context(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
     """Context rows: chunk, title, url, article_id, distance (rank order)."""
-    j = hits.join(chunks, chunk_id)
+    j = with_chunks(hits, chunks, chunk_id)
     return j.select("query_id", "rank", chunk_id, F.coalesce("chunk", F.lit("")).alias("chunk"),
                     _meta("title", chunks).alias("title"), _meta("url", chunks).alias("url"),
                     F.coalesce(F.col("article_id").cast("string"), F.lit("")).alias("article_id"),

@@ -159,7 +159,7 @@ SELECT h.query_id, h.rank, h.chunk_id, round(h.distance, 6) AS distance,
 FROM hits h JOIN ch USING (chunk_id)""")
 def q_semantic_search(spark, sf):
     index = chunk_vectors(spark, sf)
-    hits = search_hits(spark, sf, index=index)
+    hits = write_shared(search_hits(spark, sf, index=index), "hits")     # a few numbers a question
     out = R.semantic_search(hits, index.drop("embedding", "text_hash"))
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
                       F.round("distance", 6).alias("distance"),
@@ -174,7 +174,7 @@ SELECT h.query_id, h.rank, round(h.distance, 6) AS distance,
 FROM hits h JOIN ch USING (chunk_id)""")
 def q_semantic_search_flat(spark, sf):
     index = chunk_vectors(spark, sf)
-    hits = search_hits(spark, sf, index=index)
+    hits = write_shared(search_hits(spark, sf, index=index), "hits")     # a few numbers a question
     out = R.semantic_search_flat(hits, index.drop("embedding", "text_hash"))
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"),
                       F.round("distance", 6).alias("distance"),
@@ -188,7 +188,7 @@ SELECT h.query_id, h.rank, ch.chunk, 'Unknown' AS title, '' AS url,
 FROM hits h JOIN ch USING (chunk_id)""")
 def q_retrieve_context(spark, sf):
     index = chunk_vectors(spark, sf)
-    hits = search_hits(spark, sf, index=index)
+    hits = write_shared(search_hits(spark, sf, index=index), "hits")     # a few numbers a question
     out = R.retrieve_context(hits, index.drop("embedding", "text_hash"))
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk", "title",
                       "url", "article_id", F.round("distance", 6).alias("distance"))

@@ -46,7 +46,7 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 # --- article records --------------------------------------------------------
 
 def write_articles(articles: DataFrame, path: str, fmt: str = "json",
-                   mode: str = "append", partition_by: str | None = "source_domain") -> None:
+                   mode: str = "append", partition_by: str | None = None) -> None:
     """Persist article records (one JSON object per line, or Parquet)."""
     w = articles.write.mode(mode)
     if partition_by:
