@@ -50,3 +50,33 @@ def test_run_is_the_chain_of_stages(spark):
     assert out.where("piece = 0").count() == out.select("doc_id").distinct().count() > 0
     assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
     assert P.ORACLE_SQL is None and re.match("packing", P.STAGES[-1][0])
+
+
+def test_awkward_rows_through_all_stages(spark):
+    """Null, empty, very long and repeated rows with extra, clashing columns."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    lang = given.first()["lang"]
+    long = given.first()["text"]
+    rows = [(i, t, lang, "s", None) for i, t in brute.rows()] + [(50_000, (long + " ") * 300, lang, "s", 1)] * 2
+    extra = ("lang_pred", "spans", "g", "h", "n", "id", "component_id", "item_id", "piece")
+    docs = given.unionByName(spark.createDataFrame(rows, given.schema)).select(
+        "*", *[F.lit("x").alias(c) for c in extra]).repartition(5)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = P.write_shared(out, name)
+        assert docs.where(F.col("spans") != "x").count() == 0
+    kept = docs.count()
+    assert kept > 50 and docs.where("doc_id = 50000").count() <= 1
+    packed = P.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("piece = 0").count() == kept
+
+
+def test_no_rows_through_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = P.write_shared(out, name)
+        assert docs.count() == 0
+    assert P.STAGES[-1][1](spark, docs, SF).count() == 0
