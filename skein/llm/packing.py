@@ -15,7 +15,8 @@ Tokenising: the tokenizer never joins across white space, so the ids of a text
 are those of its white-space words in turn.  Each worker remembers the ids of
 words it has seen (two generations of at most ``REMEMBER_BYTES``, and one batch's
 new words) and encodes
-the new words of a batch in one go; after a partition it forgets them.
+the new words of a batch in one go; after a partition it
+keeps the younger generation only.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed as further documents; an empty table gives no rows; extra columns are
@@ -61,7 +62,10 @@ class WordEncoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def forget(self) -> None:
-        self.young, self.old, self.held = {}, {}, 0
+        """Drop the older generation, and a younger one beyond its bound."""
+        self.old = {}
+        if self.held > REMEMBER_BYTES:
+            self.young, self.held = {}, 0
 
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that are not remembered, many at once: the mark's
