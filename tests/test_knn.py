@@ -154,3 +154,47 @@ def test_pair_keys_never_collide(spark):
     from skein.plans.registry import pair_key
     df = spark.createDataFrame([(1, 100000), (2, 0)], "a long, b long")
     assert {r[0] for r in df.select(pair_key("a", "b")).collect()} == {"1:100000", "2:0"}
+
+
+@pytest.mark.parametrize("scale,digits", [(1.0, None), (1.0, 9), (1e-12, None), (1e20, None)])
+def test_screening_in_single_precision_loses_nothing(scale, digits):
+    from skein.operators.knn import _TopK
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 24)) * scale
+    v[500:700] = v[:200]                                    # ties go to the smaller id
+    v[700:800] = v[:100] + 1e-9 * scale                     # nearer than single precision tells
+    v[850, 3] = np.inf
+    q = np.concatenate([v[:60], rng.normal(size=(20, 24)) * scale])
+    want = []
+    ids = rng.permutation(900)
+    for i, x in enumerate(q):
+        with np.errstate(all="ignore"):
+            d = np.square(x - v).sum(1)
+        key = d if digits is None else np.round(d, digits)
+        order = [j for j in np.lexsort((ids, key)) if np.isfinite(d[j]) and ids[j] != i]
+        want += [(i, ids[j], d[j]) for j in order[:5]]
+    for step in (7, 128, 900):
+        top = _TopK(np.arange(len(q)), q, 5, True, digits)
+        for s in range(0, 900, step):
+            top.add(ids[s:s + step], v[s:s + step])
+        r = top.result()
+        assert list(zip(*[r.column(c).to_pylist() for c in ("query_id", "vec_id", "distance")])) == want
+
+
+def test_blocks_after_the_first_are_screened_by_the_kth_alone(monkeypatch):
+    from skein.operators.knn import _TopK
+    sorted_blocks = []
+    real = np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **k: sorted_blocks.append(1) or real(*a, **k))
+    m = np.random.default_rng(1).normal(size=(1000, 8))
+    top = _TopK(np.arange(50), m[:50], 5, True)
+    for s in range(0, 1000, 100):
+        top.add(np.arange(s, s + 100), m[s:s + 100])
+    assert len(sorted_blocks) == 1
+
+
+def test_tiles_grow_with_the_tables():
+    from skein.operators.knn import TILE_FLOATS, _tile_size
+    assert _tile_size(4096, 3000, 64, 12) == 4096
+    assert _tile_size(4096, 600_000, 64, 12) == 100_000     # few copies, a few tiles a core
+    assert _tile_size(4096, 10 ** 9, 64, 12) == TILE_FLOATS // 64
