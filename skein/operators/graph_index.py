@@ -272,18 +272,40 @@ def search_graph(queries: DataFrame, index: DataFrame, k: int = 5, *, beam: int
 
 # --- exact search with bounds ------------------------------------------------------------
 
+GROUP_VECTORS = 16_384      # vectors of one tile: a group of neighbouring cells
+BOUND_BLOCK = 16_384        # queries of one tile
+_SLICE = 256                # queries measured against all centroids at once
+
+
+def cell_groups(centers: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """A group for each cell: runs of about ``most`` vectors along the direction in
+    which the centroids differ most."""
+    off = centers - centers.mean(0)
+    order = np.argsort(off @ np.linalg.eigh(off.T @ off)[1][:, -1], kind="stable")
+    before = np.cumsum(sizes[order]) - sizes[order]
+    group = np.empty(len(centers), np.int64)
+    group[order] = before // max(1, most)
+    return np.unique(group, return_inverse=True)[1].astype(np.int32)
+
+
 def knn_bounded(queries: DataFrame, index: DataFrame, k: int = 5, *, query_id: str = "query_id",
-                query_vector: str = "embedding", exclude_self: bool = False, query_block: int = QUERY_BLOCK,
-                tie_digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+                query_vector: str = "embedding", exclude_self: bool = False, query_block: int = BOUND_BLOCK,
+                tie_digits: int | None = None, group_vectors: int = GROUP_VECTORS) -> tuple[DataFrame, DataFrame]:
     """Exact top-k over a stored ``graph_index`` that skips what cannot win.
 
     A query first measures its nearest cell; the k-th distance found bounds the rest.
     By the triangle inequality a cell whose sphere (centroid, largest distance of a
-    member) lies beyond that distance holds no better vector: it is never read for
+    member) lies beyond that distance holds no better vector: it is never met by
     this query; inside a cell, vectors go whose distance from the centroid differs from
     the query's by more.  Cells of one query are met in two rounds, so that the
     bound of the first prunes all others.
 
+    Cells are small, so queries are not copied to each of them: neighbouring cells form
+    groups of about ``group_vectors`` vectors, queries blocks of about ``query_block``
+    with their nearest cells in one group, and a tile is a block and a group that one of
+    its queries reaches.  Where nothing can be ruled out, that is the tiled plan of
+    ``knn_exact``, with as many copies of a row as there are tiles on the other side.
+
     Returns the hits (``query_id, vec_id, rank, distance``) and, per query, how many
     vectors it ``measured``.  Ranks, ties and edge cases are those of ``knn_exact``."""
     from skein.operators.knn import _final_topk, _TopK
@@ -311,88 +333,139 @@ def knn_bounded(queries: DataFrame, index: DataFrame, k: int = 5, *, query_id: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.sqrt(np.square(m - c).sum(1)))],
                                              far_schema.names)
     nodes = (index.where("node >= 0").mapInArrow(from_center, far_schema)
-             .select("id", "vector", "far", "cell", "part"))
+             .select("id", "vector", "far", "cell"))
     nodes = write_shared(nodes, "bounded")
-    # one row a cell: its radius and how near the centroid its nearest member is
-    radius = {r["cell"]: (r["low"], r["high"]) for r in nodes.groupBy("cell").agg(
-        F.min("far").alias("low"), F.max("far").alias("high")).collect()}
-    spheres = np.array([radius.get(i, (np.inf, -np.inf)) for i in range(len(centers))])
-    slack = 1e-9
+    # one row a cell: its radius, how near the centroid its nearest member is, its members
+    radius = {r["cell"]: (r["low"], r["high"], r["n"]) for r in nodes.groupBy("cell").agg(
+        F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("n")).collect()}
+    spheres = np.array([radius.get(i, (np.inf, -np.inf, 0)) for i in range(len(centers))])
+    held = spheres[:, 2].sum()
+    most = int(max(1, min(group_vectors, -(-held // (2 * spark.sparkContext.defaultParallelism)))))
+    group_of = cell_groups(centers, spheres[:, 2], most)
+    # a group holds more only where one cell does; it is cut in pieces by hash
+    pieces = np.maximum(1, np.ceil(np.bincount(group_of, spheres[:, 2]) / group_vectors)).astype(int)
+    slack = 1e-6
+
+    def reaches(m: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of some queries from each centroid, and whether its sphere is within ``bound``."""
+        c = shared.value
+        d = np.sqrt(np.maximum(np.square(m).sum(1)[:, None] + np.square(c).sum(1)[None] - 2 * m @ c.T, 0))
+        return d, np.maximum(d - spheres[None, :, 1], spheres[None, :, 0] - d) <= bound[:, None] + slack
+
     schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("vec_id", vid_type),
                            T.StructField("distance", T.DoubleType()), T.StructField("key", T.DoubleType()),
                            T.StructField("measured", T.LongType())])
 
-    def run(vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=schema.names, dtype=object)
-        if not len(vpdf) or not len(qpdf):
-            return empty
-        vpdf = vpdf.sort_values("far")
-        far, m, v_ids = vpdf["far"].to_numpy(), np.stack(vpdf["vector"].to_numpy()), vpdf["id"].to_numpy()
-        center = shared.value[int(vpdf["cell"].iloc[0])]
-        out = []
-        # queries with like bounds share one slice of the members, sorted by distance
-        asked = np.stack(qpdf["qv"].to_numpy()).astype(np.float64)
-        own, bound = np.sqrt(np.square(asked - center).sum(1)), qpdf["bound"].to_numpy(float)
-        first = np.searchsorted(far, own - bound - slack, "left")
-        last = np.searchsorted(far, own + bound + slack, "right")
-        order = np.argsort(first, kind="stable")
-        q_ids = qpdf["query_id"].to_numpy()
-        for at in range(0, len(order), 64):
-            rows = order[at:at + 64]
-            a, b = int(first[rows].min()), int(last[rows].max())
-            if b <= a:
-                continue
-            top = _TopK(q_ids[rows], asked[rows], k, exclude_self, tie_digits)
-            for s in range(a, b, 4096):
-                top.add(v_ids[s:min(b, s + 4096)], m[s:min(b, s + 4096)])
+    def tile(first_round: bool):
+        def run(vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+            empty = pd.DataFrame(columns=schema.names, dtype=object)
+            if not len(vpdf) or not len(qpdf):
+                return empty
+            vpdf = vpdf.sort_values(["cell", "far"])
+            far, m, v_ids = vpdf["far"].to_numpy(), np.stack(vpdf["vector"].to_numpy()), vpdf["id"].to_numpy()
+            cells, starts = np.unique(vpdf["cell"].to_numpy(), return_index=True)
+            asked = np.stack(qpdf["qv"].to_numpy()).astype(np.float64)
+            q_ids, home, bound = (qpdf[c].to_numpy() for c in ("query_id", "home", "bound"))
+            bound = bound.astype(float)
+            top = _TopK(q_ids, asked, k, exclude_self, tie_digits, np.square(bound + slack))
+            measured = np.zeros(len(q_ids), np.int64)
+            for cell, s, e in zip(cells, starts, np.append(starts[1:], len(far))):
+                rows = np.flatnonzero(home == cell if first_round else home != cell)
+                if not len(rows):
+                    continue
+                # what the k-th found so far still leaves of the cell
+                left = np.minimum(bound[rows], np.sqrt(top.kth[rows] + top.gap))
+                c = shared.value[cell]
+                own = np.sqrt(np.maximum(top.q_norm[rows] + c @ c - 2 * (top.q[rows] @ c), 0))
+                # queries with like bounds share one slice of the members, sorted by distance
+                first = s + np.searchsorted(far[s:e], own - left - slack, "left")
+                last = s + np.searchsorted(far[s:e], own + left + slack, "right")
+                some = last > first
+                rows, first, last = rows[some], first[some], last[some]
+                order = np.argsort(first, kind="stable")
+                step = max(64, len(rows) // 4)
+                for at in range(0, len(order), step):
+                    mine = order[at:at + step]
+                    a, b = int(first[mine].min()), int(last[mine].max())
+                    width = max(64, 4_000_000 // len(mine))
+                    for x in range(a, b, width):
+                        top.add(v_ids[x:min(b, x + width)], m[x:min(b, x + width)], rows[mine])
+                    measured[rows[mine]] += b - a
+            # a row of its own for each query that measured something
+            tried = np.flatnonzero(measured)
+            counts = pd.DataFrame({"query_id": q_ids[tried], "vec_id": None, "distance": np.nan, "key": np.nan,
+                                   "measured": measured[tried]})
             got = top.result()
             if got is None:
-                continue
-            frame = {c: got.column(c).to_numpy(zero_copy_only=False) for c in got.schema.names}
-            lead = np.r_[True, frame["query_id"][1:] != frame["query_id"][:-1]]
-            out.append(pd.DataFrame(frame).assign(measured=np.where(lead, b - a, 0)))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    def met(routed: DataFrame) -> DataFrame:
-        vt, qt = tiles(nodes, routed, query_block, "bound")
-        keys = ["cell", "part", "block"]
-        return vt.groupBy(*keys).cogroup(qt.groupBy(*keys)).applyInPandas(run, schema)
+                return counts
+            found = pd.DataFrame({c: got.column(c).to_numpy(zero_copy_only=False) for c in got.schema.names})
+            return pd.concat([found.assign(measured=0), counts], ignore_index=True)
+        return run
 
     q = write_shared(q, "queries")
     near = nearest_cells(q, centers, 1, "query_id", "qv").select(
-        F.col("_id").alias("query_id"), F.col("_v").alias("qv"), "cell", F.lit(float("inf")).alias("bound"))
+        F.col("_id").alias("query_id"), F.col("_v").alias("qv"), F.col("cell").alias("home"))
     near = write_shared(near, "near")
-    one = write_shared(met(near), "hits")
-    kth = (_final_topk(one.select("query_id", "vec_id", "distance", "key"), k).groupBy("query_id")
+    asked = {r["home"]: r["n"] for r in near.groupBy("home").agg(F.count("*").alias("n")).collect()}
+    of = np.bincount(group_of, [asked.get(i, 0) for i in range(len(centers))])
+    cuts = np.maximum(1, np.ceil(of / query_block)).astype(int)
+    base = np.cumsum(cuts) - cuts                    # blocks are numbered by group
+    asked_schema = T.StructType([near.schema["query_id"], near.schema["qv"], near.schema["home"],
+                                 T.StructField("bound", T.DoubleType()), T.StructField("group", T.IntegerType()),
+                                 T.StructField("groups", T.ArrayType(T.IntegerType()))])
+
+    def routes(first_round: bool):
+        def run(batches):
+            import pyarrow as pa
+            for batch in batches:
+                home = batch.column("home").to_numpy()
+                bound = np.asarray(batch.column("bound"), float)
+                own = group_of[home].astype(np.int32)
+                groups = [[int(g)] for g in own]
+                if not first_round:
+                    groups = []
+                    for at in range(0, batch.num_rows, _SLICE):
+                        m = np.stack(batch.column("qv").slice(at, _SLICE).to_numpy(zero_copy_only=False)).astype(np.float64)
+                        reach = reaches(m, bound[at:at + _SLICE])[1]
+                        reach[np.arange(len(m)), home[at:at + _SLICE]] = False
+                        groups += [np.unique(group_of[r]) for r in reach]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in ("query_id", "qv", "home")], pa.array(bound), pa.array(own),
+                     pa.array(groups, pa.list_(pa.int32()))], asked_schema.names)
+        return run
+
+    def met(rows: DataFrame, first_round: bool) -> DataFrame:
+        """``rows``: query_id, qv, home, bound."""
+        asked = rows.mapInArrow(routes(first_round), asked_schema)
+        # small tables: one number for each group
+        of_group = spark.createDataFrame([(g, int(base[g]), int(cuts[g]), int(pieces[g])) for g in range(len(base))],
+                                         "g int, base int, cuts int, pieces int")
+        block = (F.col("base") + F.pmod(F.xxhash64("query_id"), "cuts").cast("int")).alias("block")
+        asked = write_shared(asked.join(F.broadcast(of_group), F.col("group") == F.col("g")).select(
+            "query_id", "qv", "home", "bound", "groups", block), "asked")
+        number = F.broadcast(of_group.select(F.col("g").alias("_g"), F.col("pieces").alias("_n")))
+        # no more rows than tiles
+        pairs = asked.select(F.col("block").alias("_b"), F.explode("groups").alias("_a")).distinct()
+        cell_rows = spark.createDataFrame([(c, int(g)) for c, g in enumerate(group_of)], "_c int, _g int")
+        vt = (nodes.join(F.broadcast(cell_rows), F.col("cell") == F.col("_c")).join(number, "_g")
+              .select("id", "vector", "far", "cell", F.col("_g").alias("group"),
+                      F.pmod(F.xxhash64("id"), "_n").cast("int").alias("piece"))
+              .join(F.broadcast(pairs), F.col("group") == F.col("_a"))
+              .select("id", "vector", "far", "cell", F.col("_b").alias("block"), "group", "piece"))
+        qt = (asked.select("query_id", "qv", "home", "bound", "block", F.explode("groups").alias("group"))
+              .join(number, F.col("group") == F.col("_g"))
+              .select("query_id", "qv", "home", "bound", "block", "group",
+                      F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("piece")))
+        keys = ["block", "group", "piece"]
+        return vt.groupBy(*keys).cogroup(qt.groupBy(*keys)).applyInPandas(tile(first_round), schema)
+
+    hit = F.col("distance").isNotNull()
+    one = write_shared(met(near.withColumn("bound", F.lit(float("inf"))), True), "hits")
+    kth = (_final_topk(one.where(hit).select("query_id", "vec_id", "distance", "key"), k).groupBy("query_id")
            .agg(F.when(F.count("*") == k, F.sqrt(F.max("distance"))).alias("kth")))
-    left = near.select("query_id", "qv", F.col("cell").alias("done")).join(kth, "query_id", "left").select(
-        "query_id", "qv", "done", F.coalesce("kth", F.lit(float("inf"))).alias("bound"))
     step = 10.0 ** -tie_digits if tie_digits is not None else 0.0
-    routes = T.StructType([left.schema["query_id"], left.schema["qv"], T.StructField("cell", T.IntegerType()),
-                           T.StructField("bound", T.DoubleType())])
-
-    def others(batches):
-        import pyarrow as pa
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = np.stack(batch.column("qv").to_numpy(zero_copy_only=False)).astype(np.float64)
-            done, bound = batch.column("done").to_numpy(), batch.column("bound").to_numpy()
-            bound = np.sqrt(np.square(bound) + step)
-            rows, cells = [], []
-            for at in range(0, len(m), 256):
-                part = m[at:at + 256]
-                d = np.sqrt(np.maximum(np.square(part).sum(1)[:, None] + np.square(shared.value).sum(1)[None]
-                                       - 2 * part @ shared.value.T, 0))
-                reach = np.maximum(d - spheres[None, :, 1], spheres[None, :, 0] - d) <= bound[at:at + 256, None] + 1e-6
-                reach[np.arange(len(part)), done[at:at + 256]] = False
-                r, c = np.nonzero(reach)
-                rows.append(r + at)
-                cells.append(c)
-            rows, cells = np.concatenate(rows), np.concatenate(cells).astype(np.int32)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("qv").take(take),
-                                              pa.array(cells), pa.array(bound[rows])], routes.names)
-    cands = write_shared(one.unionByName(met(left.mapInArrow(others, routes))), "hits")
-    return (_final_topk(cands.select("query_id", "vec_id", "distance", "key"), k),
+    left = near.join(kth, "query_id", "left").select("query_id", "qv", "home", F.sqrt(
+        F.pow(F.coalesce("kth", F.lit(float("inf"))), F.lit(2.0)) + F.lit(step)).alias("bound"))
+    cands = write_shared(one.unionByName(met(left, False)), "hits")
+    return (_final_topk(cands.where(hit).select("query_id", "vec_id", "distance", "key"), k),
             cands.groupBy("query_id").agg(F.sum("measured").alias("measured")))

@@ -101,3 +101,37 @@ def test_bounded_with_fewer_than_k_in_the_first_cell(spark):
     want = knn_exact(queries_of(df), df, k=7)
     a, b = (sorted((r["query_id"], r["rank"], r["vec_id"]) for r in x.collect()) for x in (hits, want))
     assert a == b
+
+
+def test_bounded_copies_queries_to_groups_not_to_cells(spark, monkeypatch):
+    """Where the bounds rule out nothing, a query goes once to a group of cells."""
+    import skein.session as session
+    kept = {}
+
+    def keep(df, name, write=session.write_shared):
+        kept.setdefault(name, []).append(write(df, name))
+        return kept[name][-1]
+    monkeypatch.setattr(session, "write_shared", keep)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(1200, 32)))],
+                               "vec_id long, embedding array<float>")
+    index = write_shared(graph_index(df, cell_size=10, degree=2), "graph")
+    hits, _ = knn_bounded(queries_of(df), index, 3, exclude_self=True, query_block=400, group_vectors=300)
+    want = knn_exact(queries_of(df), df, k=3, exclude_self=True)
+    a, b = (sorted((r["query_id"], r["rank"], r["vec_id"]) for r in x.collect()) for x in (hits, want))
+    assert a == b
+    first, second = kept["asked"]
+    groups = second.select(F.explode("groups")).distinct().count()
+    assert second.select(F.explode("groups")).count() <= 1200 * groups
+    assert groups < 30 and index.where("node = -1").count() >= 100
+    assert first.agg(F.max(F.size("groups"))).first()[0] == 1
+
+
+def test_bounded_cuts_a_crowded_cell(spark):
+    rows = [(i, [1.0, 0.0] if i < 300 else [float(i), 1.0]) for i in range(340)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = write_shared(graph_index(df, cell_size=40, degree=2), "graph")
+    hits, _ = knn_bounded(queries_of(df), index, 4, exclude_self=True, query_block=50, group_vectors=60)
+    want = knn_exact(queries_of(df), df, k=4, exclude_self=True)
+    a, b = (sorted((r["query_id"], r["rank"], r["vec_id"]) for r in x.collect()) for x in (hits, want))
+    assert a == b
