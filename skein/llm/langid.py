@@ -11,9 +11,9 @@ A model stores each order as sorted hash arrays: packed n-gram keys, sorted,
 beside their counts, and context keys beside their totals and kinds.  A text is scored on all its characters; the lowest
 length-normalised cross-entropy names the language.
 
-Calibration (scale of the score, rejection bounds) is fitted on at most
-``MAX_CALIBRATION`` labelled training rows, those with the smallest hash of
-their id, each without its own counts.  A text is rejected when it has no letter or when its cross-entropy
+Calibration (scale of the score, rejection bounds) is fitted on all labelled
+training rows, each without its own counts: sums for the scale, exact medians and
+quantiles for the bounds, all made by Spark.  A text is rejected when it has no letter or when its cross-entropy
 lies beyond ``mean + k (spread + deviation / sqrt(n))`` of the language, where
 ``k`` is twice what all but one in a thousand of them need, and at least 8.
 
@@ -38,8 +38,8 @@ from skein.llm.memory import trimmed
 ALPHABET = 128
 #: symbols in a piece up to which its trigrams are counted in a dense array
 DENSE = 96
-#: documented bound of the calibration sample
-MAX_CALIBRATION = 4_000
+#: scales tried for the score
+SCALES = [0.1 * 1.3 ** k for k in range(25)]
 #: characters worked on at once
 PIECE = 1 << 19
 _BITS = 21
@@ -203,26 +203,31 @@ class KneserNey:
         ends, n1 = np.unique(pairs & (1 << bits) - 1, return_counts=True)
         self.one = Counts(ends, n1.astype(float), bits)
 
-    def log_prob(self, grams: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    def log_prob(self, grams: np.ndarray, own: np.ndarray | None = None,
+                 row: np.ndarray | None = None) -> np.ndarray:
         """Of distinct trigrams; ``own`` of each are left out of the counts (those
-        of a training text, which is then scored as if it had not been read)."""
+        of a training text, which is then scored as if it had not been read).
+        With ``row`` (from 0) they are those of several texts, each left out alone."""
         bits, last = self.bits, (1 << self.bits) - 1
         pair = grams & (1 << 2 * bits) - 1
         n3, t3, k3 = self.three.get(grams)
         n2, t2, k2 = self.two.get(pair)
         n1, t1, _k1 = self.one.get(pair & last)
         if own is not None:
+            row = np.zeros(len(grams), np.int64) if row is None else row
+            tag = row << 2 * bits               # texts do not share contexts
             n3 = n3 - own
             gone = n3 <= 0
-            context = np.unique(grams >> bits, return_inverse=True)[1]
+            context = np.unique(tag | grams >> bits, return_inverse=True)[1]
             t3, k3 = (x - np.bincount(context, y)[context] for x, y in ((t3, own), (k3, gone)))
-            pairs, first, at = np.unique(pair, return_index=True, return_inverse=True)
+            pairs, first, at = np.unique(tag | pair, return_index=True, return_inverse=True)
             lost = np.bincount(at, gone)
             ended = (n2[first] <= lost) & (lost > 0)
-            before, after = (np.unique(x, return_inverse=True)[1] for x in (pairs >> bits, pairs & last))
+            before, after = (np.unique(x, return_inverse=True)[1] for x in (
+                pairs >> bits, pairs >> 2 * bits << bits | pairs & last))
             n2 = n2 - lost[at]
             t2, k2 = (x - np.bincount(before, y)[before][at] for x, y in ((t2, lost), (k2, ended)))
-            n1, t1 = n1 - np.bincount(after, ended)[after][at], t1 - ended.sum()
+            n1, t1 = n1 - np.bincount(after, ended)[after][at], t1 - np.bincount(row[first], ended)[row]
         one = 0.9 * n1 / np.maximum(t1, 1) + 0.1 / self.size
         return np.log(_interpolated(n3, t3, k3, self.three.d,
                                     _interpolated(n2, t2, k2, self.two.d, one)))
@@ -256,16 +261,23 @@ class Model:
 
     def held_out(self, batch: pa.RecordBatch, column: int, of: np.ndarray) -> np.ndarray:
         """Per row: cross-entropy under language ``of`` without the row itself."""
-        out, packer = np.zeros(batch.num_rows), Packer()
-        for row, j in enumerate(of):
-            size = 0
-            for grams, _owner in pieces(batch.slice(row, 1), column):
-                uniq, at = packer.distinct(grams)
-                own = np.bincount(at)
-                out[row] -= own @ self.models[j].log_prob(uniq, own)
-                size += len(at)
-            out[row] /= max(size, 1)
-        return out
+        out, n, packer = np.zeros(batch.num_rows), np.zeros(batch.num_rows), Packer()
+        for grams, owner in pieces(batch, column):
+            points, key = packer.keys(grams)
+            rows, row = np.unique(owner, return_inverse=True)
+            n[rows] += np.bincount(row)
+            # one number for a row and a trigram; a few rows at a time where they are large
+            room = max(1, (1 << 62) // len(points) ** 3)
+            for at in range(0, len(rows), room):
+                mine = slice(*np.searchsorted(row, [at, at + room]))
+                both, own = np.unique((row[mine] - at) * len(points) ** 3 + key[mine], return_counts=True)
+                text, gram = both // len(points) ** 3, packed(points, both % len(points) ** 3)
+                lang = of[rows[at + text]]
+                for j in np.flatnonzero(np.bincount(lang)):
+                    some = lang == j
+                    logs = self.models[j].log_prob(gram[some], own[some], text[some])
+                    out -= np.bincount(rows[at + text[some]], own[some] * logs, len(out))
+        return out / np.maximum(n, 1)
 
     def judge(self, batch: pa.RecordBatch, column: int) -> tuple[list, np.ndarray, np.ndarray]:
         """Per row: language (or ``und``), score, rejected."""
@@ -286,7 +298,7 @@ class Model:
         return self.bounds.get(lang, (float("inf"), 0.0, 0.0))
 
 
-def train(rows: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id") -> Model:
+def train(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Model of all labelled rows (null languages and texts teach nothing)."""
     from skein.session import write_shared
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -301,55 +313,67 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", id_col: str =
         m.size = max(ALPHABET, len(seen) + 1)
     model = Model(langs, models)
     if langs:
-        calibrate(model, rows, lang, text, id_col)
+        calibrate(model, rows, lang, text)
     return model
 
 
-def calibrate(model: Model, rows: DataFrame, lang: str, text: str, id_col: str) -> None:
-    """Fit scale and rejection bounds on the bounded sample, each of its texts
-    scored under its language as if the model had not read it."""
-    found = rows.count()
-    # aimed below the bound, so that the limit is not what decides
-    share = max(1, (MAX_CALIBRATION * 9 // 10 << 20) // max(found, 1))
-    pick = F.pmod(F.xxhash64(id_col, F.length(text)), F.lit(1 << 20)) < share
+def calibrate(model: Model, rows: DataFrame, lang: str, text: str) -> None:
+    """Fit scale and rejection bounds on all training rows, each scored under its
+    language as if the model had not read it.  The driver gets sums and, for each
+    language, a few quantiles."""
+    from skein.operators.evaluate import exact_percentiles
+    from skein.session import write_shared
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, losses = ["lang", "n", "own", "losses"], np.zeros(len(SCALES))
         for batch in batches:
             model = shared.value
             ce, n = model.entropies(batch, 1)
             true = np.searchsorted(model.langs, batch.column(0).to_pylist())
-            ce[np.arange(len(ce)), true] = model.held_out(batch, 1, true)
+            every = np.arange(len(ce))
+            ce[every, true] = model.held_out(batch, 1, true)
+            margin = (np.sqrt(n)[:, None] * (ce - ce.min(1)[:, None]))[n > 0]
+            for j, scale in enumerate(SCALES):
+                losses[j] += (np.log(np.exp(-scale * margin).sum(1)) + scale * margin[every[:len(margin)], true[n > 0]]).sum()
+            some = pa.array(n > 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(list(ce), pa.list_(pa.float64()))],
-                ["lang", "n", "ce"])
-    sample = (rows.where(pick).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
-              .mapInArrow(trimmed(measure), "lang string, n double, ce array<double>")
-              .where("n > 0").limit(MAX_CALIBRATION).collect())
-    if not sample:
+                [batch.column(0), pa.array(n), pa.array(ce[every, true]),
+                 pa.nulls(len(n), pa.list_(pa.float64()))], names).filter(some)
+        # one row of a task: its losses
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0.0]), pa.array([0.0]),
+                                          pa.array([losses.tolist()], pa.list_(pa.float64()))], names)
+    found = write_shared(rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
+                         .mapInArrow(trimmed(measure), "lang string, n double, own double, losses array<double>"),
+                         "calibration")
+    sums = found.where("losses is not null").agg(*[F.sum(F.col("losses")[j]) for j in range(len(SCALES))]).first()
+    own = found.where("lang is not null").select("lang", "n", "own")
+    sizes = {r["lang"]: r["c"] for r in own.groupBy("lang").agg(F.count("*").alias("c")).collect()}
+    if not sizes:
         return
-    ce = np.array([r["ce"] for r in sample])
-    n = np.array([r["n"] for r in sample])
-    true = np.array([model.langs.index(r["lang"]) for r in sample])
-    margin = np.sqrt(n)[:, None] * (ce - ce.min(1)[:, None])
-
-    def loss(scale: float) -> float:
-        z = -scale * margin
-        return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), true]).mean())
-    model.scale = min((0.1 * 1.3 ** k for k in range(25)), key=loss)
-    worst = []
-    for j, name in enumerate(model.langs):
-        own, size = ce[true == j, j], n[true == j]
-        if len(own) < 5:
-            continue
-        mean = float(np.median(own))
-        gap = np.abs(own - mean)
-        spread = float(np.median(gap[size >= np.median(size)])) * 1.5 + 1e-3
-        deviation = float(np.median(gap * np.sqrt(size))) * 1.5 + 1e-3
-        model.bounds[name] = (mean, spread, deviation)
-        worst.append((own - mean) / (spread + deviation / np.sqrt(size)))
-    if worst:
-        model.k = max(8.0, float(np.quantile(np.concatenate(worst), 0.999)) * 2)
+    model.scale = SCALES[int(np.argmin(list(sums)))]
+    own = own.where(F.col("lang").isin([name for name, c in sizes.items() if c >= 5]))
+
+    def of_each(table: DataFrame, value: str) -> DataFrame:
+        return exact_percentiles(table, value, [0.5], ["lang"]).select(F.col("lang").alias("_l"), F.col(value).alias("m"))
+
+    def with_median(table: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        return table.join(F.broadcast(of), F.col("lang") == F.col("_l")).withColumn(name, F.col("m")).drop("_l", "m")
+    own = with_median(own, of_each(own, "own"), "mean")
+    own = with_median(own, of_each(own, "n"), "usual")
+    own = write_shared(own.withColumn("gap", F.abs(F.col("own") - F.col("mean"))), "gaps")
+    off = own.withColumn("wide", F.col("gap") * F.sqrt("n"))
+    spread = {r["_l"]: r["m"] * 1.5 + 1e-3 for r in of_each(own.where("n >= usual"), "gap").collect()}
+    deviation = {r["_l"]: r["m"] * 1.5 + 1e-3 for r in of_each(off, "wide").collect()}
+    mean = {r["lang"]: r["mean"] for r in own.groupBy("lang").agg(F.first("mean").alias("mean")).collect()}
+    model.bounds = {name: (mean[name], spread[name], deviation[name]) for name in sorted(mean)}
+    if mean:
+        table = rows.sparkSession.createDataFrame([(a, *b) for a, b in model.bounds.items()],
+                                                  "_l string, _m double, _s double, _d double")
+        worst = own.join(F.broadcast(table), F.col("lang") == F.col("_l")).select(
+            ((F.col("own") - F.col("_m")) / (F.col("_s") + F.col("_d") / F.sqrt("n"))).alias("worst"))
+        far = exact_percentiles(worst, "worst", [0.999]).first()["worst"]
+        model.k = max(8.0, float(far) * 2)
 
 
 # --- prediction --------------------------------------------------------------

@@ -6,6 +6,7 @@ from functools import cache
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -224,3 +225,33 @@ def test_held_out_scores_are_those_of_a_model_without_the_row(spark):
         rest.three.d, rest.two.d = whole.three.d, whole.two.d
         grams, own = counted([text])
         assert np.allclose(whole.log_prob(grams, own), rest.log_prob(grams))
+
+
+def test_language_bounds_come_from_every_training_row(spark):
+    rng = random.Random(8)
+    words = {"a": ["abba", "bab", "cab", "dab", "bade"], "b": ["xyz", "zyx", "wyx", "zzw", "wab"]}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(1, 6))), x)
+            for i in range(4600) for x in ["ab"[i % 2]]]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _i, t, _x in rows])], ["t"])
+    true = np.array([model.langs.index(x) for _i, _t, x in rows])
+    own, n = model.held_out(batch, 0, true), model.entropies(batch, 0)[1]
+    for j, name in enumerate(model.langs):
+        mine, size = own[true == j], n[true == j]
+        gap = np.abs(mine - np.median(mine))
+        want = (np.median(mine), np.median(gap[size >= np.median(size)]) * 1.5 + 1e-3,
+                np.median(gap * np.sqrt(size)) * 1.5 + 1e-3)
+        assert np.allclose(model.bounds[name], want, rtol=1e-9)
+
+
+def test_held_out_rows_of_a_batch_are_left_out_one_by_one(spark, monkeypatch):
+    rows = [(i, t, x) for i, (t, x) in enumerate([
+        ("ab ab ba cab", "a"), (None, "a"), ("xyz zzy", "b"), ("abba cab dab", "a"), ("...", "b"), ("zyx xy", "b")] * 3)]
+    model = langid.train(spark.createDataFrame([r for r in rows if r[1]], "doc_id long, text string, lang string"))
+    true = np.array([model.langs.index(x) for _i, _t, x in rows])
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _i, t, _x in rows], pa.string())], ["t"])
+    whole = model.held_out(batch, 0, true)
+    alone = [model.held_out(batch.slice(i, 1), 0, true[i:i + 1])[0] for i in range(len(rows))]
+    assert np.allclose(whole, alone)
+    monkeypatch.setattr(langid, "PIECE", 5)
+    assert len(model.held_out(batch, 0, true)) == len(rows)
