@@ -21,6 +21,9 @@ Definitions (kept equal to the reference's):
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -302,70 +305,72 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def word_grams(word) -> "F.Column":
-    """Character n-grams of a word padded with one space on each side; a
-    padded word not longer than n gives itself once, longer n are skipped."""
-    pw = F.concat(F.lit(" "), word, F.lit(" "))
-    n_chars = F.length(pw)
-    sizes = F.filter(F.array(*[F.lit(n) for n in GRAM_SIZES]), lambda n: n <= n_chars)
-    return F.flatten(F.transform(sizes, lambda n: F.transform(
-        F.sequence(F.lit(0), n_chars - n), lambda i: F.substring(pw, i + 1, n))))
-
-
 def pair_similarity(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFrame:
     """Per pair: char-gram TF-IDF ``cosine`` and token ``jaccard``.
 
     TF-IDF is fitted on each pair (two documents): tf = 1 + ln(count),
     idf = ln(3 / (1 + df)) + 1, L2-normalised.  Jaccard is |A ∩ B| / |A ∪ B|
-    of the whitespace-token sets (0 when either is empty).  Relational form:
-    words -> counted (pair, side, word) -> grams -> per (pair, gram) counts
-    of both sides -> per-pair sums; the word table also gives the token sets.
-    The texts are hash-partitioned by pair once; all later aggregates reuse
-    that partitioning.  Pairs without words get no row (both scores are 0
-    for them).
+    of the whitespace-token sets (0 when either is empty).  The texts are
+    hash-partitioned by pair and sorted by it once; a task then reads one pair
+    after the other and holds the words and grams of one, so neither word nor
+    gram rows are shuffled, grouped or spilled.  Rows of one key count as one
+    pair.  Pairs without words get no row (both scores are 0 for them).
     """
+    from pyspark.sql import types as T
+
     from skein.functions.text import words
     ks = _keys(key)
-    sides = (pairs.select(*ks, F.lit(0).alias("_side"), F.col(a).alias("_t"))
-             .unionByName(pairs.select(*ks, F.lit(1).alias("_side"), F.col(b).alias("_t"))))
-    # One shuffle of the raw texts by pair: every aggregate below is keyed
-    # by the pair plus more, so the hash partitioning already satisfies it
-    # and no word or gram rows are shuffled.  A pair is two texts, so the
-    # largest task is bounded by the largest text, not by the data volume.
-    sides = sides.repartition(*ks)
-    # one row per (pair, word) with its count on each side; both scores read it
-    wc = (sides.select(*ks, "_side", F.explode(words(F.col("_t"))).alias("_w"))
-          .groupBy(*ks, "_w").agg(F.count_if(F.col("_side") == 0).alias("_wa"),
-                                  F.count_if(F.col("_side") == 1).alias("_wb")))
-    jac = wc.groupBy(*ks).agg(
-        (F.count_if((F.col("_wa") > 0) & (F.col("_wb") > 0)) / F.count(F.lit(1))).alias("jaccard"))
-    grams = explode_word_grams(wc, ks + ["_wa", "_wb"], "_w", "_g")
-    gc = grams.groupBy(*ks, "_g").agg(
-        F.sum("_wa").alias("_sa"), F.sum("_wb").alias("_sb"))
-    gc = gc.select(*ks, F.when(F.col("_sa") > 0, F.col("_sa")).alias("_ca"),
-                   F.when(F.col("_sb") > 0, F.col("_sb")).alias("_cb"))
-    n_docs = (F.col("_ca").isNotNull().cast("int") + F.col("_cb").isNotNull().cast("int"))
-    idf = F.log(F.lit(3.0) / (F.lit(1.0) + n_docs)) + F.lit(1.0)
-    wa = F.coalesce((F.lit(1.0) + F.log(F.col("_ca"))) * idf, F.lit(0.0))
-    wb = F.coalesce((F.lit(1.0) + F.log(F.col("_cb"))) * idf, F.lit(0.0))
-    sums = gc.groupBy(*ks).agg(F.sum(wa * wa).alias("_na"), F.sum(wb * wb).alias("_nb"),
-                               F.sum(wa * wb).alias("_dot"))
-    cos = F.when((F.col("_na") > 0) & (F.col("_nb") > 0),
-                 F.col("_dot") / F.sqrt(F.col("_na") * F.col("_nb"))).otherwise(F.lit(0.0))
-    return sums.select(*ks, cos.alias("cosine")).join(jac, ks, "full")
-
-
-def explode_word_grams(df: DataFrame, keep: list[str], word: str, out: str) -> DataFrame:
-    """One row per char n-gram (n in GRAM_SIZES) of each space-padded word;
-    same grams as ``word_grams`` but with plain generators (``explode`` of a
-    ``sequence``) and ``substring``, which stay in whole-stage codegen."""
-    pw = F.concat(F.lit(" "), F.col(word), F.lit(" "))
-    sized = df.select(*keep, pw.alias("_pw"), F.length(pw).alias("_L"),
-                      F.explode(F.array(*[F.lit(n) for n in GRAM_SIZES])).alias("_n"))
-    sized = sized.filter(F.col("_n") <= F.col("_L"))
-    at = sized.select(*keep, "_pw", "_n",
-                      F.explode(F.sequence(F.lit(0), F.col("_L") - F.col("_n"))).alias("_i"))
-    return at.select(*keep, F.expr("substring(_pw, _i + 1, _n)").alias(out))
+    rows = (pairs.select(*ks, F.col(a).alias("_ta"), F.col(b).alias("_tb")).repartition(*ks)
+            .sortWithinPartitions(*ks).select(*ks, words(F.col("_ta")).alias("_wa"), words(F.col("_tb")).alias("_wb")))
+    schema = T.StructType([rows.schema[k] for k in ks] + [
+        T.StructField(c, T.DoubleType()) for c in ("cosine", "jaccard")])
+
+    def run(batches):
+        import pyarrow as pa
+        now, sides, done = None, (Counter(), Counter()), []
+
+        def finished():
+            return [(*now, *_similarity(*sides))] if sides[0] or sides[1] else []
+        types = None
+        for batch in batches:
+            types = [batch.column(k).type for k in ks] + [pa.float64()] * 2
+            for at in range(0, batch.num_rows, 64):
+                part = [c.to_pylist() for c in batch.slice(at, 64).columns]
+                for *own, wa, wb in zip(*part):
+                    if own != now:
+                        done += finished()
+                        now, sides = own, (Counter(), Counter())
+                    sides[0].update(wa or ())
+                    sides[1].update(wb or ())
+                if len(done) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], schema.names)
+                    done = []
+        done += finished()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], schema.names)
+    return rows.mapInArrow(run, schema)
+
+
+def _gram_counts(words: Counter) -> Counter:
+    """Character n-grams of a pair's counted words, each padded with one space."""
+    out: Counter = Counter()
+    for word, c in words.items():
+        padded = f" {word} "
+        for n in GRAM_SIZES:
+            for i in range(len(padded) - n + 1):
+                out[padded[i:i + n]] += c
+    return out
+
+
+def _similarity(a: Counter, b: Counter) -> tuple[float, float]:
+    """TF-IDF cosine and Jaccard of two counted word lists."""
+    both, alone = math.log(1.0) + 1.0, math.log(1.5) + 1.0      # idf of a gram of two and of one text
+    ga, gb = _gram_counts(a), _gram_counts(b)
+    wa, wb = ({g: (1.0 + math.log(c)) * (both if g in other else alone) for g, c in own.items()}
+              for own, other in ((ga, gb), (gb, ga)))
+    na, nb = (math.fsum(w * w for w in x.values()) for x in (wa, wb))
+    dot = math.fsum(w * wb[g] for g, w in wa.items() if g in wb)
+    return dot / math.sqrt(na * nb) if na > 0 and nb > 0 else 0.0, len(a.keys() & b.keys()) / len(a.keys() | b.keys())
 
 
 def chargram_cosine(pairs: DataFrame, key, a: str = "a", b: str = "b") -> DataFrame:

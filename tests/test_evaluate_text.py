@@ -122,3 +122,20 @@ def test_exact_percentiles_match_numpy(spark):
     whole = {r.p: r.v for r in ev.exact_percentiles(df, "v", probs, None, buckets=8).collect()}
     for p in probs:
         assert whole[p] == pytest.approx(np.percentile(vals, 100 * p), abs=1e-12)
+
+
+def test_pair_similarity_groups_no_words_or_grams(spark):
+    """One shuffle of the texts; nothing of words or grams is grouped or shuffled.  Rows
+    of one key (null too) count as one pair, pairs without words get no row."""
+    rows = [(1, "x", "ab cab", "cab d"), (1, "x", "zz", "cab"), (1, None, "ab", "ab"), (1, None, "q", None),
+            (2, "x", "one", None), (3, "x", " ", ""), (4, "x", "same text here", "same text here")]
+    pairs = spark.createDataFrame(rows, "i int, k string, a string, b string")
+    out = ev.pair_similarity(pairs, ["i", "k"], "a", "b")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan and "Generate" not in plan
+    got = {(r.i, r.k): (r.cosine, r.jaccard) for r in out.collect()}
+    one = spark.createDataFrame([(1, "ab cab zz", "cab d cab"), (2, "ab q", "ab")], "i int, a string, b string")
+    want = {r.i: (r.cosine, r.jaccard) for r in ev.pair_similarity(one, "i", "a", "b").collect()}
+    assert set(got) == {(1, "x"), (1, None), (2, "x"), (4, "x")}
+    assert got[1, "x"] == pytest.approx(want[1]) and got[1, None] == pytest.approx(want[2])
+    assert got[2, "x"] == (0.0, 0.0) and got[4, "x"] == pytest.approx((1.0, 1.0))
