@@ -15,8 +15,10 @@ Tokenising: the tokenizer never joins across white space, so the ids of a text
 are those of its white-space words in turn.  Each worker remembers the ids of
 words it has seen (two generations of at most ``REMEMBER_BYTES``, and one batch's
 new words) and encodes
-the new words of a batch in one go; after a partition it
-keeps the younger generation only.
+the new words of a batch in one go.  Where the bytes of the ids' tokens add up to
+those of the words, they show where each word's ids end; else a mark stands between
+the words.  After a partition a worker keeps at most ``STAY_BYTES``: the younger
+generation, or those of its words that both generations held.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed as further documents; an empty table gives no rows; extra columns are
@@ -25,6 +27,7 @@ not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -42,6 +45,10 @@ OPEN_BINS = 1024
 PER_PACKER = 100_000
 #: bytes of words and ids in one of the two generations, with ``_ENTRY`` for each
 REMEMBER_BYTES, _ENTRY = 48 << 20, 160
+#: of these, bytes that stay after a partition
+STAY_BYTES = 16 << 20
+#: words encoded together
+_TOGETHER = 512
 #: private-use character between words that are encoded together
 _MARK = "\ue000"
 
@@ -54,6 +61,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = np.array(self._ids(_MARK), np.uint32)
+        self.sizes = self._token_sizes()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.held = 0                   # bytes of the younger generation
@@ -61,31 +69,71 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _token_sizes(self) -> np.ndarray:
+        """Bytes that each id stands for, if tokens are byte-level ones."""
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, number in vocab.items():
+            sizes[number] = len(token.removesuffix(suffix))
+        return sizes
+
     def forget(self) -> None:
-        """Drop the older generation, and a younger one beyond its bound."""
+        """Drop the older generation, and all that is beyond ``STAY_BYTES`` of the younger."""
+        if self.held > STAY_BYTES:
+            both = self.young.keys() & self.old.keys()
+            young, self.young, self.held = self.young, {}, 0
+            for w in both:
+                if self.held > STAY_BYTES:
+                    break
+                self._keep(w, young[w])
         self.old = {}
-        if self.held > REMEMBER_BYTES:
-            self.young, self.held = {}, 0
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not remembered, many at once: the mark's
-        ids stand between words; words with the mark in them go alone."""
+        """Encode the words that are not remembered, many at once."""
         if self.held > REMEMBER_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
         new = words.difference(self.young)
-        for w in new.intersection(self.old):
+        again = list(filter(self.old.__contains__, new))    # set methods would run through all of ``old``
+        for w in again:
             self._keep(w, self.old[w])
-        new.difference_update(self.old)
+        new.difference_update(again)
+        # characters beyond ASCII may change their length: such words go apart
+        ascii_only = list(filter(bytes.isascii, new))
+        for some in (ascii_only, list(new.difference(ascii_only))):
+            for at in range(0, len(some), _TOGETHER):
+                part = some[at:at + _TOGETHER]
+                if not self._learn_by_size(part):
+                    self._learn_by_mark(part)
+
+    def _learn_by_size(self, part: list[bytes]) -> bool:
+        """Encode words divided by spaces, if each word's last byte ends a token."""
+        ids = np.array(self._ids(b" ".join(part).decode()), "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        lengths = list(map(len, part))
+        wanted = np.cumsum(lengths)
+        if not len(ids) or ends[-1] != wanted[-1]:
+            return False
+        cuts = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[cuts], wanted) or not self.sizes[ids].all():
+            return False
+        cuts = (4 * cuts + 4).tolist()
+        raw = ids.tobytes()
+        self.young.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+        self.held += sum(lengths) + len(raw) + _ENTRY * len(part)
+        return True
+
+    def _learn_by_mark(self, part: list[bytes]) -> None:
+        """Encode words with the mark's ids between them; words with the mark in
+        them go alone."""
         mark = _MARK.encode()
-        alone = [w for w in new if mark in w]
-        new = list(new.difference(alone))
-        for at in range(0, len(new), 512):
-            part = new[at:at + 512]
-            ids = np.array(self._ids(f" {_MARK} ".join(map(bytes.decode, part))), "<u4")
-            cuts = self._marks(ids)
-            if len(cuts) != len(part) - 1:      # a word whose ids look like the mark's
-                alone += part
-                continue
+        alone = [w for w in part if mark in w]
+        part = [w for w in part if mark not in w]
+        ids = np.array(self._ids(f" {_MARK} ".join(map(bytes.decode, part))), "<u4")
+        cuts = self._marks(ids)
+        if len(cuts) != len(part) - 1:      # a word whose ids look like the mark's
+            alone += part
+        else:
             raw, size = ids.tobytes(), 4 * len(self.mark)
             start = 0
             for w, cut in zip(part, [*(4 * cuts).tolist(), len(raw)]):

@@ -359,6 +359,41 @@ def test_packing(spark):
                                        packing.default_tokenizer())).count() == 0
 
 
+ODD_WORDS = ["tok", "don't", "H\u0331", "I\u0307x", "\u0130", "\ufb01n", "\u212b", "e\u0301", "a\u00a0b", "a\u2003", "\ue000",
+             "x\ue000y", "<|endoftext|>", "\x00", "\x1c", "\u0085", "\u6c49\u5b57", "\U0001f44d\U0001f3fd", "\u00c0\u00c9", "***"]
+
+
+def test_words_are_encoded_as_in_their_text():
+    rng = random.Random(3)
+    words = packing.WordEncoder(packing.default_tokenizer())
+    for k in range(60):
+        texts = [" ".join(rng.choices(ODD_WORDS + [f"w{rng.random()}" for _ in range(5)], k=rng.randrange(9)))
+                 for _ in range(4)]
+        got = list(words.encode([t.encode() for t in texts]))
+        assert got == [np.array(words._ids(t), "<u4").tobytes() for t in texts]
+        if k % 7 == 0:
+            words.forget()
+
+
+def test_plain_words_need_no_mark(monkeypatch):
+    words = packing.WordEncoder(packing.default_tokenizer())
+    monkeypatch.setattr(words, "_learn_by_mark", None)      # twice the time
+    text = " ".join(f"Word{i}, caf\u00e9{i}" for i in range(2000))
+    assert list(words.encode([text.encode()])) == [np.array(words._ids(text), "<u4").tobytes()]
+
+
+def test_worker_keeps_few_words_after_a_partition(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBER_BYTES", 40_000)
+    monkeypatch.setattr(packing, "STAY_BYTES", 10_000, raising=False)
+    words = packing.WordEncoder(packing.default_tokenizer())
+    often = b" ".join(b"often%d" % i for i in range(20))
+    for i in range(40):
+        list(words.encode([often + b" " + b" ".join(b"once%d-%d" % (i, k) for k in range(20))]))
+    words.forget()
+    assert not words.old and words.held <= 10_000 + 200
+    assert set(often.split()) <= set(words.young)
+
+
 def test_best_fit_rule():
     bins = packing.Bins(10, 2)
     assert [bins.put(n) for n in (6, 7, 3, 4, 9, 8, 1)] == [
