@@ -17,7 +17,10 @@ words it has seen (two generations of at most ``REMEMBER_BYTES``, and one batch'
 new words) and encodes
 the new words of a batch in one go.  Where the bytes of the ids' tokens add up to
 those of the words, they show where each word's ids end; else a mark stands between
-the words.  After a partition a worker keeps at most ``STAY_BYTES``: the younger
+the words.  Under the tokenizer's usual rules (lower case, runs of letters apart from
+punctuation) ASCII capitals are lowered first, a word of lower-case letters skips those
+rules, and punctuation behind it has ids of its own.  A group's words are split and numbered
+by Arrow, so each distinct one is looked up once.  After a partition a worker keeps at most ``STAY_BYTES``: the younger
 generation, or those of its words that both generations held.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
@@ -29,11 +32,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -51,6 +56,16 @@ STAY_BYTES = 16 << 20
 _TOGETHER = 512
 #: private-use character between words that are encoded together
 _MARK = "\ue000"
+#: words whose ids are put together at once
+_AT_ONCE = 1 << 18
+#: the rules under which ``_PLAIN`` words may be encoded apart from them
+_RULES = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+_RUNS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: composed lower-case Latin letters, and ASCII punctuation but the apostrophe behind them
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
@@ -60,14 +75,35 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = self._without_rules()
         self.mark = np.array(self._ids(_MARK), np.uint32)
         self.sizes = self._token_sizes()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.held = 0                   # bytes of the younger generation
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _without_rules(self):
+        """The tokenizer for words that its rules leave as they are, if it has just those rules."""
+        spec = json.loads(self.tokenizer.to_str())
+        rules = spec["normalizer"] or {}
+        rules = rules.get("normalizers", [rules])
+        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        if {"type": "Lowercase"} not in rules or any(r not in _RULES for r in rules) or spec["pre_tokenizer"] != _RUNS:
+            return None
+        spec["normalizer"] = None
+        spec["pre_tokenizer"] = _RUNS | {"pretokenizers": [{"type": "WhitespaceSplit"}, _RUNS["pretokenizers"][1]]}
+        return type(self.tokenizer).from_str(json.dumps(spec))
+
+    def _lowered(self, text: bytes) -> bytes:
+        """The text with ASCII capitals lowered, where the tokenizer does so: not before a
+        combining mark (composed first) nor where that would make a special token."""
+        if self.plain is None or b"\xcc" in text or b"\xcd" in text:
+            return text
+        low = text.lower()
+        return text if any(t in low for t in self.special) else low
+
+    def _ids(self, text: str, tokenizer=None) -> list[int]:
+        return (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _token_sizes(self) -> np.ndarray:
         """Bytes that each id stands for, if tokens are byte-level ones."""
@@ -98,6 +134,23 @@ class WordEncoder:
         for w in again:
             self._keep(w, self.old[w])
         new.difference_update(again)
+        behind = []                     # words with punctuation behind letters
+        if self.plain is not None:
+            letters, ends = set(), set()
+            for w in new:
+                if m := _PLAIN.fullmatch(w):
+                    core, end = m.groups()
+                    letters.add(core)
+                    if end:
+                        behind.append((w, core, end))
+                        ends.add(end)
+            new.difference_update(letters, [w for w, _, _ in behind])
+            new.update(self._unknown(ends))
+            letters = list(self._unknown(letters))
+            for at in range(0, len(letters), _TOGETHER):
+                part = letters[at:at + _TOGETHER]
+                if not self._learn_by_size(part, self.plain):
+                    self._learn_by_mark(part)
         # characters beyond ASCII may change their length: such words go apart
         ascii_only = list(filter(bytes.isascii, new))
         for some in (ascii_only, list(new.difference(ascii_only))):
@@ -105,10 +158,20 @@ class WordEncoder:
                 part = some[at:at + _TOGETHER]
                 if not self._learn_by_size(part):
                     self._learn_by_mark(part)
+        for w, core, end in behind:
+            self._keep(w, self.young[core] + self.young[end])
+
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        """Those of ``words`` that neither generation holds; the older one's become young."""
+        words = words.difference(self.young)
+        again = list(filter(self.old.__contains__, words))
+        for w in again:
+            self._keep(w, self.old[w])
+        return words.difference(again)
 
-    def _learn_by_size(self, part: list[bytes]) -> bool:
+    def _learn_by_size(self, part: list[bytes], tokenizer=None) -> bool:
         """Encode words divided by spaces, if each word's last byte ends a token."""
-        ids = np.array(self._ids(b" ".join(part).decode()), "<u4")
+        ids = np.array(self._ids(b" ".join(part).decode(), tokenizer), "<u4")
         ends = np.cumsum(self.sizes[ids])
         lengths = list(map(len, part))
         wanted = np.cumsum(lengths)
@@ -157,10 +220,25 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.young.__getitem__, words))
+        lines = pa.array(map(self._lowered, texts), pa.binary()).view(pa.string())
+        split = pc.ascii_split_whitespace(lines)
+        named = split.flatten().dictionary_encode()
+        words = named.dictionary.view(pa.binary()).to_pylist()
+        self.learn(set(words).difference([b""]))
+        known = [self.young[w] if w else b"" for w in words]
+        flat, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, codes = np.cumsum(sizes) - sizes, named.indices.to_numpy()
+        ends = np.append(0, np.cumsum(sizes[codes]))
+        out = np.empty(ends[-1], "<u4")
+        for at in range(0, len(codes), _AT_ONCE):
+            some = codes[at:at + _AT_ONCE]
+            first = ends[at:at + len(some)]
+            last = ends[at + len(some)]
+            places = np.repeat(starts[some] - first, sizes[some]) + np.arange(first[0], last)
+            out[first[0]:last] = flat[places]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        for start, end in zip(bounds, bounds[1:]):
+            yield out[start:end].tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -496,3 +496,27 @@ def test_short_items_are_searched_exactly(spark):
     found = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find(docs, bench).collect()}
     assert found == {(1, 1, 0), (10, 1, 0), (3, 2, 0), (6, 3, 0), (7, 5, 0)}
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {2, 4, 5, 8, 9}
+
+
+def test_words_apart_from_the_rules_have_the_same_ids():
+    rng = random.Random(8)
+    words = packing.WordEncoder(packing.default_tokenizer())
+    assert words.plain is not None
+    odd = ODD_WORDS + ["Aḇ", "H̱", "<|ENDOFTEXT|>", "x<|StartOfText|>,", "CafÉ", "été,", "÷", "it's", "We'LL", "a-b",
+                       "straße!!", "ª", "µm", "AΣ", "(foo)", "foo...", "x_y", "Å", "naïve;", "n0", "è"]
+    for k in range(80):
+        texts = ["".join(rng.choice(odd + ["Word", "wORD,"]) + rng.choice([" ", "\n", "\t ", "\x0b", "\x0c\r"])
+                         for _ in range(rng.randrange(12))) for _ in range(5)] + ["", " "]
+        got = list(words.encode([t.encode() for t in texts]))
+        assert got == [np.array(words._ids(t), "<u4").tobytes() for t in texts]
+        if k % 9 == 0:
+            words.forget()
+
+
+def test_words_in_capitals_and_before_punctuation_are_encoded_once(monkeypatch):
+    words = packing.WordEncoder(packing.default_tokenizer())
+    asked = []
+    real = words._ids
+    monkeypatch.setattr(words, "_ids", lambda text, *more: asked.append(text) or real(text, *more))
+    list(words.encode([b"Word word, WORD... word"]))
+    assert " ".join(asked).split().count("word") == 1 and "Word" not in " ".join(asked)
