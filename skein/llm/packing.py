@@ -31,10 +31,11 @@ not read.
 from __future__ import annotations
 
 import json
+import operator
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,9 @@ _RUNS = {"type": "Sequence", "pretokenizers": [
      "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: composed lower-case Latin letters, and ASCII punctuation but the apostrophe behind them
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = rb"((?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++)([!-&(-/:-@\[-`{-~]*)"
+#: the two parts of each line, empty for other lines
+_PARTS = re.compile(_PLAIN + rb"\n|[^\n]*\n")
 
 
 class WordEncoder:
@@ -125,49 +128,49 @@ class WordEncoder:
                 self._keep(w, young[w])
         self.old = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not remembered, many at once."""
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words; those that are not remembered are encoded, many at once."""
         if self.held > REMEMBER_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
-        new = words.difference(self.young)
-        again = list(filter(self.old.__contains__, new))    # set methods would run through all of ``old``
-        for w in again:
-            self._keep(w, self.old[w])
-        new.difference_update(again)
+        known = list(map(self.young.get, words))
+        missing = [i for i, ids in enumerate(known) if ids is None]
+        self._learn(self._renewed([w for i in missing if (w := words[i])]))
+        for i in missing:
+            known[i] = self.young[w] if (w := words[i]) else b""
+        return known
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode distinct words that neither generation holds."""
         behind = []                     # words with punctuation behind letters
-        if self.plain is not None:
-            letters, ends = set(), set()
-            for w in new:
-                if m := _PLAIN.fullmatch(w):
-                    core, end = m.groups()
-                    letters.add(core)
-                    if end:
-                        behind.append((w, core, end))
-                        ends.add(end)
-            new.difference_update(letters, [w for w, _, _ in behind])
-            new.update(self._unknown(ends))
-            letters = list(self._unknown(letters))
-            for at in range(0, len(letters), _TOGETHER):
-                part = letters[at:at + _TOGETHER]
-                if not self._learn_by_size(part, self.plain):
-                    self._learn_by_mark(part)
+        if self.plain is not None and new:
+            parts = _PARTS.findall(b"\n".join(new) + b"\n")     # words hold no white space
+            behind = [(w, core, end) for w, (core, end) in zip(new, parts) if end]
+            letters = [w for w, (core, end) in zip(new, parts) if core and not end]
+            new = [w for w, (core, _) in zip(new, parts) if not core]
+            for some, more in ((new, {end for _, _, end in behind}), (letters, {core for _, core, _ in behind})):
+                some += self._renewed([w for w in more.difference(some) if w not in self.young])
+            self._learn_all(letters, self.plain)
         # characters beyond ASCII may change their length: such words go apart
-        ascii_only = list(filter(bytes.isascii, new))
-        for some in (ascii_only, list(new.difference(ascii_only))):
-            for at in range(0, len(some), _TOGETHER):
-                part = some[at:at + _TOGETHER]
-                if not self._learn_by_size(part):
-                    self._learn_by_mark(part)
-        for w, core, end in behind:
-            self._keep(w, self.young[core] + self.young[end])
-
-    def _unknown(self, words: set[bytes]) -> set[bytes]:
-        """Those of ``words`` that neither generation holds; the older one's become young."""
-        words = words.difference(self.young)
-        again = list(filter(self.old.__contains__, words))
-        for w in again:
-            self._keep(w, self.old[w])
-        return words.difference(again)
+        self._learn_all([w for w in new if w.isascii()])
+        self._learn_all([w for w in new if not w.isascii()])
+        if behind:
+            words, cores, ends = zip(*behind)
+            get = self.young.__getitem__
+            self._keep_all(words, list(map(operator.concat, map(get, cores), map(get, ends))))
+
+    def _renewed(self, words: list[bytes]) -> list[bytes]:
+        """Those of ``words`` that the older generation does not hold; its own become young."""
+        if self.old:
+            ids = list(map(self.old.get, words))
+            self._keep_all([w for w, i in zip(words, ids) if i is not None], [i for i in ids if i is not None])
+            words = [w for w, i in zip(words, ids) if i is None]
+        return words
+
+    def _learn_all(self, words: list[bytes], tokenizer=None) -> None:
+        for at in range(0, len(words), _TOGETHER):
+            part = words[at:at + _TOGETHER]
+            if not self._learn_by_size(part, tokenizer):
+                self._learn_by_mark(part)
 
     def _learn_by_size(self, part: list[bytes], tokenizer=None) -> bool:
         """Encode words divided by spaces, if each word's last byte ends a token."""
@@ -182,8 +185,7 @@ class WordEncoder:
             return False
         cuts = (4 * cuts + 4).tolist()
         raw = ids.tobytes()
-        self.young.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
-        self.held += sum(lengths) + len(raw) + _ENTRY * len(part)
+        self._keep_all(part, list(map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
         return True
 
     def _learn_by_mark(self, part: list[bytes]) -> None:
@@ -209,6 +211,10 @@ class WordEncoder:
         self.young[word] = ids
         self.held += len(word) + len(ids) + _ENTRY
 
+    def _keep_all(self, words: Sequence[bytes], ids: list[bytes]) -> None:
+        self.young.update(zip(words, ids))
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + _ENTRY * len(ids)
+
     def _marks(self, ids: np.ndarray) -> np.ndarray:
         n = len(ids) - len(self.mark) + 1
         if n <= 0:
@@ -223,9 +229,8 @@ class WordEncoder:
         lines = pa.array(map(self._lowered, texts), pa.binary()).view(pa.string())
         split = pc.ascii_split_whitespace(lines)
         named = split.flatten().dictionary_encode()
-        words = named.dictionary.view(pa.binary()).to_pylist()
-        self.learn(set(words).difference([b""]))
-        known = [self.young[w] if w else b"" for w in words]
+        words = named.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = self.ids_of(words)
         flat, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts, codes = np.cumsum(sizes) - sizes, named.indices.to_numpy()
         ends = np.append(0, np.cumsum(sizes[codes]))
@@ -255,7 +260,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _groups(texts: list, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+def _groups(texts: list, limit: int = 1 << 21) -> Iterator[list[bytes]]:
     """Texts in runs of about ``limit`` bytes."""
     held, size = [], 0
     for t in texts:
