@@ -40,8 +40,8 @@ ALPHABET = 128
 DENSE = 96
 #: scales tried for the score
 SCALES = [0.1 * 1.3 ** k for k in range(25)]
-#: characters worked on at once
-PIECE = 1 << 19
+#: characters worked on at once: their arrays take some 300 bytes each
+PIECE = 1 << 17
 _BITS = 21
 
 _LETTERS: np.ndarray | None = None

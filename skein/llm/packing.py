@@ -21,7 +21,8 @@ the words.  Under the tokenizer's usual rules (lower case, runs of letters apart
 punctuation) ASCII capitals are lowered first, a word of lower-case letters skips those
 rules, and punctuation behind it has ids of its own.  A group's words are split and numbered
 by Arrow, so each distinct one is looked up once.  After a partition a worker keeps at most ``STAY_BYTES``: the younger
-generation, or those of its words that both generations held.
+generation, or those of its words that both generations held; other work in that worker drops the
+encoder (``memory.kept``).
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed as further documents; an empty table gives no rows; extra columns are
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from skein.llm.memory import trimmed
+from skein.llm.memory import kept, trimmed
 
 SIZE = 4096
 END_ID = 1
@@ -246,7 +247,7 @@ class WordEncoder:
             yield out[start:end].tobytes()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = kept("packing")
 
 
 def encoder(path: str) -> WordEncoder:
@@ -306,7 +307,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                  pa.array(sums, pa.int64())] + [pa.array(kept, pa.binary())] * with_ids, schema.names)
         words.forget()
     return (docs.select(F.col(id_col), F.col(text).cast("string").cast("binary").alias("\x01t"))
-            .mapInArrow(trimmed(cut), schema))
+            .mapInArrow(trimmed(cut, "packing"), schema))
 
 
 class Bins:
